@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .decontamination import OP5_SQL, op5_decontamination
 from .packing import op3_histogram_packing
+from .pii import op7_feistel_pseudonyms
+from .quality import OP4_SQL, op4_quality_cascade
 from .sharding import op1_jump_sharding
 from .token_files import op10_token_files
 
@@ -11,9 +14,12 @@ def queries() -> dict:
     return {
         "op1_jump_sharding": op1_jump_sharding,
         "op3_histogram_packing": op3_histogram_packing,
+        "op4_quality_cascade": op4_quality_cascade,
+        "op5_decontamination": op5_decontamination,
+        "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
         "op10_token_files": op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_cascade": OP4_SQL, "op5_decontamination": OP5_SQL}
