@@ -7,6 +7,7 @@ from .packing import op3_histogram_packing
 from .pii import op7_feistel_pseudonyms
 from .quality import OP4_SQL, op4_quality_cascade
 from .sharding import op1_jump_sharding
+from .substrings import OP6_SQL, op6_debruijn_substrings
 from .token_files import op10_token_files
 
 
@@ -16,10 +17,11 @@ def queries() -> dict:
         "op3_histogram_packing": op3_histogram_packing,
         "op4_quality_cascade": op4_quality_cascade,
         "op5_decontamination": op5_decontamination,
+        "op6_debruijn_substrings": op6_debruijn_substrings,
         "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
         "op10_token_files": op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_cascade": OP4_SQL, "op5_decontamination": OP5_SQL}
+    return {"op4_quality_cascade": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_debruijn_substrings": OP6_SQL}
