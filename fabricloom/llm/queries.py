@@ -8,6 +8,7 @@ from .pii import op7_feistel_pseudonyms
 from .quality import OP4_SQL, op4_quality_cascade
 from .sharding import op1_jump_sharding
 from .substrings import OP6_SQL, op6_debruijn_substrings
+from .suffixes import op8_induced_suffixes
 from .token_files import op10_token_files
 
 
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op5_decontamination": op5_decontamination,
         "op6_debruijn_substrings": op6_debruijn_substrings,
         "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
+        "op8_induced_suffixes": op8_induced_suffixes,
         "op10_token_files": op10_token_files,
     }
 
