@@ -1,17 +1,68 @@
-"""A corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""A corpus pipeline over documents: quality rules, near-duplicate removal, decontamination, pseudonyms, packing.
+
+Each stage gets what the one before it kept, reads it whole, and its decisions take effect. All but the last
+return the columns of documents; their output is written as Parquet and read again by the next.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None  # tokenization has no SQL form
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fabricloom.llm import decontamination, jaccard, packing, pii, quality
+from fabricloom.llm.common import staged
+from fabricloom.llm.tokens import public_path
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep. Null, empty and very short texts go."""
+    return quality.judge(docs).where("kept").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest doc_id; of repeated rows one.
+    A row without a doc_id goes only if an equal text without a doc_id stays."""
+    found = jaccard.classes(docs.select("doc_id", "text"))
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    none = F.lit(-(1 << 63))
+    kept = docs.withColumn("_id", F.coalesce("doc_id", none)).join(
+        stays.select(F.coalesce("doc_id", none).alias("_id")).hint("shuffle_hash"), "_id", "left_semi"
+    )
+    return kept.dropDuplicates(["_id", "text"]).select(*docs.columns)
+
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.find(docs, benchmark)
+    return found.where(F.size("spans") == 0).select(*docs.columns)
+
+
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced; n_chars follows the new text."""
+    out = pii.pseudonymise(docs, pii.DEMO_KEY)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 4,096 tokens."""
+    return packing.pack_documents(docs, public_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", drop_low_quality),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", pseudonymise),
+    ("packing", pack),
+]
+ORACLE_SQL = None  # tokenization has no SQL form
 
-def run(spark, sf_dir: str):
-    from fabricloom.llm.common import staged
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = staged(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,80 +1,101 @@
 """Token ids of public tokenizers, exactly as the tokenizers library gives them, with a bounded word cache.
 
-Both supported files cut a text at single spaces and line feeds between other characters before any merge, so
-the ids of a text are the ids of its pieces one after another. Pieces are looked up in a cache; what the cache
-lacks goes through the library in one batch. Texts where that cut does not hold (double or other spaces at a
-piece's edge, strings of special tokens) go through the library whole.
+Both supported files cut a text at single spaces and line feeds between other characters, and between a letter
+or digit and a comma or full stop that ends a word, before any merge. So the ids of a text are the ids of its
+words one after another. Words are looked up in a cache; what the cache lacks goes through the library in
+batches. Texts where a cut may not hold go through the library less cut up, or whole.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 
 #: Entries at most in a worker's cache; when full it starts anew.
-CACHE = 500_000
+CACHE = 250_000
+#: A comma or full stop at a word's end after something else than a letter or digit.
+UNSURE = re.compile(r"(?:[^\w\s]|_)[,.](?=\s|$)")
+
+
+def _classes() -> bytes:
+    """Bytes to what they are: c comma or stop, p other ASCII punctuation, n not ASCII, a space, else a letter."""
+    out = bytearray()
+    for b in range(256):
+        if b > 127:
+            out += b"n"
+        elif chr(b) in ",.":
+            out += b"c"
+        elif chr(b).isalnum():
+            out += b"a"
+        else:
+            out += b" " if chr(b) in " \n" else b"p"
+    return bytes(out)
+
+
+CLASSES = _classes()
+
+
+def sure(text: str) -> bool:
+    """Whether each comma and full stop at a word's end follows a letter or digit."""
+    kinds = text.encode("utf-8", "surrogatepass").translate(CLASSES) + b" "
+    if b"pc " in kinds or b"cc " in kinds or b" c " in kinds or kinds.startswith(b"c "):
+        return False
+    return b"nc " not in kinds or UNSURE.search(text) is None
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids. spaced: a piece carries the space before it."""
+    """Encodes texts to little-endian unsigned 32-bit ids. spaced: a word carries the space before it.
+
+    A cache key is a word after a space; with spaced, a key with a leading NUL is spelled without that space.
+    """
 
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced, self.cache = Tokenizer.from_file(path), spaced, {}
-        self.marks = dict(zip(["", ",", "."], self._whole(["", ",", "."])))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """Cache keys of a text, or None where it must go whole. With spaces, a key starting with a space mark
-        stands for the bare piece at the start of the text; others for a space and the piece."""
-        if "<|" in text:
+    def _keys(self, text: str) -> list[str] | None:
+        """The words of a text, or None where it must go whole."""
+        if "<|" in text or "\0" in text:
             return None
         if not self.spaced:
-            return text.replace("\n", " ").split(" ")
+            if text.isascii():
+                text = text.lower()
+            text = text.replace("\n", " ")
+            if sure(text):
+                text = f"{text} ".replace(", ", " , ").replace(". ", " . ")
+            return text.split(" ")
         if not text:
             return []
-        if " ".join(text.split()) != text.replace("\n", " "):
+        flat = text.replace("\n", " ")
+        if " ".join(text.split()) != flat:
             return None
-        pieces = text.replace("\n", " \n").split(" ")
-        pieces[0] = " " + pieces[0]
-        return pieces
-
-    def _spell(self, key: str) -> str:
-        if not self.spaced or key[0] == "\n":
-            return key
-        return key[1:] if key[0] == " " else " " + key
-
-    def _stem(self, key: str) -> tuple[str, str]:
-        """A comma or full stop right after a letter is cut off before any merge, so words are kept without it."""
-        mark = key[-1] if key and key[-1] in ",." else ""
-        stem = key[:-1] if mark else key
-        bare = stem[1:] if self.spaced and stem[:1] in (" ", "\n") else stem
-        if not bare.isalpha():
-            return key, ""
-        return (stem.lower() if not self.spaced and stem.isascii() else stem), mark
+        if sure(text):
+            text = text.replace(", ", " \0, ").replace(". ", " \0. ").replace(".\n", " \0.\n").replace(",\n", " \0,\n")
+            if text[-1] in ",." and text[-2:-1] != "\0":
+                text = f"{text[:-1]} \0{text[-1]}"
+        return ("\0" + text.replace("\n", " \0\n \0")).split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
-        cut = [self._pieces(t or "") for t in texts]
+        cut = [self._keys(t or "") for t in texts]
         whole = [t for t, c in zip(texts, cut) if c is None]
         if len(self.cache) > CACHE:
             self.cache = {}
-        cache = self.cache
         new: set = set()
         for c in cut:
             if c is not None:
-                new.update(set(c).difference(cache))
-        stems = [(k, *self._stem(k)) for k in new]
-        unknown = list({stem for _, stem, _ in stems}.difference(cache))
-        for begin in range(0, len(unknown), 50_000):
-            some = unknown[begin : begin + 50_000]
-            cache.update(zip(some, self._whole([self._spell(k) for k in some])))
-        cache.update([(k, cache[stem] + self.marks[mark]) for k, stem, mark in stems if mark or k != stem])
-        rest = iter(self._whole(whole))
-        get = cache.__getitem__
+                new.update(set(c).difference(self.cache))
+        keys = list(new)
+        for begin in range(0, len(keys), 50_000):
+            some = keys[begin : begin + 50_000]
+            spelled = [k[1:] if k[:1] == "\0" else " " + k for k in some] if self.spaced else some
+            self.cache.update(zip(some, self._whole(spelled)))
+        rest, get = iter(self._whole(whole)), self.cache.__getitem__
         return [next(rest) if c is None else b"".join(map(get, c)) for c in cut]
 
 
