@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import catalog
+from . import q_audit, q_raster, q_relational, q_scalar, q_solar, q_space, q_stats, q_streaming, q_vector  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.ORACLES)
