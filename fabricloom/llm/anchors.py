@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Windows looked at in one go: bounds memory on texts of any length.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 17
 U = np.uint64
 A, B = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
@@ -103,6 +103,15 @@ def _tables(n: int):
     return spell, np.cumprod(up), np.cumprod(down)
 
 
+def rolled(data: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Polynomial hashes modulo 2**64 of stretches of bytes, each byte spelled as a random number."""
+    n = len(data)
+    spell, up, down = _tables(1 << max(16, int(n).bit_length()))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(spell[data] * up[:n], out=total[1:])
+    return (total[stops] - total[begins]) * down[begins]
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -118,8 +127,4 @@ def word_symbols(data: np.ndarray, ends: np.ndarray):
     after = np.concatenate([solid[1:], [False]]) if n else solid
     begins = np.flatnonzero(solid & (~before | edge[:-1]))
     stops = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    spell, up, down = _tables(1 << max(16, int(n).bit_length()))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(spell[data] * up[:n], out=total[1:])
-    hashes = mix((total[stops] - total[begins]) * down[begins])
-    return hashes, begins, stops, np.searchsorted(begins, ends)
+    return mix(rolled(data, begins, stops)), begins, stops, np.searchsorted(begins, ends)

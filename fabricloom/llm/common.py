@@ -66,6 +66,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return Staged(df, name).df
 
 
+#: Rows at most of a batch that goes to Python: Spark's own 10,000 would be gigabytes of long texts.
+BATCH_ROWS = 500
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Has the session hand rows to Python in batches that long texts can't make too large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def slices(batch, column: str, limit: int = 2_000_000):
     """Cuts an Arrow record batch where the bytes of a string column would pass the limit; a longer text stands alone."""
     import numpy as np
@@ -104,6 +115,17 @@ def with_rank(df: DataFrame, groups: list[str], rank: str, name: str) -> DataFra
     )
 
 
+def aside(docs: DataFrame, text: str = "text"):
+    """Documents under names that no operator uses, but for doc_id and the text, and a function that selects
+    their columns again under their own names, in their order."""
+    names = [c if c in ("doc_id", text) else f"_column_{k}" for k, c in enumerate(docs.columns)]
+
+    def restore(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+
+    return docs.toDF(*names), restore
+
+
 def words(text: Column) -> Column:
     """The words of a text: its runs of characters other than SPACES. Null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, with_rank
+from .common import short_batches, slices, staged, with_rank
 from .tokens import encoder, public_path
 
 TOKENS, END = 4096, 2
@@ -48,6 +48,7 @@ def place(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int
 
 def pieces(docs: DataFrame, path: str, size: int = TOKENS, end: int = END, keep_ids: bool = False) -> DataFrame:
     """Each document's ids with the end id, cut into pieces of `size` and a rest; keep_ids adds the ids as binary."""
+    short_batches(docs.sparkSession)
     schema = PIECES + (", ids binary" if keep_ids else "")
 
     def cut(batches):
@@ -55,9 +56,9 @@ def pieces(docs: DataFrame, path: str, size: int = TOKENS, end: int = END, keep_
 
         code = encoder(path, False)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1_000_000):
                 rows = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), code.encode(part.column("text").to_pylist())):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), code.encode(part.column("text"))):
                     ids += struct.pack("<I", end)
                     total = len(ids) // 4
                     for start in range(0, total, size):

@@ -14,7 +14,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import passing_path, slices, staged
+from .common import passing_path, short_batches, slices, staged
 from .tokens import encoder, public_path
 
 BLOCK, LANES, MAGIC = 1024, 32, b"PFORids1"
@@ -198,12 +198,12 @@ def write_ids(docs: DataFrame, folder: str, path: str, end: int = END, share: fl
         final = f"{root}/ids-{number:06d}"
         own = f"{final}-{uuid.uuid4().hex}.part"
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1_000_000):
                 if writer is None:
                     files.create_dir(root)
                     sink = files.open_output_stream(own)
                     writer = Writer(sink, share)
-                for doc, ids in zip(part.column("doc_id").to_pylist(), code.encode(part.column("text").to_pylist())):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), code.encode(part.column("text"))):
                     writer.add(doc, ids + struct.pack("<I", end))
         if writer is not None:
             n_docs, n_ids = writer.close()
@@ -212,6 +212,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end: int = END, share: fl
             row = [[number], [folder + "/" + os.path.basename(final)], [n_docs], [n_ids]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in row], ["file", "path", "n_docs", "n_ids"])
 
+    short_batches(docs.sparkSession)
     ordered = docs.select("doc_id", "text").withColumn("_h", F.xxhash64("text"))
     ordered = ordered.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
     written = staged(ordered.mapInArrow(write, "file bigint, path string, n_docs bigint, n_ids bigint"), "id-files")
@@ -248,7 +249,8 @@ def read_ids(files: DataFrame, keep_ids: bool = True) -> DataFrame:
                 if rows:
                     yield made(rows)
 
-    return files.select("path", "start").repartition(F.col("path")).mapInArrow(read, schema)
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path", "start").repartition(tasks, "path").mapInArrow(read, schema)
 
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:

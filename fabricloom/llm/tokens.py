@@ -1,102 +1,142 @@
-"""Token ids of public tokenizers, exactly as the tokenizers library gives them, with a bounded word cache.
-
-Both supported files cut a text at single spaces and line feeds between other characters, and between a letter
-or digit and a comma or full stop that ends a word, before any merge. So the ids of a text are the ids of its
-words one after another. Words are looked up in a cache; what the cache lacks goes through the library in
-batches. Texts where a cut may not hold go through the library less cut up, or whole.
+"""Token ids of public tokenizers, exactly as the tokenizers library gives them, with a bounded table of words.
+
+Both supported files cut a text at single spaces and line feeds between other characters, and between an ASCII
+letter or digit and a comma or full stop that ends a word, before any merge. So the ids of a text are the ids of
+its words one after another. Words are found and hashed for a whole batch at once and looked up in a sorted table;
+words that the table lacks go through the library. Texts where the cut doesn't hold (other or double spaces for
+the file that keeps them, strings of special tokens) go through the library whole. Words are told apart by 64-bit
+hashes.
 """
 
 from __future__ import annotations
 
-import re
-import struct
-
-#: Entries at most in a worker's cache; when full it starts anew.
-CACHE = 250_000
-#: A comma or full stop at a word's end after something else than a letter or digit.
-UNSURE = re.compile(r"(?:[^\w\s]|_)[,.](?=\s|$)")
-
-
-def _classes() -> bytes:
-    """Bytes to what they are: c comma or stop, p other ASCII punctuation, n not ASCII, a space, else a letter."""
-    out = bytearray()
-    for b in range(256):
-        if b > 127:
-            out += b"n"
-        elif chr(b) in ",.":
-            out += b"c"
-        elif chr(b).isalnum():
-            out += b"a"
-        else:
-            out += b" " if chr(b) in " \n" else b"p"
-    return bytes(out)
+import numpy as np
 
+from .anchors import A, B, U, mix, rolled, texts_of
 
-CLASSES = _classes()
-
-
-def sure(text: str) -> bool:
-    """Whether each comma and full stop at a word's end follows a letter or digit."""
-    kinds = text.encode("utf-8", "surrogatepass").translate(CLASSES) + b" "
-    if b"pc " in kinds or b"cc " in kinds or b" c " in kinds or kinds.startswith(b"c "):
-        return False
-    return b"nc " not in kinds or UNSURE.search(text) is None
+#: Words at most in a worker's table; when full it starts anew.
+WORDS = 1_500_000
+COMMA, STOP, LINE, SPACE = 44, 46, 10, 32
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids. spaced: a word carries the space before it.
-
-    A cache key is a word after a space; with spaced, a key with a leading NUL is spelled without that space.
-    """
+    """Encodes texts to little-endian unsigned 32-bit ids. spaced: a word carries the space before it."""
 
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced, self.cache = Tokenizer.from_file(path), spaced, {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
-
-    def _keys(self, text: str) -> list[str] | None:
-        """The words of a text, or None where it must go whole."""
-        if "<|" in text or "\0" in text:
-            return None
-        if not self.spaced:
-            if text.isascii():
-                text = text.lower()
-            text = text.replace("\n", " ")
-            if sure(text):
-                text = f"{text} ".replace(", ", " , ").replace(". ", " . ")
-            return text.split(" ")
-        if not text:
-            return []
-        flat = text.replace("\n", " ")
-        if " ".join(text.split()) != flat:
-            return None
-        if sure(text):
-            text = text.replace(", ", " \0, ").replace(". ", " \0. ").replace(".\n", " \0.\n").replace(",\n", " \0,\n")
-            if text[-1] in ",." and text[-2:-1] != "\0":
-                text = f"{text[:-1]} \0{text[-1]}"
-        return ("\0" + text.replace("\n", " \0\n \0")).split(" ")
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; a null text has none."""
-        cut = [self._keys(t or "") for t in texts]
-        whole = [t for t, c in zip(texts, cut) if c is None]
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        new: set = set()
-        for c in cut:
-            if c is not None:
-                new.update(set(c).difference(self.cache))
-        keys = list(new)
-        for begin in range(0, len(keys), 50_000):
-            some = keys[begin : begin + 50_000]
-            spelled = [k[1:] if k[:1] == "\0" else " " + k for k in some] if self.spaced else some
-            self.cache.update(zip(some, self._whole(spelled)))
-        rest, get = iter(self._whole(whole)), self.cache.__getitem__
-        return [next(rest) if c is None else b"".join(map(get, c)) for c in cut]
+        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        self._clear()
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _clear(self) -> None:
+        """The table: hashes in order, the entry of each; and each entry's ids in one array, with place and count.
+        Entry 0 has none, then come comma, stop and line feed by themselves."""
+        self.hashes, self.entries = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        marks = [[], *self._whole([",", ".", "\n"])]
+        self.counts = np.array([len(m) for m in marks])
+        self.places = np.concatenate([[0], np.cumsum(self.counts)[:-1]])
+        self.ids = np.array([i for m in marks for i in m], np.uint32)
+
+    def _add(self, hashes: np.ndarray, words: list[str]) -> None:
+        found: list[list[int]] = []
+        for begin in range(0, len(words), 20_000):
+            found += self._whole(words[begin : begin + 20_000])
+        counts = np.array([len(f) for f in found])
+        flat = np.array([i for f in found for i in f], np.uint32)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.entries = np.insert(self.entries, at, len(self.counts) + np.arange(len(hashes)))
+        self.places = np.concatenate([self.places, len(self.ids) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, flat])
+
+    def _odd_texts(self, data: np.ndarray, ends: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """Which texts must go whole."""
+        starts = np.concatenate([[0], ends[:-1]])
+        after = np.append(data[1:], 0)
+        bad = (data == 60) & (after == 124)  # the start of a special token
+        if self.spaced:
+            third = np.append(after[1:], 0)
+            bad |= ((data >= 9) & (data <= 13) & (data != LINE)) | ((data >= 28) & (data <= 31))
+            bad |= (data == 0xC2) & ((after == 0x85) | (after == 0xA0))
+            bad |= (data == 0xE1) & (after == 0x9A) & (third == 0x80)
+            bad |= (data == 0xE2) & (after == 0x80) & ((third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF))
+            bad |= ((data == 0xE2) & (after == 0x81) & (third == 0x9F)) | ((data == 0xE3) & (after == 0x80) & (third == 0x80))
+            bad[:-1] |= gap[:-1] & gap[1:]
+            filled = ends > starts
+            bad[starts[filled]] |= gap[starts[filled]]
+            bad[ends[filled] - 1] |= gap[ends[filled] - 1]
+        odd = np.zeros(len(ends), bool)
+        odd[np.searchsorted(ends, np.flatnonzero(bad), side="right")] = True
+        return odd
+
+    def encode(self, column) -> list[bytes]:
+        """Ids of each text of an Arrow string column; a null text has none."""
+        data, ends = texts_of(column)
+        n = len(data)
+        if not n:
+            return [b""] * len(ends)
+        gap = (data == SPACE) | (data == LINE)
+        odd = self._odd_texts(data, ends, gap)
+        edge = np.zeros(n + 1, bool)
+        edge[ends] = edge[0] = True
+        solid = ~gap
+        first = solid & edge[:-1]
+        first[1:] |= solid[1:] & gap[:-1]
+        last = solid & edge[1:]
+        last[:-1] |= solid[:-1] & gap[1:]
+        begins, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+        whose = np.searchsorted(ends, begins, side="right")
+        usual = ~odd[whose]
+        begins, stops, whose = begins[usual], stops[usual], whose[usual]
+        # the comma or stop at the end of a word
+        final, before = data[stops - 1], data[np.maximum(stops - 2, 0)]
+        plain = ((before >= 97) & (before <= 122)) | ((before >= 65) & (before <= 90)) | ((before >= 48) & (before <= 57))
+        cut = (stops - begins > 1) & plain & ((final == COMMA) | (final == STOP))
+        mark = np.where(cut, np.where(final == COMMA, 1, 2), 0)
+        stops = stops - cut
+        lead = np.zeros(len(begins), np.int64)  # with spaces: 1 for a word after one
+        line = np.zeros(len(begins), np.int64)
+        if self.spaced:
+            inner = ~edge[begins]
+            previous = data[np.maximum(begins - 1, 0)]
+            lead[inner & (previous == SPACE)] = 1
+            line[inner & (previous == LINE)] = 3
+        hashes = mix(rolled(data, begins, stops) + lead.astype(np.uint64) * A)
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        fresh = np.ones(len(ranked), bool)
+        fresh[1:] = ranked[1:] != ranked[:-1]
+        known, example = ranked[fresh], order[fresh]
+        if len(self.hashes) + len(known) > WORDS:
+            self._clear()
+        at = np.searchsorted(self.hashes, known)
+        missing = np.ones(len(known), bool)
+        inside = at < len(self.hashes)
+        missing[inside] = self.hashes[at[inside]] != known[inside]
+        if missing.any():
+            raw, some = data.tobytes(), example[missing]
+            spelled = zip(lead[some].tolist(), begins[some].tolist(), stops[some].tolist())
+            self._add(known[missing], [(" " if s else "") + raw[a:b].decode("utf-8", "surrogatepass") for s, a, b in spelled])
+            at = np.searchsorted(self.hashes, known)
+        stem = np.empty(len(order), np.int64)
+        stem[order] = self.entries[at][np.cumsum(fresh) - 1] if len(order) else 0
+        parts = np.column_stack([line, stem, mark]).ravel() if self.spaced else np.column_stack([stem, mark]).ravel()
+        width = 3 if self.spaced else 2
+        counts = self.counts[parts]
+        total = np.concatenate([[0], np.cumsum(counts)])
+        out = self.ids[np.repeat(self.places[parts] - total[:-1], counts) + np.arange(total[-1])]
+        raw = out.astype("<u4").tobytes()
+        cuts = 4 * total[np.searchsorted(whose, np.arange(len(ends) + 1)) * width]
+        found = [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        rows = np.flatnonzero(odd).tolist()
+        if rows:
+            for r, ids in zip(rows, self._whole([column[r].as_py() for r in rows])):
+                found[r] = np.array(ids, "<u4").tobytes()
+        return found
 
 
 _encoders: dict = {}
