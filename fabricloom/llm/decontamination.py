@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import short_batches, slices, staged
 
 WINDOW = 10
 #: Characters at most of the items that one automaton holds. Beyond it the items are dealt to several passes.
@@ -112,6 +112,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, limit: int =
     documents are read in one pass without a shuffle; items past the limit of one automaton are searched for
     in further passes, whose spans are merged.
     """
+    short_batches(docs.sparkSession)
     docs = docs.drop("n_words", "items", "spans")
     added = [F.lit(None).cast(t).alias(n) for n, t in (("n_words", "bigint"), ("items", "array<string>"), ("spans", SPANS))]
     schema = docs.select(*docs.columns, *added).schema

@@ -7,22 +7,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import runs, texts_of, word_symbols
-from .common import slices, staged
+from .common import Staged, short_batches, slices, staged
 
-RUNS = "h bigint, c bigint, doc bigint, th bigint, s int, e int"
+RUNS = "h bigint, c bigint, doc bigint, th bigint, at bigint"
+#: A run's first window and how many follow it, in one number: runs are no longer than a segment.
+FOLLOW = 1 << 20
 #: Stands for a null doc_id: below every other.
 NULL_DOC = -(1 << 63)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Documents with doc (doc_id, null as the least) and th (the text's hash), which together name a row."""
-    return docs.select(
-        "doc_id", "text", F.coalesce("doc_id", F.lit(NULL_DOC)).alias("doc"), F.xxhash64("text").alias("th")
-    )
+    """Documents with doc (doc_id, null as the least) and th, which together name a row. th is 0 where doc_id
+    alone does, else the hash of the text; rows of one doc_id and text are alike in all that follows."""
+    short_batches(docs.sparkSession)
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1)
+    th = F.xxhash64("text") if again else F.lit(0).cast("long")
+    return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_DOC)).alias("doc"), th.alias("th"))
 
 
-def super_kmers(docs: DataFrame, size: int, grain: int, in_bytes: bool) -> DataFrame:
-    """Each run of windows that share a minimizer: h its hash, c the hash of all it covers, windows s to e of a row."""
+def super_kmers(rows: DataFrame, size: int, grain: int, in_bytes: bool) -> DataFrame:
+    """Each run of windows of keyed rows that share a minimizer: h its hash, c the hash of all it covers, and where
+    it is: at holds the first window and, below FOLLOW, how many follow."""
 
     def find(batches):
         import pyarrow as pa
@@ -30,7 +35,7 @@ def super_kmers(docs: DataFrame, size: int, grain: int, in_bytes: bool) -> DataF
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
+            for part in slices(batch, "text", 500_000):
                 data, ends = texts_of(part.column("text"))
                 symbols = data
                 if not in_bytes:
@@ -42,27 +47,33 @@ def super_kmers(docs: DataFrame, size: int, grain: int, in_bytes: bool) -> DataF
                     row = np.searchsorted(ends, first, side="right")
                     c = [digest(view[wide * a : wide * (b + size)]) for a, b in zip(first.tolist(), last.tolist())]
                     base = starts[row]
-                    columns = [h.astype(np.int64), np.array(c, np.uint64).astype(np.int64), doc[row], th[row], (first - base).astype(np.int32), (last - base).astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "c", "doc", "th", "s", "e"])
+                    columns = [h.astype(np.int64), np.array(c, np.uint64).astype(np.int64), doc[row], th[row], (first - base) * FOLLOW + last - first]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "c", "doc", "th", "at"])
 
-    return keyed(docs).select("text", "doc", "th").mapInArrow(find, RUNS)
+    return rows.select("text", "doc", "th").mapInArrow(find, RUNS)
 
 
-def repeated(found: DataFrame, several) -> DataFrame:
-    """Super k-mers whose minimizer stands in several places, with branches: whether what it stands in differs.
+def repeated(rows: DataFrame, size: int, grain: int, in_bytes: bool, several) -> DataFrame:
+    """Super k-mers whose minimizer stands in several places: h, c, doc, th, s, e, staged.
 
-    several: a condition over n, low and high, a minimizer's count and least and greatest doc.
+    several: a condition over n, low and high, a minimizer's count and least and greatest doc. What all texts
+    have is dropped as soon as what repeats is known.
     """
-    by = found.groupBy("h").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("doc").alias("low"),
-        F.max("doc").alias("high"),
-        (F.min("c") != F.max("c")).alias("branches"),
-    )
-    return found.join(by.where(several).select("h", "branches"), "h")
+    found = Staged(super_kmers(rows, size, grain, in_bytes), "runs")
+    by = found.df.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    shared = found.df.join(by.where(several).select("h"), "h", "left_semi")
+    s = F.shiftright("at", 20).cast("int")
+    out = staged(shared.select("h", "c", "doc", "th", s.alias("s"), (s + (F.col("at") % FOLLOW).cast("int")).alias("e")), "shared-runs")
+    found.drop()
+    return out
+
+
+def branching(shared: DataFrame) -> DataFrame:
+    """The minimizers that stand in different super k-mers: h."""
+    return shared.groupBy("h").agg((F.min("c") != F.max("c")).alias("b")).where("b").select("h")
 
 
-def window_hashes(docs: DataFrame, places: DataFrame, size: int, in_bytes: bool) -> DataFrame:
+def window_hashes(rows: DataFrame, places: DataFrame, size: int, in_bytes: bool) -> DataFrame:
     """One row for each window of the given super k-mers (h, doc, th, s, e): h, its hash w, doc, th and place p."""
     listed = places.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "s", "e")).alias("at"))
 
@@ -72,7 +83,7 @@ def window_hashes(docs: DataFrame, places: DataFrame, size: int, in_bytes: bool)
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
+            for part in slices(batch, "text", 500_000):
                 data, ends = texts_of(part.column("text"))
                 symbols = data
                 if not in_bytes:
@@ -97,7 +108,7 @@ def window_hashes(docs: DataFrame, places: DataFrame, size: int, in_bytes: bool)
         types = [pa.int64()] * 4 + [pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["h", "w", "doc", "th", "p"])
 
-    joined = keyed(docs).join(listed.hint("shuffle_hash"), ["doc", "th"]).select("text", "doc", "th", "at")
+    joined = rows.join(listed.hint("shuffle_hash"), ["doc", "th"]).select("text", "doc", "th", "at")
     return joined.mapInArrow(spell, "h bigint, w bigint, doc bigint, th bigint, p int")
 
 
@@ -115,6 +126,3 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
         else:
             out.append((a, b))
     return out
-
-
-__all__ = ["keyed", "merged", "repeated", "spans_by_row", "staged", "super_kmers", "window_hashes"]

@@ -17,22 +17,21 @@ from pyspark.sql import functions as F
 
 from .anchors import SPACE
 from .common import slices, staged
-from .repeats import keyed, merged, repeated, spans_by_row, super_kmers, window_hashes
+from .repeats import branching, keyed, merged, repeated, spans_by_row, window_hashes
 
 WORDS, GRAIN = 50, 8
 SPANS = "array<struct<start: bigint, end: bigint>>"
 
 
-def repeated_edges(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """Edges of a row that also start in a document with a smaller doc_id, as runs: doc, th, s and e (first and
-    last edge), src_doc and src_s (the first document that has them and where)."""
-    found = staged(super_kmers(docs, size, GRAIN, False), "edges")
-    shared = staged(repeated(found, F.col("low") < F.col("high")), "shared-edges")
+def repeated_edges(rows: DataFrame, size: int = WORDS) -> DataFrame:
+    """Edges of a keyed row that also start in a document with a smaller doc_id, as runs: doc, th, s and e (first
+    and last edge), src_doc and src_s (the first document that has them and where)."""
+    shared = repeated(rows, size, GRAIN, False, F.col("low") < F.col("high"))
     first = shared.groupBy("h", "c").agg(F.min(F.struct("doc", "s")).alias("src"))
-    paths = staged(shared.join(first, ["h", "c"]).drop("c"), "paths")
+    paths = staged(shared.join(first, ["h", "c"]), "paths")
     whole = paths.where(F.col("src.doc") < F.col("doc")).select("doc", "th", "s", "e", "src")
-    branch = paths.where(F.col("branches") & (F.col("src.doc") == F.col("doc"))).select("h", "doc", "th", "s", "e")
-    edges = staged(window_hashes(docs, branch, size, False), "branch-edges")
+    origin = paths.where(F.col("src.doc") == F.col("doc")).join(branching(paths), "h", "left_semi")
+    edges = staged(window_hashes(rows, origin.select("h", "doc", "th", "s", "e"), size, False), "branch-edges")
     source = edges.groupBy("h", "w").agg(F.min(F.struct("doc", F.col("p").alias("s"))).alias("src"))
     single = edges.join(source, ["h", "w"]).where(F.col("src.doc") < F.col("doc"))
     both = whole.unionByName(single.select("doc", "th", F.col("p").alias("s"), F.col("p").alias("e"), "src"))
@@ -92,10 +91,11 @@ def remove_repeats(docs: DataFrame, size: int = WORDS, keep_text: bool = True) -
     doc_id counts as the smallest; rows of one doc_id are never smaller than each other, so repeated rows stay.
     An empty table gives an empty one. Words are told apart by 64-bit hashes and passages by 128 bits in all.
     """
-    paths = compact(repeated_edges(docs, size))
+    rows = keyed(docs)
+    paths = compact(repeated_edges(rows, size))
     spans = spans_by_row(paths.select("doc", "th", F.col("s").cast("long").alias("start"), (F.col("e") + size).cast("long").alias("end")))
     schema = f"doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans {SPANS}" + (", kept_text string" if keep_text else "")
-    joined = keyed(docs).join(spans.hint("shuffle_hash"), ["doc", "th"], "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans.hint("shuffle_hash"), ["doc", "th"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut(size, keep_text), schema)
 
 
