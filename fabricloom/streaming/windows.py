@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Event times as instants; rows later than `late` are let go in a stream."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
-    """Count and sum of values by window and kind; rows later than `late` are let go in a stream."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
-    t = marked.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    """Count and sum of values by window and kind."""
+    t = _timed(events, late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return t.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
-    t = marked.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    t = _timed(events, late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return t.select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
