@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabricloom.llm import decontamination, jaccard, packing, pii, quality
-from fabricloom.llm.common import staged
+from fabricloom.llm.common import aside, staged
 from fabricloom.llm.tokens import public_path
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Null, empty and very short texts go."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.keep(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,25 +25,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = jaccard.classes(docs.select("doc_id", "text"))
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     none = F.lit(-(1 << 63))
-    kept = docs.withColumn("_id", F.coalesce("doc_id", none)).join(
+    plain, restore = aside(docs)
+    kept = plain.withColumn("_id", F.coalesce("doc_id", none)).join(
         stays.select(F.coalesce("doc_id", none).alias("_id")).hint("shuffle_hash"), "_id", "left_semi"
     )
-    return kept.dropDuplicates(["_id", "text"]).select(*docs.columns)
+    return restore(kept.dropDuplicates(["_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.find(docs, benchmark)
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    plain, restore = aside(docs)
+    found = decontamination.find(plain, benchmark)
+    return restore(found.where(F.size("spans") == 0))
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced; n_chars follows the new text."""
-    out = pii.pseudonymise(docs, pii.DEMO_KEY)
+    plain, restore = aside(docs)
+    out = restore(pii.pseudonymise(plain, pii.DEMO_KEY))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, words
+from .common import SPACES, aside, words
 
 WINDOW = 5
 #: Rows at most of the sample that costs and rejections are estimated on. They set the order of the rules only.
@@ -110,6 +110,17 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("kept", F.col("rejected_by").isNull())
 
 
+def keep(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that judge() keeps, with their own columns.
+
+    The random column keeps the optimizer from copying the condition, with all it is made of, below the
+    measures that it shares.
+    """
+    plain, restore = aside(docs, text)
+    judged = judge(plain, text).withColumn("_u", F.rand())
+    return restore(judged.where(F.col("kept") & (F.col("_u") >= 0)))
+
+
 def op4_quality_cascade(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return judge(docs).select(
