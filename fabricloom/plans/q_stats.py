@@ -31,15 +31,15 @@ def w1_distance(spark, sf_dir):
 
 
 @query("snapshot_best", """
-WITH d AS (SELECT p_brand, p_size, abs(avg(p_retailprice) - 1400) / 100 AS distance FROM part GROUP BY 1, 2),
+WITH d AS (SELECT p_brand, p_size, round(abs(avg(p_retailprice) - 1400) / 100 + 1e-9, 6) AS distance FROM part GROUP BY 1, 2),
 m AS (SELECT p_brand, avg(distance) AS mean_distance, arg_min(p_size, (distance, p_size)) AS best FROM d GROUP BY 1)
-SELECT p_brand, round(mean_distance, 6) AS mean_distance, best, CASE WHEN mean_distance < 0.9 THEN 'close' WHEN mean_distance < 1.2 THEN 'usable' ELSE 'far' END AS verdict FROM m
+SELECT p_brand, round(mean_distance + 1e-9, 6) AS mean_distance, best, CASE WHEN mean_distance < 0.9 THEN 'close' WHEN mean_distance < 1.2 THEN 'usable' ELSE 'far' END AS verdict FROM m
 """)
 def snapshot_best(spark, sf_dir):
-    d = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg((F.abs(F.avg("p_retailprice") - 1400) / 100).alias("distance"))
+    d = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.round(F.abs(F.avg("p_retailprice") - 1400) / 100 + 1e-9, 6).alias("distance"))
     m = d.groupBy("p_brand").agg(F.avg("distance").alias("m"), F.min_by("p_size", F.struct("distance", "p_size")).alias("best"))
     verdict = F.when(F.col("m") < 0.9, "close").when(F.col("m") < 1.2, "usable").otherwise("far")
-    return m.select("p_brand", F.round("m", 6).alias("mean_distance"), "best", verdict.alias("verdict"))
+    return m.select("p_brand", F.round(F.col("m") + 1e-9, 6).alias("mean_distance"), "best", verdict.alias("verdict"))
 
 
 @query("city_median_mae", """
