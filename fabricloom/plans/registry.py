@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import catalog
-from . import q_audit, q_raster, q_relational, q_scalar, q_solar, q_space, q_stats, q_streaming, q_vector  # noqa: F401
+from . import q_audit, q_raster, q_relational, q_scalar, q_solar, q_space, q_stats, q_streaming, q_vector, q_windows  # noqa: F401
 
 
 def queries() -> dict:
