@@ -30,7 +30,7 @@ def metres_to_grey(metres: Column) -> Column:
 
 def sdf_to_byte(distance: Column, reach: float = 8.0) -> Column:
     """A signed distance in pixels as a byte; inside is 128 and above."""
-    return clamp(F.rint((clamp(distance / reach, -1.0, 1.0) * 0.5 + 0.5) * 255.0), 0.0, 255.0).cast("int")
+    return clamp(F.rint(128.0 + distance / reach * 127.0), 0.0, 255.0).cast("int")
 
 
 def sdf_to_quarter(distance: Column, reach: float = 31.0) -> Column:
@@ -72,13 +72,19 @@ def first_number(text: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(text, ",", "."), r"[-+]?[0-9]*[.]?[0-9]+", 0).try_cast("double")
 
 
-def parse_height(height: Column, levels: Column) -> Column:
-    """Metres of a building from its tags: a height above zero, feet if marked, else levels, else the default."""
-    h = first_number(height)
-    feet = F.contains(F.lower(height), F.lit("ft")) | F.contains(height, F.lit("'"))
-    metres = F.when(feet, h * FOOT).otherwise(h)
+def _tag_metres(text: Column) -> Column:
+    n = first_number(text)
+    feet = F.contains(text, F.lit("ft")) | F.contains(text, F.lit("'"))
+    metres = F.when(feet, n * FOOT).otherwise(n)
+    return F.when(metres > 0, metres)
+
+
+def parse_height(height: Column, levels: Column, other: Column | None = None) -> Column:
+    """Metres of a building from its tags: a height above zero (or the other height tag's), feet if marked, else
+    levels, else the default."""
     floors = first_number(levels)
-    return F.when(metres > 0, metres).when(floors > 0, floors * LEVEL).otherwise(DEFAULT_HEIGHT)
+    found = [_tag_metres(height), *([] if other is None else [_tag_metres(other)])]
+    return F.coalesce(*found, F.when(floors > 0, floors * LEVEL), F.lit(DEFAULT_HEIGHT))
 
 
 def slug(text: Column) -> Column:

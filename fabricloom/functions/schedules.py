@@ -14,7 +14,7 @@ def schedule(spark: SparkSession, steps: int = 1000, shift: float = 0.008, gamma
         return F.pow(F.cos((x + shift) / (1 + shift) * math.pi / 2), 2)
 
     left = part((F.col("id") + 1) / float(steps)) / part(F.lit(0.0))
-    t = spark.range(steps).select(F.col("id").cast("int").alias("t"), F.greatest(F.lit(1e-5), F.least(F.lit(1 - 1e-5), left)).alias("a"))
+    t = spark.range(steps).select(F.col("id").cast("int").alias("t"), F.greatest(F.lit(1e-5), F.least(F.lit(1.0), left)).alias("a"))
     snr = F.col("a") / (1 - F.col("a"))
     return t.select(
         "t", F.round("a", 6).alias("alphas_cumprod"), F.round(F.least(snr, F.lit(gamma)), 4).alias("clipped_snr"),
@@ -29,11 +29,11 @@ def steps(spark: SparkSession, total: int, count: int) -> DataFrame:
 
 
 def window_weights(spark: SparkSession, length: int, window: int, stride: int) -> DataFrame:
-    """Origins of windows that cover a length, the last one flush with its end, and each place's Hann weight."""
+    """Origins of windows that cover a length, the last one flush with its end, and each place's Hann weight, 0.01 at least."""
     n = max(1, math.ceil((length - window) / stride) + 1)
     origins = spark.range(n).select(F.least(F.col("id") * stride, F.lit(length - window)).cast("int").alias("origin")).distinct()
     places = origins.select("origin", F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("k"))
-    return places.withColumn("weight", F.round(0.5 - 0.5 * F.cos(2 * math.pi * F.col("k") / (window - 1)), 9))
+    return places.withColumn("weight", F.round(F.greatest(0.5 - 0.5 * F.cos(2 * math.pi * F.col("k") / (window - 1)), F.lit(0.01)), 9))
 
 
 def embedding(spark: SparkSession, at: range, size: int) -> DataFrame:

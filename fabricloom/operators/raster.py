@@ -110,29 +110,42 @@ def gradient(cells: DataFrame, value: str) -> DataFrame:
     return cells
 
 
-def axis_vote(cells: DataFrame) -> DataFrame:
-    """The main direction of each tile with fourfold symmetry, and how sure it is: needs gr and gc."""
-    weight, angle = F.hypot("gr", "gc"), F.atan2("gr", "gc")
-    s, c, w = F.sum(weight * F.sin(4 * angle)), F.sum(weight * F.cos(4 * angle)), F.sum(weight)
-    return cells.groupBy("tile_id").agg(F.round(F.atan2(F.round(s, 6), F.round(c, 6)) / 4, 5).alias("axis"), F.round(F.coalesce(F.try_divide(F.hypot(s, c), w), F.lit(0.0)), 6).alias("confidence"))
+def axis_vote(cells: DataFrame, field: str, band: float = 1.5, least: float = 0.25, votes: int = 6) -> DataFrame:
+    """The main direction of edges in a distance field, with fourfold symmetry, and how sure it is.
+
+    Cells near the edge vote with their gradient's direction; a tile with fewer votes gets 0 and 0.
+    """
+    weight = F.hypot("gr", "gc")
+    near = gradient(cells, field).where((F.abs(field) < band) & (weight > least))
+    angle = 4 * F.atan2("gr", "gc")
+    t = near.groupBy("tile_id").agg(F.sum(weight * F.sin(angle)).alias("s"), F.sum(weight * F.cos(angle)).alias("c"), F.sum(weight).alias("w"), F.count(F.lit(1)).alias("votes"))
+    enough = F.col("votes") >= votes
+    return t.select(
+        "tile_id", F.when(enough, F.round(F.atan2(F.round("s", 6), F.round("c", 6)) / 4, 5)).otherwise(0.0).alias("axis"),
+        F.when(enough, F.round(F.hypot("s", "c") / F.col("w"), 6)).otherwise(0.0).alias("confidence"), "votes",
+    )
 
 
 def hole_metrics(cells: DataFrame, hole: Column, cell_m: float) -> DataFrame:
-    """Six readings of a hole in each tile; 0 where nothing is built. The perimeter counts built cells with an
-    unbuilt or missing one among their eight neighbours."""
+    """Six readings of a hole in each tile, 0 where nothing is built: shares built, green and street, mean height,
+    floor area ratio, and building size from cells over edge cells. A built cell is an edge cell if a cell of
+    the tile around it isn't built, in the hole or not."""
     around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
-    built = cells.where("cls = 'building'")
-    near = neighbours(built.select("tile_id", "r", "c", F.lit(1).alias("one")), ["one"], around).groupBy("tile_id", "r", "c").agg(F.count(F.lit(1)).alias("n"))
-    t = cells.where(hole).join(near, ["tile_id", "r", "c"], "left")
-    b, zero = F.col("cls") == "building", F.lit(0.0)
-    n = F.count(F.lit(1))
+    bare = cells.where("cls != 'building'").select("tile_id", "r", "c")
+    o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in around]))
+    near = bare.select("tile_id", "r", "c", o.alias("o")).select("tile_id", (F.col("r") + F.col("o.a")).alias("r"), (F.col("c") + F.col("o.b")).alias("c"))
+    t = cells.where(hole).join(near.groupBy("tile_id", "r", "c").agg(F.lit(True).alias("edge")), ["tile_id", "r", "c"], "left")
+    b, zero, n = F.col("cls") == "building", F.lit(0.0), F.count(F.lit(1))
+    built, edge = F.count_if(b), F.count_if(b & F.coalesce("edge", F.lit(False)))
+
+    def share(cls: str) -> Column:
+        return F.round(F.count_if(F.col("cls") == cls) / n, 6)
+
     return t.groupBy("tile_id").agg(
-        F.round(100.0 * F.count_if(b) / n, 6).alias("coverage_pct"),
-        F.round(100.0 * F.count_if(F.col("cls") == "street") / n, 6).alias("street_pct"),
-        F.round(100.0 * F.count_if(F.col("cls") == "green") / n, 6).alias("green_pct"),
+        share("building").alias("coverage"), share("green").alias("green"), share("street").alias("street"),
         F.round(F.coalesce(F.avg(F.when(b, F.col("h"))), zero), 6).alias("mean_height_m"),
         F.round(F.coalesce(F.sum(F.when(b, F.col("h") / 3.0)), zero) / n, 6).alias("far"),
-        F.round(F.count_if(b & (F.coalesce("n", F.lit(0)) < 8)) * cell_m / n, 6).alias("perimeter_density"),
+        F.round(F.coalesce(F.try_divide(4.0 * built * cell_m, edge), zero), 6).alias("building_size_m"),
     )
 
 

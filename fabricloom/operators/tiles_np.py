@@ -96,15 +96,15 @@ def skeletons(cells: DataFrame, on, side: int) -> DataFrame:
     return _each(cells, on, side, lambda t, m: _long(t, m, thin(m), "on"), "tile_id int, r int, c int, on boolean").drop("on")
 
 
-def skeleton_facts(skeleton: DataFrame, cell_m: float) -> DataFrame:
-    """Length, junction cells and dead ends of each tile's lines, from counts of neighbours."""
+def skeleton_facts(skeleton: DataFrame, cell_m: float, side: int) -> DataFrame:
+    """Length of each tile's lines (diagonal steps are longer), junctions and dead ends, from counts of neighbours;
+    junction cells that touch are one junction."""
     from .raster import neighbours
 
     around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
     near = neighbours(skeleton, ["r", "c"], around)
     far = (F.col("n_r") != F.col("r")) & (F.col("n_c") != F.col("c"))
-    length = F.when(far, 2.0**0.5).otherwise(1.0)
-    one = near.groupBy("tile_id", "r", "c").agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("l"))
-    return one.groupBy("tile_id").agg(
-        F.round(F.sum("l") / 2 * cell_m, 4).alias("street_length_m"), F.count_if(F.col("n") >= 3).alias("junction_cells"), F.count_if(F.col("n") == 1).alias("dead_ends")
-    )
+    one = near.groupBy("tile_id", "r", "c").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(far, 2.0**0.5).otherwise(1.0)).alias("l"))
+    junctions = components(one, F.col("n") >= 3, True, side).groupBy("tile_id").agg(F.count_distinct("label").alias("intersections"))
+    facts = one.groupBy("tile_id").agg(F.round(F.sum("l") / 2 * cell_m, 4).alias("street_length_m"), F.count_if(F.col("n") == 1).alias("dead_ends"))
+    return facts.join(junctions, "tile_id", "left").withColumn("intersections", F.coalesce("intersections", F.lit(0)))

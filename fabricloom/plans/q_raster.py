@@ -102,13 +102,13 @@ _HOLE = "r BETWEEN 8 AND 23 AND c BETWEEN 6 AND 25"
 
 
 @query("hole_metrics", f"""
-WITH b AS (SELECT tile_id, r, c FROM full_cells WHERE cls = 'building'),
-n AS (SELECT x.tile_id, x.r, x.c, count(*) - 1 AS n FROM b x JOIN b y ON x.tile_id = y.tile_id AND abs(x.r - y.r) <= 1 AND abs(x.c - y.c) <= 1 GROUP BY ALL)
-SELECT tile_id, round(100.0 * count_if(cls = 'building') / count(*), 6) AS coverage_pct, round(100.0 * count_if(cls = 'street') / count(*), 6) AS street_pct,
-  round(100.0 * count_if(cls = 'green') / count(*), 6) AS green_pct, round(coalesce(avg(h) FILTER (cls = 'building'), 0), 6) AS mean_height_m,
+WITH b AS (SELECT DISTINCT x.tile_id, x.r, x.c FROM full_cells x JOIN full_cells y ON x.tile_id = y.tile_id AND abs(x.r - y.r) <= 1 AND abs(x.c - y.c) <= 1 WHERE y.cls != 'building'),
+t AS (SELECT f.*, b.r IS NOT NULL AS edge FROM full_cells f LEFT JOIN b USING (tile_id, r, c))
+SELECT tile_id, round(count_if(cls = 'building') / count(*), 6) AS coverage, round(count_if(cls = 'green') / count(*), 6) AS green,
+  round(count_if(cls = 'street') / count(*), 6) AS street, round(coalesce(avg(h) FILTER (cls = 'building'), 0), 6) AS mean_height_m,
   round(coalesce(sum(h / 3.0) FILTER (cls = 'building'), 0) / count(*), 6) AS far,
-  round(count_if(cls = 'building' AND coalesce(n, 0) < 8) * 12.5 / count(*), 6) AS perimeter_density
-FROM full_cells LEFT JOIN n USING (tile_id, r, c) WHERE {_HOLE} GROUP BY 1
+  round(coalesce(4.0 * count_if(cls = 'building') * 12.5 / nullif(count_if(cls = 'building' AND edge), 0), 0), 6) AS building_size_m
+FROM t WHERE {_HOLE} GROUP BY 1
 """, cells=True)
 def hole_metrics(spark, sf_dir):
     return raster.hole_metrics(full_cells(spark, sf_dir), F.expr(_HOLE), 12.5)
@@ -158,14 +158,20 @@ def signed_distance(spark, sf_dir):
 
 
 @query("axis_vote", """
-WITH g AS (SELECT tile_id, r, c, CASE WHEN lag(h) OVER a IS NULL THEN lead(h) OVER a - h WHEN lead(h) OVER a IS NULL THEN h - lag(h) OVER a ELSE (lead(h) OVER a - lag(h) OVER a) / 2.0 END AS gr,
+WITH b AS (SELECT tile_id, r, c, cls = 'building' AS b FROM full_cells),
+d AS (SELECT x.tile_id, x.r, x.c, x.b, min(sqrt(pow(x.r - y.r, 2) + pow(x.c - y.c, 2))) FILTER (x.b != y.b) AS d FROM b x JOIN b y ON x.tile_id = y.tile_id GROUP BY ALL),
+f AS (SELECT tile_id, r, c, CASE WHEN d IS NULL THEN CASE WHEN b THEN 8.0 ELSE -8.0 END WHEN b THEN least(8.0, d - 0.5) ELSE greatest(-8.0, 0.5 - d) END AS h FROM d),
+g AS (SELECT tile_id, h, CASE WHEN lag(h) OVER a IS NULL THEN lead(h) OVER a - h WHEN lead(h) OVER a IS NULL THEN h - lag(h) OVER a ELSE (lead(h) OVER a - lag(h) OVER a) / 2.0 END AS gr,
   CASE WHEN lag(h) OVER b IS NULL THEN lead(h) OVER b - h WHEN lead(h) OVER b IS NULL THEN h - lag(h) OVER b ELSE (lead(h) OVER b - lag(h) OVER b) / 2.0 END AS gc
-  FROM full_cells WINDOW a AS (PARTITION BY tile_id, c ORDER BY r), b AS (PARTITION BY tile_id, r ORDER BY c)),
-s AS (SELECT tile_id, sum(sqrt(gr * gr + gc * gc) * sin(4 * atan2(gr, gc))) AS s, sum(sqrt(gr * gr + gc * gc) * cos(4 * atan2(gr, gc))) AS c, sum(sqrt(gr * gr + gc * gc)) AS w FROM g GROUP BY 1)
-SELECT tile_id, round(atan2(round(s, 6), round(c, 6)) / 4, 5) AS axis, round(coalesce(sqrt(s * s + c * c) / nullif(w, 0), 0), 6) AS confidence FROM s
+  FROM f WINDOW a AS (PARTITION BY tile_id, c ORDER BY r), b AS (PARTITION BY tile_id, r ORDER BY c)),
+s AS (SELECT tile_id, sum(sqrt(gr * gr + gc * gc) * sin(4 * atan2(gr, gc))) AS s, sum(sqrt(gr * gr + gc * gc) * cos(4 * atan2(gr, gc))) AS c, sum(sqrt(gr * gr + gc * gc)) AS w, count(*) AS votes
+  FROM g WHERE abs(h) < 1.5 AND sqrt(gr * gr + gc * gc) > 0.25 GROUP BY 1)
+SELECT tile_id, CASE WHEN votes >= 6 THEN round(atan2(round(s, 6), round(c, 6)) / 4, 5) ELSE 0.0 END AS axis, CASE WHEN votes >= 6 THEN round(sqrt(s * s + c * c) / w, 6) ELSE 0.0 END AS confidence, votes FROM s
 """, cells=True)
 def axis_vote(spark, sf_dir):
-    return raster.axis_vote(raster.gradient(full_cells(spark, sf_dir), "h"))
+    """Edges of buildings, through their signed distance field."""
+    field = tiles_np.distances(full_cells(spark, sf_dir), F.col("cls") == "building", SIDE)
+    return raster.axis_vote(field, "distance")
 
 
 @query("dihedral8", """
@@ -215,11 +221,11 @@ def tile_metrics_full(spark, sf_dir):
         return tiles_np.components(grid, on, eight, SIDE).groupBy("tile_id").agg(F.count_distinct("label").alias(name), F.count(F.lit(1)).alias(f"{name}_cells"))
 
     out = tile_metrics(grid, 400.0, SIDE)
-    for part in (count(F.col("cls") == "building", False, "building_count"), count(street, True, "street_components"), count(~street, False, "block_count"), tiles_np.skeleton_facts(tiles_np.skeletons(grid, street, SIDE), cell)):
+    for part in (count(F.col("cls") == "building", False, "building_count"), count(street, True, "street_components"), count(~street, False, "block_count"), tiles_np.skeleton_facts(tiles_np.skeletons(grid, street, SIDE), cell, SIDE)):
         out = out.join(part, "tile_id", "left")
     area = cell * cell
     return out.select(
-        *[c for c in out.columns if not c.endswith("_cells") or c == "junction_cells"],
+        *[c for c in out.columns if not c.endswith("_cells")],
         (F.col("building_count_cells") * area / F.col("building_count")).alias("mean_footprint_m2"),
         (F.col("block_count_cells") * area / F.col("block_count")).alias("mean_block_m2"),
     )

@@ -37,7 +37,7 @@ _TAGS = """SELECT event_id, CASE event_id % 8 WHEN 0 THEN k || ',5' WHEN 1 THEN
 
 @query("height_tag_parse", f"""
 SELECT event_id, height, levels, round(CASE WHEN m > 0 THEN m WHEN l > 0 THEN l * 3.0 ELSE 7.0 END, 6) AS metres FROM (
-  SELECT *, CASE WHEN lower(height) LIKE '%ft%' OR height LIKE '%''%' THEN hn * 0.3048 ELSE hn END AS m FROM (
+  SELECT *, CASE WHEN height LIKE '%ft%' OR height LIKE '%''%' THEN hn * 0.3048 ELSE hn END AS m FROM (
     SELECT *, TRY_CAST(regexp_extract(replace(height, ',', '.'), '[-+]?[0-9]*[.]?[0-9]+') AS DOUBLE) AS hn,
       TRY_CAST(regexp_extract(replace(levels, ',', '.'), '[-+]?[0-9]*[.]?[0-9]+') AS DOUBLE) AS l FROM ({_TAGS})))
 """)
@@ -60,7 +60,7 @@ def grey_metres(spark, sf_dir):
 @query("field_bytes", """
 SELECT CAST(i AS INT) AS byte, round(i / 127.5 - 1.0, 9) AS field, CAST(round_even((i / 127.5 - 1.0 + 1.0) * 127.5, 0) AS INT) AS back,
   CAST(CASE WHEN i > 127 THEN i - 256 ELSE i END AS INT) AS signed,
-  CAST(round_even((greatest(-1.0, least(1.0, (i - 128) / 16.0 / 8.0)) * 0.5 + 0.5) * 255.0, 0) AS INT) AS sdf_byte,
+  CAST(greatest(0.0, least(255.0, round_even(128.0 + (i - 128) / 16.0 / 8.0 * 127.0, 0))) AS INT) AS sdf_byte,
   CAST(round_even(greatest(-31.0, least(31.0, (i - 128) / 3.0)) * 4.0, 0) AS INT) AS quarter
 FROM range(256) t(i)
 """)
@@ -106,7 +106,7 @@ def stub_model(spark, sf_dir):
 @query("noise_schedule", """
 SELECT CAST(t AS INT) AS t, round(ac, 6) AS alphas_cumprod, round(least(ac / (1 - ac), 5.0), 4) AS clipped_snr,
   round(least(ac / (1 - ac), 5.0) / (ac / (1 - ac) + 1), 6) AS weight FROM (
-  SELECT i AS t, greatest(1e-5, least(1 - 1e-5, pow(cos(((i + 1) / 1000.0 + 0.008) / 1.008 * pi() / 2), 2) / pow(cos(0.008 / 1.008 * pi() / 2), 2))) AS ac
+  SELECT i AS t, greatest(1e-5, least(1.0, pow(cos(((i + 1) / 1000.0 + 0.008) / 1.008 * pi() / 2), 2) / pow(cos(0.008 / 1.008 * pi() / 2), 2))) AS ac
   FROM range(1000) r(i))
 """)
 def noise_schedule(spark, sf_dir):
@@ -122,7 +122,7 @@ def ddim_steps(spark, sf_dir):
 
 
 @query("window_origins", """
-SELECT CAST(o AS INT) AS origin, CAST(k AS INT) AS k, round(0.5 - 0.5 * cos(2 * pi() * k / 63), 9) AS weight
+SELECT CAST(o AS INT) AS origin, CAST(k AS INT) AS k, round(greatest(0.5 - 0.5 * cos(2 * pi() * k / 63), 0.01), 9) AS weight
 FROM (SELECT DISTINCT least(i * 48, 400 - 64) AS o FROM range(0, 9) r(i)), range(64) w(k)
 """)
 def window_origins(spark, sf_dir):

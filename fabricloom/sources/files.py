@@ -123,7 +123,7 @@ def features(elements: DataFrame, lat0: float, lon0: float) -> DataFrame:
     building = F.coalesce(F.col("tags")["building"] != "no", F.lit(False))
     street = F.coalesce(F.col("tags")["highway"].isin(*STREET_CLASSES), F.lit(False))
     kind = F.when(building & closed, "building").when(street & (n >= 2) & (F.col("type") == "way"), "street").when(tags_match(F.col("tags"), GREEN_TAGS) & closed, "green")
-    height = parse_height(F.col("tags")["height"], F.col("tags")["building:levels"])
+    height = parse_height(F.col("tags")["height"], F.col("tags")["building:levels"], F.col("tags")["building:height"])
     return t.withColumn("kind", kind).where("kind is not null").select(
         "kind", "type", "id", "ring", (F.col("g.role") == "inner").alias("is_hole"), local(F.col("g.geometry")).alias("points"),
         F.when(F.col("kind") == "building", height).alias("height"), F.when(F.col("kind") == "street", STREET_WIDTH).alias("width"),
