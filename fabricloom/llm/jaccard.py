@@ -13,7 +13,7 @@ import math
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import A, B, U, mix, texts_of, word_symbols
@@ -204,33 +204,55 @@ def _batch(columns: dict, schema: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in schema], [k for k, _ in schema])
 
 
-POSTED = META + ", bucket int, batch bigint, entity int, scheme int, need int, shared int, hard boolean, body binary"
+#: Rows of three kinds: documents (x is set), a slice's entities, and packed signatures or counts of a bucket.
+POSTED = META + ", bucket int, batch bigint, kind int, hard boolean, body binary"
+DOCUMENT, ENTITIES, SIGNATURES, COUNTS = 0, 1, 2, 3
+
+
+def _fields():
+    import pyarrow as pa
+
+    i64, i32 = pa.int64(), pa.int32()
+    return [("doc", i64), ("th", i64), ("x", i32), ("s1", i64), ("s2", i64), ("bucket", i32), ("batch", i64), ("kind", i32), ("hard", pa.bool_()), ("body", pa.binary())]
+
+
+def _packed(rest: np.ndarray, of: np.ndarray) -> bytes:
+    """Sorted 24-bit numbers with their entities: the high 8 bits as they are, or counted where there are many."""
+    n = len(rest)
+    high = (rest >> 16).astype(np.uint8).tobytes() if n < 512 else np.bincount(rest >> 16, minlength=256).astype("<u2").tobytes()
+    return n.to_bytes(4, "little") + high + (rest & 0xFFFF).astype("<u2").tobytes() + of.astype("<u2").tobytes()
+
+
+def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(body[:4], "little")
+    if n < 512:
+        high, at = np.frombuffer(body, np.uint8, n, 4).astype(np.int64), 4 + n
+    else:
+        high, at = np.repeat(np.arange(256), np.frombuffer(body, "<u2", 256, 4)), 516
+    return high << 16 | np.frombuffer(body, "<u2", n, at).astype(np.int64), np.frombuffer(body, "<u2", n, at + 2 * n)
 
 
 def _post(buckets: int, attempt: int):
-    """Describes every document and every entity, and packs signatures by bucket.
+    """Describes every document, and for each slice of rows its entities and their signatures packed by bucket.
 
     Of a signature that several entities of a slice have, one copy is sent and all of them count it as shared, so
-    large groups of copies arrive as one row a slice. A packed signature takes 16 bits, the count of each next 8
-    bits and 16 bits for its entity; what such short signatures mistake for shared is caught by verifying.
+    large groups of copies arrive as one row a slice. A packed signature takes 24 bits and 16 for its entity;
+    what such short signatures mistake for shared is caught by verifying.
     """
 
     def post(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
-        i64, i32 = pa.int64(), pa.int32()
-        schema = [("doc", i64), ("th", i64), ("x", i32), ("s1", i64), ("s2", i64), ("bucket", i32), ("batch", i64), ("entity", i32), ("scheme", i32), ("need", i32), ("shared", i32), ("hard", pa.bool_()), ("body", pa.binary())]
-        number = TaskContext.get().partitionId() << 32
+        schema, number = _fields(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for piece in slices(batch, "text", 4_000_000):
+            for piece in slices(batch, "text", 1_500_000):
                 for begin in range(0, piece.num_rows, ROWS):
                     part = piece.slice(begin, ROWS)
                     number += 1
                     elements, row, sizes = shingle_sets(part.column("text"))
                     doc, th = part.column("doc").to_numpy(), part.column("th").to_numpy()
                     s1, s2 = _sums(elements, sizes)
-                    yield _batch({"doc": doc, "th": th, "x": sizes.astype(np.int32), "s1": s1, "s2": s2, "bucket": np.arange(len(doc), dtype=np.int32) % buckets}, schema)
+                    yield _batch({"doc": doc, "th": th, "x": sizes.astype(np.int32), "s1": s1, "s2": s2, "bucket": np.arange(len(doc), dtype=np.int32) % buckets, "kind": np.full(len(doc), DOCUMENT, np.int32)}, schema)
                     of, sig, rows, kinds, need, hard = signatures(elements, row, sizes, attempt)
                     if not len(rows):
                         continue
@@ -242,60 +264,80 @@ def _post(buckets: int, attempt: int):
                     several = np.bincount(group) > 1
                     shared = np.bincount(of[several[group]], minlength=len(rows))
                     sig, of = sig[first], np.where(several, KNOWN, of[first])
-                    at = rows
-                    yield _batch({"doc": doc[at], "th": th[at], "bucket": (np.arange(len(at)) % buckets).astype(np.int32), "batch": np.full(len(at), number), "entity": np.arange(len(at), dtype=np.int32), "scheme": kinds.astype(np.int32), "need": need.astype(np.int32), "shared": shared.astype(np.int32), "hard": need <= 0}, schema)
-                    # sorted, so a bucket's signatures stand together: the high bits say the bucket
+                    facts = np.stack([doc[rows], th[rows], need - shared]).astype("<i8").tobytes()
+                    yield _batch({"bucket": [number % buckets], "batch": [number], "kind": [ENTITIES], "hard": [bool(hard)], "body": [facts]}, schema)
                     bucket = ((sig >> U(40)) * U(buckets) >> U(24)).astype(np.int64)
                     rest = ((sig >> U(8)) & U(0xFFFFFF)).astype(np.int64)
                     order = np.argsort(bucket << 24 | rest)
                     bucket, rest, of = bucket[order], rest[order], of[order]
                     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                    bodies = [np.bincount(rest[a:b] >> 16, minlength=256).astype("<u2").tobytes() + (rest[a:b] & 0xFFFF).astype("<u2").tobytes() + of[a:b].astype("<u2").tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b > a]
+                    bodies = [_packed(rest[a:b], of[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b > a]
                     used = np.flatnonzero(np.diff(cuts)).astype(np.int32)
-                    yield _batch({"bucket": used, "batch": np.full(len(used), number), "body": bodies}, schema)
+                    yield _batch({"bucket": used, "batch": np.full(len(used), number), "kind": np.full(len(used), SIGNATURES, np.int32), "body": bodies}, schema)
 
     return post
 
 
 def _match(batches):
-    """Passes rows on without their bodies, and counts for each entity how many of its signatures others have."""
-    import pyarrow as pa
+    """Passes documents and entities on; of packed signatures it returns for each slice how many of each entity's
+    signatures others have, one row a slice."""
+    import pyarrow.compute as pc
 
     held: dict[int, list] = {}
-    schema = None
     for batch in batches:
-        schema = batch.schema
-        bodies = batch.column("body")
-        plain = bodies.is_null()
-        if pa.compute.any(plain).as_py():
-            yield batch.filter(plain)
-        some = batch.filter(bodies.is_valid())
+        packed = pc.equal(batch.column("kind"), SIGNATURES)
+        plain = batch.filter(pc.invert(packed))
+        if plain.num_rows:
+            yield plain
+        some = batch.filter(packed)
         for bucket, number, body in zip(*(some.column(n).to_pylist() for n in ("bucket", "batch", "body"))):
             held.setdefault(bucket, []).append((number, body))
     counts: dict[int, np.ndarray] = {}
-    for found in held.values():
-        sigs, ofs, numbers = [], [], []
-        for number, body in found:
-            raw = np.frombuffer(body, "<u2")
-            high, n = np.repeat(np.arange(256), raw[:256]), (len(raw) - 256) // 2
-            sigs.append(high << 16 | raw[256 : 256 + n].astype(np.int64))
-            ofs.append(raw[256 + n :])
-            numbers.append(np.full(n, number))
-        sig, of, number = np.concatenate(sigs), np.concatenate(ofs), np.concatenate(numbers)
+    while held:
+        _, found = held.popitem()
+        pairs = [_unpacked(body) for _, body in found]
+        sig, of = (np.concatenate(a) for a in zip(*pairs))
+        number = np.repeat(np.array([n for n, _ in found]), [len(a) for a, _ in pairs])
         _, group, times = np.unique(sig, return_inverse=True, return_counts=True)
         hit = (times[group] > 1) & (of != KNOWN)
-        # a copy that stands for several entities of its slice needs no other to count for the rest of them
         key, n = np.unique(number[hit] << 16 | of[hit].astype(np.int64), return_counts=True)
-        for k, c in zip(key.tolist(), n.tolist()):
-            counts[k] = counts.get(k, 0) + c
+        cuts = np.flatnonzero(np.diff(key >> 16)) + 1
+        for some, c in zip(np.split(key, cuts), np.split(n, cuts)):
+            if len(some):
+                total = counts.setdefault(int(some[0] >> 16), np.zeros(0, np.int64))
+                entity = some & 0xFFFF
+                if entity[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(entity[-1] + 1 - len(total), np.int64)])
+                total[entity] += c
+                counts[int(some[0] >> 16)] = total
     if counts:
-        keys = np.fromiter(counts, np.int64, len(counts))
-        fields = [(f.name, f.type) for f in schema]
-        yield _batch({"batch": keys >> 16, "entity": (keys & 0xFFFF).astype(np.int32), "shared": np.fromiter(counts.values(), np.int32, len(counts))}, fields)
+        bodies = [c.astype("<i4").tobytes() for c in counts.values()]
+        yield _batch({"batch": list(counts), "kind": np.full(len(counts), COUNTS, np.int32), "body": bodies}, _fields())
+
+
+def _alive(batches):
+    """Sums the counts of each slice's entities and returns the documents with one that may have a partner."""
+    import pyarrow as pa
+
+    facts: dict[int, np.ndarray] = {}
+    shared: dict[int, list] = {}
+    for batch in batches:
+        for number, kind, body in zip(*(batch.column(n).to_pylist() for n in ("batch", "kind", "body"))):
+            if kind == ENTITIES:
+                facts[number] = np.frombuffer(body, "<i8").reshape(3, -1)
+            else:
+                shared.setdefault(number, []).append(np.frombuffer(body, "<i4"))
+    for number, (doc, th, need) in facts.items():
+        left = need.copy()
+        for c in shared.get(number, ()):
+            left[: len(c)] -= c
+        rows = left <= 0
+        if rows.any():
+            yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(th[rows])], ["doc", "th"])
 
 
 def components(edges: DataFrame, nodes: tuple[str, str]) -> DataFrame:
-    """The least node that each node of an edge list reaches: node, least. Edges are staged after each round; a
+    """The least node that each node of an edge list reaches: node, least, for nodes other than their least. Edges are staged after each round; a
     round is two joins on nodes with their least neighbour, and rounds grow as the logarithm of a component."""
     a, b = nodes
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
@@ -315,53 +357,171 @@ def components(edges: DataFrame, nodes: tuple[str, str]) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("least")).withColumnRenamed("u", "node")
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """The parity of how many elements fall into each of some bits, about two an element. Sets that differ in d
+    elements have sketches that differ in at most d bits; halves of a sketch taken together give a smaller one."""
+    bits = 1 << min(14, max(8, (2 * len(elements) - 1).bit_length()))
+    hit = np.bincount((mix(elements ^ A) >> U(50)).astype(np.int64) % bits, minlength=bits)
+    return np.packbits(hit & 1).tobytes()
+
+
+def _folded(body: bytes, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(body, np.uint8).reshape(-1, size), axis=0)
+
+
 def _sets(batches):
     import pyarrow as pa
 
     for batch in batches:
-        for part in slices(batch, "text", 2_000_000):
+        for part in slices(batch, "text", 1_000_000):
             elements, _, sizes = shingle_sets(part.column("text"))
             ends = np.cumsum(sizes)
-            bodies = [elements[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist())]
-            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(sizes, pa.int32()), pa.array(bodies, pa.binary())], ["doc", "th", "x", "body"])
+            each = [elements[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+            columns = [part.column("doc"), part.column("th"), pa.array(sizes, pa.int32()), pa.array([e.tobytes() for e in each], pa.binary()), pa.array(map(sketch, each), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "th", "x", "body", "sketch"])
+
+
+def _plausible(batches):
+    """Pairs whose sketches don't rule a link out."""
+    import pyarrow as pa
+
+    for batch in batches:
+        keep = []
+        for a, b, x, y in zip(*(batch.column(n).to_pylist() for n in ("sketch_a", "sketch_b", "x_a", "x_b"))):
+            size = min(len(a), len(b))
+            differ = int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum())
+            keep.append(max(differ, abs(x - y)) <= difference(x, y))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _sign(attempt: int):
+    """Signatures of each set; meta holds the scheme and, in the low half, how many a partner must share."""
+
     def sign(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
+            for begin in range(0, batch.num_rows, 200):
+                part = batch.slice(begin, 200)
                 bodies = [np.frombuffer(b, np.uint64) for b in part.column("body").to_pylist()]
                 sizes = np.array([len(b) for b in bodies])
                 rid = part.column("rid").to_numpy()
                 of, sig, rows, kinds, need, _ = signatures(np.concatenate(bodies), np.repeat(np.arange(len(sizes)), sizes), sizes, attempt)
-                columns = [sig.astype(np.int64), rid[rows[of]], kinds[of].astype(np.int32), sizes[rows[of]].astype(np.int32), (need[of] + np.array([allowed(int(k), int(x)) for k, x in zip(kinds, sizes[rows])], np.int64)[of]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "rid", "scheme", "x", "filled"])
+                meta = kinds << 32 | np.maximum(need, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64)), pa.array(rid[rows[of]]), pa.array(meta[of])], ["sig", "rid", "meta"])
 
     return sign
 
 
-def _verify(batches):
-    import pyarrow as pa
-
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
-        out = batch.select(["a", "b"])
-        yield out.filter(pa.array(keep, pa.bool_()))
+#: Elements of all sets of one block, about.
+BLOCK = 200_000
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of row numbers whose sets reach the threshold, by comparing the sets themselves."""
-    bodies = sets.select("rid", "body")
-    joined = pairs.join(bodies.select(F.col("rid").alias("a"), F.col("body").alias("left")), "a")
-    joined = joined.join(bodies.select(F.col("rid").alias("b"), F.col("body").alias("right")), "b")
-    return joined.select("a", "b", "left", "right").mapInArrow(_verify, "a bigint, b bigint")
+def _compare(table):
+    """Links between the probing and the other sets of one pair of blocks, where their components differ."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    probes, others = table.filter(table.column("probe")), table.filter(pc.invert(table.column("probe")))
+    a, b = [], []
+    if probes.num_rows and others.num_rows:
+        bodies = [np.frombuffer(x, np.uint64) for x in others.column("body").to_pylist()]
+        sizes = np.array([len(x) for x in bodies])
+        elements = np.concatenate(bodies)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(elements, kind="stable")
+        ranked, owner = elements[order], owner[order]
+        rid, part = others.column("rid").to_numpy(), others.column("part").to_numpy()
+        for r, p, x in zip(*(probes.column(n).to_pylist() for n in ("rid", "part", "body"))):
+            mine = np.frombuffer(x, np.uint64)
+            low, high = np.searchsorted(ranked, mine), np.searchsorted(ranked, mine, side="right")
+            n = high - low
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(sizes))
+            linked = (DENOMINATOR * both >= NUMERATOR * (len(mine) + sizes - both)) & (part != p)
+            b += rid[linked].tolist()
+            a += [r] * int(linked.sum())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+#: Sets at most that are paired through one signature; more of them meet block by block.
+MANY = 8
+
+
+def _across(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between sets of different parts that share signatures (sig, rid, meta, part).
+
+    A set that must share k of its n signatures shares one of any n - k + 1; so each keeps its rarest, in one order
+    for all, and sets with a link have one of those in common. Where few sets have a signature, they are paired;
+    sketches of the pairs rule most out before whole sets are compared. Where many do, sets that reach each
+    other by such signatures form a cluster. All but a cluster's largest part probe; each block of probing sets
+    meets each block of the cluster's sets in a task that holds those two blocks and returns links only, so a
+    large group gives no row for each of its pairs.
+    """
+    times = apart.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("rid", "meta")
+    t = apart.join(times, "sig").withColumn("k", F.row_number().over(own.orderBy("n", "sig"))).withColumn("all", F.count(F.lit(1)).over(own))
+    rare = staged(t.where(F.col("k") <= F.col("all") - F.col("meta") % (1 << 32) + 1).select("sig", "rid", "part"), "rare")
+    size = rare.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), (F.min("part") != F.max("part")).alias("open")).where("open")
+    rare = staged(rare.join(size.select("sig", "n"), "sig"), "meetings")
+    few = rare.where(F.col("n") <= MANY)
+    left, right = (few.select("sig", F.col("rid").alias(r), F.col("part").alias(p)) for r, p in (("a", "part_a"), ("b", "part_b")))
+    pairs = left.join(right, "sig").where("a < b and part_a != part_b").select("a", "b").distinct()
+    for c in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("rid").alias(c), F.col("x").alias(f"x_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+    pairs = staged(pairs.mapInArrow(_plausible, "a bigint, b bigint"), "plausible")
+    found = _met(pairs.select(F.col("b").alias("rid"), F.col("a").alias("cluster")).join(sets.select("rid", "x"), "rid"), sets)
+    many = rare.where(F.col("n") > MANY)
+    if not many.head(1):
+        return found
+    least = many.groupBy("sig").agg(F.min("rid").alias("first"))
+    edges = many.select("sig", "rid").join(least, "sig").select("rid", "first").distinct()
+    cluster = staged(components(edges, ("rid", "first")), "clusters")
+    nodes = many.select("rid", "part").distinct().join(cluster.withColumnRenamed("node", "rid"), "rid", "left")
+    nodes = nodes.select("rid", "part", F.coalesce("least", "rid").alias("cluster"))
+    nodes = staged(nodes.join(sets.select("rid", F.col("x").cast("long").alias("x")), "rid"), "nodes")
+    sizes = nodes.groupBy("cluster", "part").agg(F.sum("x").alias("x"))
+    whole = sizes.groupBy("cluster").agg(F.max(F.struct("x", "part")).alias("most"), F.sum("x").alias("x"))
+    whole = whole.select(
+        "cluster", F.col("most.part").alias("main"), F.ceil(F.col("x") / BLOCK).alias("blocks"),
+        F.ceil((F.col("x") - F.col("most.x")) / BLOCK).alias("probing"),
+    ).where("probing > 0")
+    t = staged(nodes.join(whole, "cluster"), "placed")
+    block = F.pmod(F.xxhash64("rid"), F.col("blocks"))
+    all_ = t.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("probing") - 1))).select("cluster", "i", block.alias("j"), "rid", "part", F.lit(False).alias("probe"))
+    some = t.where("part != main").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    some = some.select("cluster", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("probing")).alias("i"), "j", "rid", "part", F.lit(True).alias("probe"))
+    return found.unionByName(_compared(all_.unionByName(some), sets))
+
+
+def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of sets (rid, x) to the set that each is to meet (cluster), block by block of those that meet it."""
+    blocks = pairs.groupBy("cluster").agg(F.ceil(F.sum("x") / BLOCK).alias("blocks"))
+    zero = F.lit(0).cast("long").alias("i")
+    some = pairs.join(blocks, "cluster").select("cluster", zero, F.pmod(F.xxhash64("rid"), F.col("blocks")).alias("j"), "rid", F.col("rid").alias("part"), F.lit(False).alias("probe"))
+    stars = blocks.select("cluster", zero, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    stars = stars.select("cluster", "i", "j", F.col("cluster").alias("rid"), F.col("cluster").alias("part"), F.lit(True).alias("probe"))
+    return _compared(some.unionByName(stars), sets)
+
+
+def _compared(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) found in each block (cluster, i, j) of placed sets (rid, part, probe)."""
+    both = placed.join(sets.select("rid", "body"), "rid")
+    return both.groupBy("cluster", "i", "j").applyInArrow(_compare, "a bigint, b bigint")
+
+
+def _stars(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of sets to the star that they share most signatures with.
+
+    A signature's star is the member whose signatures are the most common, as the original of a group of copies
+    is. A star meets its followers block by block.
+    """
+    fame = shared.groupBy("rid").agg(F.sum("times").alias("fame"))
+    best = shared.select("sig", "rid").join(fame, "rid").groupBy("sig").agg(F.max(F.struct("fame", F.col("rid").alias("star"))).alias("best"))
+    votes = shared.select("sig", "rid").join(best.select("sig", "best.star"), "sig").where("rid != star")
+    star = votes.groupBy("rid", "star").agg(F.count(F.lit(1)).alias("n")).groupBy("rid").agg(F.max(F.struct("n", "star")).alias("b"))
+    pairs = staged(star.select("rid", F.col("b.star").alias("cluster")).join(sets.select("rid", "x"), "rid"), "stars")
+    return _met(pairs, sets)
 
 
 def classes(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -374,59 +534,45 @@ def classes(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     by 64-bit hashes and equal sets by 128 bits.
 
     Signatures meet in buckets; what meets there is bounded by the number of slices, not by a group of copies.
-    Of the sets that may have a partner, each signature's members are first verified against the member that
-    shares most; then members still in different components are compared, if they share enough signatures.
+    Of the sets that may have a partner, each is first verified against the star of its signatures; then sets still
+    in different components are compared, if they share enough signatures.
     """
     spark = docs.sparkSession
     if buckets is None:
         buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    attempt = 0
+    attempt, keyed_rows = 0, keyed(docs)
     while True:
-        posted = keyed(docs).select("text", "doc", "th").mapInArrow(_post(buckets, attempt), POSTED)
+        posted = keyed_rows.select("text", "doc", "th").mapInArrow(_post(buckets, attempt), POSTED)
         found = staged(posted.repartition("bucket").mapInArrow(_match, POSTED), "posted")
         # a set with no more filled segments than differences has no bound: deal all elements anew
-        if not found.where("hard and scheme is not null").head(1):
+        if not found.where("hard").head(1):
             break
         attempt += 1
-    meta = found.where("x is not null").select("doc", "th", "x", "s1", "s2")
-    hits = found.where("entity is not null").groupBy("batch", "entity").agg(
-        F.max("doc").alias("doc"), F.max("th").alias("th"), F.max("need").alias("need"), F.sum("shared").alias("shared")
-    )
-    alive = hits.where("shared >= need").select("doc", "th").distinct()
+    meta = found.where(f"kind = {DOCUMENT}").select("doc", "th", "x", "s1", "s2")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = found.where(f"kind in ({ENTITIES}, {COUNTS})").select("batch", "kind", "body")
+    alive = staged(counted.repartition(parts, "batch").mapInArrow(_alive, "doc bigint, th bigint").distinct(), "alive")
     sets_of = meta.where("x > 0").join(alive, ["doc", "th"], "left_semi")
     first = staged(sets_of.groupBy("s1", "s2", "x").agg(F.min(F.struct("doc", "th")).alias("one")), "distinct-sets")
     wanted = first.select("one.doc", "one.th")
-    texts = keyed(docs).select("text", "doc", "th").join(wanted.hint("shuffle_hash"), ["doc", "th"])
-    sets = texts.select("text", "doc", "th").mapInArrow(_sets, "doc bigint, th bigint, x int, body binary")
+    texts = keyed_rows.select("text", "doc", "th").join(wanted.hint("shuffle_hash"), ["doc", "th"])
+    sets = texts.select("text", "doc", "th").mapInArrow(_sets, "doc bigint, th bigint, x int, body binary, sketch binary")
     sets = staged(sets.withColumn("rid", F.monotonically_increasing_id()), "sets")
-    signed = staged(sets.mapInArrow(_sign(attempt), "sig bigint, rid bigint, scheme int, x int, filled int"), "signed")
+    signed = staged(sets.select("rid", "body").mapInArrow(_sign(attempt), "sig bigint, rid bigint, meta bigint"), "signed")
     times = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     signed = staged(signed.join(times, "sig"), "shared-signatures")
-    known = signed.groupBy("rid").agg(F.sum("times").alias("fame"))
-    famous = signed.join(known, "rid").groupBy("sig").agg(F.max(F.struct("fame", F.col("rid").alias("star"))).alias("best"))
-    star = signed.join(famous, "sig").where(F.col("rid") != F.col("best.star"))
-    star = star.select(F.least("rid", "best.star").alias("a"), F.greatest("rid", "best.star").alias("b")).distinct()
-    links = staged(_linked(star, sets), "star-links")
+    links = staged(_stars(signed, sets), "star-links")
     label = staged(components(links, ("a", "b")), "star-components")
     # what is still apart: signatures whose members lie in several components
-    parted = signed.join(label.withColumnRenamed("node", "rid"), "rid", "left").withColumn("part", F.coalesce("least", "rid"))
-    parted = staged(parted.select("sig", "rid", "scheme", "x", "filled", "part"), "parts")
+    parted = signed.join(label.withColumnRenamed("node", "rid"), "rid", "left").select("sig", "rid", "meta", F.coalesce("least", "rid").alias("part"))
+    parted = staged(parted, "parts")
     open_ = parted.groupBy("sig").agg((F.min("part") != F.max("part")).alias("open")).where("open").select("sig")
     apart = staged(parted.join(open_, "sig", "left_semi"), "apart")
-    # a set with too few signatures shared with other components has no link left to find
-    enough = apart.groupBy("rid", "scheme").agg(F.count(F.lit(1)).alias("n"), F.first("filled").alias("filled"), F.first("x").alias("x"))
-    enough = enough.where((F.col("scheme") < TINY) | (F.col("n") >= F.col("filled") - F.floor(F.col("x") / 3)))
-    apart = apart.join(enough.select("rid", "scheme"), ["rid", "scheme"], "left_semi")
-    left = apart.select("sig", "scheme", *[F.col(c).alias(f"{c}_a") for c in ("rid", "x", "filled", "part")])
-    right = apart.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("rid", "x", "filled", "part")])
-    pairs = left.join(right, "sig").where("rid_a < rid_b and part_a != part_b")
-    pairs = pairs.groupBy("rid_a", "rid_b", "scheme").agg(
-        F.count(F.lit(1)).alias("n"), *[F.first(f"{c}_{s}").alias(f"{c}_{s}") for c in ("x", "filled") for s in "ab"]
-    )
-    d = F.floor((F.col("x_a") + F.col("x_b")) * (DENOMINATOR - NUMERATOR) / (DENOMINATOR + NUMERATOR))
-    fits = (F.col("scheme") < TINY) | (F.col("n") >= F.greatest("filled_a", "filled_b") - d)
-    more = _linked(pairs.where(fits).select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")).distinct(), sets)
-    label = components(links.unionByName(staged(more, "more-links")), ("a", "b"))
+    # a set that shares too few signatures with other components has no link left to find
+    enough = apart.groupBy("rid", "meta").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("meta") % (1 << 32))
+    apart = staged(apart.join(enough.select("rid", "meta"), ["rid", "meta"], "left_semi"), "close")
+    more = staged(_across(apart, sets), "more-links")
+    label = components(links.unionByName(more), ("a", "b"))
     least = sets.join(label.withColumnRenamed("node", "rid"), "rid", "left").select("doc", "th", F.coalesce("least", "rid").alias("least"))
     group = staged(least, "labels")
     ids = group.groupBy("least").agg(F.min("doc").alias("component"))

@@ -161,7 +161,7 @@ def sets_of(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-@pytest.mark.parametrize("block,many", [(200_000, 200), (3_000, 200), (3_000, 3)])
+@pytest.mark.parametrize("block,many", [(200_000, 8), (3_000, 200), (3_000, 3)])
 def test_jaccard_on_hard_groups(spark, monkeypatch, block, many):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "MANY", many)
