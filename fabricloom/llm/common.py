@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,13 +49,6 @@ def _delete_at_exit() -> None:
                 print(f"left behind: {path} ({type(e).__name__})")
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, upon which Spark deletes the shuffle files of plans no one holds any more;
-    by itself a driver with little to do may keep them for half an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 class Staged:
     """A DataFrame written once to the shared folder, so that lost executors never recompute what led to it."""
 
@@ -64,7 +56,6 @@ class Staged:
         self.spark, self.path = df.sparkSession, passing_path(df.sparkSession, name)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        free_shuffles(self.spark)
 
     def drop(self) -> None:
         _left.pop(self.path, None)

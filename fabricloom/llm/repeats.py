@@ -21,8 +21,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     alone does, else the hash of the text; rows of one doc_id and text are alike in all that follows."""
     short_batches(docs.sparkSession)
     again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1)
-    th = F.xxhash64("text") if again else F.lit(0).cast("long")
-    return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_DOC)).alias("doc"), th.alias("th"))
+    doc = F.coalesce("doc_id", F.lit(NULL_DOC))
+    # not a literal 0, which the optimizer would take out of the join on one side only
+    th = F.xxhash64("text") if again else doc.bitwiseAND(F.lit(0).cast("long"))
+    return docs.select("doc_id", "text", doc.alias("doc"), th.alias("th"))
 
 
 def super_kmers(rows: DataFrame, size: int, grain: int, in_bytes: bool) -> DataFrame:

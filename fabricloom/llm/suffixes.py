@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, staged
-from .repeats import keyed, merged, repeated, spans_by_row, super_kmers, window_hashes
+from .repeats import keyed, merged, repeated, spans_by_row, window_hashes
 
 BYTES, GRAIN = 400, 64
 #: Bytes of a shard; a minimizer with more has its windows counted by hash instead of sorted in one shard.
@@ -49,7 +49,7 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, alphabet: int) ->
 
     Bucket by bucket: larger-type suffixes from the smaller end, then smaller-type ones from the larger end.
     """
-    none = np.zeros(0, np.int64)
+    none, large = np.zeros(0, np.int64), ~small
     seeds: list[list] = [[] for _ in range(alphabet)]
     if len(lms):
         _deal(seeds, t[lms], lms)
@@ -58,10 +58,10 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, alphabet: int) ->
     for c in range(alphabet):
         k = 0
         while k < len(larger[c]):  # suffixes of one repeated symbol add to their own bucket
-            _step(t, ~small, larger, larger[c][k])
+            _step(t, large, larger, larger[c][k])
             k += 1
         if seeds[c]:
-            _step(t, ~small, larger, np.concatenate(seeds[c]))
+            _step(t, large, larger, np.concatenate(seeds[c]))
     smaller: list[list] = [[] for _ in range(alphabet)]
     out: list[np.ndarray] = []
     for c in range(alphabet - 1, -1, -1):
@@ -206,7 +206,7 @@ def _fetch(size: int):
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
+            for part in slices(batch, "text", 500_000):
                 rows = []
                 for text, doc, th, at in zip(*(part.column(n).to_pylist() for n in ("text", "doc", "th", "at"))):
                     raw = text.encode("utf-8", "surrogatepass")
@@ -233,31 +233,29 @@ def _sort_shard(size: int):
     return sort_shard
 
 
-def repeated_spans(docs: DataFrame, size: int = BYTES, shard: int = SHARD) -> DataFrame:
-    """Stretches (doc, th, start, end) of bytes under windows that start in two places or more."""
-    found = staged(super_kmers(docs, size, GRAIN, True), "suffix-runs")
-    shared = staged(repeated(found, F.col("n") >= 2), "shared-runs")
+def repeated_spans(rows: DataFrame, size: int = BYTES, shard: int = SHARD) -> DataFrame:
+    """Stretches (doc, th, start, end) of the bytes of keyed rows under windows that start in two places or more."""
+    shared = repeated(rows, size, GRAIN, True, F.col("n") >= 2)
     each = shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "s", "e")).alias("one"))
     each = staged(each, "contents")
     whole = shared.join(each.where("n > 1").select("h", "c"), ["h", "c"], "left_semi")
     whole = whole.select("doc", "th", F.col("s").cast("long").alias("start"), (F.col("e") + size).cast("long").alias("end"))
-    branching = shared.where("branches").select("h").distinct()
-    wanted = each.join(branching, "h", "left_semi").select("h", "one.*", (F.col("n") == 1).alias("single"))
-    load = F.sum(F.col("e") - F.col("s") + size + 1)
-    heavy = wanted.groupBy("h").agg(load.alias("load"))
-    wanted = staged(wanted.join(heavy, "h"), "wanted")
-    total = wanted.where(F.col("load") <= shard).agg(load).first()[0] or 0
+    load = F.sum(F.col("one.e") - F.col("one.s") + size + 1).alias("load")
+    by = each.groupBy("h").agg((F.min("c") != F.max("c")).alias("branches"), load).where("branches")
+    wanted = each.select("h", "one.*", (F.col("n") == 1).alias("single")).join(by.select("h", "load"), "h")
+    wanted = staged(wanted, "wanted")
+    total = wanted.where(F.col("load") <= shard).agg(F.sum(F.col("e") - F.col("s") + size + 1)).first()[0] or 0
     shards = max(1, -(-total // shard))
     usual = wanted.where(F.col("load") <= shard).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     listed = usual.groupBy("doc", "th").agg(F.collect_list(F.struct("shard", "s", "e", "single")).alias("at"))
-    joined = keyed(docs).join(listed.hint("shuffle_hash"), ["doc", "th"]).select("text", "doc", "th", "at")
+    joined = rows.join(listed.hint("shuffle_hash"), ["doc", "th"]).select("text", "doc", "th", "at")
     parts = joined.mapInArrow(_fetch(size), "shard bigint, doc bigint, th bigint, s int, single boolean, bytes binary")
     sorted_ = parts.groupBy("shard").applyInArrow(_sort_shard(size), "doc bigint, th bigint, start bigint, end bigint")
     # minimizers with more than a shard: their windows are counted by hash, wherever they are
     hot = wanted.where(F.col("load") > shard)
     out = whole.unionByName(staged(sorted_, "sorted"))
     if hot.head(1):
-        windows = staged(window_hashes(docs, hot, size, True), "hot-windows")
+        windows = staged(window_hashes(rows, hot, size, True), "hot-windows")
         twice = windows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         some = windows.join(twice, ["h", "w"], "left_semi").join(hot.where("single").select("doc", "th", "h").distinct(), ["doc", "th", "h"], "left_semi")
         out = out.unionByName(some.select("doc", "th", F.col("p").cast("long").alias("start"), (F.col("p") + size).cast("long").alias("end")))
@@ -294,9 +292,10 @@ def remove_repeats(docs: DataFrame, size: int = BYTES, shard: int = SHARD, keep_
     rows with size bytes or more none keeps anything. An empty table gives an empty one. Contents are told
     apart by 128 bits of hashes where they are whole, byte by byte in the shards.
     """
-    spans = spans_by_row(repeated_spans(docs, size, shard))
+    rows = keyed(docs)
+    spans = spans_by_row(repeated_spans(rows, size, shard))
     schema = f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans {SPANS}" + (", kept binary" if keep_text else "")
-    joined = keyed(docs).join(spans.hint("shuffle_hash"), ["doc", "th"], "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans.hint("shuffle_hash"), ["doc", "th"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut(keep_text), schema)
 
 
