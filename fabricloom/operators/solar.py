@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import sunset_angle
 
-#: Declination of the solstices, floor of the sun's altitude, height of shade that still counts as sun.
-SOLSTICE, LOWEST_SUN, SHADE = 23.44, 0.25, 0.05
+#: Declination of the solstices, floor of the sun's altitude, height of shade that still counts as sun,
+#: metres that a view goes.
+SOLSTICE, LOWEST_SUN, SHADE, VIEW = 23.44, 0.25, 0.05, 250.0
 
 
 def declination(day: Column, latitude: Column) -> Column:
@@ -39,18 +40,27 @@ def positions(places: DataFrame, step_min: float = 30.0) -> DataFrame:
     return t.where(alt > 0).select("place", "i", F.degrees(alt).alias("altitude"), F.when(az < 0, az + 360).otherwise(az).alias("azimuth"), (2 * F.col("half") * 12 / math.pi / F.col("n")).alias("hours"))
 
 
-def horizon(cells: DataFrame, dr: int, dc: int, cell_m: float, slope: float, reach: int) -> DataFrame:
+def horizon(cells: DataFrame, dr: int, dc: int, cell_m: float, slope: float, reach: int | None = None) -> DataFrame:
     """The height of shade over each cell from the cells towards the sun, one step (dr, dc) after another:
-    what stands k steps on, less k times the drop of the ray. An equi-join on moved cells, then a maximum."""
+    what stands k steps on, less k times the drop of the ray. An equi-join on moved cells, then a maximum.
+
+    Without a reach each cell shades as many steps as its own height needs, at most the side of the largest grid.
+    """
     drop = math.hypot(dr, dc) * cell_m * slope
-    tall = cells.where("h > 0").select("tile_id", "r", "c", "h", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("k"))
+    tall = cells.where("h > 0").select("tile_id", "r", "c", "h")
+    steps = F.lit(reach)
+    if reach is None:
+        sides = cells.groupBy("tile_id").agg(F.greatest(F.max("r") - F.min("r"), F.max("c") - F.min("c")).alias("side"))
+        tall = tall.crossJoin(F.broadcast(sides.agg(F.max("side").alias("side"))))
+        steps = F.least(F.ceil(F.try_divide(F.col("h"), F.lit(drop))), F.col("side")).cast("int")
+    tall = tall.withColumn("steps", steps).where("steps >= 1").select("tile_id", "r", "c", "h", F.explode(F.sequence(F.lit(1), F.col("steps"))).alias("k"))
     shade = tall.select("tile_id", (F.col("r") - dr * F.col("k")).alias("r"), (F.col("c") - dc * F.col("k")).alias("c"), (F.col("h") - F.col("k") * drop).alias("z")).where("z > 0")
     top = shade.groupBy("tile_id", "r", "c").agg(F.max("z").alias("shade"))
     return cells.join(top, ["tile_id", "r", "c"], "left").withColumn("shade", F.coalesce("shade", F.lit(0.0)))
 
 
-def sun_hours(cells: DataFrame, suns: list[tuple[int, int, float, float]], cell_m: float, reach: int) -> DataFrame:
-    """Hours of sun on the ground of each cell: suns are (dr, dc, slope of the ray, hours)."""
+def sun_hours(cells: DataFrame, suns: list[tuple[int, int, float, float]], cell_m: float, reach: int | None = None) -> DataFrame:
+    """Hours of sun on the ground of each cell: suns are (dr, dc, slope of the ray, hours); reach as in horizon."""
     out = None
     for dr, dc, slope, hours in suns:
         one = horizon(cells, dr, dc, cell_m, slope, reach).where("cls != 'building'")
@@ -68,15 +78,18 @@ def weighted(value: str, weight: str, least: float) -> list[Column]:
     ]
 
 
-def first_hit(eyes: DataFrame, cells: DataFrame, directions: list[tuple[int, int, float]], cell_m: float, reach: int) -> DataFrame:
+def first_hit(eyes: DataFrame, cells: DataFrame, directions: list[tuple[int, int, float]], cell_m: float, reach: int | None = None) -> DataFrame:
     """What each ray from an eye (tile_id, eye, r, c, z) meets first: its class and distance.
 
     directions are (dr, dc, rise in metres a metre). A cell is met where the ray is not above it; one taller than
-    half a metre counts as building. Rays that meet nothing see the sky if they rise, else open ground.
+    half a metre counts as building. Rays that meet nothing see the sky if they rise, else open ground. Without a
+    reach rays go VIEW metres, whatever their direction.
     """
     ray = F.explode(F.array(*[F.struct(F.lit(i).alias("ray"), F.lit(a).alias("dr"), F.lit(b).alias("dc"), F.lit(float(s)).alias("rise")) for i, (a, b, s) in enumerate(directions)]))
     rays = eyes.select("tile_id", "eye", "r", "c", "z", ray.alias("d")).select("tile_id", "eye", "r", "c", "z", "d.*")
-    t = rays.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(reach))))
+    step = F.sqrt(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")) * cell_m
+    steps = F.lit(reach) if reach is not None else F.floor(F.lit(VIEW) / step + 1e-9).cast("int")
+    t = rays.withColumn("steps", steps).where("steps >= 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("steps"))))
     length = F.sqrt(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")) * cell_m * F.col("k")
     t = t.select("tile_id", "eye", "ray", (F.col("r") + F.col("k") * F.col("dr")).alias("r"), (F.col("c") + F.col("k") * F.col("dc")).alias("c"), length.alias("far"), (F.col("z") + length * F.col("rise")).alias("at"))
     met = t.join(cells.select("tile_id", "r", "c", "cls", "h"), ["tile_id", "r", "c"]).where("at <= h or at <= 0")

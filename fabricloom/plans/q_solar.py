@@ -85,6 +85,43 @@ def view_first_hit(spark, sf_dir):
     return solar.first_hit(eyes, grid, _RAYS, 12.5, 12)
 
 
+# The three queries above march 8 and 12 cells, as their SQL says; these march as far as heights and views reach.
+_WHOLE_SHADE = """s AS (SELECT f.tile_id, f.r, f.c, f.cls, coalesce(max(g.h - k * {drop}) FILTER (g.h - k * {drop} > 0), 0.0) AS shade
+  FROM full_cells f CROSS JOIN range(1, 32) t(k) LEFT JOIN full_cells g ON g.tile_id = f.tile_id AND g.r = f.r + k * {dr} AND g.c = f.c + k * {dc} AND g.h > 0 GROUP BY ALL)"""
+
+
+@query("horizon_nearest_whole", "WITH " + _WHOLE_SHADE.format(drop="12.5 * 0.5", dr=1, dc=0) + " SELECT tile_id, r, c, round(shade, 6) AS shade FROM s", cells=True)
+def horizon_nearest_whole(spark, sf_dir):
+    """horizon_nearest with the shade of every building, however far it falls within the tile."""
+    return solar.horizon(full_cells(spark, sf_dir), 1, 0, 12.5, 0.5).select("tile_id", "r", "c", F.round("shade", 6).alias("shade"))
+
+
+@query("sun_hours_whole", "WITH " + ", ".join(
+    _WHOLE_SHADE.format(drop=f"12.5 * {s}", dr=a, dc=b).replace("s AS", f"s{i} AS", 1) for i, (a, b, s, _) in enumerate(_SUNS)
+) + """, h AS (SELECT tile_id, r, c, cls, sum(CASE WHEN shade <= 0.05 THEN hours ELSE 0 END) AS hours FROM (
+  SELECT *, 2.0 AS hours FROM s0 UNION ALL SELECT *, 4.0 FROM s1 UNION ALL SELECT *, 2.0 FROM s2) WHERE cls != 'building' GROUP BY ALL)
+SELECT tile_id, cls, round(CAST(avg(hours) AS DOUBLE), 6) AS mean, round(100.0 * avg(CASE WHEN hours >= 2 THEN 1 ELSE 0 END), 6) AS above_pct FROM h GROUP BY 1, 2
+""", cells=True)
+def sun_hours_whole(spark, sf_dir):
+    hours = solar.sun_hours(full_cells(spark, sf_dir), _SUNS, 12.5).withColumn("w", F.lit(1.0))
+    return hours.groupBy("tile_id", "cls").agg(*solar.weighted("hours", "w", 2.0))
+
+
+@query("view_first_hit_whole", """
+WITH e AS (SELECT tile_id, r * 32 + c AS eye, r, c, h + 1.6 AS z FROM full_cells WHERE cls = 'building' AND h > 0),
+d AS (SELECT * FROM (VALUES (0, 0, 1, 0.0), (1, 1, 0, 0.3), (2, 1, 1, -0.2), (3, -1, 0, 0.1)) v(ray, dr, dc, rise)),
+k AS (SELECT e.tile_id, eye, ray, CAST(rise AS DOUBLE) AS rise, r + i * dr AS r, c + i * dc AS c, sqrt(dr * dr + dc * dc) * 12.5 * i AS far, z + sqrt(dr * dr + dc * dc) * 12.5 * i * rise AS lvl FROM e, d, range(1, 21) t(i)),
+m AS (SELECT k.tile_id, eye, ray, arg_min(CASE WHEN h > 0.5 THEN 'building' ELSE cls END, far) AS sees, min(far) AS far FROM k JOIN full_cells f ON f.tile_id = k.tile_id AND f.r = k.r AND f.c = k.c
+  WHERE (lvl <= h OR lvl <= 0) AND far <= 250 GROUP BY ALL)
+SELECT e.tile_id, e.eye, CAST(d.ray AS INT) AS ray, coalesce(sees, CASE WHEN rise > 0 THEN 'sky' ELSE 'open' END) AS sees, round(far, 6) AS far
+FROM e CROSS JOIN d LEFT JOIN m ON m.tile_id = e.tile_id AND m.eye = e.eye AND m.ray = d.ray
+""", cells=True)
+def view_first_hit_whole(spark, sf_dir):
+    grid = full_cells(spark, sf_dir)
+    eyes = grid.where("cls = 'building' and h > 0").select("tile_id", (F.col("r") * 32 + F.col("c")).alias("eye"), "r", "c", (F.col("h") + 1.6).alias("z"))
+    return solar.first_hit(eyes, grid, _RAYS, 12.5)
+
+
 @query("view_directions", """
 SELECT round(-90 + (i + 0.5) * 180.0 / 12, 6) AS azimuth, round(degrees(asin(-1 + (j + 0.5) * 2.0 / 6)), 6) AS altitude FROM range(12) a(i), range(6) b(j)
 """)

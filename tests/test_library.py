@@ -55,6 +55,22 @@ def test_shadow_reaches_as_far_as_it_should(spark):
     assert shade == {9: 25.0, 8: 20.0, 7: 15.0, 6: 10.0, 5: 5.0}
 
 
+def test_shade_and_view_reach_as_far_as_heights_ask(spark):
+    t = grid(spark, (F.col("r") == 35) & (F.col("c") == 3), 36).withColumn("h", F.when(F.col("h") > 0, 100).otherwise(0))
+    for slope, cells in ((0.25, 31), (0.5, 15)):
+        shade = {r.r: r.shade for r in solar.horizon(t, 1, 0, 12.5, slope).where("c = 3 and shade > 0").collect()}
+        assert shade == {35 - k: 100 - k * 12.5 * slope for k in range(1, cells + 1)}
+    lit = solar.sun_hours(t, [(1, 0, 0.25, 2.0)], 12.5).where("hours = 0").count()
+    assert lit == 31
+    eyes = spark.createDataFrame([(0, 1, 15, 3, 10.0), (0, 2, 14, 3, 10.0)], "tile_id int, eye int, r int, c int, z double")
+    seen = {r.eye: (r.sees, r.far) for r in solar.first_hit(eyes, t, [(1, 0, 0.0)], 12.5).collect()}
+    assert seen == {1: ("building", 250.0), 2: ("open", None)}
+    diagonal = t.withColumn("h", F.when((F.col("r") >= 29) & (F.col("c") >= 14), 100).otherwise(0))
+    eyes = spark.createDataFrame([(0, 1, 15, 0, 10.0), (0, 2, 14, 0, 10.0)], "tile_id int, eye int, r int, c int, z double")
+    seen = {r.eye: (r.sees, r.far) for r in solar.first_hit(eyes, diagonal, [(1, 1, 0.0)], 12.5).collect()}
+    assert seen == {1: ("building", round(12.5 * 14 * math.sqrt(2), 6)), 2: ("open", None)}
+
+
 def test_view_of_an_empty_tile_is_half_sky(spark):
     rays = [(0, 1, math.tan(math.radians(r.altitude))) for r in spark.range(1).select(F.inline(solar.view_rays(4, 8))).collect()]
     eyes = spark.createDataFrame([(0, 1, 3, 3, 10.0)], "tile_id int, eye int, r int, c int, z double")
