@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import staged
+from .common import short_batches, slices, staged
 
 #: Notices as authors put them into headers, and how licence files begin. Common public wordings.
 TEMPLATES = [
@@ -29,15 +33,33 @@ TEMPLATES = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "Copyright. All rights reserved."),
+    *[
+        (name, f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by "
+         f"the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+        for name, what, kind, version in [
+            ("GPL-3.0", "program", "General", "3"), ("GPL-2.0", "program", "General", "2"), ("LGPL-3.0", "library", "Lesser General", "3"),
+            ("LGPL-2.1", "library", "Lesser General", "2.1"), ("AGPL-3.0", "program", "Affero General", "3"),
+        ]
+    ],
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
 ]
 #: A line that may be a notice: it names a licence or rights.
 NOTICE = r"(?i)licen[sc]|copyright|all rights reserved|public domain|creative commons|spdx|redistribution and use|permission is hereby"
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)(\.[a-z0-9]+)?$"
 LEAST = 0.5
+TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: How a comment line begins, lines at most of a window, numbers at most that bounds are taken with at once.
+COMMENT, WINDOW_LINES, AT_ONCE = r"\s*(?:#|//|/?\*|--|;|%|<!--)", 6, 2_000_000
 
 
 def _terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+(?:[.-][a-z0-9]+)*"), 0)
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), 0)
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -51,42 +73,159 @@ def notices(files: DataFrame) -> DataFrame:
     return found.select("path", F.explode("lines").alias("notice"))
 
 
+def _runs(flags):
+    """First and end of each run of true flags."""
+    import numpy as np
+
+    edges = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def _spans(worded, comment, whole: bool):
+    """What is judged at once, as first line and end: each line, windows of some lines and runs of lines with no line
+    without a word between them, runs of comment lines, and a licence file whole."""
+    import numpy as np
+
+    n = len(worded)
+    blank = np.concatenate([[0], np.cumsum(~worded)])
+    first, end = [], []
+    for size in range(1, min(WINDOW_LINES, n) + 1):
+        i = np.arange(n - size + 1)
+        i = i[blank[i + size] == blank[i]]
+        first.append(i)
+        end.append(i + size)
+    for a, b in (_runs(worded), _runs(comment), *([(np.array([0]), np.array([n]))] if whole else [])):
+        first.append(a)
+        end.append(b)
+    both = np.unique(np.stack([np.concatenate(first), np.concatenate(end)], 1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def _blocks(bound: tuple | None, least: float):
+    """Texts to the spans that may score `least`: path, notice.
+
+    bound has the number of each term of a template, the weights of these terms, their shares in each template, and
+    the least weight of any other term; without it all spans are given. The product with a template adds up over the
+    terms, and the square of the norm is at least the sum of the squares of single terms: no cosine is above the bound.
+    """
+    term, comments, notice, licence_file = re.compile(TERM), re.compile(COMMENT), re.compile(NOTICE), re.compile(LICENCE_FILE)
+
+    def possible(lines, ids, begin, first, end):
+        import numpy as np
+
+        number, square, shares = bound
+        ids = np.array(ids, dtype=np.int64)
+        norm = np.concatenate([[0.0], np.cumsum(square[ids])])
+        norm = norm[begin[end]] - norm[begin[first]]
+        known = np.flatnonzero(ids)
+        at = np.searchsorted(known, begin)
+        a, b = at[first], at[end]
+        best = np.zeros(len(first))
+        step = max(1, AT_ONCE // max(1, len(known) + len(first)))
+        for t in range(0, shares.shape[1], step):
+            sums = np.cumsum(shares[ids[known], t : t + step], axis=0)
+            sums = np.concatenate([np.zeros((1, sums.shape[1])), sums])
+            best = np.maximum(best, (sums[b] - sums[a]).max(axis=1))
+        return (best > 0) & (best >= (least - 1e-4) * np.sqrt(np.maximum(norm, 0)) - 1e-6)
+
+    def of(text: str, path: str) -> list[str]:
+        import numpy as np
+
+        if not notice.search(text):
+            return []
+        lines, ids, begin = text.split("\n"), [], [0]
+        number = bound[0].get if bound else None
+        for line in lines:
+            found = term.findall(line.lower())
+            ids += [number(x, 0) for x in found] if bound else found
+            begin.append(len(ids))
+        begin = np.array(begin)
+        comment = np.array([comments.match(line) is not None for line in lines])
+        first, end = _spans(np.diff(begin) > 0, comment, licence_file.search(path) is not None)
+        if bound:
+            good = possible(lines, ids, begin, first, end)
+            first, end = first[good], end[good]
+        spans = {"\n".join(lines[a:b]) for a, b in zip(first.tolist(), end.tolist(), strict=True)}
+        return [x for x in spans if notice.search(x)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for big in batches:
+            for batch in slices(big, "text"):
+                rows, notices = [], []
+                for i, (path, text) in enumerate(zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                    for x in of(text, str(path)) if text else ():
+                        rows.append(i)
+                        notices.append(x)
+                yield pa.record_batch([batch.column("path").take(pa.array(rows, pa.int64())), pa.array(notices, pa.string())], names=["path", "notice"])
+
+    return run
+
+
+def _bound(theirs: DataFrame, idf: DataFrame, unseen: float) -> tuple | None:
+    """What _blocks takes to bound cosines; None where the templates are too many for that."""
+    import numpy as np
+
+    names = theirs.select("template").distinct()
+    terms = theirs.select("term").distinct()
+    if names.count() * terms.count() > AT_ONCE:
+        return None
+    rows = theirs.join(idf, "term").select("template", "licence", "term", "v", "idf").collect()
+    (other,) = idf.join(terms, "term", "left_anti").agg(F.min("idf")).first()
+    number = {x: k for k, x in enumerate(sorted({r.term for r in rows}), 1)}
+    column = {x: k for k, x in enumerate(sorted({(r.template, r.licence) for r in rows}))}
+    square, shares = np.full(len(number) + 1, (unseen if other is None else min(other, unseen)) ** 2), np.zeros((len(number) + 1, max(1, len(column))))
+    for r in rows:
+        square[number[r.term]] = r.idf**2
+        shares[number[r.term], column[r.template, r.licence]] = r.v * r.idf
+    return number, square, shares
+
+
 def detect(files: DataFrame, known: DataFrame | None = None, least: float = LEAST) -> DataFrame:
     """Each file's best matching licence: path, licence, score; files without a notice of `least` are left out.
 
-    files has path and text, known has template, licence and notice. Terms weigh by how many notices of the whole
-    corpus, and templates, have them: 1 + ln((1 + notices) / (1 + those with the term)). Equal notices, of which
-    there may be very many, are scored once. The table of templates is given by the caller and small; past a
-    million terms it is joined like any other. Ties go to the licence that comes first by name. Null texts have
-    no notice, null paths are dropped; repeated paths give one row.
+    files has path and text, known has template, licence and notice. What is scored are lines and blocks of lines
+    (_spans), since notices are wrapped. Terms weigh by how many lines that may be a notice, of the whole corpus, and
+    templates, have them: 1 + ln((1 + notices) / (1 + those with the term)). Equal blocks, of which there may be very
+    many, are scored once, and only those whose bound reaches `least`. The table of templates is given by the caller
+    and small; past a million terms it is joined like any other. Ties go to the licence that comes first by name. Null
+    texts have no notice, null paths are dropped; repeated paths give one row.
     """
-    known = templates(files.sparkSession) if known is None else known
-    lines = staged(notices(files.where("path is not null")), "notices")
+    spark = files.sparkSession
+    known = templates(spark) if known is None else known
+    files = files.select("path", "text").where("path is not null")
+    lines = staged(notices(files), "notices")
     distinct = lines.groupBy("notice").agg(F.count(F.lit(1)).alias("copies"))
-    words = distinct.select("notice", "copies", F.explode(_terms(F.col("notice"))).alias("term"))
-    tf = words.groupBy("notice", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("copies").alias("copies"))
+    words = distinct.select("notice", "copies", F.explode(F.array_distinct(_terms(F.col("notice")))).alias("term"))
     wanted = known.select("template", "licence", F.explode(_terms(F.col("notice"))).alias("term"))
     wanted = wanted.groupBy("template", "licence", "term").agg(F.count(F.lit(1)).alias("tf"))
-    both = tf.select("term", "copies").unionByName(wanted.select("term", F.lit(1).cast("long").alias("copies")))
+    both = words.select("term", "copies").unionByName(wanted.select("term", F.lit(1).cast("long").alias("copies")))
     df = both.groupBy("term").agg(F.sum("copies").alias("df"))
     total = distinct.agg((F.coalesce(F.sum("copies"), F.lit(0)) + known.count()).alias("total"))
     (total,) = total.first()
+    unseen = 1 + math.log(1 + total)
     idf = staged(df.select("term", (1 + F.log((1 + F.lit(total)) / (1 + F.col("df")))).alias("idf")), "idf")
 
     def weighted(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-        w = rows.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+        w = rows.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
         return w.select(*keys, "term", "w"), w.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
-    mine, norms = weighted(tf, ["notice"])
     theirs, lengths = weighted(wanted, ["template", "licence"])
     theirs = staged(theirs.join(lengths, ["template", "licence"]).select("template", "licence", "term", (F.col("w") / F.col("norm")).alias("v")), "templates")
+    bound = _bound(theirs, idf, unseen)
     if theirs.count() < 1_000_000:
         theirs = F.broadcast(theirs)
+    short_batches(spark)
+    schema = T.StructType([files.schema["path"], T.StructField("notice", T.StringType())])
+    blocks = staged(files.mapInArrow(_blocks(bound, least), schema), "blocks")
+    tf = blocks.select("notice").distinct().select("notice", F.explode(_terms(F.col("notice"))).alias("term"))
+    mine, norms = weighted(tf.groupBy("notice", "term").agg(F.count(F.lit(1)).alias("tf")), ["notice"])
     dots = mine.join(theirs, "term").groupBy("notice", "template", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     scores = dots.join(norms, "notice").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
     best = scores.groupBy("notice").agg(F.max(F.struct("score")).alias("m"), F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
     best = staged(best.select("notice", F.col("m.score").alias("score"), F.col("b.licence").alias("licence")), "scored")
-    of = lines.join(best, "notice").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    of = blocks.join(best, "notice").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
     return of.select("path", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 

@@ -296,6 +296,26 @@ def test_licences_by_brute_force(spark):
     assert out == {"a/LICENSE": ("MIT", None), "a/b/x.py": ("MIT", "a"), "a/b/y.py": ("CC-BY-NC-4.0", None), "a/b/c/COPYING": ("GPL-3.0", None), "a/b/c/d/z": ("GPL-3.0", "a/b/c"), "q": (None, None), "q2/r": (None, None)}
 
 
+def gnu_header(version, mark):
+    lines = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+             f"the Free Software Foundation, either version {version} of the License, or", "(at your option) any later version.", "",
+             "This program is distributed in the hope that it will be useful,", "but WITHOUT ANY WARRANTY; without even the implied warranty of"]
+    return "\n".join(mark + x for x in lines)
+
+
+def test_wrapped_notices(spark):
+    rows = [
+        ("three/a.py", gnu_header(3, "# ") + "\nimport os\n"), ("two/a.c", "/*\n" + gnu_header(2, " * ") + "\n */\nint x;"), ("plain/COPYING", gnu_header(2, "")),
+        ("plain/src/x", "x"), ("apache/LICENSE", "                Apache License\n          Version 2.0, January 2004\n"),
+        ("gnu/COPYING", "           GNU GENERAL PUBLIC LICENSE\n              Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
+        ("narrow/a.sql", "-- Licensed under the\n-- GNU General\n-- Public License,\n-- version 2.\nselect 1"), ("prose/a", "An essay on the public\nand its terms\nof trade and\nlicence in general."),
+    ]
+    t = spark.createDataFrame(rows, "path string, text string")
+    out = {r.path: r.licence for r in licenses.inherit(t, licenses.detect(t)).collect()}
+    assert out == {"three/a.py": "GPL-3.0", "two/a.c": "GPL-2.0", "plain/COPYING": "GPL-2.0", "plain/src/x": "GPL-2.0", "apache/LICENSE": "Apache-2.0",
+                   "gnu/COPYING": "GPL-2.0", "narrow/a.sql": "GPL-2.0", "prose/a": None}
+
+
 def test_op2_rows(spark):
     from fabricloom.llm import queries
 
