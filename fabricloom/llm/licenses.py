@@ -49,13 +49,16 @@ TEMPLATES = [
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
 ]
-#: A line that may be a notice: it names a licence or rights.
+#: A line that names a licence or rights. Terms weigh by how many of these have them; what is scored does not depend on it.
 NOTICE = r"(?i)licen[sc]|copyright|all rights reserved|public domain|creative commons|spdx|redistribution and use|permission is hereby"
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)(\.[a-z0-9]+)?$"
 LEAST = 0.5
+#: Tags that name a licence by its identifier, parts of their expressions, and identifiers that name none.
+SPDX, SPDX_PART, SPDX_NONE = r"(?i)spdx-license-identifier:([^\n]*)", r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)", ("none", "noassertion")
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
-#: How a comment line begins, lines at most of a window, numbers at most that bounds are taken with at once.
-COMMENT, WINDOW_LINES, AT_ONCE = r"\s*(?:#|//|/?\*|--|;|%|<!--)", 6, 2_000_000
+#: How a comment line begins, lines at most of a window, numbers at most that bounds are taken with at once, terms of
+#: no template at most whose own weights bounds take.
+COMMENT, WINDOW_LINES, AT_ONCE, FREQUENT = r"\s*(?:#|//|/?\*|--|;|%|<!--)", 6, 2_000_000, 20_000
 
 
 def _terms(text: Column) -> Column:
@@ -67,7 +70,7 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def notices(files: DataFrame) -> DataFrame:
-    """Every line of every file that may be a notice: path, notice."""
+    """Every line of every file that names a licence or rights: path, notice."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(NOTICE)))
     found = files.select("path", F.when(F.rlike("text", F.lit(NOTICE)), lines).alias("lines"))
     return found.select("path", F.explode("lines").alias("notice"))
@@ -101,23 +104,44 @@ def _spans(worded, comment, whole: bool):
     return both[:, 0], both[:, 1]
 
 
+def _identifiers(text: str) -> set[str]:
+    """The licences that the SPDX tags of a text name. What follows WITH is an exception, not a licence."""
+    found = set()
+    for tag in re.finditer(SPDX, text):
+        rest, at, before = tag.group(1), 0, ""
+        while part := re.compile(SPDX_PART).match(rest, at):
+            at, word = part.end(), part.group(1)
+            joins = word.upper() in ("AND", "OR", "WITH")
+            if word in "()" or joins:
+                before = word.upper() if joins else before
+                continue
+            if before == "ID":
+                break  # words after the expression
+            if before != "WITH" and word.lower() not in SPDX_NONE:
+                found.add(word)
+            before = "ID"
+    return found
+
+
 def _blocks(bound: tuple | None, least: float):
-    """Texts to the spans that may score `least`: path, notice.
+    """Texts to the spans that may score `least`, and to the identifiers of their SPDX tags: path, notice, tag.
 
-    bound has the number of each term of a template, the weights of these terms, their shares in each template, and
-    the least weight of any other term; without it all spans are given. The product with a template adds up over the
-    terms, and the square of the norm is at least the sum of the squares of single terms: no cosine is above the bound.
+    bound has the numbers of terms, those of templates first, their squared weights, with the least of any other term
+    at 0, and the shares of templates' terms in each template; without it all spans are given. The product with a
+    template adds up over the terms, and the square of the norm is at least the sum of the squares of single terms: no
+    cosine is above that bound. What is left is bounded again with its terms counted.
     """
-    term, comments, notice, licence_file = re.compile(TERM), re.compile(COMMENT), re.compile(NOTICE), re.compile(LICENCE_FILE)
+    term, comments, licence_file = re.compile(TERM), re.compile(COMMENT), re.compile(LICENCE_FILE)
 
-    def possible(lines, ids, begin, first, end):
+    def possible(ids, begin, first, end):
         import numpy as np
 
         number, square, shares = bound
-        ids = np.array(ids, dtype=np.int64)
-        norm = np.concatenate([[0.0], np.cumsum(square[ids])])
+        top, own = len(shares), len(square)
+        weigh = np.where(ids < own, ids, 0)
+        norm = np.concatenate([[0.0], np.cumsum(square[weigh])])
         norm = norm[begin[end]] - norm[begin[first]]
-        known = np.flatnonzero(ids)
+        known = np.flatnonzero((ids > 0) & (ids < top))
         at = np.searchsorted(known, begin)
         a, b = at[first], at[end]
         best = np.zeros(len(first))
@@ -126,39 +150,45 @@ def _blocks(bound: tuple | None, least: float):
             sums = np.cumsum(shares[ids[known], t : t + step], axis=0)
             sums = np.concatenate([np.zeros((1, sums.shape[1])), sums])
             best = np.maximum(best, (sums[b] - sums[a]).max(axis=1))
-        return (best > 0) & (best >= (least - 1e-4) * np.sqrt(np.maximum(norm, 0)) - 1e-6)
+        good = (best > 0) & (best >= (least - 1e-4) * np.sqrt(np.maximum(norm, 0)) - 1e-6)
+        for k in np.flatnonzero(good).tolist():
+            terms, times = np.unique(ids[begin[first[k]] : begin[end[k]]], return_counts=True)
+            dot = (times[terms < top] @ shares[terms[terms < top]]).max()
+            good[k] = dot >= (least - 1e-4) * math.sqrt((times.astype(float) ** 2 * square[np.where(terms < own, terms, 0)]).sum())
+        return good
 
     def of(text: str, path: str) -> list[str]:
         import numpy as np
 
-        if not notice.search(text):
-            return []
-        lines, ids, begin = text.split("\n"), [], [0]
-        number = bound[0].get if bound else None
+        lines, found, begin = text.split("\n"), [], [0]
         for line in lines:
-            found = term.findall(line.lower())
-            ids += [number(x, 0) for x in found] if bound else found
-            begin.append(len(ids))
+            found += term.findall(line.lower())
+            begin.append(len(found))
         begin = np.array(begin)
         comment = np.array([comments.match(line) is not None for line in lines])
         first, end = _spans(np.diff(begin) > 0, comment, licence_file.search(path) is not None)
         if bound:
-            good = possible(lines, ids, begin, first, end)
+            number, square, _ = bound
+            others: dict[str, int] = {}
+            ids = [number.get(x) or others.setdefault(x, len(square) + len(others)) for x in found]
+            good = possible(np.array(ids, dtype=np.int64), begin, first, end)
             first, end = first[good], end[good]
-        spans = {"\n".join(lines[a:b]) for a, b in zip(first.tolist(), end.tolist(), strict=True)}
-        return [x for x in spans if notice.search(x)]
+        return list({"\n".join(lines[a:b]) for a, b in zip(first.tolist(), end.tolist(), strict=True)})
 
     def run(batches):
         import pyarrow as pa
 
         for big in batches:
             for batch in slices(big, "text"):
-                rows, notices = [], []
+                rows, notices, tags = [], [], []
                 for i, (path, text) in enumerate(zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True)):
-                    for x in of(text, str(path)) if text else ():
-                        rows.append(i)
-                        notices.append(x)
-                yield pa.record_batch([batch.column("path").take(pa.array(rows, pa.int64())), pa.array(notices, pa.string())], names=["path", "notice"])
+                    if text:
+                        found = [(x, None) for x in of(text, str(path))] + [(None, x) for x in _identifiers(text)]
+                        rows += [i] * len(found)
+                        notices += [x for x, _ in found]
+                        tags += [x for _, x in found]
+                paths = batch.column("path").take(pa.array(rows, pa.int64()))
+                yield pa.record_batch([paths, pa.array(notices, pa.string()), pa.array(tags, pa.string())], names=["path", "notice", "tag"])
 
     return run
 
@@ -172,23 +202,38 @@ def _bound(theirs: DataFrame, idf: DataFrame, unseen: float) -> tuple | None:
     if names.count() * terms.count() > AT_ONCE:
         return None
     rows = theirs.join(idf, "term").select("template", "licence", "term", "v", "idf").collect()
-    (other,) = idf.join(terms, "term", "left_anti").agg(F.min("idf")).first()
+    frequent = idf.join(terms, "term", "left_anti").orderBy("idf", "term").limit(FREQUENT).collect()
+    other = unseen if len(frequent) < FREQUENT else frequent[-1].idf
     number = {x: k for k, x in enumerate(sorted({r.term for r in rows}), 1)}
-    column = {x: k for k, x in enumerate(sorted({(r.template, r.licence) for r in rows}))}
-    square, shares = np.full(len(number) + 1, (unseen if other is None else min(other, unseen)) ** 2), np.zeros((len(number) + 1, max(1, len(column))))
+    column = {x: k for k, x in enumerate(sorted({(r.template, r.licence) for r in rows}, key=str))}
+    shares = np.zeros((len(number) + 1, max(1, len(column))))
+    square = np.full(len(number) + 1 + len(frequent), other**2)
     for r in rows:
         square[number[r.term]] = r.idf**2
         shares[number[r.term], column[r.template, r.licence]] = r.v * r.idf
+    for r in frequent:
+        number[r.term] = len(number) + 1
+        square[number[r.term]] = r.idf**2
     return number, square, shares
 
 
+def _named(tags: DataFrame, known: DataFrame) -> DataFrame:
+    """Each path of an SPDX tag with its licence: the known one of that name, also without -only, -or-later or +,
+    else the identifier as it stands."""
+    names = known.groupBy(F.lower("licence").alias("name")).agg(F.min("licence").alias("licence"))
+    ids = tags.select("tag").distinct().withColumns({"name": F.lower("tag"), "short": F.regexp_replace(F.lower("tag"), r"(-only|-or-later|\+)$", "")})
+    ids = ids.join(names, "name", "left").join(names.select(F.col("name").alias("short"), F.col("licence").alias("family")), "short", "left")
+    ids = staged(ids.select("tag", F.coalesce("licence", "family", "tag").alias("licence")), "identifiers")
+    return tags.join(ids, "tag").select("path", F.lit(1.0).alias("score"), "licence")
+
+
 def detect(files: DataFrame, known: DataFrame | None = None, least: float = LEAST) -> DataFrame:
     """Each file's best matching licence: path, licence, score; files without a notice of `least` are left out.
 
     files has path and text, known has template, licence and notice. What is scored are lines and blocks of lines
-    (_spans), since notices are wrapped. Terms weigh by how many lines that may be a notice, of the whole corpus, and
-    templates, have them: 1 + ln((1 + notices) / (1 + those with the term)). Equal blocks, of which there may be very
-    many, are scored once, and only those whose bound reaches `least`. The table of templates is given by the caller
+    (_spans), since notices are wrapped. Terms weigh by how many lines that name a licence or rights (NOTICE), of the
+    whole corpus, and templates, have them: 1 + ln((1 + notices) / (1 + those with the term)). Equal blocks, of which
+    there may be very many, are scored once, and only those whose bound reaches `least`. SPDX tags score 1. The table of templates is given by the caller
     and small; past a million terms it is joined like any other. Ties go to the licence that comes first by name. Null
     texts have no notice, null paths are dropped; repeated paths give one row.
     """
@@ -217,15 +262,17 @@ def detect(files: DataFrame, known: DataFrame | None = None, least: float = LEAS
     if theirs.count() < 1_000_000:
         theirs = F.broadcast(theirs)
     short_batches(spark)
-    schema = T.StructType([files.schema["path"], T.StructField("notice", T.StringType())])
-    blocks = staged(files.mapInArrow(_blocks(bound, least), schema), "blocks")
+    schema = T.StructType([files.schema["path"], T.StructField("notice", T.StringType()), T.StructField("tag", T.StringType())])
+    both = staged(files.mapInArrow(_blocks(bound, least), schema), "blocks")
+    blocks, tags = both.where("notice is not null").select("path", "notice"), both.where("tag is not null").select("path", "tag")
     tf = blocks.select("notice").distinct().select("notice", F.explode(_terms(F.col("notice"))).alias("term"))
     mine, norms = weighted(tf.groupBy("notice", "term").agg(F.count(F.lit(1)).alias("tf")), ["notice"])
     dots = mine.join(theirs, "term").groupBy("notice", "template", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     scores = dots.join(norms, "notice").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
     best = scores.groupBy("notice").agg(F.max(F.struct("score")).alias("m"), F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
     best = staged(best.select("notice", F.col("m.score").alias("score"), F.col("b.licence").alias("licence")), "scored")
-    of = blocks.join(best, "notice").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    of = blocks.join(best, "notice").select("path", "score", "licence").unionByName(_named(tags, known))
+    of = of.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
     return of.select("path", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 

@@ -316,6 +316,21 @@ def test_wrapped_notices(spark):
                    "gnu/COPYING": "GPL-2.0", "narrow/a.sql": "GPL-2.0", "prose/a": None}
 
 
+def test_notices_without_keywords_and_spdx_tags(spark, monkeypatch):
+    rows = [
+        ("a", "Dedicated under CC0 1.0.", "CC0-1.0"), ("b", "// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("c", "# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        ("d", "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */", "GPL-2.0"), ("e", "<!-- spdx-license-identifier: (MIT OR BSD-2-Clause) -->", "BSD-2-Clause"),
+        ("i", "int x;\nThis is free\nand unencumbered software\nreleased into\nthe domain\nof the public.\n" * 3, "Unlicense"),
+        ("f", "SPDX-License-Identifier: ISC more words", "ISC"), ("g", "SPDX-License-Identifier: NOASSERTION", None), ("h", "Dedicated under protest, to the public, by the author.", None),
+    ]
+    t = spark.createDataFrame(rows, "path string, text string, wanted string")
+    assert {r.path: r.licence for r in licenses.detect(t).collect()} == {p: w for p, _, w in rows if w}
+    # the bound loses nothing that the cosine takes
+    bounded = {tuple(r) for r in licenses.detect(t, least=0.2).collect()}
+    monkeypatch.setattr(licenses, "_bound", lambda *_: None)
+    assert {tuple(r) for r in licenses.detect(t, least=0.2).collect()} == bounded and {"a", "h"} <= {r[0] for r in bounded}
+
+
 def test_op2_rows(spark):
     from fabricloom.llm import queries
 
