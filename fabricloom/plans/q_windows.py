@@ -155,5 +155,5 @@ def skeleton(spark, sf_dir):
 
 @query("fetch_plan", None)
 def fetch_plan(spark, sf_dir):
-    """The boxes, keys and requests that cover a 10 km window around each nation's stand-in place."""
+    """The boxes, keys and requests that cover a 10 km window around one fixed point; no table is read."""
     return files.chunks(spark, 48.2, 11.5, 10_000.0, 2_500.0).withColumn("request", files.query_text(F.col("south"), F.col("west"), F.col("north"), F.col("east")))
