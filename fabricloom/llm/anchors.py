@@ -45,10 +45,11 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - n)], x[width - n :]) if n < width else x
 
 
-def runs(symbols: np.ndarray, ends: np.ndarray, size: int, grain: int, in_bytes: bool = False):
+def runs(symbols: np.ndarray, ends: np.ndarray, size: int, grain: int, in_bytes: bool = False, level: int = 0):
     """Yields (first window, last window, minimizer hash) arrays over consecutive texts; ends: where each text ends.
 
     Windows that cross the end of a text are left out. in_bytes: symbols are bytes and the grain counts bytes.
+    Each level orders the grains by another hash.
     """
     total = len(symbols)
     end_of = np.repeat(ends, np.diff(ends, prepend=0))
@@ -63,6 +64,8 @@ def runs(symbols: np.ndarray, ends: np.ndarray, size: int, grain: int, in_bytes:
                 n *= 2
         else:
             h = grain_hashes(part, grain)
+        if level:
+            h = mix(h + U(level) * A)
         place = np.arange(len(h), dtype=np.uint64)
         least = sliding_least((h & ~U(0xFFFFF)) | place, width)
         at = (least & U(0xFFFFF)).astype(np.int64)
@@ -93,20 +96,20 @@ def texts_of(column):
     return raw[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
 
 
-@lru_cache(1)
-def _tables(n: int):
+@lru_cache(8)
+def _tables(n: int, seed: int):
     """Random numbers for bytes, and powers of an odd number and of its inverse modulo 2**64."""
-    spell = mix(np.arange(1, 257, dtype=np.uint64) * A)
+    spell = mix(np.arange(1 + 256 * seed, 257 + 256 * seed, dtype=np.uint64) * A)
     inverse = pow(int(B), -1, 1 << 64)
     up, down = np.full(n, B), np.full(n, U(inverse))
     up[0] = down[0] = 1
     return spell, np.cumprod(up), np.cumprod(down)
 
 
-def rolled(data: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+def rolled(data: np.ndarray, begins: np.ndarray, stops: np.ndarray, seed: int = 0) -> np.ndarray:
     """Polynomial hashes modulo 2**64 of stretches of bytes, each byte spelled as a random number."""
     n = len(data)
-    spell, up, down = _tables(1 << max(16, int(n).bit_length()))
+    spell, up, down = _tables(1 << max(16, int(n).bit_length()), seed)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(spell[data] * up[:n], out=total[1:])
     return (total[stops] - total[begins]) * down[begins]
@@ -128,3 +131,13 @@ def word_symbols(data: np.ndarray, ends: np.ndarray):
     begins = np.flatnonzero(solid & (~before | edge[:-1]))
     stops = np.flatnonzero(solid & (~after | edge[1:])) + 1
     return mix(rolled(data, begins, stops)), begins, stops, np.searchsorted(begins, ends)
+
+
+def window_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial hashes modulo 2**64 of every run of `size` symbols."""
+    n = len(symbols)
+    _, up, down = _tables(1 << max(16, int(n).bit_length()), 0)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(symbols * up[:n], out=total[1:])
+    count = max(0, n - size + 1)
+    return mix((total[size : size + count] - total[:count]) * down[:count])

@@ -10,7 +10,7 @@ from .pii import op7_feistel_pseudonyms
 from .quality import OP4_SQL, op4_quality_cascade
 from .sharding import op1_jump_sharding
 from .substrings import OP6_SQL, op6_debruijn_substrings
-from .suffixes import op8_induced_suffixes
+from .suffixes import OP8_SQL, op8_induced_suffixes
 from .token_files import op10_token_files
 
 
@@ -34,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_cascade": OP4_SQL,
         "op5_decontamination": OP5_SQL,
         "op6_debruijn_substrings": OP6_SQL,
+        "op8_induced_suffixes": OP8_SQL,
         "op9_jaccard_partition": OP9_SQL,
     }

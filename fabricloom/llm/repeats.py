@@ -6,21 +6,26 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import runs, texts_of, word_symbols
-from .common import Staged, short_batches, slices, staged
+from .anchors import mix, rolled, runs, texts_of, word_symbols
+from .common import Staged, short_batches, slices
 
-RUNS = "h bigint, c bigint, doc bigint, th bigint, at bigint"
+RUNS = "h bigint, c bigint, v bigint, doc bigint, th bigint, at bigint"
 #: A run's first window and how many follow it, in one number: runs are no longer than a segment.
 FOLLOW = 1 << 20
 #: Stands for a null doc_id: below every other.
 NULL_DOC = -(1 << 63)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def ids_repeat(docs: DataFrame) -> bool:
+    return bool(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1))
+
+
+def keyed(docs: DataFrame, again: bool | None = None) -> DataFrame:
     """Documents with doc (doc_id, null as the least) and th, which together name a row. th is 0 where doc_id
-    alone does, else the hash of the text; rows of one doc_id and text are alike in all that follows."""
+    alone does, else the hash of the text; rows of one doc_id and text are alike in all that follows.
+    again: whether a doc_id stands on several rows, if that is known."""
     short_batches(docs.sparkSession)
-    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1)
+    again = ids_repeat(docs) if again is None else again
     doc = F.coalesce("doc_id", F.lit(NULL_DOC))
     # not a literal 0, which the optimizer would take out of the join on one side only
     th = F.xxhash64("text") if again else doc.bitwiseAND(F.lit(0).cast("long"))
@@ -29,91 +34,57 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def super_kmers(rows: DataFrame, size: int, grain: int, in_bytes: bool) -> DataFrame:
     """Each run of windows of keyed rows that share a minimizer: h its hash, c the hash of all it covers, and where
-    it is: at holds the first window and, below FOLLOW, how many follow."""
+    it is: at holds the first window and, below FOLLOW, how many follow. Over words, v is a second hash of what it
+    covers, from another hash of each word; over bytes it is 0."""
 
     def find(batches):
         import pyarrow as pa
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
+
+        def spelled(symbols, first, last):
+            view, wide = memoryview(np.ascontiguousarray(symbols)).cast("B"), symbols.itemsize
+            return np.array([digest(view[wide * a : wide * (b + size)]) for a, b in zip(first, last)], np.uint64).astype(np.int64)
+
         for batch in batches:
             for part in slices(batch, "text", 500_000):
                 data, ends = texts_of(part.column("text"))
-                symbols = data
+                symbols = second = data
                 if not in_bytes:
-                    symbols, _, _, ends = word_symbols(data, ends)
-                wide, starts = symbols.itemsize, np.concatenate([[0], ends[:-1]])
-                view = memoryview(np.ascontiguousarray(symbols)).cast("B") if len(symbols) else b""
+                    symbols, begins, stops, ends = word_symbols(data, ends)
+                    second = mix(rolled(data, begins, stops, 1))
+                starts = np.concatenate([[0], ends[:-1]])
                 doc, th = part.column("doc").to_numpy(), part.column("th").to_numpy()
                 for first, last, h in runs(symbols, ends, size, grain, in_bytes):
                     row = np.searchsorted(ends, first, side="right")
-                    c = [digest(view[wide * a : wide * (b + size)]) for a, b in zip(first.tolist(), last.tolist())]
-                    base = starts[row]
-                    columns = [h.astype(np.int64), np.array(c, np.uint64).astype(np.int64), doc[row], th[row], (first - base) * FOLLOW + last - first]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "c", "doc", "th", "at"])
+                    a, b = first.tolist(), last.tolist()
+                    c = spelled(symbols, a, b)
+                    v = np.zeros(len(c), np.int64) if in_bytes else spelled(second, a, b)
+                    columns = [h.astype(np.int64), c, v, doc[row], th[row], (first - starts[row]) * FOLLOW + last - first]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "c", "v", "doc", "th", "at"])
 
     return rows.select("text", "doc", "th").mapInArrow(find, RUNS)
 
 
-def repeated(rows: DataFrame, size: int, grain: int, in_bytes: bool, several) -> DataFrame:
-    """Super k-mers whose minimizer stands in several places: h, c, doc, th, s, e, staged.
+def repeated(rows: DataFrame, size: int, grain: int, in_bytes: bool, several) -> Staged:
+    """Super k-mers whose minimizer stands in several places: h, c, v, doc, th, s, e.
 
-    several: a condition over n, low and high, a minimizer's count and least and greatest doc. What all texts
-    have is dropped as soon as what repeats is known.
+    several: a condition over n, low and high, a minimizer's count and least and greatest doc. Minimizers are counted
+    where they are found, and the few that stay are written before they are joined: so a join of two written tables
+    is left, of which Spark splits what is hot. What all texts have is dropped as soon as what repeats is known.
     """
     found = Staged(super_kmers(rows, size, grain, in_bytes), "runs")
     by = found.df.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-    shared = found.df.join(by.where(several).select("h"), "h", "left_semi")
+    some = Staged(by.where(several).select("h"), "minimizers")
     s = F.shiftright("at", 20).cast("int")
-    out = staged(shared.select("h", "c", "doc", "th", s.alias("s"), (s + (F.col("at") % FOLLOW).cast("int")).alias("e")), "shared-runs")
+    shared = found.df.join(some.df.hint("merge"), "h", "left_semi")
+    out = Staged(shared.select("h", "c", "v", "doc", "th", s.alias("s"), (s + (F.col("at") % FOLLOW).cast("int")).alias("e")), "shared-runs")
     found.drop()
+    some.drop()
     return out
 
 
-def branching(shared: DataFrame) -> DataFrame:
-    """The minimizers that stand in different super k-mers: h."""
-    return shared.groupBy("h").agg((F.min("c") != F.max("c")).alias("b")).where("b").select("h")
-
-
-def window_hashes(rows: DataFrame, places: DataFrame, size: int, in_bytes: bool) -> DataFrame:
-    """One row for each window of the given super k-mers (h, doc, th, s, e): h, its hash w, doc, th and place p."""
-    listed = places.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "s", "e")).alias("at"))
-
-    def spell(batches):
-        import pyarrow as pa
-        import xxhash
-
-        digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            for part in slices(batch, "text", 500_000):
-                data, ends = texts_of(part.column("text"))
-                symbols = data
-                if not in_bytes:
-                    symbols, _, _, ends = word_symbols(data, ends)
-                wide, starts = symbols.itemsize, np.concatenate([[0], ends[:-1]])
-                view = memoryview(np.ascontiguousarray(symbols)).cast("B") if len(symbols) else b""
-                out: list[tuple] = []
-                for base, doc, th, at in zip(starts.tolist(), part.column("doc").to_pylist(), part.column("th").to_pylist(), part.column("at").to_pylist()):
-                    for x in at:
-                        for p in range(x["s"], x["e"] + 1):
-                            w = digest(view[wide * (base + p) : wide * (base + p + size)])
-                            out.append((x["h"], w - (1 << 64) * (w >> 63), doc, th, p))
-                    if len(out) > 50_000:
-                        yield _rows(out)
-                        out = []
-                if out:
-                    yield _rows(out)
-
-    def _rows(out):
-        import pyarrow as pa
-
-        types = [pa.int64()] * 4 + [pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["h", "w", "doc", "th", "p"])
-
-    joined = rows.join(listed.hint("shuffle_hash"), ["doc", "th"]).select("text", "doc", "th", "at")
-    return joined.mapInArrow(spell, "h bigint, w bigint, doc bigint, th bigint, p int")
-
-
 def spans_by_row(spans: DataFrame) -> DataFrame:
     """Stretches (doc, th, start, end) listed for each row of documents; a list is no longer than the text."""
     return spans.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))

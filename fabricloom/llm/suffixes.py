@@ -1,8 +1,8 @@
 """Repeated byte strings by suffix arrays, built shard by shard with induced sorting (Nong, Zhang and Chan, 2009).
 
 Windows of 400 bytes are grouped by their minimizers, so equal windows meet in one shard whatever their documents.
-Super k-mers that stand in several places are removed whole; one copy of each that shares only its minimizer goes
-to the minimizer's shard, whose suffix array and permuted common prefixes tell which of its windows repeat.
+Of each content of a super k-mer one copy goes to its minimizer's shard, and two if it stands in several places; the
+shard's suffix array and permuted common prefixes tell which windows repeat, and so what goes wherever it stands.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged
-from .repeats import keyed, merged, repeated, spans_by_row, window_hashes
+from .anchors import mix, runs
+from .common import Staged, slices
+from .repeats import keyed, merged, repeated, spans_by_row
 
 BYTES, GRAIN = 400, 64
-#: Bytes of a shard; a minimizer with more has its windows counted by hash instead of sorted in one shard.
+#: Bytes of a shard; a minimizer with more is split by the minimizers of further hashes.
 SHARD = 1_500_000
 #: Ends each string of a shard; no UTF-8 text has this byte.
 SEPARATOR = 255
@@ -82,68 +83,81 @@ def _step(t: np.ndarray, wanted: np.ndarray, lists: list[list], places: np.ndarr
         _deal(lists, t[before], before)
 
 
-def _names(t: np.ndarray, small: np.ndarray, order: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Numbers leftmost-smaller substrings in their order; equal ones get equal numbers."""
-    a, b = order[:-1], order[1:]
-    length, other = ends[a] - a, ends[b] - b
-    differ = length != other
-    todo, k = np.flatnonzero(~differ), 0
-    while len(todo):
-        x, y = a[todo] + k, b[todo] + k
-        wrong = (t[x] != t[y]) | (small[x] != small[y])
-        differ[todo[wrong]] = True
-        todo = todo[~wrong]
-        k += 1
-        todo = todo[length[todo] >= k]
-    return np.concatenate([[0], np.cumsum(differ)])
-
-
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string over a large alphabet, by ranks of prefixes of doubled length."""
-    n, rank, k = len(names), names.astype(np.int64), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        k *= 2
-        if k >= n or rank[order[-1]] == n - 1:
-            return order
-
-
-def suffix_array(t: np.ndarray, alphabet: int = 256, most: int = 2048) -> np.ndarray:
+#: A run of larger-type or smaller-type suffixes beyond this is induced bucket by bucket.
+LONG_RUN = 256
+
+
+def ranked(spelled: np.ndarray, begins: np.ndarray, stops: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Ranks of stretches of a spelled string, both ends included, by their symbols and then by last (none below 0);
+    equal ones get equal ranks, from 0 without gaps.
+
+    As many symbols as fit into 63 bits are compared at once, from the last block of a stretch to its first.
+    """
+    if not len(begins):
+        return last
+    n, bits = len(spelled), max(1, int(spelled.max()).bit_length())
+    per = 63 // bits
+    wide = np.concatenate([spelled, np.zeros(per, np.int64)])
+    packed = np.zeros(n, np.int64)
+    for j in range(per):
+        packed = (packed << bits) | wide[j : j + n]
+    length = stops - begins + 1
+    by_length = np.argsort(-length, kind="stable")
+    blocks = -(-length[by_length] // per)
+    rank = last.astype(np.int64)
+    for k in range(int(blocks[0]) - 1, -1, -1):
+        some = by_length[: np.searchsorted(-blocks, -k, side="left")]
+        over = np.maximum(per - (length[some] - k * per), 0) * bits
+        key, after = (packed[begins[some] + k * per] >> over) << over, rank[some]
+        order = np.lexsort((after, key)) if after.any() else np.argsort(key, kind="stable")
+        key, after = key[order], after[order]
+        new = np.ones(len(key), np.int64)
+        new[1:] = (key[1:] != key[:-1]) | (after[1:] != after[:-1])
+        rank[some[order]] = np.cumsum(new)
+    return rank - 1
+
+
+def induce_runs(spelled: np.ndarray, small: np.ndarray, lms: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """All suffixes in the order that the ranks of leftmost-smaller suffixes induce, for large alphabets.
+
+    A larger-type suffix falls to a leftmost-smaller one, a smaller-type suffix rises to a larger-type one; its
+    symbols until there and the rank found there place it.
+    """
+    large, rising = np.flatnonzero(~small), np.flatnonzero(small)
+    falls = np.searchsorted(lms, large)
+    down = ranked(spelled, large, np.append(lms, len(small))[falls], np.append(rank + 1, 0)[falls])
+    rises = np.searchsorted(large, rising)
+    up = ranked(spelled, rising, large[rises], down[rises] + 1)
+    both = np.empty(len(small), np.int64)
+    both[down], both[len(large) + up] = large, rising
+    return both[np.argsort(spelled[both], kind="stable")]
+
+
+def suffix_array(t: np.ndarray, alphabet: int = 256) -> np.ndarray:
     """The suffix array of t: symbols below alphabet, a shorter suffix before a longer one it begins.
 
-    The reduced string is sorted by the same steps while its alphabet has at most `most` symbols, and by doubling
-    beyond, where going through buckets one by one doesn't pay.
+    Leftmost-smaller substrings are named in their order; if two are equal, the string of names is sorted by the
+    same steps, whatever its alphabet. Bytes are induced bucket by bucket, and so is any string with a long run;
+    other strings of names by runs, as most of their buckets hold a symbol or two.
     """
     n = len(t)
     if n < 2:
         return np.arange(n)
     small = classify(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if len(lms) < 2:
-        return induce(t, small, lms, alphabet)
-    first = induce(t, small, lms, alphabet)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    order = first[is_lms[first]]
-    ends = np.full(n, n - 1)
-    ends[lms[:-1]] = lms[1:]
-    names = np.empty(n, np.int64)
-    names[order] = _names(t, small, order, ends)
-    reduced = names[lms]
-    count = int(names[order[-1]]) + 1
-    if count == len(lms):
-        sorted_lms = order
-    elif count <= most:
-        sorted_lms = lms[suffix_array(reduced, count, most)]
-    else:
-        sorted_lms = lms[_by_doubling(reduced)]
-    return induce(t, small, sorted_lms, alphabet)
+    spelled = np.append(((t.astype(np.int64) + 1) << 1) | small, 0)  # of equal symbols the larger type goes first
+    names = ranked(spelled, lms, np.append(lms[1:], n)[: len(lms)], np.zeros(len(lms), np.int64))
+    count = int(names.max()) + 1 if len(lms) else 0
+    rank = names
+    if count < len(lms):
+        rank = np.empty(len(lms), np.int64)
+        rank[suffix_array(names, count)] = np.arange(len(lms))
+    turns = np.flatnonzero(np.diff(small)) + 1
+    if alphabet <= 256 or np.diff(turns, prepend=0, append=n).max() > LONG_RUN:
+        order = np.empty(len(lms), np.int64)
+        order[rank] = lms
+        return induce(t, small, order, alphabet)
+    return induce_runs(spelled, small, lms, rank)
 
 
 def common_prefixes(t: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -199,67 +213,146 @@ def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
 
 
+PARTS = "key bigint, h bigint, c bigint, many boolean, first boolean, doc bigint, th bigint, base bigint, s bigint, size bigint, bytes binary"
+
+
+def _rows(rows: list[tuple]):
+    import pyarrow as pa
+
+    types = [pa.int64()] * 3 + [pa.bool_()] * 2 + [pa.int64()] * 5 + [pa.binary()]
+    names = [x.split()[0] for x in PARTS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+
 def _fetch(size: int):
-    """The bytes of each wanted super k-mer of a text."""
+    """The bytes of each wanted super k-mer of a text; the key of its shard is its minimizer."""
 
     def fetch(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for part in slices(batch, "text", 500_000):
                 rows = []
                 for text, doc, th, at in zip(*(part.column(n).to_pylist() for n in ("text", "doc", "th", "at"))):
                     raw = text.encode("utf-8", "surrogatepass")
-                    rows += [(x["shard"], doc, th, x["s"], x["single"], raw[x["s"] : x["e"] + size]) for x in at]
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-                names = ["shard", "doc", "th", "s", "single", "bytes"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                    for x in at:
+                        piece = raw[x["s"] : x["e"] + size]
+                        rows.append((x["h"], x["h"], x["c"], x["many"], x["first"], doc, th, x["s"], x["s"], len(piece), piece))
+                yield _rows(rows)
 
     return fetch
 
 
+def _split(size: int, level: int):
+    """Parts of a key with too many bytes, cut where the minimizers of another hash change."""
+
+    def split(batches):
+        for batch in batches:
+            rows = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = np.frombuffer(row[-1], np.uint8)
+                for first, last, g in runs(raw, np.array([len(raw)]), size, GRAIN, True, level):
+                    keys = (mix(g + np.uint64(row[0] % (1 << 64)))).astype(np.int64).tolist()
+                    for a, b, key in zip(first.tolist(), last.tolist(), keys):
+                        piece = row[-1][a : b + size]
+                        rows.append((key, *row[1:8], row[8] + a, len(piece), piece))
+                if len(rows) > 2_000:
+                    yield _rows(rows)
+                    rows = []
+            if rows:
+                yield _rows(rows)
+
+    return split
+
+
 def _sort_shard(size: int):
+    """Stretches of windows that repeat in a shard, of the first copy of each content."""
+
     def sort_shard(table):
         import pyarrow as pa
 
         rows = []
         found = repeated_windows(table.column("bytes").to_pylist(), size)
-        for flags, doc, th, s, single in zip(found, *(table.column(n).to_pylist() for n in ("doc", "th", "s", "single"))):
-            if single:
-                rows += [(doc, th, s + a, s + b - 1 + size) for a, b in _stretches(flags)]
-        names = ["doc", "th", "start", "end"]
-        return pa.table([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 4)], names)
+        for flags, first, *row in zip(found, *(table.column(n).to_pylist() for n in ("first", "h", "c", "many", "doc", "th", "base", "s"))):
+            if first:
+                rows += [(*row[:-1], row[-1] + a, row[-1] + b - 1 + size) for a, b in _stretches(flags)]
+        types = [pa.int64()] * 2 + [pa.bool_()] + [pa.int64()] * 5
+        names = [x.split()[0] for x in FOUND.split(", ")]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names)
 
     return sort_shard
 
 
-def repeated_spans(rows: DataFrame, size: int = BYTES, shard: int = SHARD) -> DataFrame:
-    """Stretches (doc, th, start, end) of the bytes of keyed rows under windows that start in two places or more."""
+FOUND = "h bigint, c bigint, many boolean, doc bigint, th bigint, base bigint, start bigint, end bigint"
+
+
+def _count_windows(parts: DataFrame, size: int) -> DataFrame:
+    """The windows of parts that repeat under their key, by 64-bit hashes beside the key."""
+
+    def spell(batches):
+        import pyarrow as pa
+        import xxhash
+
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = memoryview(row[-1])
+                w = np.array([digest(raw[p : p + size]) for p in range(len(raw) - size + 1)], np.uint64).astype(np.int64)
+                one = [pa.array([x] * len(w), t) for x, t in zip(row[:8], [pa.int64()] * 3 + [pa.bool_()] * 2 + [pa.int64()] * 3)]
+                yield pa.RecordBatch.from_arrays([*one, pa.array(row[8] + np.arange(len(w))), pa.array(w)], ["key", "h", "c", "many", "first", "doc", "th", "base", "p", "w"])
+
+    windows = Staged(parts.mapInArrow(spell, "key bigint, h bigint, c bigint, many boolean, first boolean, doc bigint, th bigint, base bigint, p bigint, w bigint"), "hot-windows").df
+    twice = Staged(windows.groupBy("key", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "w"), "hot-repeats").df
+    again = windows.where("first").join(twice.hint("merge"), ["key", "w"], "left_semi")
+    return again.select("h", "c", "many", "doc", "th", "base", F.col("p").alias("start"), (F.col("p") + size).alias("end"))
+
+
+#: How often the parts of a key that is too large for a shard are split before their windows are counted by hash.
+LEVELS = 4
+
+
+def repeated_spans(rows: DataFrame, size: int = BYTES, shard: int = SHARD, levels: int = LEVELS) -> DataFrame:
+    """Stretches (doc, th, start, end) of the bytes of keyed rows under windows that start in two places or more.
+
+    Every content of a minimizer that stands in several places goes to a shard, twice if it stands in several places
+    itself, and the shard's common prefixes decide on it; what they say of a content holds in all its places.
+    """
     shared = repeated(rows, size, GRAIN, True, F.col("n") >= 2)
-    each = shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "s", "e")).alias("one"))
-    each = staged(each, "contents")
-    whole = shared.join(each.where("n > 1").select("h", "c"), ["h", "c"], "left_semi")
-    whole = whole.select("doc", "th", F.col("s").cast("long").alias("start"), (F.col("e") + size).cast("long").alias("end"))
-    load = F.sum(F.col("one.e") - F.col("one.s") + size + 1).alias("load")
-    by = each.groupBy("h").agg((F.min("c") != F.max("c")).alias("branches"), load).where("branches")
-    wanted = each.select("h", "one.*", (F.col("n") == 1).alias("single")).join(by.select("h", "load"), "h")
-    wanted = staged(wanted, "wanted")
-    total = wanted.where(F.col("load") <= shard).agg(F.sum(F.col("e") - F.col("s") + size + 1)).first()[0] or 0
-    shards = max(1, -(-total // shard))
-    usual = wanted.where(F.col("load") <= shard).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    listed = usual.groupBy("doc", "th").agg(F.collect_list(F.struct("shard", "s", "e", "single")).alias("at"))
-    joined = rows.join(listed.hint("shuffle_hash"), ["doc", "th"]).select("text", "doc", "th", "at")
-    parts = joined.mapInArrow(_fetch(size), "shard bigint, doc bigint, th bigint, s int, single boolean, bytes binary")
-    sorted_ = parts.groupBy("shard").applyInArrow(_sort_shard(size), "doc bigint, th bigint, start bigint, end bigint")
-    # minimizers with more than a shard: their windows are counted by hash, wherever they are
-    hot = wanted.where(F.col("load") > shard)
-    out = whole.unionByName(staged(sorted_, "sorted"))
-    if hot.head(1):
-        windows = staged(window_hashes(rows, hot, size, True), "hot-windows")
-        twice = windows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        some = windows.join(twice, ["h", "w"], "left_semi").join(hot.where("single").select("doc", "th", "h").distinct(), ["doc", "th", "h"], "left_semi")
-        out = out.unionByName(some.select("doc", "th", F.col("p").cast("long").alias("start"), (F.col("p") + size).cast("long").alias("end")))
-    return out
+    place = F.struct("doc", "th", "s", "e")
+    each = shared.df.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("a"), F.max(place).alias("b"))
+    both = F.when(F.col("n") > 1, F.array("a", "b")).otherwise(F.array("a"))
+    each = each.select("h", "c", (F.col("n") > 1).alias("many"), F.posexplode(both).alias("k", "at"))
+    at = F.struct("h", "c", "many", (F.col("k") == 0).alias("first"), "at.s", "at.e")
+    listed = each.groupBy(F.col("at.doc").alias("doc"), F.col("at.th").alias("th")).agg(F.collect_list(at).alias("at"))
+    wanted = rows.join(listed.hint("shuffle_hash"), ["doc", "th"]).select("text", "doc", "th", "at")
+    rest = Staged(wanted.mapInArrow(_fetch(size), PARTS), "parts")
+    ready, left = [], [rest]
+    for level in range(levels + 1):
+        loads = rest.df.groupBy("key").agg(F.sum(F.col("size") + 1).alias("load"))
+        large = Staged(loads.where(F.col("load") > shard).select("key"), "large-keys")
+        left.append(large)
+        if not large.df.head(1):
+            ready.append(rest.df)
+            break
+        ready.append(rest.df.join(large.df.hint("merge"), "key", "left_anti"))
+        over = rest.df.join(large.df.hint("merge"), "key", "left_semi").select(rest.df.columns)
+        if level < levels:
+            rest = Staged(over.mapInArrow(_split(size, level + 1), PARTS), "split-parts")
+            left.append(rest)
+    usual = ready[0]
+    for more in ready[1:]:
+        usual = usual.unionByName(more)
+    total = usual.agg(F.sum(F.col("size") + 1)).first()[0] or 0
+    usual = usual.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // shard)))))
+    columns = ["shard", "h", "c", "many", "first", "doc", "th", "base", "s", "bytes"]
+    found = usual.select(columns).groupBy("shard").applyInArrow(_sort_shard(size), FOUND)
+    if large.df.head(1):
+        found = found.unionByName(_count_windows(over, size))
+    found = Staged(found, "sorted")
+    for table in left:
+        table.drop()
+    once = found.df.where("not many").select("doc", "th", "start", "end")
+    content = found.df.where("many").select("h", "c", (F.col("start") - F.col("base")).alias("a"), (F.col("end") - F.col("base")).alias("b"))
+    every = shared.df.join(content.hint("merge"), ["h", "c"])
+    return once.unionByName(every.select("doc", "th", (F.col("s") + F.col("a")).alias("start"), (F.col("s") + F.col("b")).alias("end")))
 
 
 def _cut(keep_text: bool):
@@ -289,8 +382,8 @@ def remove_repeats(docs: DataFrame, size: int = BYTES, shard: int = SHARD, keep_
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed bytes) and kept (binary: a cut may
     split a character). Strings are judged on the input, within documents; a null text is empty; of repeated
-    rows with size bytes or more none keeps anything. An empty table gives an empty one. Contents are told
-    apart by 128 bits of hashes where they are whole, byte by byte in the shards.
+    rows with size bytes or more none keeps anything. An empty table gives an empty one. Which places hold the
+    same content is told by 128 bits of hashes, and what of a content repeats byte by byte in the shards.
     """
     rows = keyed(docs)
     spans = spans_by_row(repeated_spans(rows, size, shard))
@@ -302,3 +395,21 @@ def remove_repeats(docs: DataFrame, size: int = BYTES, shard: int = SHARD, keep_
 def op8_induced_suffixes(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs, keep_text=False).drop("spans")
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT *, length(x) // 2 AS n FROM d),
+win AS (SELECT rid, i, hash(substr(x, 2 * i + 1, 800)) AS s FROM n, unnest(range(0, n - 399)) AS u(i)),
+rep AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY s) > 1),
+isle AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS k
+         FROM (SELECT rid, i, CAST(coalesce(i - lag(i) OVER (PARTITION BY rid ORDER BY i) > 400, true) AS INT) AS new FROM rep)),
+gone AS (SELECT rid, k, min(i) AS a, max(i) + 400 AS b FROM isle GROUP BY rid, k),
+edge AS (SELECT rid, b AS a, lead(a) OVER (PARTITION BY rid ORDER BY a) AS b FROM gone
+         UNION ALL SELECT rid, 0, min(a) FROM gone GROUP BY rid),
+kept AS (SELECT rid, string_agg(substr(x, CAST(2 * a + 1 AS BIGINT), CAST(2 * (coalesce(b, n) - a) AS BIGINT)), '' ORDER BY a) AS x FROM edge JOIN n USING (rid) GROUP BY rid),
+g AS (SELECT rid, sum(b - a) AS removed, count(*) AS spans FROM gone GROUP BY rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept.x, n.x))) AS kept_sha256
+FROM n LEFT JOIN g USING (rid) LEFT JOIN kept USING (rid)
+"""

@@ -7,6 +7,7 @@ import random
 import re
 import struct
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -137,8 +138,8 @@ def test_suffix_arrays():
         t = rng.integers(0, symbols, n).astype(np.uint8)
         t[n // 2 : n // 2 + n // 4] = t[: n // 4]
         order = sorted(range(n), key=lambda i: t.tobytes()[i:])
-        for most in (2, 2048):
-            assert suffixes.suffix_array(t, 256, most).tolist() == order
+        assert suffixes.suffix_array(t).tolist() == order
+        assert suffixes.suffix_array(t.astype(np.int64), 1000).tolist() == order
         shared = suffixes.common_prefixes(t, np.array(order))
         for a, b in zip(order, order[1:]):
             k = 0
@@ -147,13 +148,80 @@ def test_suffix_arrays():
             assert shared[b] == k
 
 
-def test_hot_minimizers_count_by_hash(spark):
+def test_suffix_arrays_of_long_runs():
+    for text in (b"ab" * 3000, b"a" * 4000 + b"b", b"b" * 900 + b"a" * 900, b"abcabd" * 500 + b"zz" * 700):
+        t = np.frombuffer(text, np.uint8)
+        order = suffixes.suffix_array(t).tolist()
+        assert order == sorted(range(len(t)), key=lambda i: text[i:])
+
+
+def test_reduced_strings_are_sorted_by_the_same_steps(monkeypatch):
+    """The string of names of ordinary text has thousands of symbols; it comes back to suffix_array all the same."""
+    asked, whole = [], suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda t, alphabet=256: asked.append(alphabet) or whole(t, alphabet))
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(9000)).encode()
+    suffixes.repeated_windows([text, text[500:9000]], 400)
+    assert asked[0] == 256 and max(asked[1:]) > 2048
+
+
+def test_hot_minimizers_split_or_count(spark):
     rng = random.Random(4)
     passage = " ".join(rng.choices(WORDS, k=150))
     rows = [(i, " ".join(rng.choices(WORDS, k=rng.randint(0, 120))) + " " + passage + " " + " ".join(rng.choices(WORDS, k=40))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    usual, hot = (sorted(map(tuple, suffixes.remove_repeats(docs, shard=s, keep_text=False).drop("spans").collect())) for s in (10**6, 3000))
-    assert usual == hot and all(r[2] >= len(passage) for r in usual)
+    keyed = suffixes.keyed(docs)
+    found = [
+        {(r.doc, s.start, s.end) for r in suffixes.spans_by_row(suffixes.repeated_spans(keyed, 400, shard, levels)).collect() for s in map(lambda x: type("S", (), dict(start=x[0], end=x[1])), suffixes.merged([(x.start, x.end) for x in r.spans]))}
+        for shard, levels in ((10**6, 4), (20_000, 4), (3000, 2), (3000, 0))
+    ]
+    assert found[0] and all(f == found[0] for f in found)
+    assert {d for d, _, _ in found[0]} == set(range(60))
+
+
+def test_compaction_decides(spark, monkeypatch):
+    """Paths are far fewer than edges, and where they break decides what goes: without breaks the result is wrong."""
+    rng = random.Random(7)
+    a, b, c = (rng.choices(WORDS, k=300) for _ in range(3))
+    texts = [a, a[:170] + b, c[:90] + a[100:260] + c[90:], b[20:] + a[40:200], a[:220] + c[200:]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+
+    def removed():
+        return {r.doc_id: (r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(docs, keep_text=False).collect()}
+
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        gone = set()
+        for p in range(len(t) - 49):
+            if first.setdefault(tuple(t[p : p + 50]), i) < i:
+                gone |= set(range(p, p + 50))
+        left = " ".join(x for k, x in enumerate(t) if k not in gone)
+        want[i] = (len(gone), hashlib.sha256(left.encode()).hexdigest())
+    assert removed() == want
+    seen, whole = [], substrings.compact
+
+    def counted(edges, nodes):
+        out = whole(edges, nodes)
+        seen.append((edges.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(substrings, "compact", counted)
+    assert removed() == want and 0 < 5 * seen[0][1] < seen[0][0]
+    monkeypatch.setattr(substrings, "compact", lambda edges, nodes: whole(edges, nodes.withColumns({"enters": F.lit(True), "leaves": F.lit(True)})))
+    assert removed() != want
+
+
+def test_source_words_are_compared(spark, monkeypatch):
+    """Where the first hashes agree and the second ones don't, nothing goes."""
+    rng = random.Random(8)
+    a, b = (" ".join(rng.choices(WORDS, k=200)) for _ in range(2))
+    docs = spark.createDataFrame([(1, a), (2, a), (3, b + " " + a)], "doc_id bigint, text string")
+    assert sum(r.n_removed for r in substrings.remove_repeats(docs).collect()) == 400
+    spans = [s for r in substrings.remove_repeats(docs).collect() for s in r.spans]
+    assert all(s.source == 1 and s.source_start == 0 for s in spans)
+    whole = substrings.repeated
+    monkeypatch.setattr(substrings, "repeated", lambda *x: SimpleNamespace(df=whole(*x).df.withColumn("v", F.col("v") + F.col("doc"))))
+    assert sum(r.n_removed for r in substrings.remove_repeats(docs).collect()) < 400
 
 
 def sets_of(text):
