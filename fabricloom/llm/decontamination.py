@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .common import short_batches, slices, staged
 
 WINDOW = 10
-#: Characters at most of the items that one automaton holds. Beyond it the items are dealt to several passes.
-AUTOMATON_CHARS = 4_000_000
+#: Nodes at most of one automaton, at about 55 bytes each. An item has about WINDOW nodes for each of its characters.
+#: Items beyond it are dealt to several passes, each of which is written before the next.
+AUTOMATON_NODES = 6_000_000
 SPANS = "array<struct<start: bigint, end: bigint, word: bigint, words: bigint>>"
 
 
@@ -55,6 +56,17 @@ def automaton(items: list[tuple], size: int):
     return tree if found else None
 
 
+_built: dict[str, object] = {}
+
+
+def built(name: str, items: list[tuple], size: int):
+    """The automaton of a name, built once by each Python worker; only the last one is held."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = automaton(items, size)
+    return _built[name]
+
+
 def scan(text: str | None, tree) -> tuple[int, list[tuple[int, int]], set]:
     """The number of words, the hit stretches as (first word, words) and the items found. One pass over the text."""
     words = normal(text)
@@ -89,11 +101,11 @@ def original(text: str, stretches: list[tuple[int, int]]) -> list[tuple[int, int
     return [(int(chars[begins[a]]), int(chars[ends[a + n - 1]]), a, n) for a, n in stretches]
 
 
-def _blocks(benchmark: DataFrame, limit: int):
-    """Items in blocks of at most `limit` characters (or one item), each small enough for every task and the driver."""
+def _blocks(benchmark: DataFrame, size: int, limit: int):
+    """Items in blocks of about `limit` nodes (or one item), each small enough for every task and the driver."""
     sized = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     total = sized.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // limit))
+    parts = max(1, -(-total * size // limit))
     if parts == 1:
         yield sized.collect()
         return
@@ -103,27 +115,29 @@ def _blocks(benchmark: DataFrame, limit: int):
             yield block
 
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, limit: int = AUTOMATON_CHARS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, limit: int = AUTOMATON_NODES) -> DataFrame:
     """Adds n_words, items (ids of the benchmark items found, sorted as strings) and spans to documents.
 
     A span is a maximal stretch of hit words: start and end are characters of the original text, word and words
     its place among the words. Null and empty texts have no words. Items with a null id or text are left out;
     repeated items count once. Repeated documents are each searched. Columns of these names are replaced. The
     documents are read in one pass without a shuffle; items past the limit of one automaton are searched for
-    in further passes, whose spans are merged.
+    in further passes, whose spans are merged; every pass is written, so a task holds one automaton at a time.
     """
     short_batches(docs.sparkSession)
     docs = docs.drop("n_words", "items", "spans")
     added = [F.lit(None).cast(t).alias(n) for n, t in (("n_words", "bigint"), ("items", "array<string>"), ("spans", SPANS))]
     schema = docs.select(*docs.columns, *added).schema
     out, width, names = docs, len(docs.columns), schema.names
-    for k, block in enumerate(_blocks(benchmark, limit)):
+    for k, block in enumerate(_blocks(benchmark, size, limit)):
+        out = staged(out, "searched") if k else out
+        name = uuid.uuid4().hex
         shared = docs.sparkSession.sparkContext.broadcast([(str(i), t) for i, t in block])
 
-        def search(batches, shared=shared, again=bool(k)):
+        def search(batches, shared=shared, name=name, again=bool(k)):
             import pyarrow as pa
 
-            tree = automaton(shared.value, size)
+            tree = built(name, shared.value, size)
             span = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "word", "words")]))
             for batch in batches:
                 for part in slices(batch, "text"):

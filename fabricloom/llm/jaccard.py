@@ -453,17 +453,19 @@ def _across(apart: DataFrame, sets: DataFrame) -> DataFrame:
 
     A set that must share k of its n signatures shares one of any n - k + 1; so each keeps its rarest, in one order
     for all, and sets with a link have one of those in common. Where few sets have a signature, they are paired;
-    sketches of the pairs rule most out before whole sets are compared. Where many do, sets that reach each
-    other by such signatures form a cluster. All but a cluster's largest part probe; each block of probing sets
-    meets each block of the cluster's sets in a task that holds those two blocks and returns links only, so a
-    large group gives no row for each of its pairs.
+    sketches of the pairs rule most out before whole sets are compared. Where many do, the sets of a signature
+    form a cluster, and signatures of the same sets form one. All but a cluster's largest part probe; each block of
+    probing sets meets each block of the cluster's sets in a task that holds those two blocks and returns links
+    only, so a large group gives no row for each of its pairs, and a chain of signatures no larger cluster.
     """
-    times = apart.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    times = staged(apart.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "sharers")
     own = Window.partitionBy("rid", "meta")
-    t = apart.join(times, "sig").withColumn("k", F.row_number().over(own.orderBy("n", "sig"))).withColumn("all", F.count(F.lit(1)).over(own))
+    t = apart.join(times.hint("merge"), "sig").withColumn("k", F.row_number().over(own.orderBy("n", "sig"))).withColumn("all", F.count(F.lit(1)).over(own))
     rare = staged(t.where(F.col("k") <= F.col("all") - F.col("meta") % (1 << 32) + 1).select("sig", "rid", "part"), "rare")
-    size = rare.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), (F.min("part") != F.max("part")).alias("open")).where("open")
-    rare = staged(rare.join(size.select("sig", "n"), "sig"), "meetings")
+    members = F.sum(F.xxhash64("rid").cast("decimal(38, 0)"))
+    size = rare.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), members.alias("members"), (F.min("part") != F.max("part")).alias("open")).where("open")
+    size = staged(size.select("sig", "n", "members"), "open-signatures")
+    rare = staged(rare.join(size.hint("merge"), "sig"), "meetings")
     few = rare.where(F.col("n") <= MANY)
     left, right = (few.select("sig", F.col("rid").alias(r), F.col("part").alias(p)) for r, p in (("a", "part_a"), ("b", "part_b")))
     pairs = left.join(right, "sig").where("a < b and part_a != part_b").select("a", "b").distinct()
@@ -474,11 +476,9 @@ def _across(apart: DataFrame, sets: DataFrame) -> DataFrame:
     many = rare.where(F.col("n") > MANY)
     if not many.head(1):
         return found
-    least = many.groupBy("sig").agg(F.min("rid").alias("first"))
-    edges = many.select("sig", "rid").join(least, "sig").select("rid", "first").distinct()
-    cluster = staged(components(edges, ("rid", "first")), "clusters")
-    nodes = many.select("rid", "part").distinct().join(cluster.withColumnRenamed("node", "rid"), "rid", "left")
-    nodes = nodes.select("rid", "part", F.coalesce("least", "rid").alias("cluster"))
+    # signatures with the same members by count and sum of hashes stand for each other
+    one = staged(many.groupBy("n", "members").agg(F.min("sig").alias("sig")).select("sig"), "clusters")
+    nodes = many.join(one.hint("merge"), "sig", "left_semi").select("rid", "part", F.col("sig").alias("cluster"))
     nodes = staged(nodes.join(sets.select("rid", F.col("x").cast("long").alias("x")), "rid"), "nodes")
     sizes = nodes.groupBy("cluster", "part").agg(F.sum("x").alias("x"))
     whole = sizes.groupBy("cluster").agg(F.max(F.struct("x", "part")).alias("most"), F.sum("x").alias("x"))
@@ -518,7 +518,8 @@ def _stars(shared: DataFrame, sets: DataFrame) -> DataFrame:
     """
     fame = shared.groupBy("rid").agg(F.sum("times").alias("fame"))
     best = shared.select("sig", "rid").join(fame, "rid").groupBy("sig").agg(F.max(F.struct("fame", F.col("rid").alias("star"))).alias("best"))
-    votes = shared.select("sig", "rid").join(best.select("sig", "best.star"), "sig").where("rid != star")
+    best = staged(best.select("sig", "best.star"), "best")
+    votes = shared.select("sig", "rid").join(best.hint("merge"), "sig").where("rid != star")
     star = votes.groupBy("rid", "star").agg(F.count(F.lit(1)).alias("n")).groupBy("rid").agg(F.max(F.struct("n", "star")).alias("b"))
     pairs = staged(star.select("rid", F.col("b.star").alias("cluster")).join(sets.select("rid", "x"), "rid"), "stars")
     return _met(pairs, sets)
@@ -559,15 +560,17 @@ def classes(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     sets = texts.select("text", "doc", "th").mapInArrow(_sets, "doc bigint, th bigint, x int, body binary, sketch binary")
     sets = staged(sets.withColumn("rid", F.monotonically_increasing_id()), "sets")
     signed = staged(sets.select("rid", "body").mapInArrow(_sign(attempt), "sig bigint, rid bigint, meta bigint"), "signed")
-    times = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    signed = staged(signed.join(times, "sig"), "shared-signatures")
+    # written before they are joined, so that Spark can split what is hot
+    times = staged(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "times")
+    signed = staged(signed.join(times.hint("merge"), "sig"), "shared-signatures")
     links = staged(_stars(signed, sets), "star-links")
     label = staged(components(links, ("a", "b")), "star-components")
     # what is still apart: signatures whose members lie in several components
     parted = signed.join(label.withColumnRenamed("node", "rid"), "rid", "left").select("sig", "rid", "meta", F.coalesce("least", "rid").alias("part"))
     parted = staged(parted, "parts")
     open_ = parted.groupBy("sig").agg((F.min("part") != F.max("part")).alias("open")).where("open").select("sig")
-    apart = staged(parted.join(open_, "sig", "left_semi"), "apart")
+    open_ = staged(open_, "open")
+    apart = staged(parted.join(open_.hint("merge"), "sig", "left_semi"), "apart")
     # a set that shares too few signatures with other components has no link left to find
     enough = apart.groupBy("rid", "meta").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("meta") % (1 << 32))
     apart = staged(apart.join(enough.select("rid", "meta"), ["rid", "meta"], "left_semi"), "close")

@@ -1,7 +1,9 @@
 """Format-preserving pseudonyms of personal data; only DataFrame functions, no Python on the executors.
 
 A value is permuted within its format by a keyed Feistel network, so equal values get equal pseudonyms in every
-document, different values of one format get different ones, and whoever has the key can undo it.
+document, different values of one format get different ones, and whoever has the key can undo it. What is permuted
+is the value and not its spelling: a number's digits without separators or country code, a name or secret in small
+letters; the separators, country code and capitals of the place are put back.
 """
 
 from __future__ import annotations
@@ -107,10 +109,72 @@ def luhn_digit(body: Column) -> Column:
     return ((10 - total % 10) % 10).cast("string")
 
 
+def _digits(m: Column) -> Column:
+    return F.regexp_replace(m, "[^0-9]", "")
+
+
 def _body(m: Column) -> Column:
     return F.substr(m, F.lit(1), F.length(m) - 1)
 
 
+def _laid_out(m: Column, digits: Column) -> Column:
+    """m with its digits replaced by others, one by one."""
+    return F.array_join(F.transform(F.split(m, "[0-9]", -1), lambda p, i: F.concat(p, F.substr(digits, i + 1, F.lit(1)))), "")
+
+
+def _cased(like: Column, lower: Column) -> Column:
+    """Small letters as capitals where another string has capitals."""
+    ks = F.when(F.length(lower) > 0, F.sequence(F.lit(1), F.length(lower))).otherwise(F.array().cast("array<int>"))
+
+    def one(k: Column) -> Column:
+        c = F.substr(lower, k, F.lit(1))
+        return F.when(F.substr(like, k, F.lit(1)).between("A", "Z"), F.upper(c)).otherwise(c)
+
+    return F.array_join(F.transform(ks, one), "")
+
+
+def _card(m: Column, key: str) -> Column:
+    digits = _digits(m)
+    body = feistel_text(_body(digits), key, F.concat(F.lit("card:"), F.length(digits).cast("string")), F.lit(False))
+    return _laid_out(m, F.concat(body, luhn_digit(body)))
+
+
+def _phone(m: Column, key: str) -> Column:
+    """The national number is permuted, so it is the same with and without a country code, which stays."""
+    country = F.regexp_extract(m, r"^(\+1(?=[0-9]{10}$)|\+[0-9]{1,3}(?=[ .(-]))", 1)
+    rest = F.substr(m, F.length(country) + 1, F.length(m))
+    digits = _digits(rest)
+    new = feistel_text(digits, key, F.concat(F.lit("phone:"), F.length(digits).cast("string")), F.lit(False))
+    return F.concat(country, _laid_out(rest, new))
+
+
+#: Social security numbers that are given out: areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999.
+AREAS, GROUPS, SERIALS = 898, 99, 9999
+
+
+def _ssn(m: Column, key: str) -> Column:
+    area, group, serial = [F.split_part(m, F.lit("-"), F.lit(k)).cast("bigint") for k in (1, 2, 3)]
+    n = ((area - F.when(area > 666, 2).otherwise(1)) * GROUPS + group - 1) * SERIALS + serial - 1
+    n = feistel_number(n, AREAS * GROUPS, SERIALS, key, "ssn")
+    area = F.floor(n / (GROUPS * SERIALS)) + 1
+    parts = (area + (area >= 666).cast("int"), 3), (F.floor(n / SERIALS) % GROUPS + 1, 2), (n % SERIALS + 1, 4)
+    return F.concat_ws("-", *[F.lpad(x.cast("string"), w, "0") for x, w in parts])
+
+
+def _email(m: Column, key: str) -> Column:
+    """The name is permuted, whatever its case; the domain stays."""
+    name, domain = F.split_part(m, F.lit("@"), F.lit(1)), F.split_part(m, F.lit("@"), F.lit(2))
+    new = feistel_text(F.lower(name), key, F.concat(F.lit("email:"), F.lower(domain)), F.lit(False))
+    return F.concat(_cased(name, new), F.lit("@"), domain)
+
+
+def _secret(m: Column, key: str) -> Column:
+    hexadecimal = F.rlike(m, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$"))
+    plain = F.when(hexadecimal, F.lower(m)).otherwise(m)
+    new = feistel_text(plain, key, F.concat(F.lit("secret:"), F.length(m).cast("string")), hexadecimal)
+    return F.when(hexadecimal & F.rlike(m, F.lit("[A-F]")), F.upper(new)).otherwise(new)
+
+
 def _ip(m: Column, key: str) -> Column:
     o = [F.split_part(m, F.lit("."), F.lit(k)).cast("bigint") for k in (1, 2, 3, 4)]
     n = feistel_number(((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3], 65536, 65536, key, "ip")
@@ -155,7 +219,7 @@ def _date(m: Column, key: str) -> Column:
 def kind_of(m: Column) -> Column:
     """What a found string is, or null if it doesn't hold: cards by Luhn, addresses by their octets, dates by the
     calendar, social security numbers by their reserved parts."""
-    digits = F.regexp_replace(m, "[^0-9]", "")
+    digits = _digits(m)
 
     def looks(name: str) -> Column:
         return F.rlike(m, F.lit(f"^(?:{PATTERNS[name]})$"))
@@ -174,17 +238,14 @@ def kind_of(m: Column) -> Column:
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a string of a kind; without a kind the string itself."""
-    layout = F.concat(kind, F.lit(":"), F.length(m).cast("string"))
-    hexadecimal = (kind == "secret") & F.rlike(m, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$"))
-    country = F.when(kind == "phone", F.regexp_extract(m, r"^(\+[0-9]{1,3})(?=[ .(-])", 1)).otherwise(F.lit(""))
-    tail = F.when(kind == "email", F.concat(F.lit("@"), F.split_part(m, F.lit("@"), F.lit(2)))).otherwise(F.lit(""))
-    middle = F.substr(m, F.length(country) + 1, F.length(m) - F.length(country) - F.length(tail))
-    card = feistel_text(_body(m), key, layout, F.lit(False))
     return (
-        F.when(kind == "card", F.concat(card, luhn_digit(card)))
+        F.when(kind == "card", _card(m, key))
         .when(kind == "ip", _ip(m, key))
         .when(kind == "date", _date(m, key))
-        .when(kind.isNotNull(), F.concat(country, feistel_text(middle, key, layout, hexadecimal), tail))
+        .when(kind == "ssn", _ssn(m, key))
+        .when(kind == "phone", _phone(m, key))
+        .when(kind == "email", _email(m, key))
+        .when(kind == "secret", _secret(m, key))
         .otherwise(m)
     )
 
@@ -192,7 +253,8 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Replaces personal data in a text column and adds found, an array of (kind, pseudonym) in text order.
 
-    Numbers and dates that don't hold (see kind_of) stay as they are. A null text stays null and has nothing
+    Numbers and dates that don't hold (see kind_of), dates outside 1800 to 2199 and the domains of mail addresses stay
+    as they are. A null text stays null and has nothing
     found, an empty one stays empty. Rows are worked on one by one, whole, without a shuffle; a text of any
     length is read a fixed number of times. Other columns stay; one named found is replaced.
     """

@@ -91,6 +91,27 @@ def test_suffixes(spark):
         assert got[d] == (len(x), int(gone.sum()), spans, hashlib.sha256(left).hexdigest())
 
 
+def test_pseudonyms(spark, tmp_path):
+    from brute_pii import pseudonymised
+
+    odd = [
+        "Card 4111-1111-1111-1111, again 4111111111111111 and 3782 822463 10005; not 4111111111111112. Mail Ann.Lee9@Mail.example.com!",
+        "+1 (743) 555-3824, 743-555-3824, +44 20 7946 0958, +17435553824; ip 10.0.0.255 not 10.0.0.256 nor v2.0.",
+        f"key {'0a' * 20} {'0A' * 16} AKIA{'Q7' * 8} born 1999-02-28 or 28/2/1999, 2/28/1999, 31.12.2024, not 1999-02-30, nor 1700-01-01",
+        "123-45-6789 665-01-0001 667-99-9999 not 666-01-0001, 900-11-1111", "", None, "\n@ 1.1 \u00e9 \u4e2d 12-12",
+    ]
+    have = duckdb.sql(f"SELECT doc_id, text FROM '{SMALL}/documents.parquet'").fetchall()
+    rows = have + [(10**6 + k, t) for k, t in enumerate(odd)] + [(10**6, odd[0])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in llm.queries()["op7_feistel_pseudonyms"](spark, str(tmp_path)).collect()), key=str)
+    want = []
+    for d, t in rows:
+        new, kinds = pseudonymised(t or "", "demonstration key, not a secret")
+        n = Counter(kinds)
+        want.append((d, None if t is None else new, sum(n[k] for k in ("card", "phone", "ssn", "ip")), n["date"], n["email"] + n["secret"]))
+    assert got == sorted(want, key=str) and sum(r[2] for r in got) > 20
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
