@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import FLOOR
@@ -22,3 +25,40 @@ def tile_metrics(cells: DataFrame, tile_m: float, side: int) -> DataFrame:
         F.round(floors / F.count(F.lit(1)), 6).alias("far_proxy"),
         F.round(floors * area, 6).alias("gfa_m2"),
     )
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A metric by name: its unit, the places it is shown to, and its aggregate over cells of a given area."""
+
+    unit: str
+    places: int
+    value: Callable[[float], Column]
+
+
+def _share(cls: str) -> Callable[[float], Column]:
+    return lambda area: 100.0 * F.avg((F.col("cls") == cls).cast("int"))
+
+
+def _floors() -> Column:
+    return F.coalesce(F.sum(F.when(F.col("cls") == "building", F.col("h") / FLOOR)), F.lit(0.0))
+
+
+#: An entry here is all that a new metric needs.
+REGISTRY: dict[str, Metric] = {
+    "coverage_pct": Metric("%", 2, _share("building")),
+    "street_pct": Metric("%", 2, _share("street")),
+    "green_pct": Metric("%", 2, _share("green")),
+    "mean_height_m": Metric("m", 2, lambda area: F.coalesce(F.avg(F.when(F.col("cls") == "building", F.col("h"))), F.lit(0.0))),
+    "far_proxy": Metric("", 3, lambda area: _floors() / F.count(F.lit(1))),
+    "gfa_m2": Metric("m2", 1, lambda area: _floors() * area),
+}
+
+
+def measure(cells: DataFrame, names: list[str], tile_m: float, side: int) -> DataFrame:
+    """Registered metrics of each tile in one aggregation; an unknown name is an error before any work is done."""
+    unknown = [n for n in names if n not in REGISTRY]
+    if unknown:
+        raise ValueError(f"no such metric: {', '.join(unknown)}")
+    area = (tile_m / side) ** 2
+    return cells.groupBy("tile_id").agg(*[F.round(REGISTRY[n].value(area), REGISTRY[n].places).alias(n) for n in names])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,6 +45,22 @@ def distance(mask: np.ndarray) -> np.ndarray:
     return np.sqrt((gap[:, None, :] ** 2 + off[None] ** 2).min(-1))
 
 
+def nearest_cell(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the mask cell nearest to each cell, the first in row order of equals. The mask has a cell."""
+    h, w = mask.shape
+    rows, cols = np.nonzero(mask)
+    r, c = np.indices((h, w))
+    best = np.full((h, w), np.inf)
+    at = np.zeros((h, w), np.int64)
+    for k in range(0, len(rows), 256):  # in row order, so of equals the first stays
+        some = slice(k, k + 256)
+        d = (r[..., None] - rows[some]) ** 2 + (c[..., None] - cols[some]) ** 2
+        i, low = d.argmin(-1), d.min(-1)
+        better = low < best
+        best[better], at[better] = low[better], i[better] + k
+    return rows[at], cols[at]
+
+
 def signed_distance(mask: np.ndarray, reach: float) -> np.ndarray:
     """Positive inside, half a cell off the edge on either side, cut at reach."""
     inside, outside = distance(mask), distance(~mask)
@@ -50,21 +68,31 @@ def signed_distance(mask: np.ndarray, reach: float) -> np.ndarray:
     return np.clip(d, -reach, reach)
 
 
+@lru_cache(1)
+def _thinning() -> np.ndarray:
+    """For the two half steps of Zhang and Suen (1984), which of the 256 neighbourhoods of a cell let it go.
+
+    Bit k of a neighbourhood is the neighbour at k eighths of a turn from north, clockwise.
+    """
+    code = np.arange(256)
+    bit = (code[:, None] >> np.arange(8)) & 1
+    filled, turns = bit.sum(1), ((bit == 0) & (np.roll(bit, -1, 1) == 1)).sum(1)
+    north, east, south, west = bit[:, ::2].T.astype(bool)
+    edge = (filled >= 2) & (filled <= 6) & (turns == 1)
+    return np.stack([edge & ~(east & south & (north | west)), edge & ~(north & west & (east | south))])
+
+
 def thin(mask: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Thins a mask to lines (Zhang and Suen, 1984)."""
-    m = np.pad(mask, 1)
-    for _ in range(rounds):
-        gone = 0
-        for first in (True, False):
-            p = [m[:-2, 1:-1], m[:-2, 2:], m[1:-1, 2:], m[2:, 2:], m[2:, 1:-1], m[2:, :-2], m[1:-1, :-2], m[:-2, :-2]]
-            count = sum(x.astype(int) for x in p)
-            turns = sum((~p[i] & p[(i + 1) % 8]).astype(int) for i in range(8))
-            n, e, s, w = p[0], p[2], p[4], p[6]
-            clear = (~(n & e & s) & ~(e & s & w)) if first else (~(n & e & w) & ~(n & s & w))
-            drop = m[1:-1, 1:-1] & (count >= 2) & (count <= 6) & (turns == 1) & clear
-            m[1:-1, 1:-1] &= ~drop
-            gone += int(drop.sum())
-        if not gone:
+    """Thins a mask to lines, at most so many rounds of two half steps."""
+    h, w = mask.shape
+    m, go, still = np.pad(mask, 1), _thinning(), 0
+    turn = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+    for half in range(2 * rounds):
+        code = sum(m[1 + a : 1 + a + h, 1 + b : 1 + b + w].astype(np.int64) << k for k, (a, b) in enumerate(turn))
+        drop = m[1:-1, 1:-1] & go[half % 2][code]
+        m[1:-1, 1:-1] &= ~drop
+        still = 0 if drop.any() else still + 1
+        if half % 2 and still >= 2:
             break
     return m[1:-1, 1:-1]
 
@@ -86,11 +114,38 @@ def components(cells: DataFrame, on, eight: bool, side: int) -> DataFrame:
     return _each(cells, on, side, lambda t, m: _long(t, label(m, eight), m, "label"), "tile_id int, r int, c int, label int")
 
 
+def cleaned(cells: DataFrame, on, least: int, side: int) -> DataFrame:
+    """Components of at least so many cells: tile_id, r, c, label."""
+    parts = components(cells, on, False, side)
+    large = parts.groupBy("tile_id", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return parts.join(large.select("tile_id", "label"), ["tile_id", "label"], "left_semi").select("tile_id", "r", "c", "label")
+
+
+def holes(cells: DataFrame, on, below: int, side: int) -> DataFrame:
+    """Cells of holes in a mask with fewer cells than that, none of them at the border."""
+    parts = components(cells, ~on, False, side)
+    edge = F.max((F.col("r").isin(0, side - 1) | F.col("c").isin(0, side - 1)).cast("int"))
+    small = parts.groupBy("tile_id", "label").agg(F.count(F.lit(1)).alias("n"), edge.alias("e")).where((F.col("n") < below) & (F.col("e") == 0))
+    return parts.join(small.select("tile_id", "label"), ["tile_id", "label"], "left_semi").select("tile_id", "r", "c")
+
+
 def distances(cells: DataFrame, on, side: int, reach: float = 8.0) -> DataFrame:
     """Signed distances of all cells to the edge of where on holds."""
     return _each(cells, on, side, lambda t, m: _long(t, signed_distance(m, reach), np.ones_like(m), "distance"), "tile_id int, r int, c int, distance double")
 
 
+def nearest(cells: DataFrame, on, side: int) -> DataFrame:
+    """For each cell of a tile in which on holds somewhere, the nearest cell where it does: nr, nc."""
+    def kernel(t: int, m: np.ndarray) -> pd.DataFrame:
+        r, c = np.indices(m.shape)
+        if not m.any():
+            return pd.DataFrame({"tile_id": [], "r": [], "c": [], "nr": [], "nc": []})
+        nr, nc = nearest_cell(m)
+        return pd.DataFrame({"tile_id": t, "r": r.ravel(), "c": c.ravel(), "nr": nr.ravel(), "nc": nc.ravel()})
+
+    return _each(cells, on, side, kernel, "tile_id int, r int, c int, nr int, nc int")
+
+
 def skeletons(cells: DataFrame, on, side: int) -> DataFrame:
     """Cells of the thinned mask."""
     return _each(cells, on, side, lambda t, m: _long(t, m, thin(m), "on"), "tile_id int, r int, c int, on boolean").drop("on")

@@ -9,6 +9,7 @@ from ..session import table
 from ..sources import files
 from ..sources.cells import SIDE, full_cells
 from .catalog import query
+from .q_raster import _reach
 
 
 @query("rect_mask", """
@@ -136,12 +137,12 @@ def seed_blend(spark, sf_dir):
     return t.join(nxt, "vec_id").select("vec_id", F.round(F.aggregate(blend, F.lit(0.0), lambda s, v: s + v), 5).alias("weight"), F.get(hot, F.lit(3)).alias("hot"))
 
 
-@query("clean_mask", None)
+@query("clean_mask", _reach("building", "abs(a.r - b.r) + abs(a.c - b.c) = 1").replace(
+    "SELECT m.tile_id, m.r, m.c, CAST(min(w.b) AS INT) AS label FROM m", ", l AS (SELECT m.tile_id, m.r, m.c, CAST(min(w.b) AS INT) AS label FROM m"
+) + ") SELECT tile_id, r, c, label FROM l QUALIFY count(*) OVER (PARTITION BY tile_id, label) >= 3")
 def clean_mask(spark, sf_dir):
     """Building cells without components of under three cells."""
-    parts = tiles_np.components(full_cells(spark, sf_dir), F.col("cls") == "building", False, SIDE)
-    large = parts.groupBy("tile_id", "label").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    return parts.join(large.select("tile_id", "label"), ["tile_id", "label"], "left_semi")
+    return tiles_np.cleaned(full_cells(spark, sf_dir), F.col("cls") == "building", 3, SIDE)
 
 
 @query("skeleton", None)
