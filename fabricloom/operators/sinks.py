@@ -36,19 +36,21 @@ def answers(responses: DataFrame, path: str) -> None:
 
 
 def rewrite(rows: DataFrame, path: str) -> str:
-    """Replaces a table that may be what rows are read from: written aside, then swapped; the first old version
-    is kept as a backup. Returns the backup's path."""
+    """Replaces a table that may be what rows are read from: written aside, then swapped by renames; the first old
+    version is kept as a backup, later ones go only once the new one has its name. Returns the backup's path."""
     spark = rows.sparkSession
-    new, backup = f"{path}-new-{uuid.uuid4().hex[:8]}", f"{path}-backup"
+    mark = uuid.uuid4().hex[:8]
+    new, old, backup = f"{path}-new-{mark}", f"{path}-old-{mark}", f"{path}-backup"
     rows.write.parquet(new)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path
     fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(p(backup)):
-        fs.delete(p(path), True)
-    else:
-        fs.rename(p(path), p(backup))
-    fs.rename(p(new), p(path))
+    had = fs.exists(p(backup))
+    for a, b in ((path, old if had else backup), (new, path)):
+        if not fs.rename(p(a), p(b)):
+            raise OSError(f"{a} could not be renamed to {b}")
+    if had:
+        fs.delete(p(old), True)
     return backup
 
 

@@ -64,10 +64,26 @@ def tables(parameters: DataFrame, objectives: list[DataFrame], key: str = "name"
 
 
 def generate(options: DataFrame, model: Callable, schema: str) -> DataFrame:
-    """Runs a model over options in batches: model takes and returns pandas frames. Failures are the model's to
-    report in a column, so that one option's doesn't end the others."""
+    """Runs a model over options in batches: model takes and returns pandas frames; the schema has a column error.
+
+    A batch that fails is run again option by option, and an option that fails alone gives a row with its parameters
+    and the error, so that one option doesn't end the others.
+    """
+    import pandas as pd
+
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def one(option):
+        try:
+            return model(option)
+        except Exception as e:  # any fault of a model is that option's result
+            return option.assign(error=f"{type(e).__name__}: {e}").reindex(columns=names)
+
     def run(batches):
         for batch in batches:
-            yield model(batch)
+            try:
+                yield model(batch)
+            except Exception:
+                yield pd.concat([one(batch.iloc[k : k + 1]) for k in range(len(batch))])
 
     return options.mapInPandas(run, schema)

@@ -5,12 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 
-def w1(a: Column, b: Column, n: int = 200) -> Column:
-    """Mean distance of n quantiles from 1 to 99 percent, of two aggregated columns."""
-    at = F.array(*[F.lit(0.01 + i * (0.98 / (n - 1))) for i in range(n)])
-    gaps = F.zip_with(F.percentile(a, at), F.percentile(b, at), lambda x, y: F.abs(x - y))
-    return F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / n
+
+def quantiles(rows: DataFrame, groups: list[str], value: str, at: list[float]) -> DataFrame:
+    """Quantiles of each group, between neighbours where they fall between: groups, q (its place in the list), x.
+
+    Values are counted, cumulated in ranges and looked up by rank, so a group may hold most rows and no task sees
+    all its values. Null values don't count.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+    below = cumulated(counts, value, "_n", "_below", groups=groups, keep_part=True)
+    ends = below.groupBy(*groups, "_part").agg(F.min("_below").alias("_first"), F.max(F.col("_below") + F.col("_n")).alias("_last"))
+    total = counts.groupBy(*groups).agg(F.sum("_n").alias("_total"))
+    q = F.posexplode(F.array(*[F.lit(float(x)) for x in at])).alias("q", "_q")
+    want = total.select(*groups, "_total", q).withColumn("_at", F.col("_q") * (F.col("_total") - 1))
+    low = F.floor("_at")
+    sides = F.array(F.struct(low.alias("k"), (1 - (F.col("_at") - low)).alias("w")), F.struct(F.least(low + 1, F.col("_total") - 1).alias("k"), (F.col("_at") - low).alias("w")))
+    want = want.select(*groups, "q", F.explode(sides).alias("s")).select(*groups, "q", F.col("s.k").alias("_k"), F.col("s.w").alias("_w"))
+    placed = want.join(ends, groups).where("_k >= _first and _k < _last").select(*groups, "_part", "q", "_k", "_w")
+    found = below.join(placed, [*groups, "_part"]).where("_k >= _below and _k < _below + _n")
+    return found.groupBy(*groups, "q").agg(F.sum(F.col(value) * F.col("_w")).alias("x"))
+
+
+def medians(rows: DataFrame, group: str, value: str) -> DataFrame:
+    return quantiles(rows, [group], value, [0.5]).select(group, F.col("x").alias(value))
+
+
+def w1(made: DataFrame, real: DataFrame, key: str, value: str, n: int = 200) -> DataFrame:
+    """Mean distance of n quantiles from 1 to 99 percent of two tables, by key: key, distance."""
+    at = [0.01 + i * (0.98 / (n - 1)) for i in range(n)]
+    both = made.select(key, value, F.lit(0).alias("_side")).unionByName(real.select(key, value, F.lit(1).alias("_side")))
+    t = quantiles(both, [key, "_side"], value, at).groupBy(key, "q").agg(F.max(F.when(F.col("_side") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("_side") == 1, F.col("x"))).alias("b"))
+    return t.where("a is not null and b is not null").groupBy(key).agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("distance"))
 
 
 def standardise(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,23 +65,34 @@ def percentile_rank(options: DataFrame, corpus: DataFrame, key: str, value: str)
     return ranked.select(key, value, F.round(100.0 * F.col("_below") / F.col("_total"), 1).alias("percentile"))
 
 
-def cumulated(rows: DataFrame, order: str, n: str, name: str, ranges: int = 64) -> DataFrame:
-    """Adds the sum of n over rows with a smaller order value: sums of ranges first, then within each range.
+#: Rows of one range of a cumulated table, about.
+RANGE = 250_000
+
 
-    The edges of the ranges are approximate quantiles; any edges give the same sums.
+def cumulated(rows: DataFrame, order: str, n: str, name: str, groups: list[str] | None = None, keep_part: bool = False) -> DataFrame:
+    """Adds the sum of n over rows of the same group with a smaller order value: sums of ranges first, then within each
+    range. There are as many ranges as RANGE asks for; their edges are approximate quantiles, and any edges give the
+    same sums. The rows are written once, as they are read for the edges, the sums and the result.
     """
-    edges = rows.stat.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.001) if rows.head(1) else []
-    edges = sorted(set(edges))
+    groups = groups or []
+    rows = written(rows, "cumulated")
+    ranges = max(1, -(-rows.count() // RANGE))
+    edges = sorted(set(rows.stat.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
     part = F.lit(0)
-    if edges:
-        part = F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda s, e: s + (F.col(order) > e).cast("int"))
+    if edges:  # a search in the sorted edges: as many steps as the logarithm of their number
+        array = F.array(*map(F.lit, edges))
+        bits = range(len(edges).bit_length() - 1, -1, -1)
+        for b in bits:
+            step = part + (1 << b)
+            part = F.when((step <= len(edges)) & (F.get(array, F.least(step, F.lit(len(edges))) - 1) < F.col(order)), step).otherwise(part)
     dealt = rows.withColumn("_part", part)
-    sums = dealt.groupBy("_part").agg(F.sum(n).alias("_sum"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    sums = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*groups, "_part").agg(F.sum(n).alias("_sum"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a group and range
+    sums = sums.select(*groups, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(*groups, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumn("_in", F.coalesce(F.sum(n).over(within), F.lit(0)))
-    return dealt.join(F.broadcast(sums), "_part").withColumn(name, F.col("_base") + F.col("_in")).drop("_part", "_in", "_base")
+    out = dealt.join(sums, [*groups, "_part"]).withColumn(name, F.col("_base") + F.col("_in")).drop("_in", "_base")
+    return out if keep_part else out.drop("_part")
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_key: str, key: str, vector: str, block: int = 64) -> DataFrame:
@@ -124,7 +162,10 @@ def nearest_rank_quantile(value: str, q: float) -> Column:
 
 
 def smoothed(rows: DataFrame, key: str, order: str, value: str, keep: float) -> DataFrame:
-    """The exponentially smoothed last value of each key's series."""
-    series = F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("double"))
-    fold = F.aggregate(F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))), F.get("s", F.lit(0)), lambda a, x: keep * a + (1 - keep) * x)
-    return rows.groupBy(key).agg(series.alias("s")).select(key, F.round(fold, 6).alias("smoothed"))
+    """The exponentially smoothed last value of each key's series. The smoothing is a weighted sum by the place from the
+    end, the first value weighing what is left; so a series is never gathered."""
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))) - 1
+    v = F.col(value).cast("double")
+    t = rows.select(key, order, v.alias("_v"), back.alias("_k"))
+    first = F.min_by("_v", order) * F.pow(F.lit(keep), F.max("_k") + 1)
+    return t.groupBy(key).agg((F.sum((1 - keep) * F.pow(F.lit(keep), F.col("_k")) * F.col("_v")) + first).alias("smoothed"))

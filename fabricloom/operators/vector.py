@@ -21,10 +21,22 @@ def ring_facts(points: DataFrame, keys: list[str]) -> DataFrame:
     return s.groupBy(*keys).agg(F.round(F.sum(cross) / 2, 6).alias("area"), F.round(F.sum(F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y"))), 6).alias("length"))
 
 
-def points_in_rings(points: DataFrame, rings: DataFrame, ring_keys: list[str], on: str) -> DataFrame:
-    """Points (on, p, px, py) inside rings of the same `on`: crossings to the right are counted, odd is inside."""
+def _cells(low: Column, high: Column, cell: float) -> Column:
+    return F.sequence(F.floor(low / cell), F.floor(high / cell))
+
+
+def points_in_rings(points: DataFrame, rings: DataFrame, ring_keys: list[str], on: str, cell: float = 50.0) -> DataFrame:
+    """Points (on, p, px, py) inside rings of the same `on`: crossings to the right are counted, odd is inside.
+
+    A point meets only the rings whose box has the point's grid cell: rings are listed by the cells of their box.
+    """
+    box = rings.groupBy(on, *ring_keys).agg(*[f(c).alias(f"_{n}{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
+    placed = box.select(on, *ring_keys, F.explode(_cells(F.col("_lox"), F.col("_hix"), cell)).alias("_cx"), "_loy", "_hiy")
+    placed = placed.select(on, *ring_keys, "_cx", F.explode(_cells(F.col("_loy"), F.col("_hiy"), cell)).alias("_cy"))
+    at_cell = points.withColumns({"_cx": F.floor(F.col("px") / cell), "_cy": F.floor(F.col("py") / cell)})
+    near = at_cell.join(placed, [on, "_cx", "_cy"]).drop("_cx", "_cy")
     s = segments(rings, [on, *ring_keys]).where("y != y2")
-    t = points.join(s, on)
+    t = near.join(s, [on, *ring_keys])
     crosses = (F.col("y") > F.col("py")) != (F.col("y2") > F.col("py"))
     at = F.col("x") + (F.col("py") - F.col("y")) * (F.col("x2") - F.col("x")) / (F.col("y2") - F.col("y"))
     hit = t.where(crosses & (at > F.col("px"))).groupBy(on, "p", *ring_keys).agg(F.count(F.lit(1)).alias("n"))
@@ -64,8 +76,15 @@ def shortest_parallel(edges: DataFrame, a: str, b: str, length: str) -> DataFram
 
 
 def nearest_segment(points: DataFrame, runs: DataFrame, on: str, cap: float) -> DataFrame:
-    """The nearest segment (run, ax, ay, bx, by) of the same `on` to each point (p, px, py), no farther than cap."""
-    t = points.join(runs, on)
+    """The nearest segment (run, ax, ay, bx, by) of the same `on` to each point (p, px, py), no farther than cap.
+
+    A segment is listed by the grid cells, cap wide, of its box widened by the cap; a point looks in its own.
+    """
+    def around(a: str, b: str) -> Column:
+        return _cells(F.least(a, b) - cap, F.greatest(a, b) + cap, cap)
+
+    listed = runs.withColumn("_cx", F.explode(around("ax", "bx"))).withColumn("_cy", F.explode(around("ay", "by")))
+    t = points.withColumns({"_cx": F.floor(F.col("px") / cap), "_cy": F.floor(F.col("py") / cap)}).join(listed, [on, "_cx", "_cy"])
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     u = F.coalesce(F.try_divide((F.col("px") - F.col("ax")) * dx + (F.col("py") - F.col("ay")) * dy, dx * dx + dy * dy), F.lit(0.0))
     u = F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0))

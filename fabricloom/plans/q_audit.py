@@ -76,7 +76,7 @@ def height_lut_apply(spark, sf_dir):
     mean = lut.agg(F.rint(F.sum(F.col("byte") * F.col("n")) / F.sum("n")).cast("int").alias("mean_byte"))
     # both sides of the lookup are bounded: 256 grey levels, one mean
     rows = table(spark, sf_dir, "part").select("p_partkey", (100 + F.col("p_size") * 3).alias("grey"))
-    return rows.join(F.broadcast(lut), "grey").join(F.broadcast(mean), F.lit(True)).select("p_partkey", "byte", "mean_byte")
+    return rows.join(lut, "grey").join(F.broadcast(mean), F.lit(True)).select("p_partkey", "byte", "mean_byte")  # one row
 
 
 @query("grey_percentiles", """
@@ -134,7 +134,7 @@ _HAVE = "SELECT DISTINCT n_name, CAST(event_id * 7 % 625 AS INT) AS idx FROM eve
 
 
 def _have(spark, sf_dir):
-    nation = F.broadcast(table(spark, sf_dir, "nation"))
+    nation = table(spark, sf_dir, "nation")
     return table(spark, sf_dir, "events").join(nation, F.expr("n_nationkey = user_id % 25")).select("n_name", (F.col("event_id") * 7 % 625).cast("int").alias("idx"))
 
 
@@ -176,12 +176,14 @@ def tile_metrics(spark, sf_dir):
     return measure(full_cells(spark, sf_dir), tile_m=400.0, side=32)
 
 
-@query("seeded_sample", None)
+@query("seeded_sample", """
+SELECT source, doc_id, k FROM (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id), doc_id) AS INT) AS k FROM documents) WHERE k <= 20
+""")
 def seeded_sample(spark, sf_dir):
     """Up to 20 documents of each source, in the order of a seeded hash."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
+    w = Window.partitionBy("source").orderBy(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))), "doc_id")
     return table(spark, sf_dir, "documents").select("source", "doc_id").withColumn("k", F.row_number().over(w)).where("k <= 20")
 
 

@@ -67,19 +67,26 @@ def keep_last_six(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("k", F.row_number().over(w)).where("k <= 6").select("user_id", "event_id")
 
 
-@query("stub_space", None)
+@query("stub_space", """
+WITH p AS (SELECT ((a.i * 3 + b.i) * 3 + c.i) * 3 + d.i + 1 AS option, lpad(CAST(((a.i * 3 + b.i) * 3 + c.i) * 3 + d.i + 1 AS VARCHAR), 3, '0') AS name,
+  10.0 + a.i * 10.0 AS coverage, 6.0 + b.i * 12.0 AS height, c.i * 10.0 AS green, CAST(1 + d.i AS DOUBLE) AS seed FROM range(4) a(i), range(3) b(i), range(3) c(i), range(3) d(i)),
+m AS (SELECT tile_id, round(100.0 * avg(CASE WHEN cls = 'building' THEN 1 ELSE 0 END), 6) AS coverage_pct, round(coalesce(sum(h / 3.0) FILTER (cls = 'building'), 0) / count(*), 6) AS far_proxy FROM full_cells GROUP BY 1)
+SELECT option, name, coverage, height, green, seed, CASE WHEN option % 10 != 0 THEN CAST(option % 8 AS INT) END AS tile_id,
+  CASE WHEN option % 10 = 0 THEN 'ValueError: no tile for option ' || option END AS error, coverage_pct, far_proxy FROM p LEFT JOIN m ON option % 10 != 0 AND m.tile_id = option % 8
+""", cells=True)
 def stub_space(spark, sf_dir):
-    """The whole grid through the stub model: a tile of the pool by parameters, and its readings."""
-    from ..functions.scalars import stub_index
+    """The whole grid through a stub model that picks a tile of the pool and fails for every tenth option, and the
+    readings of the tiles."""
     from ..operators.metrics import tile_metrics
     from ..sources.cells import SIDE, full_cells
 
-    t = param_grid(spark, sf_dir)
-    names = [n for n, *_ in _AXES]
-    picked = t.withColumn("tile_id", stub_index(F.to_json(F.struct(*names)), 8))
-
     def model(batch: pd.DataFrame) -> pd.DataFrame:
-        return batch.assign(error=None)
-
-    made = space.generate(picked, model, "coverage double, height double, green double, seed double, option bigint, name string, tile_id int, error string")
-    return made.join(tile_metrics(full_cells(spark, sf_dir), 400.0, SIDE), "tile_id")
+        bad = batch.loc[batch["option"] % 10 == 0, "option"]
+        if len(bad):
+            raise ValueError(f"no tile for option {bad.iloc[0]}")
+        return batch.assign(tile_id=batch["option"] % 8, error=None)
+
+    columns = "coverage double, height double, green double, seed double, option bigint, name string, tile_id int, error string"
+    made = space.generate(param_grid(spark, sf_dir), model, columns)
+    read = tile_metrics(full_cells(spark, sf_dir), 400.0, SIDE).select("tile_id", "coverage_pct", "far_proxy")
+    return made.join(read, "tile_id", "left")

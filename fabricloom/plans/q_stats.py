@@ -22,12 +22,12 @@ def w1_distance(spark, sf_dir):
     """Prices of returned lines against those of the first other flag, by line status."""
     t = table(spark, sf_dir, "lineitem").select("l_linestatus", "l_returnflag", "l_extendedprice")
     other = t.where("l_returnflag != 'R'").groupBy("l_linestatus").agg(F.min("l_returnflag").alias("other"))
-    t = t.join(F.broadcast(other), "l_linestatus")  # one row a status
-    price = F.col("l_extendedprice")
-    made, real = F.when(F.col("l_returnflag") == "R", price), F.when(F.col("l_returnflag") == F.col("other"), price)
-    out = t.groupBy("l_linestatus").agg(stats.w1(made, real).alias("d"), F.stddev_pop(real).alias("sd"), F.count(made).alias("n"))
+    t = t.join(other, "l_linestatus")
+    real = t.where("l_returnflag = other")
+    d = stats.w1(t.where("l_returnflag = 'R'"), real, "l_linestatus", "l_extendedprice")
+    out = d.join(real.groupBy("l_linestatus").agg(F.stddev_pop("l_extendedprice").alias("sd")), "l_linestatus")
     sd = F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))
-    return out.where("n > 0").select("l_linestatus", F.round("d", 4).alias("distance"), F.round(F.col("d") / sd, 6).alias("relative"))
+    return out.select("l_linestatus", F.round("distance", 4).alias("distance"), F.round(F.col("distance") / sd, 6).alias("relative"))
 
 
 @query("snapshot_best", """
@@ -47,8 +47,8 @@ WITH a AS (SELECT c_nationkey AS k, median(c_acctbal) AS m FROM customer GROUP B
 SELECT count(*) AS cities, round(avg(abs(a.m - b.m)), 6) AS mae FROM a JOIN b USING (k)
 """)
 def city_median_mae(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.median("c_acctbal").alias("a"))
-    b = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.median("s_acctbal").alias("b"))
+    a = stats.medians(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("a")), "k", "a")
+    b = stats.medians(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("b")), "k", "b")
     return a.join(b, "k").agg(F.count(F.lit(1)).alias("cities"), F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 6).alias("mae"))
 
 
@@ -204,10 +204,13 @@ def direction_fit(spark, sf_dir):
     return directions(t, "embedding", ["label", "phase"], ridge=1.0)
 
 
-@query("held_out_split", None)
+@query("held_out_split", """
+WITH s AS (SELECT source, row_number() OVER (ORDER BY md5('11:' || source), source) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents))
+SELECT k <= ceil(n / 10.0) AS held_out, count(*) AS docs, count(DISTINCT source) AS sources FROM documents JOIN s USING (source) GROUP BY 1
+""")
 def held_out_split(spark, sf_dir):
     """One source in ten is held out, by the order of a seeded hash."""
     sources = table(spark, sf_dir, "documents").select("source").distinct()
-    held = sources.withColumn("k", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(11), "source"), "source"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    held = sources.withColumn("k", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit("11:"), "source")), "source"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
     held = held.select("source", (F.col("k") <= F.ceil(F.col("n") / 10)).alias("held_out"))
     return table(spark, sf_dir, "documents").join(held, "source").groupBy("held_out").agg(F.count(F.lit(1)).alias("docs"), F.count_distinct("source").alias("sources"))

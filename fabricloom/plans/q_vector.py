@@ -87,6 +87,9 @@ def nearest_segment(spark, sf_dir):
     return vector.nearest_segment(points, runs, "place", 100.0)
 
 
-@query("ring_geojson", None)
+@query("ring_geojson", f"""
+WITH {_RINGS}, p AS (SELECT id, any_value(h) AS h, list('[' || x || ',' || y || ']' ORDER BY seq) AS p FROM rings GROUP BY 1)
+SELECT id, '{{"type":"Feature","properties":{{"id":' || id || ',"h":' || h || '}},"geometry":{{"type":"Polygon","coordinates":[[' || array_to_string(list_append(p, p[1]), ',') || ']]}}}}' AS feature FROM p
+""")
 def ring_geojson(spark, sf_dir):
     return vector.geojson(_rings(spark, sf_dir), ["id"], ["id", "h"])

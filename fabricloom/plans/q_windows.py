@@ -154,7 +154,21 @@ def skeleton(spark, sf_dir):
     return thin.join(near, ["tile_id", "r", "c"], "left").select("tile_id", "r", "c", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
 
 
-@query("fetch_plan", None)
+@query("fetch_plan", """
+WITH p AS (SELECT CAST(n_nationkey AS BIGINT) AS place, (n_nationkey - 12) * 4.0 AS lat, n_nationkey * 7.0 AS lon FROM nation),
+b AS (SELECT place, CAST(i AS INT) AS i, CAST(j AS INT) AS j, lat + (i * 2060.0 - 5150) / 111320.0 AS south, lon + (j * 2060.0 - 5150) / (111320.0 * cos(radians(lat))) AS west,
+  lat + (i * 2060.0 - 5150) / 111320.0 + 2060.0 / 111320.0 AS north, lon + (j * 2060.0 - 5150) / (111320.0 * cos(radians(lat))) + 2060.0 / (111320.0 * cos(radians(lat))) AS east FROM p, range(5) a(i), range(5) b(j)),
+k AS (SELECT *, printf('%.5f', round(south, 5)) AS s, printf('%.5f', round(west, 5)) AS w, printf('%.5f', round(north, 5)) AS n, printf('%.5f', round(east, 5)) AS e FROM b)
+SELECT place, i, j, round(south, 8) AS south, round(west, 8) AS west, round(north, 8) AS north, round(east, 8) AS east, s || '_' || w || '_' || n || '_' || e AS key, 5 AS asks FROM k
+""")
 def fetch_plan(spark, sf_dir):
-    """The boxes, keys and requests that cover a 10 km window around one fixed point; no table is read."""
-    return files.chunks(spark, 48.2, 11.5, 10_000.0, 2_500.0).withColumn("request", files.query_text(F.col("south"), F.col("west"), F.col("north"), F.col("east")))
+    """The boxes and keys of a 10 km window, with its margin, around each nation's stand-in place, and how often
+    the request text of each asks for its box (buildings, streets, three kinds of greens)."""
+    n = F.col("n_nationkey")
+    places = table(spark, sf_dir, "nation").select(n.cast("long").alias("place"), ((n - 12) * 4.0).alias("lat"), (n * 7.0).alias("lon"))
+    t = files.chunks(places, 10_000.0, 2_500.0)
+    box = F.format_string("%.5f,%.5f,%.5f,%.5f", "south", "west", "north", "east")
+    text = files.query_text(F.col("south"), F.col("west"), F.col("north"), F.col("east"))
+    asked = F.concat(F.lit("("), box, F.lit(")"))
+    once = ((F.length(text) - F.length(F.replace(text, asked, F.lit("")))) / F.length(asked)).cast("int")
+    return t.select("place", "i", "j", *[F.round(c, 8).alias(c) for c in ("south", "west", "north", "east")], "key", once.alias("asks"))

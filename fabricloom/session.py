@@ -2,8 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Only for a master on this machine, where spark.checkpoint.dir is unset.
+FALLBACK_DIR = "file:///tmp/checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A local master may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir isn't set; executors need a folder they share")
+    return (base or FALLBACK_DIR).rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/fabricloom-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table written once to the shared folder and read again: what several readers need, and what bounds lineage."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def local_session(cores: str = "8", partitions: int = 8, name: str = "fabricloom") -> SparkSession:
     """A session for tests and benchmarks; clusters bring their own."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,23 +101,58 @@ ELEMENT = f"type string, id bigint, tags map<string, string>, geometry array<{PO
 
 
 def elements(spark: SparkSession, path: str) -> DataFrame:
-    """Map elements from saved answers ({elements: [..]}, gzip or not), the first of each type and id."""
+    """Map elements from saved answers ({elements: [..]}, gzip or not), of each type and id the first by file and place."""
     t = spark.read.schema(f"elements array<struct<{ELEMENT.replace(' string', ': string', 1).replace('id bigint', 'id: bigint').replace('tags map', 'tags: map').replace('geometry array', 'geometry: array', 1).replace('members array', 'members: array')}>>").json(path, multiLine=True)
-    rows = t.select(F.inline("elements"))
-    first = rows.groupBy("type", "id").agg(F.first(F.struct("tags", "geometry", "members")).alias("e"))
+    rows = t.select(F.col("_metadata.file_path").alias("_file"), F.posexplode("elements").alias("_at", "e"))
+    rows = rows.select("e.type", "e.id", F.struct("_file", "_at").alias("_order"), F.struct("e.tags", "e.geometry", "e.members").alias("e"))
+    first = rows.groupBy("type", "id").agg(F.min_by("e", "_order").alias("e"))
     return first.select("type", "id", "e.*")
 
 
+def chained(ways: Column) -> Column:
+    """Ways of a relation with open ones joined where one ends as another begins or ends: a fold that adds to the open
+    chain what fits it, as often as there are ways, so their order doesn't matter. Chains that stay open stay as they are."""
+    last = lambda w: F.get(w, F.size(w) - 1)
+    first = lambda w: F.get(w, F.lit(0))
+    closed = lambda w: (F.size(w) >= 4) & (first(w) == last(w))
+    fits = lambda a, b: ~closed(a) & ~closed(b) & ((last(a) == first(b)) | (last(a) == last(b)))
+    empty = F.array().cast(f"array<array<{POINT}>>")
+
+    def grow(state: Column, _: Column) -> Column:
+        head, rest = F.get(state["open"], F.lit(0)), F.slice(state["open"], 2, F.greatest(F.size(state["open"]), F.lit(1)))
+        match = F.array_position(F.transform(rest, lambda w: fits(head, w)), True).cast("int")
+        other = F.get(rest, match - 1)
+        tail = F.when(last(head) == first(other), other).otherwise(F.reverse(other))
+        joined = F.concat(head, F.slice(tail, 2, F.greatest(F.size(tail), F.lit(1))))
+        left = F.filter(rest, lambda w, i: i != match - 1)
+        more = F.struct(F.concat(F.array(joined), left).alias("open"), state["done"].alias("done"))
+        stop = F.struct(rest.alias("open"), F.concat(state["done"], F.array(head)).alias("done"))
+        none = F.struct(state["open"].alias("open"), state["done"].alias("done"))
+        return F.when(F.size(state["open"]) == 0, none).when(match > 0, more).otherwise(stop)
+
+    start = F.struct(F.coalesce(ways, empty).alias("open"), empty.alias("done"))
+    turns = F.sequence(F.lit(0), 2 * F.size(F.coalesce(ways, empty)))
+    return F.aggregate(turns, start, grow, lambda s: s["done"])
+
+
 def features(elements: DataFrame, lat0: float, lon0: float) -> DataFrame:
     """Buildings, streets and greens of map elements, in metres east and north of a point: kind, type, id, ring,
-    is_hole, points, height and width. Rings are closed ways and the members of relations."""
+    is_hole, points, height and width. Rings are closed ways and the members of relations, whose open ways are joined
+    at their ends."""
     east, north = 111320.0 * F.cos(F.radians(F.lit(lat0))), F.lit(111320.0)
 
     def local(points: Column) -> Column:
         return F.transform(points, lambda p: F.struct(((p["lon"] - lon0) * east).alias("x"), ((p["lat"] - lat0) * north).alias("y")))
 
+    ways = F.filter("members", lambda m: m["type"] == "way")
+
+    def members(inner: bool) -> Column:
+        some = F.filter(ways, lambda m: (F.coalesce(m["role"], F.lit("")) == "inner") == inner)
+        joined = chained(F.transform(some, lambda m: m["geometry"]))
+        return F.transform(joined, lambda g: F.struct(F.lit("inner" if inner else "outer").alias("role"), g.alias("geometry")))
+
     rings = F.when(F.col("type") == "way", F.array(F.struct(F.lit("outer").alias("role"), F.col("geometry").alias("geometry")))).otherwise(
-        F.transform(F.filter("members", lambda m: m["type"] == "way"), lambda m: F.struct(m["role"].alias("role"), m["geometry"].alias("geometry")))
+        F.concat(members(False), members(True))
     )
     t = elements.select("type", "id", "tags", F.posexplode(rings).alias("ring", "g"))
     n = F.size("g.geometry")
@@ -139,17 +176,19 @@ def query_text(south: Column, west: Column, north: Column, east: Column) -> Colu
     return F.replace(F.lit(text), F.lit("{box}"), box)
 
 
-def chunks(spark: SparkSession, lat: float, lon: float, size_m: float, chunk_m: float) -> DataFrame:
-    """Boxes that tile a square window around a point: i, j, south, west, north, east, and a key for saved answers."""
+def chunks(places: DataFrame, size_m: float, chunk_m: float, margin_m: float = 150.0) -> DataFrame:
+    """Boxes that tile a square window with a margin around each place (place, lat, lon): place, i, j, south, west, north,
+    east, and a key for saved answers. Boxes are at most chunk_m wide, as wide as they can be to be alike."""
     from ..functions.scalars import metres_per_degree
 
-    n = max(1, -(-int(size_m) // int(chunk_m)))
-    per_lat, per_lon = metres_per_degree(F.lit(lat))
+    whole = size_m + 2 * margin_m
+    n = max(1, math.ceil(whole / chunk_m))
+    per_lat, per_lon = metres_per_degree(F.col("lat"))
     axis = F.sequence(F.lit(0), F.lit(n - 1))
-    t = spark.range(1).select(F.explode(axis).alias("i")).select("i", F.explode(axis).alias("j"))
-    step = size_m / n
-    south, west = lat + (F.col("i") * step - size_m / 2) / per_lat, lon + (F.col("j") * step - size_m / 2) / per_lon
-    t = t.select("i", "j", south.alias("south"), west.alias("west"), (south + step / per_lat).alias("north"), (west + step / per_lon).alias("east"))
+    t = places.select("place", "lat", "lon", F.explode(axis).alias("i")).select("place", "lat", "lon", "i", F.explode(axis).alias("j"))
+    step = whole / n
+    south, west = F.col("lat") + (F.col("i") * step - whole / 2) / per_lat, F.col("lon") + (F.col("j") * step - whole / 2) / per_lon
+    t = t.select("place", "i", "j", south.alias("south"), west.alias("west"), (south + step / per_lat).alias("north"), (west + step / per_lon).alias("east"))
     return t.withColumn("key", F.format_string("%.5f_%.5f_%.5f_%.5f", "south", "west", "north", "east"))
 
 
