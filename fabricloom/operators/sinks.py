@@ -80,3 +80,27 @@ def images(cells: DataFrame, side: int) -> DataFrame:
         return pd.DataFrame({"tile_id": [tile["tile_id"].iloc[0]], "image": [png(a.tobytes(), side, side)]})
 
     return cells.groupBy("tile_id").applyInPandas(draw, "tile_id int, image binary")
+
+
+def summary(rows: DataFrame, lines: list, path: str) -> None:
+    """Text lines, a row of text for each row and line expression, in the order of both."""
+    text = F.explode(F.array(*lines))
+    rows.select(text.alias("value")).write.mode("overwrite").text(path)
+
+
+def manifest(facts: dict, spark, path: str) -> None:
+    """One JSON object with a run's facts and the time it was written."""
+    row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in facts.items()], F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("written"))
+    report(row, path)
+
+
+def once(rows: DataFrame, path: str, key: str) -> DataFrame:
+    """Adds to a store, one folder a key, only the keys that it doesn't have; returns the keys that were added."""
+    spark = rows.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    have = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    new = rows.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti") if have else rows
+    added = new.select(key).distinct()
+    added = spark.createDataFrame(added.collect(), added.schema)  # names of cities or snapshots, before they are there
+    new.repartition(key).write.mode("append").partitionBy(key).parquet(path)
+    return added

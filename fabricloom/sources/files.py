@@ -100,11 +100,12 @@ POINT = "struct<lat: double, lon: double>"
 ELEMENT = f"type string, id bigint, tags map<string, string>, geometry array<{POINT}>, members array<struct<type: string, role: string, geometry: array<{POINT}>>>"
 
 
-def elements(spark: SparkSession, path: str) -> DataFrame:
-    """Map elements from saved answers ({elements: [..]}, gzip or not), of each type and id the first by file and place."""
-    t = spark.read.schema(f"elements array<struct<{ELEMENT.replace(' string', ': string', 1).replace('id bigint', 'id: bigint').replace('tags map', 'tags: map').replace('geometry array', 'geometry: array', 1).replace('members array', 'members: array')}>>").json(path, multiLine=True)
-    rows = t.select(F.col("_metadata.file_path").alias("_file"), F.posexplode("elements").alias("_at", "e"))
-    rows = rows.select("e.type", "e.id", F.struct("_file", "_at").alias("_order"), F.struct("e.tags", "e.geometry", "e.members").alias("e"))
+def elements(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Map elements from saved answers ({elements: [..]}, gzip or not), of each type and id the first by file and place.
+    lines: an answer a line, else a file."""
+    t = spark.read.schema(f"elements array<struct<{ELEMENT.replace(' string', ': string', 1).replace('id bigint', 'id: bigint').replace('tags map', 'tags: map').replace('geometry array', 'geometry: array', 1).replace('members array', 'members: array')}>>").json(path, multiLine=not lines)
+    rows = t.select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"), F.posexplode("elements").alias("_at", "e"))
+    rows = rows.select("e.type", "e.id", F.struct("_file", "_row", "_at").alias("_order"), F.struct("e.tags", "e.geometry", "e.members").alias("e"))
     first = rows.groupBy("type", "id").agg(F.min_by("e", "_order").alias("e"))
     return first.select("type", "id", "e.*")
 
@@ -194,3 +195,9 @@ def chunks(places: DataFrame, size_m: float, chunk_m: float, margin_m: float = 1
 
 def option_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("name string, parameters map<string, double>, objectives map<string, string>, seconds map<string, double>").json(path)
+
+
+def inventory(spark: SparkSession, folder: str, pattern: str = "*", least: int = 0) -> DataFrame:
+    """Files of a folder by name: path, name, length; only the listing is read. Files of least bytes or fewer are left out."""
+    t = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return t.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length").where(F.col("length") > least)
