@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import raster, tiles_np
 
 AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
@@ -167,16 +168,17 @@ def dissolved(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
     return left, measured(kept.unionByName(joined), left)
 
 
-def clean(nodes: DataFrame, edges: DataFrame, spur: float, isolated: float, short: float, rounds: int = 3, write=lambda df, name: df) -> tuple[DataFrame, DataFrame]:
-    """Loops split, then rounds of trimming, contracting and dissolving; nodes without an edge go. write: what keeps each
-    round's tables, so that plans don't grow round by round."""
+def clean(nodes: DataFrame, edges: DataFrame, spur: float, isolated: float, short: float, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Loops split, then rounds of trimming, contracting and dissolving; nodes without an edge go. Each round's tables
+    are written, so that plans don't grow round by round."""
     nodes, edges = split_loops(nodes, edges, short)
+    nodes, edges = written(nodes, "nodes"), written(edges, "edges")
     for _ in range(rounds):
-        edges = write(trimmed(edges, spur, isolated, 2 * short), "trimmed")
+        edges = written(trimmed(edges, spur, isolated, 2 * short), "trimmed")
         nodes, edges = contracted(nodes, edges, short)
-        nodes, edges = write(nodes, "nodes"), write(edges, "contracted")
+        nodes, edges = written(nodes, "nodes"), written(edges, "contracted")
         nodes, edges = dissolved(nodes, edges)
-        nodes, edges = write(nodes, "nodes"), write(edges, "dissolved")
+        nodes, edges = written(nodes, "nodes"), written(edges, "dissolved")
     return nodes.join(_degree(edges).select("tile_id", "node"), ["tile_id", "node"], "left_semi"), edges
 
 
@@ -184,8 +186,6 @@ def simplified(lines: DataFrame, keys: list[str], epsilon: float, most: int = 1
     """Lines of points (keys, seq, x, y) by Douglas and Peucker: kept points. All stretches of all lines are looked at once a
     round, and cut at their farthest point (the first of equals) while it is farther than epsilon from their chord;
     there are as many rounds as the deepest cut, each a window over stretches."""
-    from ..session import written
-
     own = Window.partitionBy(*keys)
     t = lines.withColumn("_keep", (F.col("seq") == F.min("seq").over(own)) | (F.col("seq") == F.max("seq").over(own)))
     for _ in range(most):

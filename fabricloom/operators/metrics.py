@@ -62,3 +62,29 @@ def measure(cells: DataFrame, names: list[str], tile_m: float, side: int) -> Dat
         raise ValueError(f"no such metric: {', '.join(unknown)}")
     area = (tile_m / side) ** 2
     return cells.groupBy("tile_id").agg(*[F.round(REGISTRY[n].value(area), REGISTRY[n].places).alias(n) for n in names])
+
+
+def form_metrics(cells: DataFrame, buildings: DataFrame, tile_m: float, side: int) -> DataFrame:
+    """Form of each tile: floor area ratio and area, coverage, open space ratio, facade area and its ratio to floor area,
+    and the count and mean footprint of buildings (tile_id, label: cells that touch are one, whatever their heights).
+
+    Floors are whole, one at least. A wall stands wherever the cell beside isn't as tall, at a cell's full height.
+    """
+    from .raster import neighbours
+
+    cell = tile_m / side
+    built = cells.where("cls = 'building'").select("tile_id", "r", "c", "h")
+    same = neighbours(built, ["h"], [(0, 1), (1, 0), (0, -1), (-1, 0)]).where("h = n_h").groupBy("tile_id", "r", "c").agg(F.count(F.lit(1)).alias("_same"))
+    walls = built.join(same, ["tile_id", "r", "c"], "left").withColumn("_walls", 4 - F.coalesce("_same", F.lit(0)))
+    floors = F.greatest(F.lit(1.0), F.rint(F.col("h") / FLOOR))
+    form = walls.groupBy("tile_id").agg(F.count(F.lit(1)).alias("_foot"), F.sum(floors).alias("_floors"), F.sum(F.col("_walls") * F.col("h")).alias("_walls"))
+    count = buildings.groupBy("tile_id").agg(F.count_distinct("label").alias("building_count"))
+    t = cells.groupBy("tile_id").agg(F.count(F.lit(1)).alias("_site")).join(form, "tile_id", "left").join(count, "tile_id", "left")
+    zero = F.lit(0.0)
+    foot, n, floors, walls = (F.coalesce(c, F.lit(0)) for c in ("_foot", "building_count", "_floors", "_walls"))
+    return t.select(
+        "tile_id", F.round(floors / F.col("_site"), 3).alias("far"), F.round(floors * cell * cell, 1).alias("gfa_m2"), F.round(100.0 * foot / F.col("_site"), 2).alias("coverage_pct"),
+        F.round(F.coalesce(F.try_divide(F.col("_site") - foot, floors), zero), 3).alias("open_space_ratio"), F.round(walls * cell, 1).alias("facade_area_m2"),
+        F.round(F.coalesce(F.try_divide(walls * cell, floors * cell * cell), zero), 3).alias("facade_to_floor"),
+        n.cast("long").alias("building_count"), F.round(F.coalesce(F.try_divide(foot * cell * cell, n), zero), 1).alias("mean_footprint_m2"),
+    )

@@ -42,6 +42,12 @@ def extreme(cells: DataFrame, value: str, radius: int, largest: bool, side: int)
     return cells
 
 
+def dilate_cross(cells: DataFrame, value: str) -> DataFrame:
+    """The largest of each cell and the four beside it."""
+    near = [f(value).over(_along(axis)) for axis in ("r", "c") for f in (F.lag, F.lead)]
+    return cells.withColumn(value, F.greatest(F.col(value), *near))
+
+
 def open_close(cells: DataFrame, value: str, opening: int, closing: int, side: int) -> DataFrame:
     """Opening (erode, dilate), then closing (dilate, erode), by squares."""
     for radius, largest in ((opening, False), (opening, True), (closing, True), (closing, False)):

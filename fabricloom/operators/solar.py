@@ -105,3 +105,22 @@ def view_rays(around: int, up: int, spread: float = 180.0) -> Column:
     az = F.transform(F.sequence(F.lit(0), F.lit(around - 1)), lambda i: -spread / 2 + (i + 0.5) * spread / around)
     alt = F.transform(F.sequence(F.lit(0), F.lit(up - 1)), lambda j: F.degrees(F.asin(-1 + (j + 0.5) * 2.0 / up)))
     return F.flatten(F.transform(az, lambda a: F.transform(alt, lambda b: F.struct(a.alias("azimuth"), b.alias("altitude")))))
+
+
+#: Metres within which a view of a building counts as overlooked.
+OVERLOOKED = 25.0
+
+
+def view_shares(hits: DataFrame, weight: str) -> DataFrame:
+    """Weighted shares of what rays (tile_id, sees, far, and a weight of wall area and solid angle) meet, the share that
+    is overlooked, and the mean distance of what stands in the way (null where nothing does)."""
+    w, total = F.col(weight), F.sum(weight)
+
+    def share(which: Column) -> Column:
+        return F.round(100.0 * F.sum(F.when(which, w).otherwise(0.0)) / total, 4)
+
+    blocked = F.col("far").isNotNull()
+    seen = {f"view_{k}_pct": share(F.col("sees") == k) for k in ("sky", "building", "green", "street", "open")}
+    near = (F.col("sees") == "building") & (F.col("far") <= OVERLOOKED)
+    distance = F.try_divide(F.sum(F.when(blocked, w * F.col("far"))), F.sum(F.when(blocked, w)))
+    return hits.groupBy("tile_id").agg(*[v.alias(k) for k, v in seen.items()], share(near).alias("view_overlooked_pct"), F.round(distance, 4).alias("view_obstruction_m"))

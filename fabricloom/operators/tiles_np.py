@@ -151,6 +151,35 @@ def skeletons(cells: DataFrame, on, side: int) -> DataFrame:
     return _each(cells, on, side, lambda t, m: _long(t, m, thin(m), "on"), "tile_id int, r int, c int, on boolean").drop("on")
 
 
+def _line_facts(line: np.ndarray, cell_m: float) -> tuple[float, int, int]:
+    """Length of thin lines (diagonal steps are longer), junctions (those that touch are one) and dead ends."""
+    h, w = line.shape
+    padded = np.pad(line, 1)
+    straight = sum(padded[1 + a : 1 + a + h, 1 + b : 1 + b + w].astype(int) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)))
+    slanted = sum(padded[1 + a : 1 + a + h, 1 + b : 1 + b + w].astype(int) for a, b in ((1, 1), (1, -1), (-1, 1), (-1, -1)))
+    around = np.where(line, straight + slanted, 0)
+    length = (straight[line].sum() + 2**0.5 * slanted[line].sum()) / 2 * cell_m
+    return round(float(length), 4), len(np.unique(label(around >= 3, True))) - 1, int((around == 1).sum())
+
+
+def tile_facts(cells: DataFrame, cell_m: float, side: int) -> DataFrame:
+    """Counts and mean sizes of buildings, streets and blocks, and facts of street lines: one grouped map a tile."""
+    area = cell_m * cell_m
+    schema = "tile_id int, building_count long, street_components long, block_count long, mean_footprint_m2 double, mean_block_m2 double, street_length_m double, intersections long, dead_ends long"
+
+    def parts(mask: np.ndarray, eight: bool) -> tuple[int, float]:
+        n = len(np.unique(label(mask, eight)[mask]))
+        return n, mask.sum() * area / n if n else None
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        built, street = np.zeros((side, side), bool), np.zeros((side, side), bool)
+        built[tile["r"], tile["c"]], street[tile["r"], tile["c"]] = tile["cls"] == "building", tile["cls"] == "street"
+        (b, foot), (s, _), (k, block) = parts(built, False), parts(street, True), parts(~street, False)
+        return pd.DataFrame([(int(tile["tile_id"].iloc[0]), b, s, k, foot, block, *_line_facts(thin(street), cell_m))], columns=[x.split()[0] for x in schema.split(", ")])
+
+    return cells.select("tile_id", "r", "c", "cls").groupBy("tile_id").applyInPandas(run, schema)
+
+
 def skeleton_facts(skeleton: DataFrame, cell_m: float, side: int) -> DataFrame:
     """Length of each tile's lines (diagonal steps are longer), junctions and dead ends, from counts of neighbours;
     junction cells that touch are one junction."""

@@ -124,3 +124,17 @@ def tags_match(tags: Column, wanted: dict[str, list[str]]) -> Column:
     for key, values in wanted.items():
         out = out | F.coalesce(tags[key].isin(*values), F.lit(False))
     return out
+
+
+def self_crossings(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Rings two of whose edges cross inside both, and how many pairs do. A ring is a bounded group."""
+    s = segments(points, keys)
+    other = s.select(*keys, *[F.col(c).alias(f"o_{c}") for c in ("seq", "x", "y", "x2", "y2")])
+    t = s.join(other, keys).where("seq < o_seq")
+
+    def side(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> Column:
+        return (F.col(bx) - F.col(ax)) * (F.col(py) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(px) - F.col(ax))
+
+    a, b = ("x", "y", "x2", "y2"), ("o_x", "o_y", "o_x2", "o_y2")
+    apart = (side(*a, *b[:2]) * side(*a, *b[2:]) < 0) & (side(*b, *a[:2]) * side(*b, *a[2:]) < 0)
+    return t.where(apart).groupBy(*keys).agg(F.count(F.lit(1)).alias("crossings"))

@@ -213,19 +213,7 @@ def tile_metrics_full(spark, sf_dir):
     """All metrics of each tile: aggregates, components, street lines, blocks."""
     from ..operators.metrics import tile_metrics
 
-    grid = full_cells(spark, sf_dir)
-    cell = 400.0 / SIDE
-    street = F.col("cls") == "street"
-
-    def count(on, eight, name):
-        return tiles_np.components(grid, on, eight, SIDE).groupBy("tile_id").agg(F.count_distinct("label").alias(name), F.count(F.lit(1)).alias(f"{name}_cells"))
-
-    out = tile_metrics(grid, 400.0, SIDE)
-    for part in (count(F.col("cls") == "building", False, "building_count"), count(street, True, "street_components"), count(~street, False, "block_count"), tiles_np.skeleton_facts(tiles_np.skeletons(grid, street, SIDE), cell, SIDE)):
-        out = out.join(part, "tile_id", "left")
-    area = cell * cell
-    return out.select(
-        *[c for c in out.columns if not c.endswith("_cells")],
-        (F.col("building_count_cells") * area / F.col("building_count")).alias("mean_footprint_m2"),
-        (F.col("block_count_cells") * area / F.col("block_count")).alias("mean_block_m2"),
-    )
+    from ..session import written
+
+    grid = written(full_cells(spark, sf_dir), "grid")  # read by the aggregates and by the grouped map
+    return tile_metrics(grid, 400.0, SIDE).join(tiles_np.tile_facts(grid, 400.0 / SIDE, SIDE), "tile_id", "left")
