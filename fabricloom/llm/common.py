@@ -3,24 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import new_path
+
 #: The space characters between words: space, tab, LF, VT, FF, CR.
 SPACES = " \t\n\x0b\x0c\r"
-FALLBACK_DIR = "file:///tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (base or FALLBACK_DIR).rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/fabricloom-{name}-{uuid.uuid4().hex}"
 
 
 def passing_path(spark: SparkSession, name: str) -> str:
@@ -66,6 +56,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return Staged(df, name).df
 
 
+class Scratch:
+    """Writes tables like staged(), and drops all of them at once when their last reader is done."""
+
+    def __init__(self):
+        self.tables: list[Staged] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(Staged(df, name))
+        return self.tables[-1].df
+
+    def drop(self) -> None:
+        for table in self.tables:
+            table.drop()
+        self.tables = []
+
+
 #: Rows at most of a batch that goes to Python: Spark's own 10,000 would be gigabytes of long texts.
 BATCH_ROWS = 500
 
@@ -126,6 +132,11 @@ def aside(docs: DataFrame, text: str = "text"):
     return docs.toDF(*names), restore
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often it is used, also for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """The words of a text: its runs of characters other than SPACES. Null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

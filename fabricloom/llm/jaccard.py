@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import A, B, U, mix, texts_of, word_symbols
-from .common import slices, staged
+from .common import Scratch, Staged, slices, staged
 from .repeats import NULL_DOC, keyed
 
 SHINGLE = 5
@@ -336,21 +336,21 @@ def _alive(batches):
             yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(th[rows])], ["doc", "th"])
 
 
-def components(edges: DataFrame, nodes: tuple[str, str]) -> DataFrame:
+def components(edges: DataFrame, nodes: tuple[str, str], put=staged) -> DataFrame:
     """The least node that each node of an edge list reaches: node, least, for nodes other than their least. Edges are staged after each round; a
     round is two joins on nodes with their least neighbour, and rounds grow as the logarithm of a component."""
     a, b = nodes
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
-    e = staged(e, "links")
+    e = put(e, "links")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = staged(large.where("u != v").distinct(), "large-star")
+        large = put(large.where("u != v").distinct(), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v")))
-        after = staged(small.distinct(), "small-star")
+        after = put(small.distinct(), "small-star")
         if not after.exceptAll(e).head(1) and not e.exceptAll(after).head(1):
             break
         e = after
@@ -448,45 +448,42 @@ def _compare(table):
 MANY = 8
 
 
-def _across(apart: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(apart: DataFrame, sets: DataFrame, put=staged) -> DataFrame:
     """Links between sets of different parts that share signatures (sig, rid, meta, part).
 
     A set that must share k of its n signatures shares one of any n - k + 1; so each keeps its rarest, in one order
     for all, and sets with a link have one of those in common. Where few sets have a signature, they are paired;
-    sketches of the pairs rule most out before whole sets are compared. Where many do, the sets of a signature
-    form a cluster, and signatures of the same sets form one. All but a cluster's largest part probe; each block of
-    probing sets meets each block of the cluster's sets in a task that holds those two blocks and returns links
-    only, so a large group gives no row for each of its pairs, and a chain of signatures no larger cluster.
+    sketches of the pairs rule most out before whole sets are compared. Where many do, sets that reach each other by
+    such signatures form a cluster, unless its sets meet at less cost signature by signature, as those of a long
+    chain do. All but a cluster's largest part probe; each block of probing sets meets each block of the cluster's
+    sets in a task that holds those two blocks and returns links only, so a large group gives no row for each of
+    its pairs.
     """
-    times = staged(apart.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "sharers")
+    times = put(apart.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "sharers")
     own = Window.partitionBy("rid", "meta")
     t = apart.join(times.hint("merge"), "sig").withColumn("k", F.row_number().over(own.orderBy("n", "sig"))).withColumn("all", F.count(F.lit(1)).over(own))
-    rare = staged(t.where(F.col("k") <= F.col("all") - F.col("meta") % (1 << 32) + 1).select("sig", "rid", "part"), "rare")
+    rare = put(t.where(F.col("k") <= F.col("all") - F.col("meta") % (1 << 32) + 1).select("sig", "rid", "part"), "rare")
     members = F.sum(F.xxhash64("rid").cast("decimal(38, 0)"))
     size = rare.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), members.alias("members"), (F.min("part") != F.max("part")).alias("open")).where("open")
-    size = staged(size.select("sig", "n", "members"), "open-signatures")
-    rare = staged(rare.join(size.hint("merge"), "sig"), "meetings")
+    size = put(size.select("sig", "n", "members"), "open-signatures")
+    rare = put(rare.join(size.hint("merge"), "sig"), "meetings")
     few = rare.where(F.col("n") <= MANY)
     left, right = (few.select("sig", F.col("rid").alias(r), F.col("part").alias(p)) for r, p in (("a", "part_a"), ("b", "part_b")))
     pairs = left.join(right, "sig").where("a < b and part_a != part_b").select("a", "b").distinct()
     for c in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("rid").alias(c), F.col("x").alias(f"x_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
-    pairs = staged(pairs.mapInArrow(_plausible, "a bigint, b bigint"), "plausible")
+    pairs = put(pairs.mapInArrow(_plausible, "a bigint, b bigint"), "plausible")
     found = _met(pairs.select(F.col("b").alias("rid"), F.col("a").alias("cluster")).join(sets.select("rid", "x"), "rid"), sets)
     many = rare.where(F.col("n") > MANY)
     if not many.head(1):
         return found
     # signatures with the same members by count and sum of hashes stand for each other
-    one = staged(many.groupBy("n", "members").agg(F.min("sig").alias("sig")).select("sig"), "clusters")
-    nodes = many.join(one.hint("merge"), "sig", "left_semi").select("rid", "part", F.col("sig").alias("cluster"))
-    nodes = staged(nodes.join(sets.select("rid", F.col("x").cast("long").alias("x")), "rid"), "nodes")
-    sizes = nodes.groupBy("cluster", "part").agg(F.sum("x").alias("x"))
-    whole = sizes.groupBy("cluster").agg(F.max(F.struct("x", "part")).alias("most"), F.sum("x").alias("x"))
-    whole = whole.select(
-        "cluster", F.col("most.part").alias("main"), F.ceil(F.col("x") / BLOCK).alias("blocks"),
-        F.ceil((F.col("x") - F.col("most.x")) / BLOCK).alias("probing"),
-    ).where("probing > 0")
-    t = staged(nodes.join(whole, "cluster"), "placed")
+    one = put(many.groupBy("n", "members").agg(F.min("sig").alias("sig")).select("sig"), "member-lists")
+    many = many.join(one.hint("merge"), "sig", "left_semi").select("sig", "rid", "part")
+    many = put(many.join(sets.select("rid", F.col("x").cast("long").alias("x")), "rid"), "members")
+    nodes = put(_meetings(many, put), "nodes")
+    whole = _loads(nodes, ["cluster"]).where("probing > 0")
+    t = put(nodes.join(whole, "cluster"), "placed")
     block = F.pmod(F.xxhash64("rid"), F.col("blocks"))
     all_ = t.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("probing") - 1))).select("cluster", "i", block.alias("j"), "rid", "part", F.lit(False).alias("probe"))
     some = t.where("part != main").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -494,6 +491,33 @@ def _across(apart: DataFrame, sets: DataFrame) -> DataFrame:
     return found.unionByName(_compared(all_.unionByName(some), sets))
 
 
+def _loads(nodes: DataFrame, groups: list[str]) -> DataFrame:
+    """For each group of sets (rid, part, x): main (its largest part), how many blocks its sets and its probing sets fill,
+    and cost, the elements that are sent so that each block of probing sets meets each block of all."""
+    sizes = nodes.groupBy(*groups, "part").agg(F.sum("x").alias("x"))
+    whole = sizes.groupBy(*groups).agg(F.max(F.struct("x", "part")).alias("most"), F.sum("x").alias("x"))
+    rest = F.col("x") - F.col("most.x")
+    blocks, probing = F.ceil(F.col("x") / BLOCK), F.ceil(rest / BLOCK)
+    cost = F.when(rest > 0, F.col("x") * probing + rest * blocks).otherwise(F.lit(0).cast("long"))
+    return whole.select(*groups, F.col("most.part").alias("main"), blocks.alias("blocks"), probing.alias("probing"), cost.alias("cost"))
+
+
+def _meetings(many: DataFrame, put=staged) -> DataFrame:
+    """Where sets (rid, part, x) of signatures meet: cluster, with the sets that reach each other by signatures in one, or
+    with those of one signature where that costs less in all."""
+    least = put(many.groupBy("sig").agg(F.min("rid").alias("first")), "firsts")
+    edges = many.select("sig", "rid").join(least.hint("merge"), "sig").select("rid", "first").distinct()
+    reached = put(components(edges, ("rid", "first"), put), "clusters").withColumnRenamed("node", "rid")
+    own = many.join(reached, "rid", "left").withColumn("whole", F.coalesce("least", "rid")).drop("least")
+    own = put(own, "reached")
+    together = _loads(own.select("whole", "rid", "part", "x").distinct(), ["whole"]).select("whole", "cost")
+    apart = _loads(own, ["whole", "sig"]).groupBy("whole").agg(F.sum("cost").alias("each"))
+    split = put(together.join(apart, "whole").where("each < cost").select("whole", F.lit(True).alias("split")), "split-clusters")
+    placed = own.join(split, "whole", "left")
+    key = F.when(F.col("split"), F.xxhash64(F.lit(1), "sig")).otherwise(F.xxhash64(F.lit(0), "whole"))
+    return placed.select(key.alias("cluster"), "rid", "part", "x").distinct()
+
+
 def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links of sets (rid, x) to the set that each is to meet (cluster), block by block of those that meet it."""
     blocks = pairs.groupBy("cluster").agg(F.ceil(F.sum("x") / BLOCK).alias("blocks"))
@@ -510,7 +534,7 @@ def _compared(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return both.groupBy("cluster", "i", "j").applyInArrow(_compare, "a bigint, b bigint")
 
 
-def _stars(shared: DataFrame, sets: DataFrame) -> DataFrame:
+def _stars(shared: DataFrame, sets: DataFrame, put=staged) -> DataFrame:
     """Links of sets to the star that they share most signatures with.
 
     A signature's star is the member whose signatures are the most common, as the original of a group of copies
@@ -518,71 +542,89 @@ def _stars(shared: DataFrame, sets: DataFrame) -> DataFrame:
     """
     fame = shared.groupBy("rid").agg(F.sum("times").alias("fame"))
     best = shared.select("sig", "rid").join(fame, "rid").groupBy("sig").agg(F.max(F.struct("fame", F.col("rid").alias("star"))).alias("best"))
-    best = staged(best.select("sig", "best.star"), "best")
+    best = put(best.select("sig", "best.star"), "best")
     votes = shared.select("sig", "rid").join(best.hint("merge"), "sig").where("rid != star")
     star = votes.groupBy("rid", "star").agg(F.count(F.lit(1)).alias("n")).groupBy("rid").agg(F.max(F.struct("n", "star")).alias("b"))
-    pairs = staged(star.select("rid", F.col("b.star").alias("cluster")).join(sets.select("rid", "x"), "rid"), "stars")
+    pairs = put(star.select("rid", F.col("b.star").alias("cluster")).join(sets.select("rid", "x"), "rid"), "stars")
     return _met(pairs, sets)
 
 
-def classes(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Each document (doc_id, text) with its shingles and the component of links it is in.
-
-    Returns doc_id, n_shingles and component_id, the smallest doc_id reachable by links of similarity 0.75 or
-    more. A null, empty or blank text has no shingles and no links; a text of under five words is one shingle.
-    Equal sets link, so repeated rows share a component. A null doc_id counts as the smallest; its component_id
-    is null, as is that of whatever links with it. An empty table gives an empty one. Shingles are told apart
-    by 64-bit hashes and equal sets by 128 bits.
-
-    Signatures meet in buckets; what meets there is bounded by the number of slices, not by a group of copies.
-    Of the sets that may have a partner, each is first verified against the star of its signatures; then sets still
-    in different components are compared, if they share enough signatures.
-    """
-    spark = docs.sparkSession
+def _grouped(keyed_rows: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Each keyed row with the size of its set (x), its group of linked sets, and the least doc of the group (component)."""
+    spark = keyed_rows.sparkSession
     if buckets is None:
         buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    attempt, keyed_rows = 0, keyed(docs)
+    put = Scratch()
+    attempt = 0
     while True:
         posted = keyed_rows.select("text", "doc", "th").mapInArrow(_post(buckets, attempt), POSTED)
-        found = staged(posted.repartition("bucket").mapInArrow(_match, POSTED), "posted")
+        posted = Staged(posted.repartition("bucket").mapInArrow(_match, POSTED), "posted")
+        found = posted.df
         # a set with no more filled segments than differences has no bound: deal all elements anew
         if not found.where("hard").head(1):
             break
+        posted.drop()
         attempt += 1
     meta = found.where(f"kind = {DOCUMENT}").select("doc", "th", "x", "s1", "s2")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = found.where(f"kind in ({ENTITIES}, {COUNTS})").select("batch", "kind", "body")
-    alive = staged(counted.repartition(parts, "batch").mapInArrow(_alive, "doc bigint, th bigint").distinct(), "alive")
+    alive = put(counted.repartition(parts, "batch").mapInArrow(_alive, "doc bigint, th bigint").distinct(), "alive")
     sets_of = meta.where("x > 0").join(alive, ["doc", "th"], "left_semi")
-    first = staged(sets_of.groupBy("s1", "s2", "x").agg(F.min(F.struct("doc", "th")).alias("one")), "distinct-sets")
+    first = put(sets_of.groupBy("s1", "s2", "x").agg(F.min(F.struct("doc", "th")).alias("one")), "distinct-sets")
     wanted = first.select("one.doc", "one.th")
     texts = keyed_rows.select("text", "doc", "th").join(wanted.hint("shuffle_hash"), ["doc", "th"])
     sets = texts.select("text", "doc", "th").mapInArrow(_sets, "doc bigint, th bigint, x int, body binary, sketch binary")
-    sets = staged(sets.withColumn("rid", F.monotonically_increasing_id()), "sets")
-    signed = staged(sets.select("rid", "body").mapInArrow(_sign(attempt), "sig bigint, rid bigint, meta bigint"), "signed")
+    sets = put(sets.withColumn("rid", F.monotonically_increasing_id()), "sets")
+    signed = put(sets.select("rid", "body").mapInArrow(_sign(attempt), "sig bigint, rid bigint, meta bigint"), "signed")
     # written before they are joined, so that Spark can split what is hot
-    times = staged(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "times")
-    signed = staged(signed.join(times.hint("merge"), "sig"), "shared-signatures")
-    links = staged(_stars(signed, sets), "star-links")
-    label = staged(components(links, ("a", "b")), "star-components")
+    times = put(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "times")
+    signed = put(signed.join(times.hint("merge"), "sig"), "shared-signatures")
+    links = put(_stars(signed, sets, put), "star-links")
+    label = put(components(links, ("a", "b"), put), "star-components")
     # what is still apart: signatures whose members lie in several components
     parted = signed.join(label.withColumnRenamed("node", "rid"), "rid", "left").select("sig", "rid", "meta", F.coalesce("least", "rid").alias("part"))
-    parted = staged(parted, "parts")
+    parted = put(parted, "parts")
     open_ = parted.groupBy("sig").agg((F.min("part") != F.max("part")).alias("open")).where("open").select("sig")
-    open_ = staged(open_, "open")
-    apart = staged(parted.join(open_.hint("merge"), "sig", "left_semi"), "apart")
+    open_ = put(open_, "open")
+    apart = put(parted.join(open_.hint("merge"), "sig", "left_semi"), "apart")
     # a set that shares too few signatures with other components has no link left to find
     enough = apart.groupBy("rid", "meta").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("meta") % (1 << 32))
-    apart = staged(apart.join(enough.select("rid", "meta"), ["rid", "meta"], "left_semi"), "close")
-    more = staged(_across(apart, sets), "more-links")
-    label = components(links.unionByName(more), ("a", "b"))
+    apart = put(apart.join(enough.select("rid", "meta"), ["rid", "meta"], "left_semi"), "close")
+    more = put(_across(apart, sets, put), "more-links")
+    label = components(links.unionByName(more), ("a", "b"), put)
     least = sets.join(label.withColumnRenamed("node", "rid"), "rid", "left").select("doc", "th", F.coalesce("least", "rid").alias("least"))
-    group = staged(least, "labels")
+    group = put(least, "labels")
     ids = group.groupBy("least").agg(F.min("doc").alias("component"))
     named = group.join(ids, "least").join(first.select("s1", "s2", "x", "one.doc", "one.th"), ["doc", "th"])
-    named = staged(named.select("s1", "s2", "x", "component").distinct(), "classes")
-    out = meta.join(named, ["s1", "s2", "x"], "left").withColumn("component", F.coalesce("component", "doc"))
+    named = staged(named.select("s1", "s2", "x", "component", "least").distinct(), "classes")
+    put.drop()
+    own = F.struct(F.lit(0).alias("kind"), F.col("s1").alias("a"), F.col("s2").alias("b"))
+    reached = F.struct(F.lit(1).alias("kind"), F.col("least").alias("a"), F.lit(0).cast("long").alias("b"))
+    out = meta.join(named, ["s1", "s2", "x"], "left").withColumn("group", F.when(F.col("least").isNull(), own).otherwise(reached))
+    return out.select("doc", "th", "x", F.coalesce("component", "doc").alias("component"), "group")
+
 
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents, all columns and doc and th, which name a row, and for each row x (its shingles), group and component.
+    Other than a component, which is a doc_id and may stand on several rows, a group is never shared by unlinked texts."""
+    rows = keyed(docs, columns=tuple(docs.columns))
+    return rows, _grouped(rows.select("text", "doc", "th"))
+
+
+def classes(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Each document (doc_id, text) with its shingles and the component of links it is in.
+
+    Returns doc_id, n_shingles and component_id, the smallest doc_id reachable by links of similarity 0.75 or
+    more. A null, empty or blank text has no shingles and no links; a text of under five words is one shingle.
+    Equal sets link, so repeated rows share a component. A null doc_id counts as the smallest; its component_id
+    is null, as is that of whatever links with it. An empty table gives an empty one. Shingles are told apart
+    by 64-bit hashes and equal sets by 128 bits.
+
+    Signatures meet in buckets; what meets there is bounded by the number of slices, not by a group of copies.
+    Of the sets that may have a partner, each is first verified against the star of its signatures; then sets still
+    in different components are compared, if they share enough signatures.
+    """
+    out = _grouped(keyed(docs), buckets)
 
     def back(c: str):
         return F.when(F.col(c) != NULL_DOC, F.col(c))

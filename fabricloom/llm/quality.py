@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, aside, words
+from .common import SPACES, aside, let, words
 
 WINDOW = 5
 #: Rows at most of the sample that costs and rejections are estimated on, bytes at most of a text in it, and how often
@@ -17,11 +16,6 @@ SAMPLE_ROWS, SAMPLE_BYTES, TIMES = 300, 100_000, 8
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_letters", "n_capitals"]
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def repeat_words(w: Column) -> Column:
     """How many of a list of words are in windows that stand in it twice or more. Windows are told apart by 64-bit
     hashes; the work is one sort of them at most."""
@@ -42,7 +36,7 @@ def repeat_words(w: Column) -> Column:
         new = F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW))))
         return F.aggregate(new, F.lit(0), lambda a, x: a + x)
 
-    return _let(hashes, lambda h: _let(places(h), lambda s: _let(twice(s), covered)))
+    return let(hashes, lambda h: let(places(h), lambda s: let(twice(s), covered)))
 
 
 def _lines(t: Column) -> Column:
@@ -56,9 +50,9 @@ def measures(text: Column) -> dict[str, Column]:
         "n_words": F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")),
         "word_chars": F.char_length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")),
         "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")),
-        "n_dup_lines": _let(_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))),
+        "n_dup_lines": let(_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))),
         "n_lines": F.size(_lines(t)),
-        "n_repeat_words": _let(words(text), repeat_words),
+        "n_repeat_words": let(words(text), repeat_words),
         "n_letters": F.char_length(F.regexp_replace(t, r"[^\p{L}]", "")),
         "n_capitals": F.char_length(F.regexp_replace(t, r"[^\p{Lu}]", "")),
     }

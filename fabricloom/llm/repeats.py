@@ -20,7 +20,7 @@ def ids_repeat(docs: DataFrame) -> bool:
     return bool(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1))
 
 
-def keyed(docs: DataFrame, again: bool | None = None) -> DataFrame:
+def keyed(docs: DataFrame, again: bool | None = None, columns: tuple = ("doc_id", "text")) -> DataFrame:
     """Documents with doc (doc_id, null as the least) and th, which together name a row. th is 0 where doc_id
     alone does, else the hash of the text; rows of one doc_id and text are alike in all that follows.
     again: whether a doc_id stands on several rows, if that is known."""
@@ -29,7 +29,7 @@ def keyed(docs: DataFrame, again: bool | None = None) -> DataFrame:
     doc = F.coalesce("doc_id", F.lit(NULL_DOC))
     # not a literal 0, which the optimizer would take out of the join on one side only
     th = F.xxhash64("text") if again else doc.bitwiseAND(F.lit(0).cast("long"))
-    return docs.select("doc_id", "text", doc.alias("doc"), th.alias("th"))
+    return docs.select(*columns, doc.alias("doc"), th.alias("th"))
 
 
 def super_kmers(rows: DataFrame, size: int, grain: int, in_bytes: bool) -> DataFrame:
