@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 ROUNDS = 10
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 #: A whole cycle of the Gregorian calendar, 1800 to 2199: 146,097 days, 189 times 773.
@@ -136,7 +138,7 @@ def _cased(like: Column, lower: Column) -> Column:
 def _card(m: Column, key: str) -> Column:
     digits = _digits(m)
     body = feistel_text(_body(digits), key, F.concat(F.lit("card:"), F.length(digits).cast("string")), F.lit(False))
-    return _laid_out(m, F.concat(body, luhn_digit(body)))
+    return let(body, lambda b: let(F.concat(b, luhn_digit(b)), lambda new: _laid_out(m, new)))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -145,7 +147,7 @@ def _phone(m: Column, key: str) -> Column:
     rest = F.substr(m, F.length(country) + 1, F.length(m))
     digits = _digits(rest)
     new = feistel_text(digits, key, F.concat(F.lit("phone:"), F.length(digits).cast("string")), F.lit(False))
-    return F.concat(country, _laid_out(rest, new))
+    return F.concat(country, let(new, lambda d: _laid_out(rest, d)))
 
 
 #: Social security numbers that are given out: areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999.
@@ -155,30 +157,33 @@ AREAS, GROUPS, SERIALS = 898, 99, 9999
 def _ssn(m: Column, key: str) -> Column:
     area, group, serial = [F.split_part(m, F.lit("-"), F.lit(k)).cast("bigint") for k in (1, 2, 3)]
     n = ((area - F.when(area > 666, 2).otherwise(1)) * GROUPS + group - 1) * SERIALS + serial - 1
-    n = feistel_number(n, AREAS * GROUPS, SERIALS, key, "ssn")
-    area = F.floor(n / (GROUPS * SERIALS)) + 1
-    parts = (area + (area >= 666).cast("int"), 3), (F.floor(n / SERIALS) % GROUPS + 1, 2), (n % SERIALS + 1, 4)
-    return F.concat_ws("-", *[F.lpad(x.cast("string"), w, "0") for x, w in parts])
+
+    def spelled(n: Column) -> Column:
+        area = F.floor(n / (GROUPS * SERIALS)) + 1
+        parts = (area + (area >= 666).cast("int"), 3), (F.floor(n / SERIALS) % GROUPS + 1, 2), (n % SERIALS + 1, 4)
+        return F.concat_ws("-", *[F.lpad(x.cast("string"), w, "0") for x, w in parts])
+
+    return let(feistel_number(n, AREAS * GROUPS, SERIALS, key, "ssn"), spelled)
 
 
 def _email(m: Column, key: str) -> Column:
     """The name is permuted, whatever its case; the domain stays."""
     name, domain = F.split_part(m, F.lit("@"), F.lit(1)), F.split_part(m, F.lit("@"), F.lit(2))
     new = feistel_text(F.lower(name), key, F.concat(F.lit("email:"), F.lower(domain)), F.lit(False))
-    return F.concat(_cased(name, new), F.lit("@"), domain)
+    return F.concat(let(new, lambda x: _cased(name, x)), F.lit("@"), domain)
 
 
 def _secret(m: Column, key: str) -> Column:
     hexadecimal = F.rlike(m, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$"))
     plain = F.when(hexadecimal, F.lower(m)).otherwise(m)
     new = feistel_text(plain, key, F.concat(F.lit("secret:"), F.length(m).cast("string")), hexadecimal)
-    return F.when(hexadecimal & F.rlike(m, F.lit("[A-F]")), F.upper(new)).otherwise(new)
+    return let(new, lambda x: F.when(hexadecimal & F.rlike(m, F.lit("[A-F]")), F.upper(x)).otherwise(x))
 
 
 def _ip(m: Column, key: str) -> Column:
     o = [F.split_part(m, F.lit("."), F.lit(k)).cast("bigint") for k in (1, 2, 3, 4)]
     n = feistel_number(((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3], 65536, 65536, key, "ip")
-    return F.concat_ws(".", *[(F.shiftright(n, s) % 256).cast("string") for s in (24, 16, 8, 0)])
+    return let(n, lambda x: F.concat_ws(".", *[(F.shiftright(x, s) % 256).cast("string") for s in (24, 16, 8, 0)]))
 
 
 def _date_order(m: Column) -> Column:
@@ -204,16 +209,19 @@ def _date(m: Column, key: str) -> Column:
     """Another day of the cycle, in the same order and with the same separators; months and days get two digits
     where the year comes first or the original had two digits for each."""
     n = feistel_number(_day(m), DAYS_HIGH, DAYS_LOW, key, "date")
-    d = F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
     order, mark = _date_order(m), F.regexp_extract(m, "([^0-9])", 1)
     wide = (order == "ymd") | F.rlike(m, F.lit("^[0-9]{2}[^0-9][0-9]{2}[^0-9]"))
-    month, day = [F.when(wide, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string")) for x in (F.month(d), F.day(d))]
-    year = F.lpad(F.year(d).cast("string"), 4, "0")
-    return (
-        F.when(order == "ymd", F.concat(year, mark, month, mark, day))
-        .when(order == "mdy", F.concat(month, mark, day, mark, year))
-        .otherwise(F.concat(day, mark, month, mark, year))
-    )
+
+    def spelled(d: Column) -> Column:
+        month, day = [F.when(wide, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string")) for x in (F.month(d), F.day(d))]
+        year = F.lpad(F.year(d).cast("string"), 4, "0")
+        return (
+            F.when(order == "ymd", F.concat(year, mark, month, mark, day))
+            .when(order == "mdy", F.concat(month, mark, day, mark, year))
+            .otherwise(F.concat(day, mark, month, mark, year))
+        )
+
+    return let(F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int")), spelled)
 
 
 def kind_of(m: Column) -> Column:
