@@ -302,6 +302,7 @@ def inherit(files: DataFrame, detected: DataFrame) -> DataFrame:
     up = bare.select("parent", F.explode(ancestors(F.concat(F.col("parent"), F.lit("/x")))).alias("a")).select("parent", "a.*")
     up = up.withColumn("dir", F.regexp_replace("dir", "^/", ""))
     near = up.join(held, "dir").groupBy("parent").agg(F.max(F.struct("depth", "dir", "dir_licence", "dir_score")).alias("n"))
+    near = staged(near, "nearest")  # written before it is joined, so that Spark can split a directory with most files
     out = own.withColumn("parent", parent).join(near, "parent", "left")
     mine = F.col("licence").isNotNull()
     return out.select(

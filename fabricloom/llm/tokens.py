@@ -1,11 +1,11 @@
 """Token ids of public tokenizers, exactly as the tokenizers library gives them, with a bounded table of words.
 
-Both supported files cut a text at single spaces and line feeds between other characters, and between an ASCII
+Files of the two kinds that _kind() knows cut a text at single spaces and line feeds between other characters, and between an ASCII
 letter or digit and a comma or full stop that ends a word, before any merge. So the ids of a text are the ids of
 its words one after another. Words are found and hashed for a whole batch at once and looked up in a sorted table;
 words that the table lacks go through the library. Texts where the cut doesn't hold (other or double spaces for
-the file that keeps them, strings of special tokens) go through the library whole. Words are told apart by 64-bit
-hashes.
+the file that keeps them, strings of special tokens) go through the library whole, and so do all texts with a file of
+any other kind. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,13 +19,38 @@ WORDS = 1_500_000
 COMMA, STOP, LINE, SPACE = 44, 46, 10, 32
 
 
+#: Fixed value: the words that the pre-tokenizer of the first kind keeps.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _kind(tokenizer) -> str | None:
+    """How a tokenizer cuts texts: "words" (white space goes, small letters), "spaced" (a word carries the space before it),
+    or None for what isn't known to be the same word by word."""
+    import json
+
+    about = json.loads(tokenizer.to_str())
+    cut, normal = about["pre_tokenizer"] or {}, about["normalizer"] or {}
+    if any(not t["content"].startswith("<|") or t["lstrip"] or t["rstrip"] for t in about["added_tokens"]) or about["model"]["type"] != "BPE":
+        return None
+    if cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and not normal:
+        return "spaced"
+    parts = cut.get("pretokenizers", [])
+    if [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": WORD_PATTERN} and parts[0]["behavior"] == "Removed" and parts[0]["invert"]:
+        bytes_ = parts[1]
+        plain = not bytes_["use_regex"] and not bytes_["add_prefix_space"]
+        return "words" if plain and [x["type"] for x in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] else None
+    return None
+
+
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids. spaced: a word carries the space before it."""
+    """Encodes texts to little-endian unsigned 32-bit ids, with the table of words where the file is of a kind that allows
+    it. spaced: which kind is expected."""
 
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        self.by_word = _kind(self.tokenizer) == ("spaced" if spaced else "words")
         self._clear()
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
@@ -75,6 +100,8 @@ class Encoder:
 
     def encode(self, column) -> list[bytes]:
         """Ids of each text of an Arrow string column; a null text has none."""
+        if not self.by_word:
+            return [np.array(ids, "<u4").tobytes() for ids in self._whole([t or "" for t in column.to_pylist()])]
         data, ends = texts_of(column)
         n = len(data)
         if not n:
