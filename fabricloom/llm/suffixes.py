@@ -332,8 +332,8 @@ def repeated_spans(rows: DataFrame, size: int = BYTES, shard: int = SHARD, level
         if not large.df.head(1):
             ready.append(rest.df)
             break
-        ready.append(rest.df.join(large.df.hint("merge"), "key", "left_anti"))
-        over = rest.df.join(large.df.hint("merge"), "key", "left_semi").select(rest.df.columns)
+        ready.append(rest.df.join(large.df, "key", "left_anti"))
+        over = rest.df.join(large.df, "key", "left_semi").select(rest.df.columns)
         if level < levels:
             rest = Staged(over.mapInArrow(_split(size, level + 1), PARTS), "split-parts")
             left.append(rest)
