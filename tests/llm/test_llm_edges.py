@@ -132,6 +132,22 @@ def test_ids_are_the_library_s(name, spaced):
     assert coder.encode(pa.array(texts)) == [struct.pack(f"<{len(w)}I", *w) for w in whole]
 
 
+def test_other_tokenizer_files_go_whole(tmp_path):
+    import pyarrow as pa
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.BPE({"a": 0, "b": 1, " ": 2, "ab": 3, " a": 4}, [("a", "b"), (" ", "a")]))
+    t.pre_tokenizer = pre_tokenizers.Split(" ", "merged_with_next")
+    t.save(str(tmp_path / "other.json"))
+    texts = ["ab ab", " a  b", None, "", "ba ab ab"]
+    for spaced in (False, True):
+        coder = Encoder(str(tmp_path / "other.json"), spaced)
+        assert not coder.by_word
+        assert coder.encode(pa.array(texts)) == [struct.pack(f"<{len(i)}I", *i) for i in (t.encode(x or "").ids for x in texts)]
+    for name, spaced in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        assert Encoder(public_path(name), spaced).by_word and not Encoder(public_path(name), not spaced).by_word
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(0)
     for n, symbols in [(1, 2), (2, 2), (60, 2), (300, 3), (800, 250)]:
@@ -269,6 +285,25 @@ def test_jaccard_on_hard_groups(spark, monkeypatch, block, many):
     assert got == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
 
 
+def test_a_long_chain_of_signatures_meets_in_linear_work(spark, monkeypatch):
+    """Each signature has ten sets and shares five with the next: one cluster by reach, but work follows the signatures."""
+    monkeypatch.setattr(jaccard, "BLOCK", 1000)
+
+    def work(n):
+        rows = [(s, 5 * s + k, 5 * s + k, 100) for s in range(n) for k in range(10)]
+        nodes = jaccard._meetings(spark.createDataFrame(rows, "sig bigint, rid bigint, part bigint, x bigint"))
+        assert nodes.groupBy("cluster").agg(F.collect_set("rid").alias("r")).select(F.size("r")).distinct().collect() == [(10,)]
+        return jaccard._loads(nodes, ["cluster"]).agg(F.sum("cost")).first()[0]
+
+    assert work(240) == 4 * work(60)
+
+
+def test_sets_of_many_signatures_meet_once(spark):
+    rows = [(s, k, k, 100) for s in range(40) for k in range(30)]
+    nodes = jaccard._meetings(spark.createDataFrame(rows, "sig bigint, rid bigint, part bigint, x bigint"))
+    assert nodes.count() == 30 and nodes.select("cluster").distinct().count() == 1
+
+
 def test_pseudonyms_link_spellings(spark):
     same = [
         ("4111111111111111", "4111-1111-1111-1111", "4111 1111 1111 1111"), ("(743) 555-3824", "+1 743-555-3824", "743.555.3824", "+17435553824"),
