@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabricloom.llm import decontamination, jaccard, packing, pii, quality
-from fabricloom.llm.common import aside, staged
+from fabricloom.llm.common import Staged, aside
 from fabricloom.llm.tokens import public_path
 
 
@@ -20,16 +20,16 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id; of repeated rows one.
-    A row without a doc_id goes only if an equal text without a doc_id stays."""
-    found = jaccard.classes(docs.select("doc_id", "text"))
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    none = F.lit(-(1 << 63))
+    """One document of each group of near duplicates: of the smallest doc_id (null before all), and of several texts with
+    that doc_id the one whose hash is least. Documents without words have no near duplicates; of them equal texts of
+    one doc_id go but for one."""
     plain, restore = aside(docs)
-    kept = plain.withColumn("_id", F.coalesce("doc_id", none)).join(
-        stays.select(F.coalesce("doc_id", none).alias("_id")).hint("shuffle_hash"), "_id", "left_semi"
-    )
-    return restore(kept.dropDuplicates(["_id", "text"]))
+    rows, group = jaccard.grouped(plain)
+    first = group.where("x > 0").groupBy("group").agg(F.min(F.struct("doc", "th")).alias("one")).select("one.doc", "one.th", F.lit(True).alias("_first"))
+    alone = group.where("x = 0").select("doc", "th", F.lit(True).alias("_first")).distinct()
+    stays = first.unionByName(alone).dropDuplicates(["doc", "th"])
+    kept = rows.join(stays.hint("shuffle_hash"), ["doc", "th"], "left_semi")
+    return restore(kept.dropDuplicates(["doc", "th"]).select(plain.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,10 @@ ORACLE_SQL = None  # tokenization has no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        done = Staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            before.drop()
+        docs, before = done.df, done
     return STAGES[-1][1](spark, docs, sf_dir)
