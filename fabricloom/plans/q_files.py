@@ -187,11 +187,11 @@ def file_inventory(spark, sf_dir):
 
 
 @query("candidate_metrics", """
-SELECT p_partkey AS candidate, round(p_size * 1.0, 3) AS target, round(p_retailprice / 40, 3) AS achieved, round(p_retailprice / 40 - p_size, 3) AS error FROM part WHERE p_partkey % 3 = 0
+SELECT p_partkey AS candidate, round(p_size * 1.0, 3) AS target, round(p_retailprice / 37, 3) AS achieved, round(p_retailprice / 37 - p_size, 3) AS error FROM part WHERE p_partkey % 3 = 0
 """)
 def candidate_metrics(spark, sf_dir):
     """Candidates' targets and what they reached, nested in JSON and flattened again."""
-    t = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select("p_partkey", F.struct((F.col("p_size") * 1.0).alias("coverage")).alias("targets"), F.struct((F.col("p_retailprice") / 40).alias("coverage")).alias("achieved"))
+    t = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select("p_partkey", F.struct((F.col("p_size") * 1.0).alias("coverage")).alias("targets"), F.struct((F.col("p_retailprice") / 37).alias("coverage")).alias("achieved"))
     path = new_path(spark, "candidates")
     sinks.report(t, path)
     r = spark.read.schema("p_partkey bigint, targets struct<coverage: double>, achieved struct<coverage: double>").json(path)

@@ -81,9 +81,9 @@ _LABELS = ",\nl AS (SELECT m.tile_id, m.r, m.c, CAST(min(w.b) AS INT) AS label F
 _LAST = "SELECT m.tile_id, m.r, m.c, CAST(min(w.b) AS INT) AS label FROM m JOIN w ON w.tile_id = m.tile_id AND w.a = m.i GROUP BY ALL"
 
 
-@query("fill_holes", _reach("building", "abs(a.r - b.r) + abs(a.c - b.c) = 1").replace("WHERE cls = 'building'", "WHERE cls != 'building'").replace(_LAST, _LABELS + """
+@query("fill_holes", _reach("green", "abs(a.r - b.r) + abs(a.c - b.c) = 1").replace(_LAST, _LABELS + """
 SELECT tile_id, r, c FROM l JOIN (SELECT tile_id, label FROM l GROUP BY ALL HAVING count(*) < 6 AND min(r) > 0 AND min(c) > 0 AND max(r) < 31 AND max(c) < 31) USING (tile_id, label)
 """))
 def fill_holes(spark, sf_dir):
-    """Small holes between buildings that don't touch the border."""
-    return tiles_np.holes(full_cells(spark, sf_dir), F.col("cls") == "building", 6, SIDE)
+    """Small holes, which greens leave in all else, that don't touch the border."""
+    return tiles_np.holes(full_cells(spark, sf_dir), F.col("cls") != "green", 6, SIDE)
