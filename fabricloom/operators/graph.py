@@ -53,7 +53,6 @@ def skeleton_edges(nodes: DataFrame, paths: DataFrame, junctions: DataFrame, sid
     order = paths.select("tile_id", "path", "r", "c").groupBy("tile_id", "path").applyInPandas(_ordered, "tile_id int, path int, seq int, r int, c int")
     last = F.max("seq").over(Window.partitionBy("tile_id", "path"))
     order = order.withColumn("last", last)
-    ends = order.where("seq = 0 or seq = last").select("tile_id", "path", "r", "c", F.explode(F.array_distinct(F.array((F.col("seq") == 0), (F.col("seq") < F.col("last"))))).alias("first"), "seq", "last")
     ends = order.where("seq = 0").withColumn("first", F.lit(True)).unionByName(order.where("seq = last").withColumn("first", F.lit(False)))
     o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in AROUND]))
     touch = ends.select("tile_id", "path", "first", "last", F.col("r").alias("r0"), F.col("c").alias("c0"), "r", "c", o.alias("o"))

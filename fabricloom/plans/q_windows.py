@@ -8,7 +8,7 @@ from ..operators import raster, tiles_np
 from ..session import table
 from ..sources import files
 from ..sources.cells import SIDE, full_cells
-from .catalog import query
+from .catalog import CELLS_SQL, query
 from .q_raster import _reach
 
 
@@ -145,7 +145,18 @@ def clean_mask(spark, sf_dir):
     return tiles_np.cleaned(full_cells(spark, sf_dir), F.col("cls") == "building", 3, SIDE)
 
 
-@query("skeleton", None)
+_P = ", ".join(f"coalesce(max(CASE WHEN b.r = a.r + {dr} AND b.c = a.c + {dc} THEN 1 END), 0) AS p{k}" for k, (dr, dc) in enumerate([(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]))
+_TURNS = " + ".join(f"(1 - p{k}) * p{(k + 1) % 8}" for k in range(8))
+
+
+@query("skeleton", f"""
+WITH RECURSIVE {CELLS_SQL}, s AS (SELECT tile_id, r, c, 0 AS k FROM full_cells WHERE cls = 'street' UNION ALL
+  SELECT tile_id, r, c, k + 1 FROM (SELECT a.tile_id, a.r, a.c, a.k, {_P}, count(b.r) AS n FROM s a LEFT JOIN s b ON b.tile_id = a.tile_id AND abs(b.r - a.r) <= 1 AND abs(b.c - a.c) <= 1 AND NOT (b.r = a.r AND b.c = a.c)
+    WHERE a.k < 60 GROUP BY a.tile_id, a.r, a.c, a.k)
+  WHERE NOT (n BETWEEN 2 AND 6 AND {_TURNS} = 1 AND CASE WHEN k % 2 = 0 THEN p0 * p2 * p4 = 0 AND p2 * p4 * p6 = 0 ELSE p0 * p2 * p6 = 0 AND p0 * p4 * p6 = 0 END)),
+t AS (SELECT tile_id, r, c FROM s WHERE k = 60)
+SELECT t.tile_id, t.r, t.c, count(u.r) AS neighbours FROM t LEFT JOIN t u ON u.tile_id = t.tile_id AND abs(u.r - t.r) <= 1 AND abs(u.c - t.c) <= 1 AND NOT (u.r = t.r AND u.c = t.c) GROUP BY ALL
+""")
 def skeleton(spark, sf_dir):
     """Street cells thinned to lines, with the neighbours that each has."""
     thin = tiles_np.skeletons(full_cells(spark, sf_dir), F.col("cls") == "street", SIDE)
