@@ -56,7 +56,9 @@ def angle_difference(a: Column, b: Column, period: Column) -> Column:
     return d - F.rint(d / period) * period
 
 
+#: Fixed patterns: how tile files are named, and the first number of a text.
 TILE_NAME = r"(?i)^(.+)_([0-9]+)[.]png$"
+NUMBER = r"[-+]?[0-9]*[.]?[0-9]+"
 
 
 def tile_city(name: Column) -> Column:
@@ -69,7 +71,7 @@ def tile_index(name: Column) -> Column:
 
 
 def first_number(text: Column) -> Column:
-    return F.regexp_extract(F.regexp_replace(text, ",", "."), r"[-+]?[0-9]*[.]?[0-9]+", 0).try_cast("double")
+    return F.regexp_extract(F.regexp_replace(text, ",", "."), NUMBER, 0).try_cast("double")
 
 
 def _tag_metres(text: Column) -> Column:
