@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import OP5_SQL, op5_decontamination
 from .jaccard import OP9_SQL, op9_jaccard_partition
 from .licenses import op2_license_scan
+from .negatives import OP11_SQL, op11_hard_negatives
 from .packing import op3_histogram_packing
 from .pii import op7_feistel_pseudonyms
 from .quality import OP4_SQL, op4_quality_cascade
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op8_induced_suffixes": op8_induced_suffixes,
         "op9_jaccard_partition": op9_jaccard_partition,
         "op10_token_files": op10_token_files,
+        "op11_hard_negatives": op11_hard_negatives,
     }
 
 
@@ -36,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_debruijn_substrings": OP6_SQL,
         "op8_induced_suffixes": OP8_SQL,
         "op9_jaccard_partition": OP9_SQL,
+        "op11_hard_negatives": OP11_SQL,
     }
