@@ -42,9 +42,9 @@ def _delete_at_exit() -> None:
 class Staged:
     """A DataFrame written once to the shared folder, so that lost executors never recompute what led to it."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, *folders: str):
         self.spark, self.path = df.sparkSession, passing_path(df.sparkSession, name)
-        df.write.parquet(self.path)
+        df.write.parquet(self.path, partitionBy=list(folders) or None)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -62,8 +62,9 @@ class Scratch:
     def __init__(self):
         self.tables: list[Staged] = []
 
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        self.tables.append(Staged(df, name))
+    def __call__(self, df: DataFrame, name: str, *folders: str) -> DataFrame:
+        """folders: columns whose values get a folder each."""
+        self.tables.append(Staged(df, name, *folders))
         return self.tables[-1].df
 
     def drop(self) -> None:

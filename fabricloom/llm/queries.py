@@ -9,6 +9,7 @@ from .negatives import OP11_SQL, op11_hard_negatives
 from .packing import op3_histogram_packing
 from .pii import op7_feistel_pseudonyms
 from .quality import OP4_SQL, op4_quality_cascade
+from .search import OP13_SQL, op13_tiered_search
 from .sharding import op1_jump_sharding
 from .substrings import OP6_SQL, op6_debruijn_substrings
 from .suffixes import OP8_SQL, op8_induced_suffixes
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op9_jaccard_partition": op9_jaccard_partition,
         "op10_token_files": op10_token_files,
         "op11_hard_negatives": op11_hard_negatives,
+        "op13_tiered_search": op13_tiered_search,
     }
 
 
@@ -39,4 +41,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_induced_suffixes": OP8_SQL,
         "op9_jaccard_partition": OP9_SQL,
         "op11_hard_negatives": OP11_SQL,
+        "op13_tiered_search": OP13_SQL,
     }
