@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP5_SQL, op5_decontamination
 from .jaccard import OP9_SQL, op9_jaccard_partition
+from .language import op12_crf_language
 from .licenses import op2_license_scan
 from .negatives import OP11_SQL, op11_hard_negatives
 from .packing import op3_histogram_packing
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op9_jaccard_partition": op9_jaccard_partition,
         "op10_token_files": op10_token_files,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_crf_language": op12_crf_language,
         "op13_tiered_search": op13_tiered_search,
     }
 
