@@ -15,15 +15,15 @@ def tile_metrics(cells: DataFrame, tile_m: float, side: int) -> DataFrame:
     """Shares, areas and heights of each tile; heights are 0 without a building, floors are fractional."""
     area = (tile_m / side) ** 2
     building = F.col("cls") == "building"
-    floors = F.coalesce(F.sum(F.when(building, F.col("h") / FLOOR)), F.lit(0.0))
+    heights = F.coalesce(F.sum(F.when(building, F.col("h"))), F.lit(0))  # whole: divided once, so partitions don't matter
     zero = F.lit(0.0)
     return cells.groupBy("tile_id").agg(
         F.round(100.0 * F.avg(building.cast("int")), 6).alias("coverage_pct"),
         F.round(F.count_if(F.col("cls") == "street") * area, 6).alias("street_area_m2"),
         F.round(F.coalesce(F.avg(F.when(building, F.col("h"))), zero), 6).alias("mean_height_m"),
         F.round(F.coalesce(F.max(F.when(building, F.col("h"))).cast("double"), zero), 6).alias("max_height_m"),
-        F.round(floors / F.count(F.lit(1)), 6).alias("far_proxy"),
-        F.round(floors * area, 6).alias("gfa_m2"),
+        F.round(heights / (FLOOR * F.count(F.lit(1))), 6).alias("far_proxy"),
+        F.round(heights * area / FLOOR, 6).alias("gfa_m2"),
     )
 
 
@@ -40,8 +40,9 @@ def _share(cls: str) -> Callable[[float], Column]:
     return lambda area: 100.0 * F.avg((F.col("cls") == cls).cast("int"))
 
 
-def _floors() -> Column:
-    return F.coalesce(F.sum(F.when(F.col("cls") == "building", F.col("h") / FLOOR)), F.lit(0.0))
+def _heights() -> Column:
+    """Whole metres: summed before the one division, so the result doesn't depend on partitions."""
+    return F.coalesce(F.sum(F.when(F.col("cls") == "building", F.col("h"))), F.lit(0))
 
 
 #: An entry here is all that a new metric needs.
@@ -50,8 +51,8 @@ REGISTRY: dict[str, Metric] = {
     "street_pct": Metric("%", 2, _share("street")),
     "green_pct": Metric("%", 2, _share("green")),
     "mean_height_m": Metric("m", 2, lambda area: F.coalesce(F.avg(F.when(F.col("cls") == "building", F.col("h"))), F.lit(0.0))),
-    "far_proxy": Metric("", 3, lambda area: _floors() / F.count(F.lit(1))),
-    "gfa_m2": Metric("m2", 1, lambda area: _floors() * area),
+    "far_proxy": Metric("", 3, lambda area: _heights() / (FLOOR * F.count(F.lit(1)))),
+    "gfa_m2": Metric("m2", 1, lambda area: _heights() * area / FLOOR),
 }
 
 

@@ -150,7 +150,7 @@ def hole_metrics(cells: DataFrame, hole: Column, cell_m: float) -> DataFrame:
     return t.groupBy("tile_id").agg(
         share("building").alias("coverage"), share("green").alias("green"), share("street").alias("street"),
         F.round(F.coalesce(F.avg(F.when(b, F.col("h"))), zero), 6).alias("mean_height_m"),
-        F.round(F.coalesce(F.sum(F.when(b, F.col("h") / 3.0)), zero) / n, 6).alias("far"),
+        F.round(F.coalesce(F.sum(F.when(b, F.col("h"))), F.lit(0)) / (3.0 * n), 6).alias("far"),
         F.round(F.coalesce(F.try_divide(4.0 * built * cell_m, edge), zero), 6).alias("building_size_m"),
     )
 

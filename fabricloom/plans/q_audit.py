@@ -167,8 +167,8 @@ def size_histogram(spark, sf_dir):
 @query("tile_metrics", """
 SELECT tile_id, round(100.0 * avg(CASE WHEN cls = 'building' THEN 1 ELSE 0 END), 6) AS coverage_pct, round(count_if(cls = 'street') * 156.25, 6) AS street_area_m2,
   round(coalesce(avg(h) FILTER (cls = 'building'), 0), 6) AS mean_height_m, round(coalesce(max(h) FILTER (cls = 'building'), 0), 6) AS max_height_m,
-  round(coalesce(sum(h / 3.0) FILTER (cls = 'building'), 0) / count(*), 6) AS far_proxy,
-  round(coalesce(sum(h / 3.0) FILTER (cls = 'building'), 0) * 156.25, 6) AS gfa_m2 FROM full_cells GROUP BY 1
+  round(coalesce(sum(h) FILTER (cls = 'building'), 0) / (3.0 * count(*)), 6) AS far_proxy,
+  round(coalesce(sum(h) FILTER (cls = 'building'), 0) * 156.25 / 3.0, 6) AS gfa_m2 FROM full_cells GROUP BY 1
 """, cells=True)
 def tile_metrics(spark, sf_dir):
     from ..operators.metrics import tile_metrics as measure

@@ -106,7 +106,7 @@ WITH b AS (SELECT DISTINCT x.tile_id, x.r, x.c FROM full_cells x JOIN full_cells
 t AS (SELECT f.*, b.r IS NOT NULL AS edge FROM full_cells f LEFT JOIN b USING (tile_id, r, c))
 SELECT tile_id, round(count_if(cls = 'building') / count(*), 6) AS coverage, round(count_if(cls = 'green') / count(*), 6) AS green,
   round(count_if(cls = 'street') / count(*), 6) AS street, round(coalesce(avg(h) FILTER (cls = 'building'), 0), 6) AS mean_height_m,
-  round(coalesce(sum(h / 3.0) FILTER (cls = 'building'), 0) / count(*), 6) AS far,
+  round(coalesce(sum(h) FILTER (cls = 'building'), 0) / (3.0 * count(*)), 6) AS far,
   round(coalesce(4.0 * count_if(cls = 'building') * 12.5 / nullif(count_if(cls = 'building' AND edge), 0), 0), 6) AS building_size_m
 FROM t WHERE {_HOLE} GROUP BY 1
 """, cells=True)

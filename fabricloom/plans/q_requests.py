@@ -60,7 +60,7 @@ def unknown_metrics(spark, sf_dir):
 
 @query("registered_metrics", """
 SELECT tile_id, round(100.0 * avg(CASE WHEN cls = 'building' THEN 1 ELSE 0 END), 2) AS coverage_pct, round(100.0 * avg(CASE WHEN cls = 'green' THEN 1 ELSE 0 END), 2) AS green_pct,
-  round(coalesce(sum(h / 3.0) FILTER (cls = 'building'), 0) / count(*), 3) AS far_proxy FROM full_cells GROUP BY 1
+  round(coalesce(sum(h) FILTER (cls = 'building'), 0) / (3.0 * count(*)), 3) AS far_proxy FROM full_cells GROUP BY 1
 """, cells=True)
 def registered_metrics(spark, sf_dir):
     """Metrics by their registered names, to their registered places."""

@@ -70,7 +70,7 @@ def keep_last_six(spark, sf_dir):
 @query("stub_space", """
 WITH p AS (SELECT ((a.i * 3 + b.i) * 3 + c.i) * 3 + d.i + 1 AS option, lpad(CAST(((a.i * 3 + b.i) * 3 + c.i) * 3 + d.i + 1 AS VARCHAR), 3, '0') AS name,
   10.0 + a.i * 10.0 AS coverage, 6.0 + b.i * 12.0 AS height, c.i * 10.0 AS green, CAST(1 + d.i AS DOUBLE) AS seed FROM range(4) a(i), range(3) b(i), range(3) c(i), range(3) d(i)),
-m AS (SELECT tile_id, round(100.0 * avg(CASE WHEN cls = 'building' THEN 1 ELSE 0 END), 6) AS coverage_pct, round(coalesce(sum(h / 3.0) FILTER (cls = 'building'), 0) / count(*), 6) AS far_proxy FROM full_cells GROUP BY 1)
+m AS (SELECT tile_id, round(100.0 * avg(CASE WHEN cls = 'building' THEN 1 ELSE 0 END), 6) AS coverage_pct, round(coalesce(sum(h) FILTER (cls = 'building'), 0) / (3.0 * count(*)), 6) AS far_proxy FROM full_cells GROUP BY 1)
 SELECT option, name, coverage, height, green, seed, CASE WHEN option % 10 != 0 THEN CAST(option % 8 AS INT) END AS tile_id,
   CASE WHEN option % 10 = 0 THEN 'ValueError: no tile for option ' || option END AS error, coverage_pct, far_proxy FROM p LEFT JOIN m ON option % 10 != 0 AND m.tile_id = option % 8
 """, cells=True)
