@@ -2,56 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import new_path
+from ..session import Staged, delete, passing_path  # noqa: F401
 
 #: The space characters between words: space, tab, LF, VT, FF, CR.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def passing_path(spark: SparkSession, name: str) -> str:
-    """A new path that is deleted when the program ends."""
-    path = new_path(spark, name)
-    _left[path] = spark
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-_left: dict[str, SparkSession] = {}
-
-
-@atexit.register
-def _delete_at_exit() -> None:
-    for path, spark in _left.items():
-        if spark.sparkContext._jsc is not None:
-            try:
-                delete(spark, path)
-            except Exception as e:  # the JVM may be gone already
-                print(f"left behind: {path} ({type(e).__name__})")
-
-
-class Staged:
-    """A DataFrame written once to the shared folder, so that lost executors never recompute what led to it."""
-
-    def __init__(self, df: DataFrame, name: str, *folders: str):
-        self.spark, self.path = df.sparkSession, passing_path(df.sparkSession, name)
-        df.write.parquet(self.path, partitionBy=list(folders) or None)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        _left.pop(self.path, None)
-        delete(self.spark, self.path)
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     return Staged(df, name).df
 
