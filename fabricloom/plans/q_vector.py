@@ -93,3 +93,31 @@ SELECT id, '{{"type":"Feature","properties":{{"id":' || id || ',"h":' || h || '}
 """)
 def ring_geojson(spark, sf_dir):
     return vector.geojson(_rings(spark, sf_dir), ["id"], ["id", "h"])
+
+
+_DIAMONDS = """g AS (SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS place, c_custkey * 7 % 380 + 10.3713 AS x, c_custkey * 13 % 380 + 9.2119 AS y, 6.0 + c_custkey % 11 AS w, 5.0 + c_custkey % 7 AS d, 4 + c_custkey % 23 AS h, c_custkey % 3 = 0 AS yard FROM customer)"""
+
+
+def _diamonds(spark, sf_dir):
+    """Customers as diamonds, every third with a yard in the middle, as rings."""
+    k = F.col("c_custkey")
+    t = table(spark, sf_dir, "customer").select(
+        k.alias("id"), F.col("c_nationkey").cast("long").alias("place"), (k * 7 % 380 + 10.3713).alias("x"), (k * 13 % 380 + 9.2119).alias("y"), (6.0 + k % 11).alias("w"), (5.0 + k % 7).alias("d"),
+        (4 + k % 23).alias("h"), F.explode(F.when(k % 3 == 0, F.array(F.lit(1.0), F.lit(0.4))).otherwise(F.array(F.lit(1.0)))).alias("size"),
+    )
+    corners = F.explode(F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate([(-1, 0), (0, -1), (1, 0), (0, 1)])]))
+    t = t.select("*", corners.alias("k")).withColumn("ring", (F.col("size") < 1).cast("int"))
+    return t.select("place", "id", "ring", "k.seq", (F.col("x") + F.col("k.a") * F.col("w") * F.col("size")).alias("x"), (F.col("y") + F.col("k.b") * F.col("d") * F.col("size")).alias("y"), "h")
+
+
+@query("scanline_cells", f"""
+WITH {_DIAMONDS}, p AS (SELECT place, i AS line, j AS point, max(h) AS h FROM g, range(CAST(floor(y - d) AS INT), CAST(ceil(y + d) AS INT) + 1) a(i), range(CAST(floor(x - w) AS INT), CAST(ceil(x + w) AS INT) + 1) b(j)
+  WHERE i BETWEEN 0 AND 399 AND j BETWEEN 0 AND 399 AND abs(j + 0.5 - x) / w + abs(i + 0.5 - y) / d < 1 AND NOT (yard AND abs(j + 0.5 - x) / w + abs(i + 0.5 - y) / d < 0.4) GROUP BY 1, 2, 3)
+SELECT place, CAST(line // 4 AS INT) AS r, CAST(point // 4 AS INT) AS c, count(*) / 16.0 AS share, round(sum(h) / count(*), 6) AS h FROM p GROUP BY ALL
+""")
+def scanline_cells(spark, sf_dir):
+    """Polygons with holes drawn onto cells of 4 m, each of 4 x 4 points; where they overlap the tallest wins."""
+    from ..operators import scanline
+
+    t = scanline.rasterise(_diamonds(spark, sf_dir), ["place"], "id", "h", 4.0, 100, 4)
+    return t.select("place", "r", "c", "share", F.round("h", 6).alias("h"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import catalog
-from . import q_audit, q_codec, q_contour, q_files, q_form, q_graph, q_masks, q_raster, q_rays, q_relational, q_requests, q_scalar, q_solar, q_space, q_stats, q_streaming, q_vector, q_windows  # noqa: F401
+from . import q_audit, q_codec, q_contour, q_files, q_form, q_graph, q_masks, q_raster, q_rays, q_regions, q_relational, q_requests, q_scalar, q_solar, q_space, q_stats, q_streaming, q_vector, q_windows  # noqa: F401
 
 
 def queries() -> dict:
