@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 
 from pyspark.sql import Column, DataFrame
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from .common import SPACES, aside, let, words
 
 WINDOW = 5
-#: Rows at most of the sample that costs and rejections are estimated on, bytes at most of a text in it, and how often
-#: each text is judged to time a rule. They set the order of the rules only.
-SAMPLE_ROWS, SAMPLE_BYTES, TIMES = 300, 100_000, 8
+#: Rows at most of the sample that costs and rejections are estimated on, bytes at most of a text in it, and characters
+#: at least that a measure is timed on. They set the order of the rules only.
+SAMPLE_ROWS, SAMPLE_BYTES, TIMED_BYTES = 300, 100_000, 1_500_000
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_letters", "n_capitals"]
 
 
@@ -68,57 +69,70 @@ def base_failed(m: dict[str, Column]) -> Column:
     return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
 
 
+#: Each rule: the measures that it asks for, and what it rejects.
+RULES = {
+    "few_words": (["n_words"], lambda m: m["n_words"] < 10),
+    "repeated_words": (["n_words", "n_repeat_words"], lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
+    "symbols": (["n_words", "n_symbols"], lambda m: 10 * m["n_symbols"] > m["n_words"]),
+    "repeated_lines": (["n_dup_lines", "n_lines"], lambda m: (m["n_dup_lines"] > 0) & (10 * m["n_dup_lines"] > 3 * m["n_lines"])),
+    "word_length": (["n_words", "word_chars"], lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
+    "few_letters": (["word_chars", "n_letters"], lambda m: 10 * m["n_letters"] < 5 * m["word_chars"]),
+    "capitals": (["n_letters", "n_capitals"], lambda m: 2 * m["n_capitals"] > m["n_letters"]),
+}
+
+
 def rules(m: dict[str, Column]) -> dict[str, Column]:
-    """What each rule rejects, over measures: columns where they are worked out already, else measures() of a text."""
-    return {
-        "few_words": m["n_words"] < 10,
-        "repeated_words": 100 * m["n_repeat_words"] > 20 * m["n_words"],
-        "symbols": 10 * m["n_symbols"] > m["n_words"],
-        "repeated_lines": 10 * m["n_dup_lines"] > 3 * m["n_lines"],
-        "word_length": (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]),
-        "few_letters": 10 * m["n_letters"] < 5 * m["word_chars"],
-        "capitals": 2 * m["n_capitals"] > m["n_letters"],
-    }
+    """What each rule rejects, over measures that are worked out already."""
+    return {name: reject(m) for name, (_, reject) in RULES.items()}
 
 
-def by_rejection_per_cost(hits: dict[str, set], costs: dict[str, float]) -> list[str]:
+def by_rejection_per_cost(hits: dict[str, set], costs: dict[str, float], asks: dict[str, list[str]] | None = None, known=()) -> list[str]:
     """Rules in the order that rejects most for each second, where a rule is credited only with rows that the rules
-    before it leave; ties by name."""
-    left, out, gone = sorted(hits), [], set()
+    before it leave; ties by name. With asks, costs are of measures, and a rule costs those that it asks for and no rule
+    before it did (nor are known)."""
+    left, out, gone, known = sorted(hits), [], set(), set(known)
+
+    def cost(name: str) -> float:
+        return costs[name] if asks is None else max(1e-9, sum(costs[m] for m in asks[name] if m not in known))
+
     while left:
-        best = min(left, key=lambda n: (-len(hits[n] - gone) / costs[n], costs[n], n))
+        best = min(left, key=lambda n: (-len(hits[n] - gone) / cost(n), cost(n), n))
         left.remove(best)
         out.append(best)
         gone |= hits[best]
+        known |= set(asks[best]) if asks else set()
     return out
 
 
-def order(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list[str]:
-    """The rules by rejections per second on a sample of at most `rows` texts.
+def order(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, known=()) -> list[str]:
+    """The rules by rejections per second on a sample of at most `rows` texts; known: measures that are worked out anyway.
 
-    Each rule is timed alone from the raw texts, several times over, less the time of the same job without a rule.
+    Each measure is timed alone from the raw texts, less the time of the same job without one: the lesser of two runs over at
+    least TIMED_BYTES, to the nearest power of four, so that the noise of a timing seldom turns the order.
     The sample is drawn at random from the first parts that have enough rows, so estimating does not read the
     whole table. It decides the order alone: the verdict is the same in any order.
     """
-    found = rules(measures(F.col("text")))
     drawn = docs.where(F.octet_length(text) <= SAMPLE_BYTES).select(F.col(text).alias("text")).sample(0.1, seed=7).head(rows)
     if not drawn:
-        return sorted(found)
+        return sorted(RULES)
     sample = docs.sparkSession.createDataFrame([(k, r["text"]) for k, r in enumerate(drawn)], "k int, text string").coalesce(1)
-    flags = sample.select("k", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in found.items()]).collect()
-    many = sample.select("text", F.explode(F.sequence(F.lit(1), F.lit(TIMES))).alias("time"))
+    measured = measure(sample)
+    flags = measured.select("k", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in rules({n: F.col(n) for n in MEASURES}).items()]).collect()
+    times = max(1, -(-TIMED_BYTES // max(1, sum(len(r["text"] or "") for r in drawn))))
+    many = sample.select("text", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("time"))
 
-    def seconds(rule: Column) -> float:
+    def seconds(value: Column) -> float:
         took = []
         for _ in range(2):
             began = time.perf_counter()
-            many.agg(F.count_if(rule)).first()
+            many.agg(F.sum(value)).first()
             took.append(time.perf_counter() - began)
         return min(took)
 
-    nothing = seconds(F.char_length("text") < 0)
-    costs = {name: max(1e-4, seconds(rule) - nothing) for name, rule in found.items()}
-    return by_rejection_per_cost({name: {r["k"] for r in flags if r[name]} for name in found}, costs)
+    nothing = seconds(F.char_length("text"))
+    timed = {n: c for n, c in measures(F.col("text")).items() if n not in known}
+    costs = {n: 4.0 ** round(math.log(max(1e-3, seconds(c) - nothing), 4)) for n, c in timed.items()} | {n: 0.0 for n in known}
+    return by_rejection_per_cost({name: {r["k"] for r in flags if r[name]} for name in RULES}, costs, {n: asks for n, (asks, _) in RULES.items()}, known)
 
 
 def cascade(docs: DataFrame, rules: dict[str, Column], names: list[str]) -> DataFrame:
@@ -130,31 +144,53 @@ def cascade(docs: DataFrame, rules: dict[str, Column], names: list[str]) -> Data
     return docs.withColumn("rejected_by", F.lit(None).cast("string") if verdict is None else verdict)
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the measures, base_failed, rejected_by and kept to documents.
+def first_rejection(text: Column, names: list[str], known: dict[str, Column] | None = None) -> Column:
+    """The first of the named rules, in their order, that rejects a text, else null. known: measures that are columns already.
+    Any other is worked out once, when the first rule asks for it, and not at all for texts that rules before reject."""
+    found = measures(text)
+
+    def on(left: list[str], known: dict[str, Column]) -> Column:
+        if not left:
+            return F.lit(None).cast("string")
+        asks, reject = RULES[left[0]]
+        later = {m for n in left[1:] for m in RULES[n][0]}
+
+        def bound(missing: list[str], known: dict[str, Column]) -> Column:
+            if missing:
+                return let(found[missing[0]], lambda x: bound(missing[1:], known | {missing[0]: x}))
+            once = {m: found[m] for m in asks if m not in known}  # asked for by this rule alone
+            return F.when(F.coalesce(reject(known | once), F.lit(False)), F.lit(left[0])).otherwise(on(left[1:], known))
+
+        return bound([m for m in asks if m not in known and m in later], known)
+
+    return on(names, known or {})
+
+
+def judge(docs: DataFrame, text: str = "text", columns: list[str] = MEASURES) -> DataFrame:
+    """Adds the measures named, base_failed, rejected_by and kept to documents.
 
     Every row gets a verdict; repeated rows get the same. Null and empty texts fail the base (no words). Columns of
-    these names are replaced. All measures are asked for, so none is saved here; keep() saves them.
+    these names are replaced. What base_failed asks for is always among the measures; others that rules ask for are worked
+    out as they are needed.
     """
-    measured = measure(docs, text)
-    m = {n: F.col(n) for n in MEASURES}
-    out = measured.withColumn("base_failed", base_failed(m))
-    return cascade(out, rules(m), order(docs, text)).withColumn("kept", F.col("rejected_by").isNull())
+    named = [n for n in MEASURES if n in columns or n in ("n_words", "n_repeat_words")]
+    out = docs.withColumns({n: c for n, c in measures(F.col(text)).items() if n in named})
+    known = {n: F.col(n) for n in named}
+    out = out.withColumn("base_failed", base_failed(known))
+    return out.withColumn("rejected_by", first_rejection(F.col(text), order(docs, text, known=named), known)).withColumn("kept", F.col("rejected_by").isNull())
 
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that judge() keeps, with their own columns. Each rule works its measures out from the text when
-    its turn comes, so a row that is rejected never has those of later rules."""
+    """The documents that judge() keeps, with their own columns. A measure is worked out when the first rule asks for it,
+    and once, so a row that is rejected never has those of later rules."""
     plain, restore = aside(docs, text)
-    judged = cascade(plain, rules(measures(F.col(text))), order(plain, text))
-    return restore(judged.where(F.col("rejected_by").isNull()))
+    return restore(plain.where(first_rejection(F.col(text), order(plain, text)).isNull()))
 
 
 def op4_quality_cascade(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return judge(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
-    )
+    asked = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judge(docs, columns=asked).select("doc_id", *asked, "base_failed", "kept")
 
 
 OP4_SQL = r"""

@@ -427,3 +427,51 @@ def test_rejected_rows_never_reach_later_rules(spark):
     found = {"few_words": quality.measures(F.col("text"))["n_words"] < 10, "costly": costly}
     out = {r.doc_id: r.rejected_by for r in quality.cascade(docs, found, ["few_words", "costly"]).collect()}
     assert out == {1: "few_words", 2: None}
+
+
+def test_measures_are_worked_out_when_asked_for(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two"), (2, "some words " * 12 + "x y z"), (3, "# " * 30), (4, " ".join(f"{a}{b}ord" for a in "abcdef" for b in "ghij"))], "doc_id bigint, text string")
+    plain = quality.measures
+    verdicts = {r.doc_id: r.rejected_by for r in docs.withColumn("rejected_by", quality.first_rejection(F.col("text"), list(quality.RULES))).collect()}
+    assert verdicts == {1: "few_words", 2: "repeated_words", 3: "repeated_words", 4: None}
+    assert verdicts == {r.doc_id: r.rejected_by for r in quality.cascade(docs, quality.rules(plain(F.col("text"))), list(quality.RULES)).collect()}
+
+    def watched(text):
+        late = F.when(text.rlike("^(one|some|#)"), F.raise_error("asked for")).otherwise(F.lit(0)).cast("long")
+        return plain(text) | {n: plain(text)[n] + late for n in ("n_symbols", "n_letters", "n_capitals", "n_dup_lines", "n_lines")}
+
+    monkeypatch.setattr(quality, "measures", watched)
+    again = docs.withColumn("rejected_by", quality.first_rejection(F.col("text"), list(quality.RULES)))
+    assert {r.doc_id: r.rejected_by for r in again.collect()} == verdicts
+    with pytest.raises(Exception, match="asked for"):
+        docs.withColumn("rejected_by", quality.first_rejection(F.col("text"), list(quality.RULES)[::-1])).collect()
+
+
+def test_order_saves_work(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    flags = quality.measure(docs).select("doc_id", *[c.alias(n) for n, c in quality.rules({m: F.col(m) for m in quality.MEASURES}).items()]).collect()
+    asks = {n: a for n, (a, _) in quality.RULES.items()}
+    costs = dict(zip(quality.MEASURES, [1.0, 1.0, 1.0, 1.0, 1.0, 16.0, 4.0, 4.0]))
+    best = quality.by_rejection_per_cost({n: {r.doc_id for r in flags if r[n]} for n in asks}, costs, asks)
+
+    def work(order):
+        total = 0
+        for r in flags:
+            known = set()
+            for n in order:
+                total += sum(costs[m] for m in set(asks[n]) - known)
+                known |= set(asks[n])
+                if r[n]:
+                    break
+        return total
+
+    assert work(best) < 0.97 * work(best[::-1]) and work(best) < 0.95 * sum(costs.values()) * len(flags)
+    assert sorted(quality.order(docs)) == sorted(best)
+
+
+def test_single_characters_are_permuted(spark):
+    for alphabet, hexadecimal in ((pii.LOWER, False), (pii.DIGITS, False), (pii.HEX, True)):
+        rows = spark.createDataFrame([(c,) for c in alphabet], "c string")
+        got = {r.c: r.p for r in rows.select("c", pii.feistel_text(F.col("c"), "key", F.lit("kind"), F.lit(hexadecimal)).alias("p")).collect()}
+        assert sorted(got.values()) == sorted(alphabet)
+        assert len({(alphabet.index(v) - alphabet.index(k)) % len(alphabet) for k, v in got.items()}) > 2  # no constant shift
