@@ -43,7 +43,7 @@ def _code(key: str, kind: str | Column, turn: Column, half: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), kind, turn.cast("string"), half.cast("string")), 256)
 
 
-def feistel_number(value: Column, high: int, low: int, key: str, kind: str) -> Column:
+def feistel_number(value: Column, high: int, low: int, key: str, kind: str | Column) -> Column:
     """Permutes whole numbers from 0 to high * low - 1."""
 
     def turn(s: Column, i: Column) -> Column:
@@ -96,7 +96,24 @@ def feistel_text(value: Column, key: str, kind: Column, hexadecimal: Column) ->
         moved = _shift(F.when(even, s["a"]).otherwise(s["b"]), _code(key, kind, i, F.when(even, s["b"]).otherwise(s["a"])), hexadecimal)
         return F.struct(F.when(even, moved).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(moved).alias("b"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves, turn, lambda s: F.concat(s["a"], s["b"]))
+    both = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves, turn, lambda s: F.concat(s["a"], s["b"]))
+    return F.when(F.length(value) == 1, feistel_character(value, key, kind, hexadecimal)).otherwise(both)
+
+
+def feistel_character(value: Column, key: str, kind: Column, hexadecimal: Column) -> Column:
+    """Permutes the alphabet of a single character, which has no halves: its place is the number."""
+
+    def within(alphabet: str) -> Column:
+        at = feistel_number(F.instr(F.lit(alphabet), value) - 1, len(alphabet) // 2, 2, key, kind)
+        return F.substr(F.lit(alphabet), (at + 1).cast("int"), F.lit(1))
+
+    return (
+        F.when(hexadecimal & F.contains(F.lit(HEX), value), within(HEX))
+        .when(value.between("0", "9"), within(DIGITS))
+        .when(value.between("a", "z"), within(LOWER))
+        .when(value.between("A", "Z"), within(UPPER))
+        .otherwise(value)
+    )
 
 
 def luhn_digit(body: Column) -> Column:

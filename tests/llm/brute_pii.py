@@ -23,6 +23,9 @@ def shifted(half, code, alphabets):
 
 
 def permuted(value, key, kind, alphabets=(pii.DIGITS, pii.LOWER, pii.UPPER)):
+    if len(value) == 1:  # no halves: a permutation of the alphabet
+        a = next((a for a in alphabets if value in a), None)
+        return a[number(a.index(value), len(a) // 2, 2, key, kind)] if a else value
     cut = len(value) // 2
     a, b = value[:cut], value[cut:]
     for i in range(pii.ROUNDS):
