@@ -1,46 +1,71 @@
 """Street graphs from thinned cells: nodes, edges and their points, cleaning, simplified lines.
 
 Cells become an edge list by equi-joins on neighbours; chains between nodes come from components of a tile, which is a
-bounded group; cleaning goes in rounds of joins on nodes, each of which treats all edges at once.
+bounded group, and are put in order by pointer doubling; cleaning goes in rounds of joins on nodes, each of which treats all edges at once.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
 from . import raster, tiles_np
+from .ranking import list_ranks
 
 AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 POINTS = "array<struct<seq: int, x: double, y: double>>"
 
 
-def skeleton_nodes(skeleton: DataFrame, side: int) -> tuple[DataFrame, DataFrame]:
-    """Junction nodes and path cells of thinned cells (tile_id, r, c). Cells with three neighbours or more are junctions;
-    those that touch are one node (tile_id, node: its least cell number, x, y: their middle). The rest are paths
-    (tile_id, r, c, path: the least cell number of the cells that touch)."""
+def skeleton_parts(skeleton: DataFrame, side: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Junction nodes, path cells and junction cells of thinned cells (tile_id, r, c). Cells with three neighbours or more are
+    junctions; those that touch are one node (tile_id, node: its least cell number, x, y: their middle). The rest are paths
+    (tile_id, r, c, path: the least cell number of the cells that touch). Junction cells are tile_id, r, c, node."""
     near = raster.neighbours(skeleton, ["r"], AROUND).groupBy("tile_id", "r", "c").agg(F.count(F.lit(1)).alias("n"))
-    all_ = skeleton.join(near, ["tile_id", "r", "c"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    junctions = tiles_np.components(all_, F.col("n") >= 3, True, side)
-    nodes = junctions.groupBy("tile_id", F.col("label").alias("node")).agg((F.avg("c") + 0.5).alias("x"), (F.avg("r") + 0.5).alias("y"))
-    paths = tiles_np.components(all_, F.col("n") < 3, True, side).withColumnRenamed("label", "path")
-    return nodes, paths.join(junctions.select("tile_id", "r", "c"), ["tile_id", "r", "c"], "left_anti")
-
-
-def _ordered(path: pd.DataFrame) -> pd.DataFrame:
-    """The cells of one path from one end to the other: from the end (or of a ring the cell) with the least number, always
-    on to a neighbour not yet seen, straight before diagonal, then the least number."""
-    cells = {(r, c) for r, c in zip(path["r"], path["c"])}
-    beside = lambda p: [q for q in ((p[0] + a, p[1] + b) for a, b in AROUND) if q in cells]
-    ends = sorted(p for p in cells if len(beside(p)) <= 1) or sorted(cells)
-    order, seen = [ends[0]], {ends[0]}
-    while ahead := [q for q in beside(order[-1]) if q not in seen]:
-        order.append(min(ahead, key=lambda q: (abs(q[0] - order[-1][0]) + abs(q[1] - order[-1][1]), q)))
-        seen.add(order[-1])
-    return pd.DataFrame({"tile_id": path["tile_id"].iloc[0], "path": path["path"].iloc[0], "seq": range(len(order)), "r": [p[0] for p in order], "c": [p[1] for p in order]})
+    counted = skeleton.join(near, ["tile_id", "r", "c"], "left").select("tile_id", "r", "c", (F.coalesce("n", F.lit(0)) >= 3).alias("on"))
+    labels = written(counted.groupBy("tile_id").applyInPandas(tiles_np.two_labels(side), "tile_id int, r int, c int, junction boolean, label int"), "skeleton-labels")
+    cells = labels.where("junction").select("tile_id", "r", "c", F.col("label").alias("node"))
+    nodes = cells.groupBy("tile_id", "node").agg((F.avg("c") + 0.5).alias("x"), (F.avg("r") + 0.5).alias("y"))
+    return nodes, labels.where("not junction").select("tile_id", "r", "c", F.col("label").alias("path")), cells
+
+
+def skeleton_nodes(skeleton: DataFrame, side: int) -> tuple[DataFrame, DataFrame]:
+    """The nodes and paths of skeleton_parts."""
+    return skeleton_parts(skeleton, side)[:2]
+
+
+def path_order(paths: DataFrame, side: int) -> DataFrame:
+    """The cells of paths (tile_id, r, c, path) in order: seq from 0 on, from the end (or of a ring the cell) with the least number; a
+    ring goes straight before diagonally, then to the least number. Each cell of a path touches at most two others of it.
+
+    Steps from cell to cell, both ways, are lists that pointer doubling ranks, so no task walks along a path.
+    """
+    number = (F.col("r") * side + F.col("c") + 1).cast("long")
+    cells = paths.select("tile_id", "path", "r", "c", number.alias("u"))
+    near = raster.neighbours(cells.withColumns({"v": F.col("u"), "rr": F.col("r"), "cc": F.col("c")}), ["path", "v", "rr", "cc"], AROUND).where("path = n_path")
+    bend = F.abs(F.col("r") - F.col("n_rr")) + F.abs(F.col("c") - F.col("n_cc"))
+    steps = written(near.select("tile_id", "path", "u", F.col("n_v").alias("v"), bend.alias("bend")), "path-steps")
+    degree = steps.groupBy("tile_id", "path", "u").agg(F.count(F.lit(1)).alias("n"))
+    known = cells.join(degree, ["tile_id", "path", "u"], "left").withColumn("end", F.coalesce("n", F.lit(0)) < 2)
+    first = known.groupBy("tile_id", "path").agg(F.coalesce(F.min(F.when(F.col("end"), F.col("u"))), F.min("u")).alias("start"), F.bool_or("end").alias("open"))
+    first = written(first, "path-starts")
+    step_id = lambda u, v: F.col(u) * (side * side + 1) + F.col(v)
+    begin = steps.join(first.select("tile_id", "path", F.col("start").alias("u")), ["tile_id", "path", "u"]).groupBy("tile_id", "path").agg(F.min(F.struct("bend", "v", "u")).alias("s"))
+    begin = begin.select("tile_id", "path", (F.col("s.u") * (side * side + 1) + F.col("s.v")).alias("head"))
+    before = steps.select("tile_id", "path", F.col("v").alias("u"), F.col("u").alias("w"))
+    links = steps.join(before, ["tile_id", "path", "u"]).where("w <> v").select("tile_id", "path", "u", "v", step_id("w", "u").alias("prev"))
+    links = steps.select("tile_id", "path", "u", "v").join(links, ["tile_id", "path", "u", "v"], "left").withColumn("id", step_id("u", "v"))
+    links = links.join(begin.select("tile_id", "path", F.col("head").alias("id"), F.lit(True).alias("cut")), ["tile_id", "path", "id"], "left")
+    links = written(links.select("tile_id", "path", "u", "v", "id", F.when(F.col("cut").isNull(), F.col("prev")).alias("prev")), "path-links")
+    ranked = list_ranks(links.select("tile_id", "path", "id", "prev"), ["tile_id", "path"], "path-ranks").join(begin, ["tile_id", "path", "head"], "left_semi")
+    ranked = links.join(ranked.select("tile_id", "path", "id", "seq"), ["tile_id", "path", "id"]).join(first, ["tile_id", "path"])
+    last = F.max("seq").over(Window.partitionBy("tile_id", "path"))
+    onward = F.when(F.col("open") & (F.col("seq") == F.col("last")), F.array(F.struct("u", "seq"), F.struct(F.col("v").alias("u"), (F.col("seq") + 1).alias("seq")))).otherwise(F.array(F.struct("u", "seq")))
+    order = ranked.withColumn("last", last).select("tile_id", "path", F.inline(onward))
+    alone = known.where("n IS NULL").select("tile_id", "path", "u", F.lit(0).cast("long").alias("seq"))
+    back = [F.col("seq").cast("int").alias("seq"), F.floor((F.col("u") - 1) / side).cast("int").alias("r"), ((F.col("u") - 1) % side).cast("int").alias("c")]
+    return order.unionByName(alone).select("tile_id", "path", *back)
 
 
 def skeleton_edges(nodes: DataFrame, paths: DataFrame, junctions: DataFrame, side: int) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +75,7 @@ def skeleton_edges(nodes: DataFrame, paths: DataFrame, junctions: DataFrame, sid
     junctions: cells (tile_id, r, c, node). A node that is a free end has the number of its cell, from the side squared
     on, so it is no junction's.
     """
-    order = paths.select("tile_id", "path", "r", "c").groupBy("tile_id", "path").applyInPandas(_ordered, "tile_id int, path int, seq int, r int, c int")
+    order = written(path_order(paths, side), "path-order")
     last = F.max("seq").over(Window.partitionBy("tile_id", "path"))
     order = order.withColumn("last", last)
     ends = order.where("seq = 0").withColumn("first", F.lit(True)).unionByName(order.where("seq = last").withColumn("first", F.lit(False)))

@@ -114,6 +114,21 @@ def components(cells: DataFrame, on, eight: bool, side: int) -> DataFrame:
     return _each(cells, on, side, lambda t, m: _long(t, label(m, eight), m, "label"), "tile_id int, r int, c int, label int")
 
 
+def two_labels(side: int):
+    """A grouped map of cells (tile_id, r, c, on) to the components, corners included, of those that are on and of the others:
+    tile_id, r, c, junction (on), label."""
+    def kernel(tile: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for on in (True, False):
+            mask = np.zeros((side, side), bool)
+            some = tile[tile["on"] == on]
+            mask[some["r"], some["c"]] = True
+            parts.append(_long(int(tile["tile_id"].iloc[0]), label(mask, True), mask, "label").assign(junction=on))
+        return pd.concat(parts)[["tile_id", "r", "c", "junction", "label"]]
+
+    return kernel
+
+
 def cleaned(cells: DataFrame, on, least: int, side: int) -> DataFrame:
     """Components of at least so many cells: tile_id, r, c, label."""
     parts = components(cells, on, False, side)

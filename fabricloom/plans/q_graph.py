@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, tiles_np
-from ..session import table
+from ..operators import graph
+from ..session import table, written
 from ..sources.cells import SIDE, full_cells
 from .catalog import CELLS_SQL, query
 from .q_vector import _RINGS, _rings
@@ -15,13 +15,7 @@ _LINES = "(r % 5 = 2 OR c % 5 = 3) AND (cls = 'street' OR (r * 7 + c * 3 + tile_
 
 def _lines(spark, sf_dir):
     """Broken lines of cells on every fifth row and column."""
-    return full_cells(spark, sf_dir).where(_LINES).select("tile_id", "r", "c")
-
-
-def _junctions(thin):
-    nodes, paths = graph.skeleton_nodes(thin, SIDE)
-    cells = thin.join(paths.select("tile_id", "r", "c"), ["tile_id", "r", "c"], "left_anti")
-    return nodes, paths, tiles_np.components(cells.withColumn("on", F.lit(True)), F.col("on"), True, SIDE).withColumnRenamed("label", "node")
+    return written(full_cells(spark, sf_dir).where(_LINES).select("tile_id", "r", "c"), "thin")
 
 
 _GRAPH = f"""
@@ -38,7 +32,7 @@ SELECT tile_id, CAST(label AS INT) AS node, round(avg(c) + 0.5, 6) AS x, round(a
 """)
 def graph_nodes(spark, sf_dir):
     """Junctions: cells with three neighbours or more, those that touch taken together."""
-    nodes, _, cells = _junctions(_lines(spark, sf_dir))
+    nodes, _, cells = graph.skeleton_parts(_lines(spark, sf_dir), SIDE)
     count = cells.groupBy("tile_id", "node").agg(F.count(F.lit(1)).alias("cells"))
     return nodes.join(count, ["tile_id", "node"]).select("tile_id", "node", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "cells")
 
@@ -53,7 +47,7 @@ SELECT tile_id, CAST(path AS INT) AS edge, CAST(a AS INT) AS a, CAST(coalesce(li
 """)
 def graph_edges(spark, sf_dir):
     """The paths between junctions and free ends, with the points of each in order."""
-    nodes, paths, cells = _junctions(_lines(spark, sf_dir))
+    nodes, paths, cells = graph.skeleton_parts(_lines(spark, sf_dir), SIDE)
     _, edges = graph.skeleton_edges(nodes, paths, cells, SIDE)
     return edges.select("tile_id", "edge", "a", "b", F.size("points").alias("points"))
 
