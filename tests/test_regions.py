@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from fabricloom.operators import contour, ranking, rays, regions, scanline
+from fabricloom.operators import contour, planar, ranking, rays, regions, scanline
 
 
 def drawn(spark, rows, tile=0):
@@ -134,3 +134,26 @@ def test_scanlines_of_a_ring_with_a_hole(spark):
     rings = spark.createDataFrame(square(0, -2, 6) + square(1, 2, 4), "place int, id int, ring int, seq int, x double, y double, h int")
     got = {(r.r, r.c): (r.share, r.h) for r in scanline.rasterise(rings, ["place"], "id", "h", 2.0, 5, 4).collect()}
     assert got == {(r, c): (1.0, 9.0) for r in range(3) for c in range(3) if (r, c) != (1, 1)}
+
+
+def test_faces_of_two_squares_and_a_spur(spark):
+    places = {1: (0, 0), 2: (2, 0), 3: (2, 2), 4: (0, 2), 5: (3, 0), 6: (3, 2), 7: (1, 1)}
+    pairs = [(1, 2), (2, 3), (3, 4), (1, 4), (2, 5), (5, 6), (3, 6), (1, 7)]  # 7 hangs inside the larger square
+    nodes = spark.createDataFrame([(0, n, float(x), float(y)) for n, (x, y) in places.items()], "tile_id int, node bigint, x double, y double")
+    edges = spark.createDataFrame([(0, a, b) for a, b in pairs], "tile_id int, a bigint, b bigint")
+    got = {(r.area, r.size) for r in planar.faces(nodes, edges).collect()}
+    assert got == {(4.0, 6), (2.0, 4), (-6.0, 6)}
+    left, kept = planar.collapsed(nodes, edges, 3.0)
+    assert {(r.node, r.x, r.y, r.nodes) for r in left.collect()} == {(1, 0.0, 0.0, 1), (2, 2.5, 1.0, 4), (4, 0.0, 2.0, 1), (7, 1.0, 1.0, 1)}
+    assert {(r.a, r.b) for r in kept.collect()} == {(1, 2), (2, 4), (1, 4), (1, 7)}
+
+
+def test_runs_turn_and_meet(spark):
+    along = [(0, 1, x, 0) for x in range(10)] + [(0, 2, 4, y) for y in range(1, 9)] + [(0, 3, 0, y) for y in range(9)] + [(0, 4, 5, 5)]
+    runs = planar.snapped(planar.straight_runs(spark.createDataFrame(along, "tile_id int, path int, x int, y int"), ["tile_id", "path"]), 12.0)
+    got = {r.path: (r.n, round(r.cx, 6), round(r.cy, 6), round(r.angle, 6), round(r.rms, 6)) for r in runs.collect()}
+    assert got[1] == (10, 4.5, 0, 0, 0) and got[2][:3] == (8, 4, 4.5) and abs(abs(got[2][3]) - math.pi / 2) < 1e-6 and got[4] == (1, 5, 5, 0, 0)
+    node = spark.createDataFrame([(0, 1, 4.4, 0.6), (0, 2, 30.0, 30.0), (0, 3, 9.0, 9.0)], "tile_id int, node int, x double, y double")
+    meets = spark.createDataFrame([(0, 1, 1), (0, 1, 2), (0, 2, 1)], "tile_id int, node int, path int").join(runs, ["tile_id", "path"])
+    at = {r.node: (r.x, r.y) for r in planar.placed(node, meets, 1.5).collect()}
+    assert abs(at[1][0] - 4) < 0.1 and abs(at[1][1]) < 0.1 and abs(math.dist(at[2], (30, 30)) - 1.5) < 1e-9 and at[3] == (9, 9)
