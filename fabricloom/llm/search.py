@@ -142,34 +142,36 @@ def search(index: Index, items: DataFrame, staged: Scratch, top: int = 10) -> Da
     """The `top` documents of each item: item, rank, key, score, tier. items: rows of forward(). Scores are over 0, equal
     ones by ascending key (null last); tier says where the item's result was proven."""
     rows = items.select(F.col("rid").alias("item"), F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("times"))))
+    work = Scratch()  # goes when the last tier is done
     asked = rows.join(index.terms, "term").select("item", "term", (F.col("times") * F.col("weight")).alias("weight"), "r0", "r1")
-    asked = staged(asked.where("weight > 0"), "search-asked")
-    open_items = staged(asked.select("item").distinct().withColumn("least", F.lit(0).cast("long")), "search-open")
+    asked = work(asked.where("weight > 0"), "search-asked")
+    open_items = work(asked.select("item").distinct().withColumn("least", F.lit(0).cast("long")), "search-open")
     done, last = [], len(TIERS)
     for k in range(last + 1):
         # terms whose weighted bounds sum to less than the tenth score can't lift an unseen document to it by themselves
         rising = Window.partitionBy("item").orderBy(F.col("weight") * F.col("r0"), "term").rowsBetween(Window.unboundedPreceding, 0)
         mine = asked.join(open_items, "item").withColumn("needed", F.sum(F.col("weight") * F.col("r0")).over(rising) >= F.col("least"))
         rest = F.lit(0) if k == last else F.col(f"r{k}")
-        mine = staged(mine.withColumn("bound", F.col("weight") * F.when(F.col("needed"), rest).otherwise(F.col("r0"))), f"search-asked-{k}")
+        mine = work(mine.withColumn("bound", F.col("weight") * F.when(F.col("needed"), rest).otherwise(F.col("r0"))), f"search-asked-{k}")
         lists = index.postings.where(F.col("tier") <= k).join(mine.select("item", "term", "weight", "bound", "needed"), "term")
         seen = lists.where(F.col("needed") | (F.col("tier") == 0)).groupBy("item", "rid").agg(
             F.sum(F.col("weight") * F.col("impact")).alias("part"), F.sum("bound").alias("known")
         )
-        seen = staged(seen, f"search-seen-{k}")
-        some = staged(_first(seen, FIRST, F.col("part"), F.col("rid")).select("item", "rid"), f"search-some-{k}")
+        seen = work(seen, f"search-seen-{k}")
+        some = work(_first(seen, FIRST, F.col("part"), F.col("rid")).select("item", "rid"), f"search-some-{k}")
         tenth = _first(exact(index, asked, some), top, F.col("score")).where(F.col("rank") == top).select("item", "score")
         bounds = mine.groupBy("item").agg(F.sum("bound").alias("unseen"), F.first("least").alias("least")).join(tenth, "item", "left")
-        bounds = staged(bounds.select("item", "unseen", F.greatest("least", F.coalesce("score", F.lit(0))).alias("least")), f"search-bounds-{k}")
+        bounds = work(bounds.select("item", "unseen", F.greatest("least", F.coalesce("score", F.lit(0))).alias("least")), f"search-bounds-{k}")
         proven = bounds if k == last else bounds.where("unseen < least")
         able = seen.join(proven, "item").where(F.col("part") + F.col("unseen") - F.col("known") >= F.greatest("least", F.lit(1)))
-        able = staged(able.select("item", "rid"), f"search-able-{k}")
+        able = work(able.select("item", "rid"), f"search-able-{k}")
         ranked = _first(exact(index, asked, able).where("score > 0"), top, F.col("score"), F.asc_nulls_last("key"), F.asc("rid"))
         done.append(staged(ranked.select("item", "rank", "key", "score", F.lit(k).alias("tier")), f"search-done-{k}"))
         if k < last:
             open_items = bounds.where("unseen >= least").select("item", "least")
             if open_items.isEmpty():
                 break
+    work.drop()
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -183,13 +185,13 @@ def ranked_search(docs: DataFrame, doc_id: str, text: str, items: DataFrame, ite
     item that stands twice counts twice. Ids are whole numbers; equal scores go by ascending doc_id, null last. Terms are told apart by 64-bit
     hashes.
     """
-    staged = Scratch()
+    staged, tables = Scratch(), Scratch()
     asked = staged(forward(items, item_id, item_text), "search-items")
     terms = asked.select(F.explode("terms").alias("term")).distinct()
     few = terms.limit(SHIPPED + 1).collect()
     only = np.sort(np.array([r[0] for r in few], np.int64)) if len(few) <= SHIPPED else None
-    index = build(docs, doc_id, text, staged, only)
-    found = search(index, asked, staged, top)
+    found = search(build(docs, doc_id, text, tables, only), asked, staged, top)
+    tables.drop()
     return found.join(asked.select(F.col("rid").alias("item"), F.col("key").alias("item_id")), "item").select(
         "item_id", F.col("rank").cast("int").alias("rank"), F.col("key").alias("doc_id"), "score", "tier"
     )
