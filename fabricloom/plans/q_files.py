@@ -164,34 +164,34 @@ def run_manifest(spark, sf_dir):
 
 
 @query("stored_once", """
-SELECT CAST(c_nationkey AS INT) AS snapshot, count(*) AS n, round(sum(c_acctbal), 2) AS total, c_nationkey >= 15 AS added_later FROM customer WHERE c_nationkey < 20 GROUP BY ALL
+SELECT CAST(c_nationkey AS INT) AS snapshot, count(*) AS n, round(sum(c_acctbal), 2) AS total, c_nationkey >= 15 AS added_later FROM customer GROUP BY ALL
 """)
 def stored_once(spark, sf_dir):
     """Metrics by snapshot in a store: a second run that asks for more adds only what isn't there."""
     t = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("int").alias("snapshot"), "c_acctbal")
     path = new_path(spark, "store")
     sinks.once(t.where("snapshot < 15"), path, "snapshot")
-    added = sinks.once(t.where("snapshot < 20").withColumn("c_acctbal", F.when(F.col("snapshot") >= 15, F.col("c_acctbal")).otherwise(-1.0)), path, "snapshot")
+    added = sinks.once(t.withColumn("c_acctbal", F.when(F.col("snapshot") >= 15, F.col("c_acctbal")).otherwise(-1.0)), path, "snapshot")
     one = spark.read.parquet(path).groupBy("snapshot").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
     return one.join(added.withColumn("_a", F.lit(True)), "snapshot", "left").select("snapshot", "n", "total", F.coalesce("_a", F.lit(False)).alias("added_later"))
 
 
-@query("file_inventory", "SELECT 'city=' || c_nationkey AS folder FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) GROUP BY 1")
+@query("file_inventory", "SELECT 'city=' || c_nationkey AS folder FROM customer GROUP BY 1")
 def file_inventory(spark, sf_dir):
     """The folders of a corpus by a listing of its files over 600 bytes."""
     path = new_path(spark, "inventory")
-    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation").where("n_regionkey = 2"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, sf_dir, "customer")
     sinks.corpus(c.select(F.col("c_nationkey").alias("city"), "c_custkey", "c_name", "c_acctbal"), path)
     t = files.inventory(spark, path, "*.parquet", 600)
     return t.select(F.regexp_extract("path", "(city=[^/]+)", 1).alias("folder")).distinct()
 
 
 @query("candidate_metrics", """
-SELECT p_partkey AS candidate, round(p_size * 1.0, 3) AS target, round(p_retailprice / 37, 3) AS achieved, round(p_retailprice / 37 - p_size, 3) AS error FROM part WHERE p_partkey % 3 = 0
+SELECT p_partkey AS candidate, round(p_size * 1.0, 3) AS target, round(p_retailprice / 37, 3) AS achieved, round(p_retailprice / 37 - p_size, 3) AS error FROM part
 """)
 def candidate_metrics(spark, sf_dir):
     """Candidates' targets and what they reached, nested in JSON and flattened again."""
-    t = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select("p_partkey", F.struct((F.col("p_size") * 1.0).alias("coverage")).alias("targets"), F.struct((F.col("p_retailprice") / 37).alias("coverage")).alias("achieved"))
+    t = table(spark, sf_dir, "part").select("p_partkey", F.struct((F.col("p_size") * 1.0).alias("coverage")).alias("targets"), F.struct((F.col("p_retailprice") / 37).alias("coverage")).alias("achieved"))
     path = new_path(spark, "candidates")
     sinks.report(t, path)
     r = spark.read.schema("p_partkey bigint, targets struct<coverage: double>, achieved struct<coverage: double>").json(path)

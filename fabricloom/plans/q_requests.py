@@ -123,7 +123,7 @@ def border_margin(spark, sf_dir):
 
 
 @query("crop_content", """
-WITH k AS (SELECT event_id AS crop, CAST(event_id % 8 AS INT) AS tile_id, event_id * 7 % 24 AS r0, event_id * 11 % 24 AS c0 FROM events WHERE event_id % 10 = 0),
+WITH k AS (SELECT event_id AS crop, CAST(event_id % 8 AS INT) AS tile_id, event_id * 7 % 24 AS r0, event_id * 11 % 24 AS c0 FROM events),
 s AS (SELECT k.tile_id, crop, avg(CASE WHEN cls != 'open' THEN 1 ELSE 0 END) AS content FROM k JOIN full_cells f ON f.tile_id = k.tile_id AND r >= r0 AND r < r0 + 8 AND c >= c0 AND c < c0 + 8 GROUP BY 1, 2),
 n AS (SELECT *, content >= 0.7 AS good, count(*) FILTER (content >= 0.7) OVER (PARTITION BY tile_id) AS n, row_number() OVER (PARTITION BY tile_id, content >= 0.7 ORDER BY crop) AS i FROM s)
 SELECT tile_id, crop, content, NOT good AS filled_in FROM n WHERE good OR i <= 6 - n
@@ -132,7 +132,7 @@ def crop_content(spark, sf_dir):
     """Crops with enough in them; a tile with fewer than six gets its first others."""
     i = F.col("event_id")
     rows = F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))
-    k = table(spark, sf_dir, "events").where(i % 10 == 0).select(i.alias("crop"), (i % 8).cast("int").alias("tile_id"), (i * 7 % 24).alias("r0"), (i * 11 % 24).alias("c0"), F.explode(rows).alias("a"))
+    k = table(spark, sf_dir, "events").select(i.alias("crop"), (i % 8).cast("int").alias("tile_id"), (i * 7 % 24).alias("r0"), (i * 11 % 24).alias("c0"), F.explode(rows).alias("a"))
     k = k.select("crop", "tile_id", (F.col("r0") + F.col("a")).cast("int").alias("r"), "c0", F.explode(rows).alias("b")).select("crop", "tile_id", "r", (F.col("c0") + F.col("b")).cast("int").alias("c"))
     t = k.join(full_cells(spark, sf_dir), ["tile_id", "r", "c"]).groupBy("tile_id", "crop").agg(F.avg((F.col("cls") != "open").cast("int")).alias("content"))
     return requests.with_fallback(t, "tile_id", F.col("content") >= 0.7, ["crop"], 6)
