@@ -99,11 +99,12 @@ def first_hit(eyes: DataFrame, cells: DataFrame, directions: list[tuple[int, int
     return out.select("tile_id", "eye", "ray", F.coalesce("m.cls", F.when(F.col("rise") > 0, "sky").otherwise("open")).alias("sees"), F.round("m.far", 6).alias("far"))
 
 
-def view_rays(around: int, up: int, spread: float = 180.0) -> Column:
+def view_rays(around: int | Column, up: int | Column, spread: float = 180.0) -> Column:
     """Directions over a sector to either side of a wall, of equal solid angle: azimuth and altitude in degrees."""
-    up += up % 2  # no band on the horizon itself
-    az = F.transform(F.sequence(F.lit(0), F.lit(around - 1)), lambda i: -spread / 2 + (i + 0.5) * spread / around)
-    alt = F.transform(F.sequence(F.lit(0), F.lit(up - 1)), lambda j: F.degrees(F.asin(-1 + (j + 0.5) * 2.0 / up)))
+    around, up = (F.lit(x) if isinstance(x, int) else x for x in (around, up))
+    up = up + up % 2  # no band on the horizon itself
+    az = F.transform(F.sequence(F.lit(0).cast("long"), (around - 1).cast("long")), lambda i: -spread / 2 + (i + 0.5) * spread / around)
+    alt = F.transform(F.sequence(F.lit(0).cast("long"), (up - 1).cast("long")), lambda j: F.degrees(F.asin(-1 + (j + 0.5) * 2.0 / up)))
     return F.flatten(F.transform(az, lambda a: F.transform(alt, lambda b: F.struct(a.alias("azimuth"), b.alias("altitude")))))
 
 

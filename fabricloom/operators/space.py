@@ -17,12 +17,13 @@ def axis(low: float, high: float, steps: int, whole: bool = False) -> Column:
     return F.array_distinct(F.transform(values, F.rint)) if whole else F.transform(values, lambda v: F.round(v, 6))
 
 
-def grid(spark: SparkSession, axes: dict[str, Column]) -> DataFrame:
-    """Every combination of the axes' values, a column each, in order of the axes, with its ordinal from 1.
+def grid(spark: SparkSession, axes: dict[str, Column], rows: DataFrame | None = None) -> DataFrame:
+    """Every combination of the axes' values, a column each, in order of the axes, with its ordinal from 1; with rows, of each of
+    them, whose columns axes may use.
 
     The ordinal is computed from the places on the axes, so no sort or single task is needed.
     """
-    out = spark.range(1).select(F.lit(0).cast("bigint").alias("_o"))
+    out = (spark.range(1).select() if rows is None else rows).select("*", F.lit(0).cast("bigint").alias("_o"))
     for name, values in axes.items():
         out = out.select("*", F.posexplode(values).alias("_p", name), F.size(values).alias("_n"))
         out = out.withColumn("_o", F.col("_o") * F.col("_n") + F.col("_p")).drop("_p", "_n")

@@ -139,13 +139,14 @@ def crop_content(spark, sf_dir):
 
 
 @query("ramps", """
-SELECT i AS step, round(0.001 * least(1.0, (i + 1) / 40.0), 9) AS warm_up, round(0.1 * (0.5 - 0.5 * cos(pi() * least(1.0, (1 - p) / 0.25))) * least(1.0, p / 0.05 + 1e-6), 9) AS rate,
-  round(0.05 * pow(greatest(0.0, 1 - p / 0.75), 2), 9) AS noise FROM (SELECT i, i / 199.0 AS p FROM range(200) t(i))
+SELECT event_id, i AS step, round(0.001 * least(1.0, (i + 1) / 40.0), 9) AS warm_up, round(0.1 * (0.5 - 0.5 * cos(pi() * least(1.0, (1 - p) / 0.25))) * least(1.0, p / 0.05 + 1e-6), 9) AS rate,
+  round(0.05 * pow(greatest(0.0, 1 - p / 0.75), 2), 9) AS noise FROM (SELECT event_id, event_id % 200 AS i, event_id % 200 / 199.0 AS p FROM events)
 """)
 def ramps(spark, sf_dir):
     rate, noise = requests.projector_ramp(F.col("p"), 0.1)
-    t = spark.range(200).select(F.col("id").alias("step"), (F.col("id") / 199.0).alias("p"))
-    return t.select("step", F.round(requests.warm_up(F.col("step"), 0.001, 40), 9).alias("warm_up"), F.round(rate, 9).alias("rate"), F.round(noise, 9).alias("noise"))
+    step = F.col("event_id") % 200
+    t = table(spark, sf_dir, "events").select("event_id", step.alias("step"), (step / 199.0).alias("p"))
+    return t.select("event_id", "step", F.round(requests.warm_up(F.col("step"), 0.001, 40), 9).alias("warm_up"), F.round(rate, 9).alias("rate"), F.round(noise, 9).alias("noise"))
 
 
 @query("class_spread", """

@@ -58,16 +58,17 @@ def grey_metres(spark, sf_dir):
 
 
 @query("field_bytes", """
-SELECT CAST(i AS INT) AS byte, round(i / 127.5 - 1.0, 9) AS field, CAST(round_even((i / 127.5 - 1.0 + 1.0) * 127.5, 0) AS INT) AS back,
+SELECT event_id, CAST(i AS INT) AS byte, round(i / 127.5 - 1.0, 9) AS field, CAST(round_even((i / 127.5 - 1.0 + 1.0) * 127.5, 0) AS INT) AS back,
   CAST(CASE WHEN i > 127 THEN i - 256 ELSE i END AS INT) AS signed,
   CAST(greatest(0.0, least(255.0, round_even(128.0 + (i - 128) / 16.0 / 8.0 * 127.0, 0))) AS INT) AS sdf_byte,
   CAST(round_even(greatest(-31.0, least(31.0, (i - 128) / 3.0)) * 4.0, 0) AS INT) AS quarter
-FROM range(256) t(i)
+FROM (SELECT event_id, event_id * 37 % 256 AS i FROM events) t
 """)
 def field_bytes(spark, sf_dir):
-    b = F.col("id").cast("int")
-    return spark.range(256).select(
-        b.alias("byte"), F.round(X.byte_to_field(b), 9).alias("field"), X.field_to_byte(X.byte_to_field(b)).alias("back"),
+    """Bytes of events as fields and distances, and back."""
+    b = (F.col("event_id") * 37 % 256).cast("int")
+    return table(spark, sf_dir, "events").select(
+        "event_id", b.alias("byte"), F.round(X.byte_to_field(b), 9).alias("field"), X.field_to_byte(X.byte_to_field(b)).alias("back"),
         X.signed_byte(b).alias("signed"), X.sdf_to_byte((b - 128) / 16.0).alias("sdf_byte"), X.sdf_to_quarter((b - 128) / 3.0).alias("quarter"),
     )
 
@@ -104,34 +105,39 @@ def stub_model(spark, sf_dir):
 
 
 @query("noise_schedule", """
-SELECT CAST(t AS INT) AS t, round(ac, 6) AS alphas_cumprod, round(least(ac / (1 - ac), 5.0), 4) AS clipped_snr,
+SELECT event_id, t, round(ac, 6) AS alphas_cumprod, round(least(ac / (1 - ac), 5.0), 4) AS clipped_snr,
   round(least(ac / (1 - ac), 5.0) / (ac / (1 - ac) + 1), 6) AS weight FROM (
-  SELECT i AS t, greatest(1e-5, least(1.0, pow(cos(((i + 1) / 1000.0 + 0.008) / 1.008 * pi() / 2), 2) / pow(cos(0.008 / 1.008 * pi() / 2), 2))) AS ac
-  FROM range(1000) r(i))
+  SELECT event_id, CAST(i AS INT) AS t, greatest(1e-5, least(1.0, pow(cos(((i + 1) / 1000.0 + 0.008) / 1.008 * pi() / 2), 2) / pow(cos(0.008 / 1.008 * pi() / 2), 2))) AS ac
+  FROM (SELECT event_id, event_id * 7 % 1000 AS i FROM events) r)
 """)
 def noise_schedule(spark, sf_dir):
-    return S.schedule(spark)
+    """The schedule at each event's step."""
+    return S.schedule(table(spark, sf_dir, "events").select("event_id"), F.col("event_id") * 7 % 1000)
 
 
 @query("ddim_steps", """
-WITH s AS (SELECT CAST(i AS INT) AS i, CAST(round_even(999 - i * 999.0 / 39, 0) AS INT) AS t FROM range(40) r(i))
-SELECT i, t, coalesce(lead(t) OVER (ORDER BY i), -1) AS t_next FROM s
+WITH s AS (SELECT p_partkey, CAST(i AS INT) AS i, CAST(round_even(999 - i * CAST(999 AS DOUBLE) / (p_size + 1), 0) AS INT) AS t FROM part, range(80) r(i) WHERE i < p_size + 2)
+SELECT p_partkey, i, t, coalesce(lead(t) OVER (PARTITION BY p_partkey ORDER BY i), -1) AS t_next FROM s
 """)
 def ddim_steps(spark, sf_dir):
-    return S.steps(spark, 1000, 40)
+    """Steps of a sampler, as many as each part's size and two."""
+    return S.steps(table(spark, sf_dir, "part").select("p_partkey", "p_size"), 1000, F.col("p_size") + 2).drop("p_size")
 
 
 @query("window_origins", """
-SELECT CAST(o AS INT) AS origin, CAST(k AS INT) AS k, round(greatest(0.5 - 0.5 * cos(2 * pi() * k / 63), 0.01), 9) AS weight
-FROM (SELECT DISTINCT least(i * 48, 400 - 64) AS o FROM range(0, 9) r(i)), range(64) w(k)
+WITH o AS (SELECT DISTINCT p_partkey, least(i * 48, p_size * 8) AS o FROM part, range(0, 99) r(i) WHERE i <= ceil(p_size * 8 / 48.0))
+SELECT p_partkey, CAST(o AS INT) AS origin, count(*) AS places, round(sum(round(greatest(0.5 - 0.5 * cos(2 * pi() * k / 63), 0.01), 9)), 6) AS weight FROM o, range(64) w(k) GROUP BY ALL
 """)
 def window_origins(spark, sf_dir):
-    return S.window_weights(spark, 400, 64, 48)
+    """The windows that cover a canvas as long as each part's size says, and the weight of each."""
+    t = S.window_weights(table(spark, sf_dir, "part").select("p_partkey", "p_size"), 64 + F.col("p_size") * 8, 64, 48)
+    return t.groupBy("p_partkey", "origin").agg(F.count(F.lit(1)).alias("places"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 @query("step_embedding", """
-SELECT CAST(t AS INT) AS t, CAST(k AS INT) AS k, round(CASE WHEN k < 8 THEN cos(t * f) ELSE sin(t * f) END, 6) AS value FROM (
-  SELECT t, k, exp(-ln(10000.0) * (k % 8) / 8) AS f FROM range(0, 1000, 37) a(t), range(16) b(k))
+SELECT event_id, CAST(t AS INT) AS t, CAST(k AS INT) AS k, round(CASE WHEN k < 8 THEN cos(t * f) ELSE sin(t * f) END, 6) AS value FROM (
+  SELECT event_id, event_id * 37 % 1000 AS t, k, exp(-ln(10000.0) * (k % 8) / 8) AS f FROM events, range(16) b(k))
 """)
 def step_embedding(spark, sf_dir):
-    return S.embedding(spark, range(0, 1000, 37), 16)
+    """The embedding of each event's step."""
+    return S.embedding(table(spark, sf_dir, "events").select("event_id"), F.col("event_id") * 37 % 1000, 16)

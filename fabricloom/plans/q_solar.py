@@ -123,8 +123,11 @@ def view_first_hit_whole(spark, sf_dir):
 
 
 @query("view_directions", """
-SELECT round(-90 + (i + 0.5) * 180.0 / 12, 6) AS azimuth, round(degrees(asin(-1 + (j + 0.5) * 2.0 / 6)), 6) AS altitude FROM range(12) a(i), range(6) b(j)
+WITH s AS (SELECT s_suppkey, 4 + s_suppkey % 9 AS n, 2 + s_suppkey % 6 + (s_suppkey % 6) % 2 AS m FROM supplier)
+SELECT s_suppkey, round(-90 + (i + 0.5) * 180.0 / n, 6) AS azimuth, round(degrees(asin(-1 + (j + 0.5) * 2.0 / m)), 6) AS altitude FROM s, range(12) a(i), range(8) b(j) WHERE i < n AND j < m
 """)
 def view_directions(spark, sf_dir):
-    t = spark.range(1).select(F.inline(solar.view_rays(12, 6)))
-    return t.select(F.round("azimuth", 6).alias("azimuth"), F.round("altitude", 6).alias("altitude"))
+    """Rays over a half of the sky, as many around and up as each supplier asks for."""
+    k = F.col("s_suppkey")
+    t = table(spark, sf_dir, "supplier").select("s_suppkey", F.inline(solar.view_rays(4 + k % 9, 2 + k % 6)))
+    return t.select("s_suppkey", F.round("azimuth", 6).alias("azimuth"), F.round("altitude", 6).alias("altitude"))

@@ -13,10 +13,18 @@ _AXES = [("coverage", 10.0, 40.0, 4), ("height", 6.0, 30.0, 3), ("green", 0.0, 2
 
 
 @query("param_grid", """
-SELECT ((a.i * 3 + b.i) * 3 + c.i) * 3 + d.i + 1 AS option, lpad(CAST(((a.i * 3 + b.i) * 3 + c.i) * 3 + d.i + 1 AS VARCHAR), 3, '0') AS name,
-  10.0 + a.i * 10.0 AS coverage, 6.0 + b.i * 12.0 AS height, c.i * 10.0 AS green, CAST(1 + d.i AS DOUBLE) AS seed FROM range(4) a(i), range(3) b(i), range(3) c(i), range(3) d(i)
+SELECT s_suppkey, ((a.i * 3 + b.i) * 3 + c.i) * 3 + d.i + 1 AS option, lpad(CAST(((a.i * 3 + b.i) * 3 + c.i) * 3 + d.i + 1 AS VARCHAR), 3, '0') AS name,
+  10.0 + a.i * 10.0 + s_suppkey % 5 AS coverage, 6.0 + b.i * 12.0 AS height, c.i * 10.0 AS green, CAST(1 + d.i AS DOUBLE) AS seed FROM supplier, range(4) a(i), range(3) b(i), range(3) c(i), range(3) d(i)
 """)
 def param_grid(spark, sf_dir):
+    """The options of each supplier, whose coverage starts at its own."""
+    axes = {n: space.axis(lo, hi, k, n == "seed") for n, lo, hi, k in _AXES}
+    axes["coverage"] = F.transform(axes["coverage"], lambda x: x + F.col("s_suppkey") % 5)
+    t = space.grid(spark, axes, table(spark, sf_dir, "supplier").select("s_suppkey"))
+    return t.withColumn("name", space.option_name(F.col("option"), 108))
+
+
+def _options(spark):
     t = space.grid(spark, {n: space.axis(lo, hi, k, n == "seed") for n, lo, hi, k in _AXES})
     return t.withColumn("name", space.option_name(F.col("option"), 108))
 
@@ -87,6 +95,6 @@ def stub_space(spark, sf_dir):
         return batch.assign(tile_id=batch["option"] % 8, error=None)
 
     columns = "coverage double, height double, green double, seed double, option bigint, name string, tile_id int, error string"
-    made = space.generate(param_grid(spark, sf_dir), model, columns)
+    made = space.generate(_options(spark), model, columns)
     read = tile_metrics(full_cells(spark, sf_dir), 400.0, SIDE).select("tile_id", "coverage_pct", "far_proxy")
     return made.join(read, "tile_id", "left")
