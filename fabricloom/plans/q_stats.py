@@ -214,3 +214,34 @@ def held_out_split(spark, sf_dir):
     held = sources.withColumn("k", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit("11:"), "source")), "source"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
     held = held.select("source", (F.col("k") <= F.ceil(F.col("n") / 10)).alias("held_out"))
     return table(spark, sf_dir, "documents").join(held, "source").groupBy("held_out").agg(F.count(F.lit(1)).alias("docs"), F.count_distinct("source").alias("sources"))
+
+
+@query("newton_targets", """
+WITH RECURSIVE x AS (SELECT l_orderkey, l_linenumber, l_returnflag AS k, l_quantity / 10 AS a, l_discount * 100 AS b, l_tax * 100 AS c, l_extendedprice / 10000 AS y, l_extendedprice / 10000 * (1 - l_discount) AS z FROM lineitem),
+f AS MATERIALIZED (SELECT k, avg(y) - covar_pop(y, a) / var_pop(a) * avg(a) - covar_pop(y, b) / var_pop(b) * avg(b) - covar_pop(y, c) / var_pop(c) * avg(c) AS o1,
+    avg(z) - covar_pop(z, a) / var_pop(a) * avg(a) - covar_pop(z, b) / var_pop(b) * avg(b) - covar_pop(z, c) / var_pop(c) * avg(c) AS o2,
+    covar_pop(y, a) / var_pop(a) AS a1, covar_pop(y, b) / var_pop(b) AS b1, covar_pop(y, c) / var_pop(c) AS c1, covar_pop(z, a) / var_pop(a) AS a2, covar_pop(z, b) / var_pop(b) AS b2, covar_pop(z, c) / var_pop(c) AS c2 FROM x GROUP BY 1),
+m AS MATERIALIZED (SELECT *, a1 * a1 + b1 * b1 + c1 * c1 + 0.001 AS aa, a2 * a2 + b2 * b2 + c2 * c2 + 0.001 AS bb, a1 * a2 + b1 * b2 + c1 * c2 AS ab FROM f),
+w AS (SELECT l_orderkey, l_linenumber, k, a, b, c, 0 AS n, 6.0 - o1 - (a1 * a + b1 * b + c1 * c) AS p, 5.5 - o2 - (a2 * a + b2 * b + c2 * c) AS q FROM x JOIN m USING (k)
+  UNION ALL SELECT l_orderkey, l_linenumber, k, a, b, c, n, 6.0 - o1 - (a1 * a + b1 * b + c1 * c), 5.5 - o2 - (a2 * a + b2 * b + c2 * c) FROM (
+    SELECT l_orderkey, l_linenumber, k, o1, o2, a1, b1, c1, a2, b2, c2, a + da * g AS a, b + db * g AS b, c + dc * g AS c, n + 1 AS n FROM (
+      SELECT *, least(1.0, coalesce(1.5 / nullif(sqrt(da * da + db * db + dc * dc), 0), 1.0)) AS g FROM (SELECT *, a1 * u + a2 * v AS da, b1 * u + b2 * v AS db, c1 * u + c2 * v AS dc FROM (
+        SELECT *, (p * bb - q * ab) / (aa * bb - ab * ab) AS u, (q * aa - p * ab) / (aa * bb - ab * ab) AS v FROM w JOIN m USING (k) WHERE n < 8 AND greatest(abs(p), abs(q)) > 0.01) h) i) j) l)
+SELECT l_orderkey, l_linenumber, count(*) AS lines, max(steps) AS steps, round(max(miss), 4) AS miss, round(sum(a), 4) AS a, round(sum(b), 4) AS b FROM (
+  SELECT l_orderkey, l_linenumber, a, b, n AS steps, greatest(abs(p), abs(q)) AS miss FROM w WHERE n = 8 OR greatest(abs(p), abs(q)) <= 0.01) z GROUP BY 1, 2
+""")
+def newton_targets(spark, sf_dir):
+    """Each order line's quantity, discount and tax moved until the metrics that they drive (slopes by return flag) reach two targets."""
+    from ..operators import newton
+
+    t = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("k"), (F.col("l_quantity") / 10).alias("a"), (F.col("l_discount") * 100).alias("b"), (F.col("l_tax") * 100).alias("c"),
+        (F.col("l_extendedprice") / 10000).alias("y"), (F.col("l_extendedprice") / 10000 * (1 - F.col("l_discount"))).alias("z"),
+    )
+    slope = {(m, v): F.covar_pop(m, v) / F.var_pop(v) for m in "yz" for v in "abc"}
+    fitted = t.groupBy("k").agg(*[(F.avg(m) - slope[m, "a"] * F.avg("a") - slope[m, "b"] * F.avg("b") - slope[m, "c"] * F.avg("c")).alias(f"o_{m}") for m in "yz"], *[F.array(*[slope[m, v] for v in "abc"]).alias(f"j_{m}") for m in "yz"])
+    options = t.join(fitted, "k").withColumns({"w0": F.array("a", "b", "c"), "t_y": F.lit(6.0), "t_z": F.lit(5.5)})
+    out = newton.towards(options, "w0", ("t_y", "t_z"), ("o_y", "o_z"), ("j_y", "j_z"), 0.001, 1.5, 0.01, 8)
+    return out.groupBy("l_orderkey", "l_linenumber").agg(
+        F.count(F.lit(1)).alias("lines"), F.max("steps").alias("steps"), F.round(F.max("miss"), 4).alias("miss"), F.round(F.sum(F.get("w", F.lit(0))), 4).alias("a"), F.round(F.sum(F.get("w", F.lit(1))), 4).alias("b")
+    )

@@ -105,3 +105,17 @@ def test_resize_weights_sum_to_one():
         for i, _, w in codec.weights(old, new):
             sums[i] = sums.get(i, 0) + w
         assert sorted(sums) == list(range(new)) and all(math.isclose(s, 1) for s in sums.values())
+
+
+def test_newton_steps(spark):
+    from fabricloom.operators import newton
+
+    rows = [("one", 5.0, -2.0, 0.0), ("there", 1.0, 1.0, 0.0), ("null", None, 1.0, 0.0)]
+    t = spark.createDataFrame(rows, "name string, t0 double, t1 double, o double").withColumns(
+        {"w0": F.array(F.lit(1.0), F.lit(1.0), F.lit(7.0)), "j0": F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)), "j1": F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))}
+    )
+    run = lambda cap, most: {r.name: r for r in newton.towards(t, "w0", ("t0", "t1"), ("o", "o"), ("j0", "j1"), 0.0, cap, 1e-6, most).collect()}
+    free, short = run(100.0, 9), run(2.0, 9)
+    assert free["one"].w == [5.0, -2.0, 7.0] and free["one"].steps == 1 and free["there"].steps == 0
+    assert short["one"].steps == 3 and max(abs(a - b) for a, b in zip(short["one"].w, [5.0, -2.0, 7.0])) < 1e-9  # 5 away, 2 a step
+    assert run(2.0, 2)["one"].miss > 0.5 and free["null"].miss is None
