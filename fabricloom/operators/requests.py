@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def overlay(*maps: Column) -> Column:
     """Maps laid over each other: of one key the last map that has it wins, and keys stay in order of first sight.
@@ -59,12 +61,15 @@ def listed(rows: DataFrame, group: str, name: str, most: int) -> DataFrame:
 
 
 def with_fallback(rows: DataFrame, group: str, good: Column, order: list[str], least: int) -> DataFrame:
-    """The good rows of each group, and while there are fewer than asked for, the first of the others: adds filled_in."""
-    own = Window.partitionBy(group)
-    t = rows.withColumn("_good", F.coalesce(good, F.lit(False)))
-    t = t.withColumn("_n", F.count_if("_good").over(own)).withColumn("_k", F.row_number().over(Window.partitionBy(group, "_good").orderBy(*order)))
-    kept = t.where(F.col("_good") | (F.col("_k") <= least - F.col("_n")))
-    return kept.withColumn("filled_in", ~F.col("_good")).drop("_good", "_n", "_k")
+    """The good rows of each group, and while there are fewer than asked for, the first of the others: adds filled_in.
+
+    Good rows are counted by group, and of the others only the first `least` are ranked, so no group is held by one task.
+    """
+    t = written(rows.withColumn("_good", F.coalesce(good, F.lit(False))), "fallback")
+    n = t.groupBy(F.col(group).alias("_group")).agg(F.count_if("_good").alias("_n"))
+    first = t.where(~F.col("_good")).withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_k") <= least)
+    others = first.join(n, F.col(group).eqNullSafe(F.col("_group"))).where(F.col("_k") <= least - F.col("_n"))
+    return t.where("_good").select(*rows.columns, F.lit(False).alias("filled_in")).unionByName(others.select(*rows.columns, F.lit(True).alias("filled_in")))
 
 
 def warm_up(step: Column, rate: float, steps: int) -> Column:

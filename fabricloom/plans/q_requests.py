@@ -129,12 +129,16 @@ n AS (SELECT *, content >= 0.7 AS good, count(*) FILTER (content >= 0.7) OVER (P
 SELECT tile_id, crop, content, NOT good AS filled_in FROM n WHERE good OR i <= 6 - n
 """, cells=True)
 def crop_content(spark, sf_dir):
-    """Crops with enough in them; a tile with fewer than six gets its first others."""
+    """Crops with enough in them; a tile with fewer than six gets its first others. Crops of one place share its content, so
+    what meets the cells, and is broadcast, is at most 24 x 24 places a tile."""
     i = F.col("event_id")
     rows = F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))
-    k = table(spark, sf_dir, "events").select(i.alias("crop"), (i % 8).cast("int").alias("tile_id"), (i * 7 % 24).alias("r0"), (i * 11 % 24).alias("c0"), F.explode(rows).alias("a"))
-    k = k.select("crop", "tile_id", (F.col("r0") + F.col("a")).cast("int").alias("r"), "c0", F.explode(rows).alias("b")).select("crop", "tile_id", "r", (F.col("c0") + F.col("b")).cast("int").alias("c"))
-    t = k.join(full_cells(spark, sf_dir), ["tile_id", "r", "c"]).groupBy("tile_id", "crop").agg(F.avg((F.col("cls") != "open").cast("int")).alias("content"))
+    k = table(spark, sf_dir, "events").select(i.alias("crop"), (i % 8).cast("int").alias("tile_id"), (i * 7 % 24).alias("r0"), (i * 11 % 24).alias("c0")).distinct()
+    at = ["tile_id", "r0", "c0"]
+    places = k.select(*at).distinct().withColumn("a", F.explode(rows)).withColumn("b", F.explode(rows))
+    places = places.select(*at, (F.col("r0") + F.col("a")).cast("int").alias("r"), (F.col("c0") + F.col("b")).cast("int").alias("c"))
+    content = places.join(full_cells(spark, sf_dir), ["tile_id", "r", "c"]).groupBy(*at).agg(F.avg((F.col("cls") != "open").cast("int")).alias("content"))
+    t = k.join(F.broadcast(content), at).select("tile_id", "crop", "content")
     return requests.with_fallback(t, "tile_id", F.col("content") >= 0.7, ["crop"], 6)
 
 
