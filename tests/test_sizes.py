@@ -22,3 +22,7 @@ def test_fallback_of_full_short_and_null_groups(spark):
     rows = [("a", i, i < 3) for i in range(6)] + [("b", i, i > 7) for i in range(9)] + [(None, i, False) for i in range(4)]
     got = requests.with_fallback(spark.createDataFrame(rows, "g string, i int, ok boolean"), "g", F.col("ok"), ["i"], 2).collect()
     assert sorted((r.g or "", r.i, r.filled_in) for r in got) == [("", 0, True), ("", 1, True), ("a", 0, False), ("a", 1, False), ("a", 2, False), ("b", 0, True), ("b", 8, False)]
+
+
+def test_polygons_are_drawn_without_a_join(spark):
+    assert "Join" not in optimized(registry.queries()["scanline_cells"](spark, SMALL))
