@@ -146,13 +146,13 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_key: str, key:
 
 
 def walk(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """How a value moves along an ordered walk: its total change, and the share of steps in that direction."""
+    """How a value moves along an ordered walk: its total change, and the share of steps in that direction. A total that is 0
+    to nine places is no change: steps that cancel out leave a rest of their binary sum, which has no direction."""
     step = F.lead(value).over(Window.partitionBy(key).orderBy(order)) - F.col(value)
-    steps = rows.withColumn("_d", step).where("_d is not null")
-    total = steps.groupBy(key).agg(F.sum("_d").alias("change"))
-    joined = steps.join(total, key)
-    same = F.when(F.col("change") == 0, 0.0).otherwise((F.signum("_d") == F.signum("change")).cast("double"))
-    return joined.groupBy(key).agg(F.round(F.first("change"), 6).alias("change"), F.round(F.avg(same), 6).alias("monotone"))
+    steps = rows.withColumn("_d", step).where(F.col("_d").isNotNull() & F.col(key).isNotNull())
+    t = steps.groupBy(key).agg(F.sum("_d").alias("change"), F.count(F.lit(1)).alias("_n"), *[F.count_if(F.signum("_d") == sign).alias(n) for n, sign in (("_up", 1), ("_down", -1))])
+    same = F.when(F.round("change", 9) == 0, 0).when(F.col("change") > 0, F.col("_up")).otherwise(F.col("_down"))
+    return t.select(key, "change", F.round(same / F.col("_n"), 6).alias("monotone"))
 
 
 def nearest_rank_quantile(value: str, q: float) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fabricloom.operators import requests
+from fabricloom.operators import requests, stats
 from fabricloom.plans import registry
 from oracle import SMALL
 
@@ -26,3 +26,12 @@ def test_fallback_of_full_short_and_null_groups(spark):
 
 def test_polygons_are_drawn_without_a_join(spark):
     assert "Join" not in optimized(registry.queries()["scanline_cells"](spark, SMALL))
+
+
+def test_steps_that_cancel_out_have_no_direction(spark):
+    values = [0.3, 0.1, 0.7, 0.2, 0.3]
+    assert sum(b - a for a, b in zip(values, values[1:])) != 0
+    rows = [("there and back", i, v) for i, v in enumerate(values)] + [("up", i, v) for i, v in enumerate([1.0, 2.0, 1.5, 4.0])]
+    got = {r.k: r for r in stats.walk(spark.createDataFrame(rows, "k string, i int, v double"), "k", "i", "v").collect()}
+    assert got["there and back"].monotone == 0
+    assert (got["up"].change, got["up"].monotone) == (3.0, 0.666667)
