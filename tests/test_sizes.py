@@ -35,3 +35,11 @@ def test_steps_that_cancel_out_have_no_direction(spark):
     got = {r.k: r for r in stats.walk(spark.createDataFrame(rows, "k string, i int, v double"), "k", "i", "v").collect()}
     assert got["there and back"].monotone == 0
     assert (got["up"].change, got["up"].monotone) == (3.0, 0.666667)
+
+
+def test_customers_with_an_order_of_any_status_are_left_out(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,), (3,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "P"), (2, "O")], "o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = registry.queries()["customers_without_orders"](spark, str(tmp_path))
+    assert [r.c_custkey for r in got.collect()] == [3]
+    assert "o_orderstatus" not in registry.oracle_sql()["customers_without_orders"]
