@@ -78,19 +78,25 @@ def shortest_parallel(edges: DataFrame, a: str, b: str, length: str) -> DataFram
 def nearest_segment(points: DataFrame, runs: DataFrame, on: str, cap: float) -> DataFrame:
     """The nearest segment (run, ax, ay, bx, by) of the same `on` to each point (p, px, py), no farther than cap.
 
-    A segment is listed by the grid cells, cap wide, of its box widened by the cap; a point looks in its own.
+    Points of one place are looked up once, and of segments that coincide only the first is; a segment is listed by the
+    grid cells, cap wide, of its box widened by the cap, and a place looks in its own.
     """
     def around(a: str, b: str) -> Column:
         return _cells(F.least(a, b) - cap, F.greatest(a, b) + cap, cap)
 
-    listed = runs.withColumn("_cx", F.explode(around("ax", "bx"))).withColumn("_cy", F.explode(around("ay", "by")))
-    t = points.withColumns({"_cx": F.floor(F.col("px") / cap), "_cy": F.floor(F.col("py") / cap)}).join(listed, [on, "_cx", "_cy"])
+    line = ["ax", "ay", "bx", "by"]
+    listed = runs.groupBy(on, *line).agg(F.min("run").alias("run")).withColumn("_cx", F.explode(around("ax", "bx"))).withColumn("_cy", F.explode(around("ay", "by")))
+    places = points.select(on, "px", "py").distinct().withColumns({"_cx": F.floor(F.col("px") / cap), "_cy": F.floor(F.col("py") / cap)})
+    t = places.join(listed.hint("merge"), [on, "_cx", "_cy"])
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     u = F.coalesce(F.try_divide((F.col("px") - F.col("ax")) * dx + (F.col("py") - F.col("ay")) * dy, dx * dx + dy * dy), F.lit(0.0))
     u = F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0))
-    d = F.hypot(F.col("px") - F.col("ax") - u * dx, F.col("py") - F.col("ay") - u * dy)
-    best = t.select(on, "p", "run", d.alias("d")).where(F.col("d") <= cap).groupBy(on, "p").agg(F.min(F.struct("d", "run")).alias("b"))
-    return best.select(on, "p", "b.run", F.round("b.d", 6).alias("distance"))
+    ex, ey = F.col("px") - F.col("ax") - u * dx, F.col("py") - F.col("ay") - u * dy
+    d = F.sqrt(ex * ex + ey * ey)
+    near = t.select(on, "px", "py", "run", d.alias("d")).where(F.col("d") <= cap)
+    best = near.groupBy(on, "px", "py").agg(F.min("d").alias("d"), F.min_by("run", F.struct("d", "run")).alias("run"))
+    found = points.select(on, "p", "px", "py").join(best.hint("merge"), [on, "px", "py"])
+    return found.groupBy(on, "p").agg(F.min(F.struct("d", "run")).alias("b")).select(on, "p", "b.run", F.round("b.d", 6).alias("distance"))
 
 
 def geojson(rows: DataFrame, keys: list[str], properties: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fabricloom.operators import requests, stats
+from fabricloom.operators import requests, stats, vector
 from fabricloom.plans import registry
 from oracle import SMALL
 
@@ -43,3 +43,11 @@ def test_customers_with_an_order_of_any_status_are_left_out(spark, tmp_path):
     got = registry.queries()["customers_without_orders"](spark, str(tmp_path))
     assert [r.c_custkey for r in got.collect()] == [3]
     assert "o_orderstatus" not in registry.oracle_sql()["customers_without_orders"]
+
+
+def test_coinciding_points_and_segments_meet_once(spark):
+    points = spark.createDataFrame([(0, p, 10.0 * (p % 2), 5.0) for p in range(40)], "place int, p int, px double, py double")
+    runs = spark.createDataFrame([(0, r, 0.0, 9.0, 20.0, 9.0) for r in range(30, 9, -1)] + [(0, 1, 0.0, 90.0, 9.0, 90.0)], "place int, run int, ax double, ay double, bx double, by double")
+    near = vector.nearest_segment(points, runs, "place", 50.0)
+    assert sorted((r.p, r.run, r.distance) for r in near.collect()) == [(p, 10, 4.0) for p in range(40)]
+    assert optimized(near).count("Aggregate") == 4  # places, segments, the best of a place, the best of a point
