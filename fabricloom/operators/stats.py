@@ -98,50 +98,60 @@ def cumulated(rows: DataFrame, order: str, n: str, name: str, groups: list[str]
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_key: str, key: str, vector: str, block: int = 64) -> DataFrame:
     """The k nearest corpus rows of each query by Euclidean distance, ties by key: rank, distance.
 
-    Queries come in blocks, each sent to every part of the corpus once; a part keeps its own k best of each
-    query before anything is shuffled, so what moves is k rows a query and part.
+    Queries come in blocks, each sent to every part of the corpus once. A part keeps its own k best of each query before
+    anything is shuffled: products of some queries and rows at a time say which rows may be among them, and those get
+    their exact distance, so copies of a vector are told apart by key alone, and memory doesn't grow with either table.
     """
     import numpy as np
     import pyarrow as pa
 
     q = queries.select(F.col(query_key).alias("q"), F.col(vector).alias("v"))
-    many = q.count()
-    blocks = q.withColumn("_b", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-many // block)))))
-    q_type, k_type = [pa.int64()] * 2
+    passes = max(1, -(-q.count() // (block * 64)))
+    blocks = q.withColumn("_b", F.pmod(F.xxhash64("q"), F.lit(passes)))
     out = None
     spark = queries.sparkSession
-    for b in range(max(1, -(-many // (block * 64)))):
-        some = blocks.where(F.col("_b") % max(1, -(-many // (block * 64))) == b).select("q", "v").toPandas()
+    for b in range(passes):
+        some = blocks.where(F.col("_b") == b).select("q", "v").toPandas()
         if not len(some):
             continue
         shared = spark.sparkContext.broadcast((some["q"].to_numpy(), np.array(some["v"].tolist(), np.float64)))
 
         def best(batches, shared=shared):
             ids, x = shared.value
-            have_d = have_i = None
+            n, xx = len(ids), (x * x).sum(1)
+            have_d, have_i = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                y = np.array(batch.column("v").to_pylist(), np.float64)
-                i = batch.column("i").to_numpy()
-                d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0)
-                d, i = (d, np.broadcast_to(i, d.shape)) if have_d is None else (np.hstack([have_d, d]), np.hstack([have_i, np.broadcast_to(i, d.shape)]))
-                order = np.lexsort((i, d), axis=1)[:, : 2 * k]
-                have_d, have_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            if have_d is not None:
-                n = have_d.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), q_type), pa.array(have_i.ravel(), k_type)], ["q", "i"])
-
-        part = corpus.select(F.col(key).alias("i"), F.col(vector).alias("v")).mapInArrow(best, "q bigint, i bigint")
+                for at in range(0, batch.num_rows, 1024):
+                    piece = batch.slice(at, 1024)
+                    y = np.array(piece.column("v").to_pylist(), np.float64)
+                    i, yy = piece.column("i").to_numpy(), (y * y).sum(1)
+                    for s in range(0, n, block * 4):
+                        own = slice(s, s + block * 4)
+                        d = xx[own, None] + yy - 2 * x[own] @ y.T
+                        slack = 1e-9 * (1 + xx[own] + yy.max())  # far more than products round off
+                        bound = have_d[own, -1] ** 2
+                        if d.shape[1] >= k:
+                            bound = np.minimum(bound, np.partition(d, k - 1, axis=1)[:, k - 1] + slack)
+                        a, c = np.nonzero(~(d > (bound + slack)[:, None]))
+                        if not len(a):
+                            continue
+                        exact = np.concatenate([np.sqrt(np.cumsum((x[own][a[f : f + 8192]] - y[c[f : f + 8192]]) ** 2, axis=1)[:, -1]) for f in range(0, len(a), 8192)])
+                        touched = np.unique(a)
+                        a, e, g = (np.concatenate(z) for z in ((a, np.repeat(touched, k)), (exact, have_d[own][touched].ravel()), (i[c], have_i[own][touched].ravel())))
+                        order = np.lexsort((g, e, a))
+                        a, e, g = a[order], e[order], g[order]
+                        place = np.arange(len(a)) - np.searchsorted(a, a)
+                        top = place < k
+                        have_d[s + a[top], place[top]], have_i[s + a[top], place[top]] = e[top], g[top]
+            found = have_i < np.iinfo(np.int64).max
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], found.shape)[found]), pa.array(have_i[found]), pa.array(have_d[found])], ["q", "i", "distance"])
+
+        part = corpus.select(F.col(key).alias("i"), F.col(vector).alias("v")).mapInArrow(best, "q bigint, i bigint, distance double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], f"{query_key} bigint, {key} bigint, distance double, rank int")
-    # exact distances of the few that are left
-    left = out.join(q, "q").join(corpus.select(F.col(key).alias("i"), F.col(vector).alias("w")), "i")
-    d = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
-    left = left.select("q", "i", d.alias("distance"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "i"))
-    left = left.withColumn("rank", rank).where(F.col("rank") <= k)
+    left = out.withColumn("rank", rank).where(F.col("rank") <= k)
     return left.select(F.col("q").alias(query_key), F.col("i").alias(key), F.round("distance", 6).alias("distance"), "rank")
 
 

@@ -51,3 +51,12 @@ def test_coinciding_points_and_segments_meet_once(spark):
     near = vector.nearest_segment(points, runs, "place", 50.0)
     assert sorted((r.p, r.run, r.distance) for r in near.collect()) == [(p, 10, 4.0) for p in range(40)]
     assert optimized(near).count("Aggregate") == 4  # places, segments, the best of a place, the best of a point
+
+
+def test_near_vectors_far_from_the_origin(spark):
+    rows = [(i, [1e6 + (i * 37 % 200) * 1e-3, 1e6]) for i in range(200)] + [(i, [1e6, 1e6]) for i in range(300, 330)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = stats.nearest(t.where("vec_id = 0").select(F.col("vec_id").alias("q"), "embedding"), t.where("vec_id < 200"), 4, "q", "vec_id", "embedding").collect()
+    assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(k + 1, k * 173 % 200) for k in range(4)]
+    got = stats.nearest(t.where("vec_id = 0").select(F.col("vec_id").alias("q"), "embedding"), t, 4, "q", "vec_id", "embedding").collect()
+    assert sorted(r.vec_id for r in got) == [0, 300, 301, 302]
