@@ -1,13 +1,31 @@
-"""Damped minimum-norm steps of parameters towards absolute targets, a row an option, inside generated code."""
+"""Damped minimum-norm steps of parameters towards absolute targets, a row an option, batch by batch inside tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def matrix(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of numbers as rows, filled up with 0, and how long each is: -1 where it or one of its numbers is null."""
+    n = lists.value_lengths().fill_null(0).to_numpy()
+    flat = lists.flatten()
+    rows = np.repeat(np.arange(len(n)), n)
+    out = np.zeros((len(n), n.max(initial=0)))
+    out[rows, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)] = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    length = np.where(lists.is_null().to_numpy(zero_copy_only=False), -1, n)
+    length[rows[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+    return out, length
+
+
+def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums in the order of the parameters, as the SQL has them."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out = out + a[:, i] * b[:, i]
+    return out
 
 
 def towards(options: DataFrame, start: str, targets: tuple[str, str], offsets: tuple[str, str], slopes: tuple[str, str], damping: float, cap: float, tolerance: float, most: int) -> DataFrame:
@@ -17,21 +35,46 @@ def towards(options: DataFrame, start: str, targets: tuple[str, str], offsets: t
     gaps, J' (J J' + damping I)^-1 gap, no longer than cap; an option stands still once both gaps are within the tolerance, and stops
     after `most` steps. A null in any of it gives nulls.
     """
-    j = [F.col(s) for s in slopes]
-    gap = lambda w, i: F.col(targets[i]) - F.col(offsets[i]) - dot(j[i], w)
-    t = options.withColumns({"_aa": dot(j[0], j[0]) + damping, "_bb": dot(j[1], j[1]) + damping, "_ab": dot(j[0], j[1])})
-    t = t.withColumn("_det", F.col("_aa") * F.col("_bb") - F.col("_ab") * F.col("_ab"))
-
-    def step(s: Column, _: Column) -> Column:
-        p, q = s["p"], s["q"]
-        u, v = (p * F.col("_bb") - q * F.col("_ab")) / F.col("_det"), (q * F.col("_aa") - p * F.col("_ab")) / F.col("_det")
-        way = F.zip_with(j[0], j[1], lambda a, b: a * u + b * v)
-        moved = F.transform(F.array(way), lambda d: F.zip_with(s["w"], d, lambda a, b: a + b * F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(cap), F.sqrt(dot(d, d))), F.lit(1.0)))))
-        new = F.transform(moved, lambda w: F.struct(w.alias("w"), gap(w, 0).alias("p"), gap(w, 1).alias("q"), (s["n"] + 1).alias("n")))
-        return F.when(F.greatest(F.abs(p), F.abs(q)) <= tolerance, s).otherwise(F.get(new, F.lit(0)))
-
-    first = F.struct(F.col(start).alias("w"), gap(F.col(start), 0).alias("p"), gap(F.col(start), 1).alias("q"), F.lit(0).alias("n"))
-    t = t.withColumn("_s", F.aggregate(F.sequence(F.lit(1), F.lit(most)), first, step))
-    sound = F.col("_s.p").isNotNull() & F.col("_s.q").isNotNull()
-    miss = F.greatest(F.abs("_s.p"), F.abs("_s.q"))
-    return t.select(*options.columns, *[F.when(sound, c).alias(n) for n, c in (("w", F.col("_s.w")), ("steps", F.col("_s.n")), ("miss", miss))])
+    made = [T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("steps", T.IntegerType()), T.StructField("miss", T.DoubleType())]
+
+    def solve(batch: pa.RecordBatch) -> list[pa.Array]:
+        (w, length), *js = (matrix(batch.column(c)) for c in (start, *slopes))
+        known = [batch.column(c).cast(pa.float64()) for c in (*targets, *offsets)]
+        sound = length >= 0
+        for other in js:
+            sound &= other[1] == length
+        for c in known:
+            sound &= ~c.is_null().to_numpy(zero_copy_only=False)
+        here = np.flatnonzero(sound)
+        wide = length[here].max(initial=0)
+        w, (j0, j1) = w[here, :wide], (j[here, :wide] for j, _ in js)
+        t0, t1, o0, o1 = (c.to_numpy(zero_copy_only=False)[here].astype(np.float64) for c in known)
+        aa, bb, ab = dot(j0, j0) + damping, dot(j1, j1) + damping, dot(j0, j1)
+        det, steps = aa * bb - ab * ab, np.zeros(len(here), np.int32)
+        p, q = t0 - o0 - dot(j0, w), t1 - o1 - dot(j1, w)
+        for _ in range(most):
+            m = np.flatnonzero(~(np.maximum(np.abs(p), np.abs(q)) <= tolerance))
+            if not len(m):
+                break
+            u, v = (p[m] * bb[m] - q[m] * ab[m]) / det[m], (q[m] * aa[m] - p[m] * ab[m]) / det[m]
+            way = j0[m] * u[:, None] + j1[m] * v[:, None]
+            norm = np.sqrt(dot(way, way))
+            part = np.where(norm == 0, 1.0, np.fmin(1.0, cap / norm))
+            w[m] = w[m] + way * part[:, None]
+            p[m], q[m] = t0[m] - o0[m] - dot(j0[m], w[m]), t1[m] - o1[m] - dot(j1[m], w[m])
+            steps[m] += 1
+        size, gone = np.zeros(len(sound), np.int64), ~sound
+        size[here] = length[here]
+        flat = w[np.arange(wide) < length[here, None]]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), mask=np.concatenate([gone, [False]])), pa.array(flat))
+        whole = [np.zeros(len(sound), x.dtype) for x in (steps, p)]
+        whole[0][here], whole[1][here] = steps, np.maximum(np.abs(p), np.abs(q))
+        return [lists, *(pa.array(x, mask=gone) for x in whole)]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                with np.errstate(all="ignore"):
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *solve(batch)], [*batch.schema.names, *(f.name for f in made)])
+
+    return options.mapInArrow(run, T.StructType([*options.schema.fields, *made]))

@@ -240,7 +240,8 @@ def newton_targets(spark, sf_dir):
     )
     slope = {(m, v): F.covar_pop(m, v) / F.var_pop(v) for m in "yz" for v in "abc"}
     fitted = t.groupBy("k").agg(*[(F.avg(m) - slope[m, "a"] * F.avg("a") - slope[m, "b"] * F.avg("b") - slope[m, "c"] * F.avg("c")).alias(f"o_{m}") for m in "yz"], *[F.array(*[slope[m, v] for v in "abc"]).alias(f"j_{m}") for m in "yz"])
-    options = t.join(fitted, "k").withColumns({"w0": F.array("a", "b", "c"), "t_y": F.lit(6.0), "t_z": F.lit(5.5)})
+    options = t.join(F.broadcast(fitted), "k")  # one row a return flag
+    options = options.select("l_orderkey", "l_linenumber", F.array("a", "b", "c").alias("w0"), F.lit(6.0).alias("t_y"), F.lit(5.5).alias("t_z"), "o_y", "o_z", "j_y", "j_z")
     out = newton.towards(options, "w0", ("t_y", "t_z"), ("o_y", "o_z"), ("j_y", "j_z"), 0.001, 1.5, 0.01, 8)
     return out.groupBy("l_orderkey", "l_linenumber").agg(
         F.count(F.lit(1)).alias("lines"), F.max("steps").alias("steps"), F.round(F.max("miss"), 4).alias("miss"), F.round(F.sum(F.get("w", F.lit(0))), 4).alias("a"), F.round(F.sum(F.get("w", F.lit(1))), 4).alias("b")

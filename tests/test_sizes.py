@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fabricloom.operators import requests, stats, vector
+from fabricloom.operators import newton, requests, stats, vector
 from fabricloom.plans import registry
 from oracle import SMALL
 
@@ -60,3 +60,13 @@ def test_near_vectors_far_from_the_origin(spark):
     assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(k + 1, k * 173 % 200) for k in range(4)]
     got = stats.nearest(t.where("vec_id = 0").select(F.col("vec_id").alias("q"), "embedding"), t, 4, "q", "vec_id", "embedding").collect()
     assert sorted(r.vec_id for r in got) == [0, 300, 301, 302]
+
+
+def test_steps_of_lists_of_any_length_and_nulls(spark):
+    rows = [("a", [0.0, 9.0], [1.0, 0.0], [0.0, 1.0]), ("b", [0.0], [1.0], [1.0]), ("c", [0.0, None], [1.0, 0.0], [0.0, 1.0]), ("d", [0.0], [1.0, 0.0], [0.0, 1.0]), ("e", None, [1.0], [1.0]), ("f", [], [], [])]
+    t = spark.createDataFrame(rows, "name string, w0 array<double>, j0 array<double>, j1 array<double>").coalesce(1).withColumns({"t": F.lit(3.0), "o": F.lit(0.0)})
+    out = newton.towards(t, "w0", ("t", "t"), ("o", "o"), ("j0", "j1"), 0.5, 100.0, 1e-3, 40)
+    got = {r.name: r for r in out.collect()}
+    assert [round(x, 2) for x in got["a"].w] == [3.0, 3.0] and got["a"].steps > 1 and [round(x, 2) for x in got["b"].w] == [3.0]
+    assert all((got[n].w, got[n].steps, got[n].miss) == (None, None, None) for n in "cde") and (got["f"].w, got["f"].miss) == ([], 3.0)
+    assert "lambda" not in optimized(out)  # lambdas are evaluated row by row, outside of generated code
