@@ -30,9 +30,13 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+#: Answers of one compressed file. It can't be split, so this bounds what one task reads.
+ANSWERS = 5_000
+
+
 def answers(responses: DataFrame, path: str) -> None:
     """Saves answers of a map service by key; those without elements are never saved."""
-    responses.where(F.size("elements") > 0).write.mode("append").json(path, compression="gzip")
+    responses.where(F.size("elements") > 0).write.mode("append").option("maxRecordsPerFile", ANSWERS).json(path, compression="gzip")
 
 
 def rewrite(rows: DataFrame, path: str) -> str:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fabricloom.operators import newton, requests, stats, vector
+from fabricloom.operators import newton, requests, sinks, stats, vector
 from fabricloom.plans import registry
 from oracle import SMALL
 
@@ -70,3 +70,10 @@ def test_steps_of_lists_of_any_length_and_nulls(spark):
     assert [round(x, 2) for x in got["a"].w] == [3.0, 3.0] and got["a"].steps > 1 and [round(x, 2) for x in got["b"].w] == [3.0]
     assert all((got[n].w, got[n].steps, got[n].miss) == (None, None, None) for n in "cde") and (got["f"].w, got["f"].miss) == ([], 3.0)
     assert "lambda" not in optimized(out)  # lambdas are evaluated row by row, outside of generated code
+
+
+def test_answers_come_in_bounded_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "ANSWERS", 10, raising=False)
+    rows = spark.range(100).coalesce(1).select(F.col("id").cast("string").alias("key"), F.array(F.struct("id")).alias("elements"))
+    sinks.answers(rows, str(tmp_path / "a"))
+    assert len(list((tmp_path / "a").glob("*.json.gz"))) == 10 and spark.read.json(str(tmp_path / "a")).count() == 100
