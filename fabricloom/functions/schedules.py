@@ -30,12 +30,18 @@ def steps(rows: DataFrame, total: int, count: Column) -> DataFrame:
     return t.select(*rows.columns, "i", at(F.col("i")).alias("t"), F.when(F.col("i") < F.col("_count") - 1, at(F.col("i") + 1)).otherwise(-1).alias("t_next"))
 
 
-def window_weights(rows: DataFrame, length: Column, window: int, stride: int) -> DataFrame:
-    """Of each row the origins of windows that cover a length (a window's at least), the last one flush with its end, and each
-    place's Hann weight, 0.01 at least."""
+def windows(rows: DataFrame, length: Column, window: int, stride: int) -> DataFrame:
+    """Of each row the origins of windows that cover a length (a window's at least), the last one flush with its end. A
+    row without a length has none."""
+    rows = rows.where(length.isNotNull())
     n = F.greatest(F.lit(1), F.ceil((length - window) / stride) + 1).cast("int")
     origins = F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.least(i * stride, length - window).cast("int")))
-    places = rows.withColumn("origin", F.explode(origins)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(window - 1))))
+    return rows.withColumn("origin", F.explode(origins))
+
+
+def window_weights(rows: DataFrame, window: int) -> DataFrame:
+    """Of each row the places of a window and each place's Hann weight, 0.01 at least; they are the same at every origin."""
+    places = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(window - 1))))
     return places.withColumn("weight", F.round(F.greatest(0.5 - 0.5 * F.cos(2 * math.pi * F.col("k") / (window - 1)), F.lit(0.01)), 9))
 
 

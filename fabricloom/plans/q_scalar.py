@@ -129,9 +129,10 @@ WITH o AS (SELECT DISTINCT p_partkey, least(i * 48, p_size * 8) AS o FROM part,
 SELECT p_partkey, CAST(o AS INT) AS origin, count(*) AS places, round(sum(round(greatest(0.5 - 0.5 * cos(2 * pi() * k / 63), 0.01), 9)), 6) AS weight FROM o, range(64) w(k) GROUP BY ALL
 """)
 def window_origins(spark, sf_dir):
-    """The windows that cover a canvas as long as each part's size says, and the weight of each."""
-    t = S.window_weights(table(spark, sf_dir, "part").select("p_partkey", "p_size"), 64 + F.col("p_size") * 8, 64, 48)
-    return t.groupBy("p_partkey", "origin").agg(F.count(F.lit(1)).alias("places"), F.round(F.sum("weight"), 6).alias("weight"))
+    """The windows that cover a canvas as long as each part's size says, and the weight of each: places are summed once an origin, not once a part."""
+    t = S.windows(table(spark, sf_dir, "part").select("p_partkey", "p_size"), 64 + F.col("p_size") * 8, 64, 48).select("p_partkey", "origin").distinct()
+    facts = S.window_weights(t.select("origin").distinct(), 64).groupBy("origin").agg(F.count(F.lit(1)).alias("places"), F.round(F.sum("weight"), 6).alias("weight"))
+    return t.join(F.broadcast(facts), "origin").select("p_partkey", "origin", "places", "weight")
 
 
 @query("step_embedding", """

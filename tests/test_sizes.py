@@ -77,3 +77,9 @@ def test_answers_come_in_bounded_files(spark, tmp_path, monkeypatch):
     rows = spark.range(100).coalesce(1).select(F.col("id").cast("string").alias("key"), F.array(F.struct("id")).alias("elements"))
     sinks.answers(rows, str(tmp_path / "a"))
     assert len(list((tmp_path / "a").glob("*.json.gz"))) == 10 and spark.read.json(str(tmp_path / "a")).count() == 100
+
+
+def test_a_part_listed_twice_has_its_windows_once(spark, tmp_path):
+    spark.createDataFrame([(1, 6), (1, 6), (1, 12), (2, None)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.queries()["window_origins"](spark, str(tmp_path)).collect()
+    assert sorted((r.p_partkey, r.origin, r.places) for r in got) == [(1, 0, 64), (1, 48, 64), (1, 96, 64)]
