@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import Rounds, passing_path, written
 from . import raster, tiles_np
 from .ranking import list_ranks
 
@@ -207,28 +207,29 @@ def clean(nodes: DataFrame, edges: DataFrame, spur: float, isolated: float, shor
 
 
 def simplified(lines: DataFrame, keys: list[str], epsilon: float, most: int = 1 << 20) -> DataFrame:
-    """Lines of points (keys, seq, x, y) by Douglas and Peucker: kept points. All stretches of all lines are looked at once a
-    round, and cut at their farthest point (the first of equals) while it is farther than epsilon from their chord;
-    there are as many rounds as the deepest cut, each a window over stretches."""
+    """Lines of points (keys, seq, x, y) by Douglas and Peucker: kept points. All open stretches of all lines are looked at once a
+    round, and cut at their farthest point (the first of equals); one that has no point farther than epsilon from its
+    chord is done, and its points leave. There are as many rounds as the deepest cut, each a window over stretches."""
     own = Window.partitionBy(*keys)
-    t = lines.withColumn("_keep", (F.col("seq") == F.min("seq").over(own)) | (F.col("seq") == F.max("seq").over(own)))
+    ends = {"_aseq": F.min("seq"), "_bseq": F.max("seq"), **{f"_a{c}": F.min_by(c, "seq") for c in "xy"}, **{f"_b{c}": F.max_by(c, "seq") for c in "xy"}}
+    rounds = Rounds(lines.withColumns({n: e.over(own) for n, e in ends.items()}), "simplified")
+    kept = passing_path(lines.sparkSession, "simplified-kept")
+    rounds.df.where("seq = _aseq OR seq = _bseq").select(*lines.columns).write.parquet(kept)
+    t = rounds.df.where("seq > _aseq AND seq < _bseq").drop("_bseq")
     for _ in range(most):
-        before = Window.partitionBy(*keys).orderBy("seq")
-        a = {c: F.last(F.when(F.col("_keep"), F.col(c)), True).over(before.rowsBetween(Window.unboundedPreceding, -1)) for c in ("seq", "x", "y")}
-        b = {c: F.first(F.when(F.col("_keep"), F.col(c)), True).over(before.rowsBetween(1, Window.unboundedFollowing)) for c in ("x", "y")}
-        s = t.withColumns({**{f"_a{c}": v for c, v in a.items()}, **{f"_b{c}": v for c, v in b.items()}})
         dx, dy = F.col("_bx") - F.col("_ax"), F.col("_by") - F.col("_ay")
         chord = F.hypot(dx, dy)
         off = F.when(chord < 1e-9, F.hypot(F.col("x") - F.col("_ax"), F.col("y") - F.col("_ay"))).otherwise(F.abs(dx * (F.col("_ay") - F.col("y")) - dy * (F.col("_ax") - F.col("x"))) / chord)
-        s = s.withColumn("_d", F.when(~F.col("_keep"), F.round(off, 9)))
-        stretch = Window.partitionBy(*keys, "_aseq")
-        s = s.withColumn("_far", F.max_by("seq", F.struct("_d", -F.col("seq"))).over(stretch)).withColumn("_most", F.max("_d").over(stretch))
-        cut = ~F.col("_keep") & (F.col("seq") == F.col("_far")) & (F.col("_most") > epsilon)
-        t = written(s.select(*lines.columns, "_keep", cut.alias("_cut")), "simplified")
-        if not t.where("_cut").head(1):
+        stretch, first = Window.partitionBy(*keys, "_aseq"), F.struct("_d", -F.col("seq"))
+        s = t.withColumn("_d", F.round(off, 9)).withColumns({"_most": F.max("_d").over(stretch), **{f"_f{c}": F.max_by(c, first).over(stretch) for c in ("seq", "x", "y")}})
+        t = rounds.next(s.where(F.col("_most") > epsilon).drop("_d", "_most"))
+        if not t.head(1):
             break
-        t = t.withColumn("_keep", F.col("_keep") | F.col("_cut")).drop("_cut")
-    return t.where("_keep").select(*lines.columns)
+        t.where("seq = _fseq").select(*lines.columns).write.mode("append").parquet(kept)
+        after = F.col("seq") > F.col("_fseq")
+        sides = {**{f"_a{c}": F.when(after, F.col(f"_f{c}")).otherwise(F.col(f"_a{c}")) for c in ("seq", "x", "y")}, **{f"_b{c}": F.when(after, F.col(f"_b{c}")).otherwise(F.col(f"_f{c}")) for c in "xy"}}
+        t = t.where("seq != _fseq").withColumns(sides).drop("_fseq", "_fx", "_fy")
+    return lines.sparkSession.read.schema(lines.schema).parquet(kept)
 
 
 def douglas_peucker(points: np.ndarray, epsilon: float) -> list[int]:

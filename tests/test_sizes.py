@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fabricloom.operators import newton, requests, sinks, stats, vector
+from fabricloom.operators import graph, newton, requests, sinks, stats, vector
 from fabricloom.plans import registry
 from oracle import SMALL
 
@@ -83,3 +83,19 @@ def test_a_part_listed_twice_has_its_windows_once(spark, tmp_path):
     spark.createDataFrame([(1, 6), (1, 6), (1, 12), (2, None)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = registry.queries()["window_origins"](spark, str(tmp_path)).collect()
     assert sorted((r.p_partkey, r.origin, r.places) for r in got) == [(1, 0, 64), (1, 48, 64), (1, 96, 64)]
+
+
+def test_stretches_that_are_done_leave(spark, monkeypatch):
+    seen = []
+
+    class Counted(graph.Rounds if hasattr(graph, "Rounds") else object):
+        def next(self, df):
+            out = super().next(df)
+            seen.append(out.count())
+            return out
+
+    monkeypatch.setattr(graph, "Rounds", Counted, raising=False)
+    rows = [("straight", i, float(i), 0.0) for i in range(200)] + [("corner", i, float(i), 10.0 if i == 3 else 0.0) for i in range(9)]
+    got = graph.simplified(spark.createDataFrame(rows, "k string, seq int, x double, y double"), ["k"], 6.0)
+    assert sorted((r.k, r.seq) for r in got.collect()) == [("corner", 0), ("corner", 3), ("corner", 8), ("straight", 0), ("straight", 199)]
+    assert seen == [7, 0]
