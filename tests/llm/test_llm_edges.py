@@ -181,6 +181,34 @@ def test_reduced_strings_are_sorted_by_the_same_steps(monkeypatch):
     assert asked[0] == 256 and max(asked[1:]) > 2048
 
 
+def test_buckets_are_stepped_from_at_once(monkeypatch):
+    """A bucket's steps don't grow with the buckets that dealt to it: one a bucket and pass, and those within it."""
+    steps, step = [], suffixes._step
+    monkeypatch.setattr(suffixes, "_step", lambda *args: steps.append(1) or step(*args))
+    t = np.random.default_rng(3).integers(0, 60, 20_000).astype(np.uint8)
+    small = suffixes.classify(t)
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = np.array(sorted(lms.tolist(), key=lambda i: t.tobytes()[i:]))
+    order = suffixes.induce(t, small, lms, 256)
+    assert order.tolist() == sorted(range(len(t)), key=lambda i: t.tobytes()[i:])
+    assert len(steps) <= 60 * 4 + 2 * 60 * 4 + 256
+
+
+def test_ranks_of_stretches():
+    """Symbols of few and of many bits, so that numbers are sorted with their places and without, in one block and in several."""
+    rng = np.random.default_rng(5)
+    for symbols in (1, 3, 100, 1 << 14, 1 << 20, 1 << 40):
+        ends = np.unique(np.append(rng.integers(0, 3000, 250), 2999))
+        spelled = rng.choice(rng.integers(1, symbols + 1, 6), 3000) << 1
+        spelled[ends] |= 1  # as in use, no stretch begins another
+        begins = rng.integers(0, 3000, 500)
+        stops = ends[np.searchsorted(ends, begins)]
+        last = rng.integers(0, 4, 500)
+        keys = [(*spelled[a : b + 1].tolist(), x) for a, b, x in zip(begins, stops, last)]
+        order = {k: i for i, k in enumerate(sorted(set(keys)))}
+        assert suffixes.ranked(np.append(spelled, 0), begins, stops, last).tolist() == [order[k] for k in keys]
+
+
 def test_hot_minimizers_split_or_count(spark):
     rng = random.Random(4)
     passage = " ".join(rng.choices(WORDS, k=150))
